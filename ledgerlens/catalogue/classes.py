@@ -36,17 +36,17 @@ def class_distribution(spark, sf_dir):
 
 
 @register("split_by_label", with_views(union_all(
-    f"SELECT '{c}' AS \"column\", count({c}) FILTER (label = 0) AS negative_rows, {r(f'avg({c}) FILTER (label = 0)')} AS negative_mean, "
-    f"count({c}) FILTER (label = 1) AS positive_rows, {r(f'avg({c}) FILTER (label = 1)')} AS positive_mean FROM feat" for c in FEATURES), FEAT))
+    f"SELECT '{c}' AS \"column\", count({c}) FILTER (label = 0) AS negative_rows, {r(f'avg({c}) FILTER (label = 0)', 7)} AS negative_mean, "
+    f"count({c}) FILTER (label = 1) AS positive_rows, {r(f'avg({c}) FILTER (label = 1)', 7)} AS positive_mean FROM feat" for c in FEATURES), FEAT))
 def split_by_label(spark, sf_dir):
-    return rounded(classes.split_by_label(feat(spark, sf_dir), "label", FEATURES))
+    return rounded(classes.split_by_label(feat(spark, sf_dir), "label", FEATURES), 7)
 
 
 @register("amount_flags", f"""
 SELECT count(*) FILTER (l_tax = 0) AS zero_count, {r('100.0 * count(*) FILTER (l_tax = 0) / count(*)')} AS zero_percentage,
-  count(*) FILTER (l_tax > 0.02) AS "over_0.02", count(*) FILTER (l_tax > 0.05) AS "over_0.05" FROM lineitem""")
+  count(*) FILTER (l_tax > 0.02) AS over_0_02, count(*) FILTER (l_tax > 0.05) AS over_0_05 FROM lineitem""")
 def amount_flags(spark, sf_dir):
-    return rounded(classes.amount_flags(feat(spark, sf_dir), "tax", (0.02, 0.05)), 6)
+    return rounded(classes.amount_flags(feat(spark, sf_dir), "tax", (0.02, 0.05)))
 
 
 @register("amount_flags_orders", f"""
@@ -63,11 +63,11 @@ def describe_by_class(spark, sf_dir):
 
 
 @register("compare_by_class", with_views(union_all(
-    f"SELECT label, '{c}' AS \"column\", {r(f'avg({c})')} AS mean, {r(f'quantile_cont({c}, 0.5)')} AS median, "
-    f"{r(f'stddev_samp({c})')} AS std, {r(f'min({c})')} AS min, {r(f'max({c})')} AS max FROM tx GROUP BY label"
+    f"SELECT label, '{c}' AS \"column\", {r(f'avg({c})', 6)} AS mean, {r(f'quantile_cont({c}, 0.5)', 6)} AS median, "
+    f"{r(f'stddev_samp({c})', 6)} AS std, {r(f'min({c})', 6)} AS min, {r(f'max({c})', 6)} AS max FROM tx GROUP BY label"
     for c in ("amount", "time")), TX))
 def compare_by_class(spark, sf_dir):
-    return rounded(classes.compare_by_class(tx(spark, sf_dir), ["amount", "time"], "label"))
+    return rounded(classes.compare_by_class(tx(spark, sf_dir), ["amount", "time"], "label"), 6)
 
 
 @register("zero_amounts_by_class", with_views(
@@ -246,7 +246,7 @@ def t_test_by_class(spark, sf_dir):
 
 @register("significant_features")
 def significant_features(spark, sf_dir):
-    return two_sample.significant_features(emb(spark, sf_dir), EMB_FEATURES, "label", limit=10)
+    return two_sample.significant_features(emb(spark, sf_dir), EMB_FEATURES, "label")
 
 
 @register("best_threshold", with_views(

@@ -29,11 +29,11 @@ def read_csv(spark, sf_dir):
 
 
 @register("csv_scan_profile", union_all(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std FROM orders" for c in ("o_custkey", "o_totalprice")))
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', 6)} AS mean, {r(f'stddev_samp({c})', 6)} AS std FROM orders" for c in ("o_custkey", "o_totalprice")))
 def csv_scan_profile(spark, sf_dir):
     """One exact profile over all splits of a CSV scan, schema inferred."""
     df = files.read_table(spark, _orders_csv(spark, sf_dir))
-    return rounded(profile.moments(df, ["o_custkey", "o_totalprice"]).select("column", "count", "mean", "std"))
+    return rounded(profile.moments(df, ["o_custkey", "o_totalprice"]).select("column", "count", "mean", "std"), 6)
 
 
 @register("csv_quality", """SELECT count(*) AS rows, count(*) FILTER (c_custkey % 50 IN (1, 2, 3)) AS corrupt_rows,
@@ -87,20 +87,19 @@ _MISSING = " + ".join(f"(count(*) - count({c}))" for c in _DOC)
 
 
 @register("summary_long", with_views(union_all(f"SELECT '{k}' AS metric, {r(f'CAST({v} AS DOUBLE)')} AS value FROM doc" for k, v in (
-    ("Total Rows", "count(*)"), ("Total Columns", "6"), ("File Size (MB)", "count(*) * 48 / 1048576.0"), ("Total Missing Values", f"({_MISSING})"),
+    ("Total Rows", "count(*)"), ("Total Columns", "max(6)"), ("File Size (MB)", "count(*) * 48 / 1048576.0"), ("Total Missing Values", f"({_MISSING})"),
     ("Missing Percentage", f"100.0 * ({_MISSING}) / (count(*) * 6)"), ("Normal Transactions", "count(*) FILTER (toxic = 0)"),
-    ("Fraud Transactions", "count(*) FILTER (toxic = 1)"))).replace("'Total Columns' AS metric, (round(CAST(6 AS DOUBLE), 6) + 0.0) AS value FROM doc",
-    "'Total Columns' AS metric, 6.0::DOUBLE AS value"), DOC))
+    ("Fraud Transactions", "count(*) FILTER (toxic = 1)"))), DOC))
 def summary_long(spark, sf_dir):
     return rounded(files.summary_long(doc(spark, sf_dir), "toxic", _DOC))
 
 
 @register("write_json", with_views(union_all(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean FROM feat" for c in FEATURES), FEAT))
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', 7)} AS mean FROM feat" for c in FEATURES), FEAT))
 def write_json(spark, sf_dir):
     path = scratch_path(spark, "json")
     files.write_json(profile.moments(feat(spark, sf_dir), FEATURES), path)
-    return rounded(spark.read.schema("column string, count bigint, mean double").json(path))
+    return rounded(spark.read.schema("column string, count bigint, mean double").json(path), 7)
 
 
 @register("json_document", """SELECT '[' || string_agg('{"label":' || label || ',"rows":' || n || '}', ',' ORDER BY label) || ']' AS document FROM

@@ -20,23 +20,23 @@ from ledgerlens.roles import (
 # fmt: off
 
 
-def summary_sql(source: str, cols, by: str = "", where: str = "") -> str:
+def summary_sql(source: str, cols, by: str = "", digits: int = 9) -> str:
     group = f" GROUP BY {by}" if by else ""
     lead = f"{by}, " if by else ""
     return union_all(
-        f"SELECT {lead}'{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, "
-        f"{r(f'stddev_samp({c})')} AS std, {r(f'CAST(min({c}) AS DOUBLE)')} AS min, "
-        f"{r(f'quantile_cont({c}, 0.25)')} AS q1, {r(f'quantile_cont({c}, 0.5)')} AS median, "
-        f"{r(f'quantile_cont({c}, 0.75)')} AS q3, {r(f'CAST(max({c}) AS DOUBLE)')} AS max, "
-        f"{r(f'skewness({c})')} AS skewness, {r(f'kurtosis({c})')} AS kurtosis "
-        f"FROM {source} {where}{group}"
+        f"SELECT {lead}'{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', digits)} AS mean, "
+        f"{r(f'stddev_samp({c})', digits)} AS std, {r(f'CAST(min({c}) AS DOUBLE)', digits)} AS min, "
+        f"{r(f'quantile_cont({c}, 0.25)', digits)} AS q1, {r(f'quantile_cont({c}, 0.5)', digits)} AS median, "
+        f"{r(f'quantile_cont({c}, 0.75)', digits)} AS q3, {r(f'CAST(max({c}) AS DOUBLE)', digits)} AS max, "
+        f"{r(f'skewness({c})', digits)} AS skewness, {r(f'kurtosis({c})', digits)} AS kurtosis "
+        f"FROM {source}{group}"
         for c in cols
     )
 
 
-@register("numeric_summary", with_views(summary_sql("feat", FEATURES), FEAT))
+@register("numeric_summary", with_views(summary_sql("feat", FEATURES, digits=7), FEAT))
 def numeric_summary(spark, sf_dir):
-    return rounded(profile.numeric_summary(feat(spark, sf_dir), FEATURES))
+    return rounded(profile.numeric_summary(feat(spark, sf_dir), FEATURES), 7)
 
 
 @register("numeric_summary_with_missing", with_views(summary_sql("doc", ["n_chars", "quality", "toxic"]), DOC))
@@ -44,9 +44,9 @@ def numeric_summary_with_missing(spark, sf_dir):
     return rounded(profile.numeric_summary(doc(spark, sf_dir), ["n_chars", "quality", "toxic"]))
 
 
-@register("describe_time_amount", with_views(summary_sql("tx", ["time", "amount"]), TX))
+@register("describe_time_amount", with_views(summary_sql("tx", ["time", "amount"], digits=6), TX))
 def describe_time_amount(spark, sf_dir):
-    return rounded(profile.numeric_summary(tx(spark, sf_dir), ["time", "amount"]))
+    return rounded(profile.numeric_summary(tx(spark, sf_dir), ["time", "amount"]), 6)
 
 
 @register("moments_embeddings", with_views(union_all(
@@ -88,16 +88,16 @@ def percentiles_ordered(spark, sf_dir):
 
 
 @register("numeric_profile", with_views(union_all(
-    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, "
-    f"{r(f'stddev_samp({c})')} AS std, {r(f'skewness({c})')} AS skewness, {r(f'kurtosis({c})')} AS kurtosis, "
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', 7)} AS mean, "
+    f"{r(f'stddev_samp({c})', 7)} AS std, {r(f'skewness({c})', 7)} AS skewness, {r(f'kurtosis({c})', 7)} AS kurtosis, "
     f"min({c}) AS min, max({c}) AS max, " + ", ".join(
-        f"{r(f'quantile_cont({c}, {p})')} AS {n}" for n, p in (
+        f"{r(f'quantile_cont({c}, {p})', 7)} AS {n}" for n, p in (
             ("p1", .01), ("p5", .05), ("p10", .1), ("q1", .25), ("median", .5), ("q3", .75),
             ("p90", .9), ("p95", .95), ("p99", .99))
-    ) + f", {r(f'100.0 * (count(*) - count({c})) / count(*)')} AS missing_percentage FROM feat"
+    ) + f", {r(f'100.0 * (count(*) - count({c})) / count(*)', 7)} AS missing_percentage FROM feat"
     for c in FEATURES), FEAT))
 def numeric_profile_query(spark, sf_dir):
-    return rounded(numeric_profile(feat(spark, sf_dir), FEATURES).drop("approx_distinct"))
+    return rounded(numeric_profile(feat(spark, sf_dir), FEATURES).drop("approx_distinct"), 7)
 
 
 @register("variability", with_views(union_all(
@@ -382,16 +382,16 @@ def profile_bundle_query(spark, sf_dir):
 
 _SEG = ["quantity", "price"]
 _SEG_SQL = union_all(
-    f"SELECT l_linestatus, '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'quantile_cont({c}, 0.5)')} AS median, "
+    f"SELECT l_linestatus, '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', 7)} AS mean, {r(f'quantile_cont({c}, 0.5)', 7)} AS median, "
     f"CAST(sum(CASE WHEN {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS outlier_count, "
-    f"{r(f'corr({c}, label)')} AS label_r FROM (SELECT l_linestatus AS s, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 "
+    f"{r(f'corr({c}, label)', 7)} AS label_r FROM (SELECT l_linestatus AS s, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 "
     f"FROM feat GROUP BY l_linestatus) JOIN feat ON s = l_linestatus GROUP BY l_linestatus" for c in _SEG)
 
 
 @register("segment_profile", with_views(_SEG_SQL, FEAT))
 def segment_profile_query(spark, sf_dir):
     found = segment_profile(feat(spark, sf_dir), ["l_linestatus"], _SEG, "label")
-    return rounded(found.select("l_linestatus", "column", "count", "mean", "median", "outlier_count", "label_r"))
+    return rounded(found.select("l_linestatus", "column", "count", "mean", "median", "outlier_count", "label_r"), 7)
 
 
 @register("segment_profile_users", with_views(

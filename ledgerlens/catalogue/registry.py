@@ -13,7 +13,7 @@ from ledgerlens.roles import expand_vector, with_elapsed
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-DIGITS = 6
+DIGITS = 9
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -50,7 +50,7 @@ def r(expr: str, digits: int = DIGITS) -> str:
 
 
 def with_views(body: str, *views: str) -> str:
-    return f"WITH {', '.join(views)} {body}"
+    return f"WITH {', '.join(views)} {body}" if views else body
 
 
 def union_all(parts: Iterable[str]) -> str:

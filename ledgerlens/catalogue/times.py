@@ -55,10 +55,10 @@ def gap_stats_ship_dates(spark, sf_dir):
 
 
 @register("duration", with_views(
-    f"SELECT {r('max(time) - min(time)')} AS duration_seconds, {r('(max(time) - min(time)) / 3600')} AS duration_hours, {r('(max(time) - min(time)) / 86400')} AS duration_days, "
-    f"{r('avg(time)', 4)} AS mean_time, {r('quantile_cont(time, 0.5)')} AS median_time FROM tx", TX))
+    f"SELECT {r('max(time) - min(time)', 6)} AS duration_seconds, {r('(max(time) - min(time)) / 3600', 6)} AS duration_hours, {r('(max(time) - min(time)) / 86400', 6)} AS duration_days, "
+    f"{r('avg(time)', 4)} AS mean_time, {r('quantile_cont(time, 0.5)', 6)} AS median_time FROM tx", TX))
 def duration(spark, sf_dir):
-    return rounded(temporal.duration(tx(spark, sf_dir), "time").withColumn("mean_time", F.round("mean_time", 4)))
+    return rounded(temporal.duration(tx(spark, sf_dir), "time").withColumn("mean_time", F.round("mean_time", 4)), 6)
 
 
 def cycle_sql(slot: str, name: str, bins: int) -> str:
@@ -119,8 +119,8 @@ LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _moments_sql(c: str) -> str:
-    return (f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, "
-            f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max, {r(f'skewness({c})')} AS skewness, {r(f'kurtosis({c})')} AS kurtosis FROM lineitem")
+    return (f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS missing, {r(f'avg({c})', 7)} AS mean, {r(f'stddev_samp({c})', 7)} AS std, "
+            f"{r(f'min({c})', 7)} AS min, {r(f'max({c})', 7)} AS max, {r(f'skewness({c})', 7)} AS skewness, {r(f'kurtosis({c})', 7)} AS kurtosis FROM lineitem")
 
 
 @register("incremental_profile", union_all(_moments_sql(c) for c in LINE_NUMBERS))
@@ -129,7 +129,7 @@ def incremental_profile(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     state = scratch_path(spark, "state")
     incremental.incremental_profile(stream, LINE_NUMBERS, state, scratch_path(spark, "offsets")).awaitTermination()
-    return rounded(incremental.read_profile(spark, state).drop("approx_quantiles"))
+    return rounded(incremental.read_profile(spark, state).drop("approx_quantiles"), 7)
 
 
 @register("merged_partials", union_all(_moments_sql(c) for c in LINE_NUMBERS))
@@ -138,7 +138,7 @@ def merged_partials(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     parts = [incremental.partial_profile(lines.where(F.col("l_returnflag") == flag), LINE_NUMBERS) for flag in "ANR"]
     both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return rounded(incremental.finish_profile(incremental.merge_partials(both)).drop("approx_quantiles"))
+    return rounded(incremental.finish_profile(incremental.merge_partials(both)).drop("approx_quantiles"), 7)
 
 
 def _sum_by_type(chunk: pd.DataFrame) -> pd.DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+WIDE_COLUMNS = 12  # beyond this many columns one grouped pass beats one wide aggregate
+
 
 def sample_skewness(x: Column) -> Column:
     """Bias-corrected skewness G1; NULL below three values or for a constant."""
@@ -48,10 +50,18 @@ def tidy(
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def long_form(df: DataFrame, cols: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Unpivot named expressions into (by…, column, x), dropping NULL x."""
+def long_form(
+    df: DataFrame, cols: Mapping[str, Column], by: Sequence[str] = (), keep_null: bool = False
+) -> DataFrame:
+    """Unpivot named expressions into (by…, column, x), NULL x dropped unless kept."""
     wide = df.select(*by, *[e.alias(f"x_{i}") for i, e in enumerate(cols.values())])
     names = F.array(*[F.lit(c) for c in cols])
     values = F.array(*[F.col(f"x_{i}") for i in range(len(cols))])
     pairs = wide.select(*by, F.inline(F.arrays_zip(names.alias("column"), values.alias("x"))))
-    return pairs.where(F.col("x").isNotNull())
+    return pairs if keep_null else pairs.where(F.col("x").isNotNull())
+
+
+def every_column(table: DataFrame, names: Sequence[str]) -> DataFrame:
+    """A per-column table with a row for every name, also when no row had a value."""
+    listed = F.explode(F.array(*[F.lit(c) for c in names])).alias("column")
+    return table.sparkSession.range(1).select(listed).join(F.broadcast(table), "column", "left")

@@ -61,16 +61,17 @@ def split_by_label(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
 def amount_flags(
     df: DataFrame, amount: str, thresholds: Sequence[float] = (1000, 5000, 10000)
 ) -> DataFrame:
-    """Zero amounts (count, %) and amounts over each threshold."""
+    """Zero amounts (count, %) and amounts over each threshold (0.5 gives over_0_5)."""
+    names = [f"over_{t:g}".replace(".", "_") for t in thresholds]
     wide = df.agg(
         F.count("*").alias("n"),
         F.count_if(F.col(amount) == 0).alias("zero_count"),
-        *[F.count_if(F.col(amount) > t).alias(f"over_{t:g}") for t in thresholds],
+        *[F.count_if(F.col(amount) > t).alias(n) for t, n in zip(thresholds, names, strict=True)],
     )
     return wide.select(
         "zero_count",
         percent(F.col("zero_count"), F.col("n")).alias("zero_percentage"),
-        *[f"over_{t:g}" for t in thresholds],
+        *names,
     )
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
-from ledgerlens.functions.stats import percent, sample_std, tidy
+from ledgerlens.functions.stats import long_form, percent, sample_std
 from ledgerlens.operators.sampling import SEED, simple_sample
 from ledgerlens.roles import as_double
 
 SILHOUETTE_UP_TO = 8
 PAIRWISE_ROWS = 50_000
+MAX_CLUSTERS = 1_000
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -73,7 +74,7 @@ def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str)
     """(cluster, rows, silhouette) under squared Euclidean distance.
 
     The mean squared distance of x to a cluster is |x|² − 2x·m + q with m the mean and
-    q the mean squared norm, so only (clusters × features) sums are broadcast.
+    q the mean squared norm, so only (clusters × features) means travel to the tasks.
     """
     x = F.array(*[as_double(df, c) for c in features])
     rows = complete_rows(df, features).select(F.col(cluster).alias("own"), x.alias("x"))
@@ -84,7 +85,18 @@ def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str)
         F.avg(norm).alias("q"),
         F.array(*[F.avg(F.get("x", i)) for i in range(size)]).alias("m"),
     )
-    table = centre.agg(F.collect_list(F.struct("own", "n", "q", "m"))).scalar()
+    known = centre.limit(MAX_CLUSTERS + 1).collect()
+    if len(known) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(c.own).alias("own"), F.lit(c.n).alias("n"), F.lit(c.q).alias("q"),
+                F.array(*[F.lit(v) for v in c.m]).alias("m"),
+            )
+            for c in known
+        ]
+    )
 
     def distance(c: Column) -> Column:
         dot = F.aggregate(
@@ -169,13 +181,12 @@ def elbow_k(curve: DataFrame) -> DataFrame:
 
 def cluster_profile(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
     """(cluster, column, size, percentage, mean, std) of the raw features."""
-    aggs, fields = [F.count("*").alias("size")], {}
-    for i, c in enumerate(features):
-        x = as_double(df, c)
-        aggs += [F.avg(x).alias(f"m_{i}"), sample_std(x).alias(f"s_{i}")]
-        fields[c] = {"size": "size", "mean": f"m_{i}", "std": f"s_{i}"}
     total = df.agg(F.count("*")).scalar()
-    out = tidy(df.groupBy(cluster).agg(*aggs), fields, [cluster])
+    x = F.col("x")
+    pairs = long_form(df, {c: as_double(df, c) for c in features}, [cluster], keep_null=True)
+    out = pairs.groupBy(cluster, "column").agg(
+        F.count("*").alias("size"), F.avg(x).alias("mean"), sample_std(x).alias("std")
+    )
     return out.withColumn("percentage", percent(F.col("size"), total))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import tidy
+from ledgerlens.functions.stats import every_column, long_form, tidy
 from ledgerlens.roles import as_double, numeric_cols
 
 WIDE_PAIRS = 60
@@ -42,8 +42,8 @@ def _pairs_by_aggregate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _block_moments(size: int):
     """Arrow task: co-moments of all pairs in a partition, one row per pair.
 
-    Sums are taken about the first complete value of each column, so they do not
-    cancel when a column is far from zero.
+    Sums of a batch are taken about its column means and merged pairwise, so they do
+    not cancel when a column is far from zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,8 +60,8 @@ def _block_moments(size: int):
             known = ~np.isnan(block)
             mask = known.astype(float)
             m = mask.T @ mask
-            with np.errstate(invalid="ignore"):
-                shift = np.nan_to_num(np.nanmean(np.where(known, block, np.nan), axis=0)) if known.any() else np.zeros(size)
+            filled = np.where(known, block, 0.0)
+            shift = filled.sum(axis=0) / np.maximum(mask.sum(axis=0), 1.0)
             z = np.where(known, block - shift, 0.0)
             s = z.T @ mask
             safe = np.maximum(m, 1.0)
@@ -95,8 +95,7 @@ def _pairs_by_blocks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Many pairs: partial co-moment matrices per task, merged per pair."""
     schema = "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double"
     parts = _indexed(df, cols).mapInArrow(_block_moments(len(cols)), schema)
-    # Merge about the weighted mean: collect the few partials of a pair is avoided by
-    # sums about a common origin, the column means of all rows.
+    # partials are moved to a common origin, the column means of all rows, and added
     means = df.agg(*[F.avg(as_double(df, c)).alias(f"m_{k}") for k, c in enumerate(cols)])
     origin = means.select(F.array(*[F.col(f"m_{k}") for k in range(len(cols))])).scalar()
     dx = F.col("mx") - F.get(origin, F.col("i"))
@@ -190,20 +189,13 @@ def feature_pairs(
 def target_correlation(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> DataFrame:
     """(variable, r) of every other column with the label."""
     cols = [c for c in (cols if cols is not None else numeric_cols(df)) if c != label]
-    y, aggs, fields = F.col("y"), [], {}
-    base = df.select(
-        as_double(df, label).alias("y"),
-        *[as_double(df, c).alias(f"x_{i}") for i, c in enumerate(cols)],
-    )
-    for i, c in enumerate(cols):
-        x = F.col(f"x_{i}")
-        aggs += [
-            F.covar_pop(x, y).alias(f"c_{i}"),
-            F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"a_{i}"),
-            F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"b_{i}"),
-        ]
-        fields[c] = {"r": F.try_divide(F.col(f"c_{i}"), F.col(f"a_{i}") * F.col(f"b_{i}"))}
-    return tidy(base.agg(*aggs), fields).withColumnRenamed("column", "variable")
+    exprs = {c: as_double(df, c) for c in cols}
+    base = df.withColumn("_y", as_double(df, label))
+    pairs = long_form(base, exprs, ["_y"]).where(F.col("_y").isNotNull())
+    spread = F.stddev_pop("x") * F.stddev_pop("_y")
+    r = F.try_divide(F.covar_pop("x", "_y"), spread)
+    found = every_column(pairs.groupBy("column").agg(r.alias("r")), cols)
+    return found.withColumnRenamed("column", "variable")
 
 
 def target_top(

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerlens.functions.stats import (
+    WIDE_COLUMNS,
+    every_column,
     long_form,
     percent,
     sample_kurtosis,
@@ -28,7 +30,11 @@ _NUMPY_NAMES = {
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """count, mean, std, min, max, skewness, kurtosis per column: one map-side aggregate."""
+    """count, mean, std, min, max, skewness, kurtosis per column in one pass.
+
+    A few columns are one wide aggregate; many are grouped by column name, which keeps
+    the generated code small.  Both combine map-side.
+    """
     cols = list(cols if cols is not None else numeric_cols(df, by))
     makers = {
         "count": F.count,
@@ -39,7 +45,15 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
         "skewness": sample_skewness,
         "kurtosis": sample_kurtosis,
     }
-    base = df.select(*by, *[as_double(df, c).alias(f"x_{i}") for i, c in enumerate(cols)])
+    exprs = {c: as_double(df, c) for c in cols}
+    if len(cols) > WIDE_COLUMNS:
+        pairs = long_form(df, exprs, by, keep_null=True)
+        aggs = [make(F.col("x")).alias(k) for k, make in makers.items()]
+        found = pairs.groupBy(*by, "column").agg(*aggs)
+        if by:
+            return found
+        return every_column(found, cols).withColumn("count", F.coalesce("count", F.lit(0)))
+    base = df.select(*by, *[e.alias(f"x_{i}") for i, e in enumerate(exprs.values())])
     aggs, fields = [], {}
     for i, c in enumerate(cols):
         aggs += [make(F.col(f"x_{i}")).alias(f"{k}_{i}") for k, make in makers.items()]

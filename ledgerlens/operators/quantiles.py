@@ -23,7 +23,7 @@ from ledgerlens.functions.stats import long_form
 from ledgerlens.operators.ordered import ordered_quantiles
 from ledgerlens.roles import as_double
 
-MAX_DISTINCT = 1_000_000  # values that one task may hold over all columns of a group
+MAX_DISTINCT = 200_000  # values of one column and group that a task may hold
 MAX_INSIDE = 250_000
 MAX_GROUPS = 64
 ACCURACY = 10_000
@@ -49,32 +49,26 @@ def quantiles(
     exprs = expressions(df, cols)
     names = list(exprs)
     keys = list(by)
-    base = df.select(*keys, *[e.alias(f"x_{i}") for i, e in enumerate(exprs.values())])
+    pairs = long_form(df, exprs, keys)
     if method == "auto":
-        picked = _choose(base, names, keys)
-        if len(set(picked.values())) > 1:
-            parts = []
-            for m in dict.fromkeys(picked.values()):
-                part = {c: exprs[c] for c in names if picked[c] == m}
-                parts.append(quantiles(df, part, probs, keys, m))
-            return parts[0].unionByName(parts[1])
-        method = picked[names[0]]
+        picked = _choose(pairs, names, keys)
+        parts = [
+            quantiles(df, {c: exprs[c] for c in names if picked[c] == m}, probs, keys, m)
+            for m in dict.fromkeys(picked.values())
+        ]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     if method == "builtin":
-        aggs = [F.percentile(f"x_{i}", _array(probs)) for i in range(len(names))]
+        found = F.percentile("x", _array(probs))
     elif method == "approx":
-        aggs = [F.percentile_approx(f"x_{i}", list(probs), ACCURACY) for i in range(len(names))]
+        found = F.percentile_approx("x", list(probs), ACCURACY)
     elif method == "select":
+        base = df.select(*keys, *[e.alias(f"x_{i}") for i, e in enumerate(exprs.values())])
         return _select(base, names, list(probs), keys)
     elif method == "ordered":
-        pairs = long_form(df, exprs, keys)
         return ordered_quantiles(pairs, F.col("x"), probs, [*keys, "column"])
     else:
         raise ValueError(f"unknown quantile method {method!r}")
-    wide = base.groupBy(*keys).agg(*[a.alias(f"q_{i}") for i, a in enumerate(aggs)])
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.col(f"q_{i}").alias("q")) for i, c in enumerate(names)
-    ]
-    return wide.select(*keys, F.inline(F.array(*rows)))
+    return pairs.groupBy(*keys, "column").agg(found.alias("q"))
 
 
 def quantile_values(
@@ -82,25 +76,23 @@ def quantile_values(
     method: str = "auto",
 ) -> dict[str, list[float | None]]:
     """Collected quantiles per column: len(cols) × len(probs) numbers."""
+    names = list(cols)
     rows = quantiles(df, cols, probs, method=method).collect()
-    return {r["column"]: list(r["q"]) if r["q"] else [None] * len(probs) for r in rows}
+    return dict.fromkeys(names, [None] * len(probs)) | {r["column"]: list(r["q"]) for r in rows}
 
 
 def _array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _choose(base: DataFrame, names: list[str], keys: list[str]) -> dict[str, str]:
-    """Method per column: the smallest columns go to ``builtin`` while they fit one task."""
-    distinct = [F.approx_count_distinct(f"x_{i}").alias(f"d_{i}") for i in range(len(names))]
-    most = [F.max(f"d_{i}").alias(f"d_{i}") for i in range(len(names))]
-    row = base.groupBy(*keys).agg(*distinct).agg(F.count("*").alias("groups"), *most).head()
-    wide = "select" if row.groups <= MAX_GROUPS else "ordered"
-    picked, room = dict.fromkeys(names, wide), MAX_DISTINCT
-    for size, c in sorted((row[f"d_{i}"] or 0, c) for i, c in enumerate(names)):
-        room -= size
-        if room >= 0:
-            picked[c] = "builtin"
+def _choose(pairs: DataFrame, names: list[str], keys: list[str]) -> dict[str, str]:
+    """``builtin`` for columns whose distinct values fit one task in every group."""
+    sizes = pairs.groupBy(*keys, "column").agg(F.approx_count_distinct("x").alias("d"))
+    rows = sizes.groupBy("column").agg(F.max("d").alias("d"), F.count("*").alias("groups"))
+    picked = dict.fromkeys(names, "builtin")
+    for row in rows.collect():  # one row per column
+        if row.d > MAX_DISTINCT:
+            picked[row["column"]] = "select" if row.groups <= MAX_GROUPS else "ordered"
     return picked
 
 
@@ -246,34 +238,26 @@ def _narrow(base, targets, limits, width: int, depth: int, keys: list[str]) -> N
 def _pick(base, targets, width: int, depth: int, keys: list[str]) -> dict[tuple, float]:
     """Read the order statistics out of the bracketed values."""
     ready = _with_brackets(base, targets, width, depth, keys)
-    hits = []
+    hits, any_hit = [], F.lit(False)
     for i in range(width):
         x = F.col(f"x_{i}")
         for j in range(depth):
             held = x.between(F.get(f"low_{i}", j), F.get(f"high_{i}", j))
+            any_hit = any_hit | F.coalesce(held, F.lit(False))
             hits.append(
                 F.when(held, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x.alias("x")))
             )
     counts = (
-        ready.select(*keys, F.inline(F.array_compact(F.array(*hits))))
+        ready.where(any_hit)
+        .select(*keys, F.inline(F.array_compact(F.array(*hits))))
         .groupBy(*keys, "i", "j", "x")
         .agg(F.count("*").alias("n"))
     )
-    ranks = [(*t.group, t.col, j, t.k0 - t.below, t.k1 - t.below)
-             for ts in targets.values() for j, t in enumerate(ts)]
-    names = [f"key_{k}" for k in range(len(keys))]
-    schema = base.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).schema
-    schema = schema.add("ti", T.IntegerType()).add("tj", T.IntegerType())
-    schema = schema.add("k0", T.LongType()).add("k1", T.LongType())
-    table = base.sparkSession.createDataFrame(ranks, schema)
-    on = (F.col("i") == F.col("ti")) & (F.col("j") == F.col("tj"))
-    for k, n in zip(keys, names, strict=True):
-        on = on & F.col(k).eqNullSafe(F.col(n))
+    counts = _with_ranks(counts, base, targets, width, depth, keys)
     # each (group, i, j) holds at most MAX_INSIDE values
     running = F.sum("n").over(Window.partitionBy(*keys, "i", "j").orderBy("x"))
     picked = (
         counts.withColumn("cum", running)
-        .join(F.broadcast(table), on)
         .groupBy(*keys, "i", "j")
         .agg(
             F.min(F.when(F.col("cum") > F.col("k0"), F.col("x"))).alias("v0"),
@@ -286,3 +270,29 @@ def _pick(base, targets, width: int, depth: int, keys: list[str]) -> dict[tuple,
         t = targets[(group, row.i)][row.j]
         out[(group, row.i, row.j)] = row.v0 + (row.v1 - row.v0) * t.share
     return out
+
+
+def _with_ranks(counts, base, targets, width: int, depth: int, keys: list[str]) -> DataFrame:
+    """Attach k0, k1, the wanted ranks inside the bracket of each target."""
+    if not keys:
+        flat = [targets[((), i)] or [None] * depth for i in range(width)]
+        at = F.col("i") * depth + F.col("j")
+        for name in ("k0", "k1"):
+            ranks = [F.lit(getattr(t, name) - t.below if t else None) for ts in flat for t in ts]
+            counts = counts.withColumn(name, F.get(F.array(*ranks), at).cast("bigint"))
+        return counts
+    rows = [
+        (*t.group, t.col, j, t.k0 - t.below, t.k1 - t.below)
+        for ts in targets.values()
+        for j, t in enumerate(ts)
+    ]
+    names = [f"key_{k}" for k in range(len(keys))]
+    schema = base.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).schema
+    schema = schema.add("ti", T.IntegerType()).add("tj", T.IntegerType())
+    schema = schema.add("k0", T.LongType()).add("k1", T.LongType())
+    table = base.sparkSession.createDataFrame(rows, schema)
+    on = (F.col("i") == F.col("ti")) & (F.col("j") == F.col("tj"))
+    for k, n in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    # groups × columns × quantiles rows
+    return counts.join(F.broadcast(table), on).drop(*names, "ti", "tj")

@@ -7,12 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.stats import long_form, tidy
+from ledgerlens.functions.stats import long_form
 from ledgerlens.functions.tails import kolmogorov_p, normal_p, student_p
 from ledgerlens.operators.classes import labelled
 from ledgerlens.operators.ordered import ordered_sums
 from ledgerlens.operators.quantiles import expressions
-from ledgerlens.roles import as_double
 
 ALPHA = 0.05
 
@@ -75,20 +74,18 @@ def t_test_by_class(
     ``limit`` keeps the first columns of the list, as a report of ten features does.
     """
     cols = list(cols)[:limit] if limit else list(cols)
-    aggs, fields = [], {}
-    for i, c in enumerate(cols):
-        for k in (1, 0):
-            x = F.when(F.col(label) == k, as_double(df, c))
-            aggs += [
-                F.count(x).cast("double").alias(f"n{k}_{i}"),
-                F.avg(x).alias(f"m{k}_{i}"),
-                F.when(F.count(x) >= 2, F.var_samp(x)).alias(f"v{k}_{i}"),
-            ]
-        fields[c] = {
-            "position": F.lit(i),
-            **{f"{s}{k}": f"{s}{k}_{i}" for s in "nmv" for k in (1, 0)},
-        }
-    row = tidy(df.agg(*aggs), fields)
+    names = F.array(*[F.lit(c) for c in cols])
+    aggs = []
+    for k in (1, 0):
+        x = F.when(F.col(label) == k, F.col("x"))
+        aggs += [
+            F.count(x).cast("double").alias(f"n{k}"),
+            F.avg(x).alias(f"m{k}"),
+            F.when(F.count(x) >= 2, F.var_samp(x)).alias(f"v{k}"),
+        ]
+    pairs = long_form(labelled(df, label), expressions(df, cols), [label])
+    row = pairs.groupBy("column").agg(*aggs)
+    row = row.withColumn("position", F.array_position(names, F.col("column")).cast("int") - 1)
     n1, n0 = F.col("n1"), F.col("n0")
     freedom = n1 + n0 - 2
     pooled = F.try_divide((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0"), freedom)
