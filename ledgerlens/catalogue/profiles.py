@@ -97,7 +97,7 @@ def percentiles_ordered(spark, sf_dir):
     ) + f", {r(f'100.0 * (count(*) - count({c})) / count(*)', 7)} AS missing_percentage FROM feat"
     for c in FEATURES), FEAT))
 def numeric_profile_query(spark, sf_dir):
-    return rounded(numeric_profile(feat(spark, sf_dir), FEATURES).drop("approx_distinct"), 7)
+    return rounded(numeric_profile(feat(spark, sf_dir), FEATURES), 7)
 
 
 @register("variability", with_views(union_all(

@@ -12,31 +12,26 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.stats import every_column, long_form, tidy
 from ledgerlens.roles import as_double, numeric_cols
 
-WIDE_PAIRS = 60
+FEW_PAIRS = 15
 
 
 def _indexed(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(*[as_double(df, c).alias(f"x_{i}") for i, c in enumerate(cols)])
 
 
-def _pairs_by_aggregate(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Few pairs: one JVM aggregate of covariance and pair-complete deviations."""
-    aggs, fields = [], {}
-    for i in range(len(cols)):
-        for j in range(i + 1, len(cols)):
-            x, y, tag = F.col(f"x_{i}"), F.col(f"x_{j}"), f"{i}_{j}"
-            aggs += [
-                F.covar_pop(x, y).alias(f"c_{tag}"),
-                F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"a_{tag}"),
-                F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"b_{tag}"),
-                F.count_if(x.isNotNull() & y.isNotNull()).alias(f"n_{tag}"),
-            ]
-            spread = F.col(f"a_{tag}") * F.col(f"b_{tag}")
-            fields[tag] = {
-                "i": F.lit(i), "j": F.lit(j), "n": f"n_{tag}",
-                "r": F.try_divide(F.col(f"c_{tag}"), spread),
-            }
-    return tidy(_indexed(df, cols).agg(*aggs), fields).drop("column")
+def _pairs_by_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Few pairs: every row gives its complete pairs to one grouped JVM aggregate."""
+    pairs = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"),
+            F.col(f"x_{i}").alias("x"), F.col(f"x_{j}").alias("y"),
+        )
+        for i in range(len(cols)) for j in range(i + 1, len(cols))
+    ]
+    rows = _indexed(df, cols).select(F.inline(F.array(*pairs)))
+    complete = rows.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
+    return complete.groupBy("i", "j").agg(F.count("*").alias("n"), r.alias("r"))
 
 
 def _block_moments(size: int):
@@ -127,13 +122,20 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     cols = list(cols if cols is not None else numeric_cols(df))
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    few = len(cols) * (len(cols) - 1) // 2 <= WIDE_PAIRS
-    pairs = _pairs_by_aggregate(df, cols) if few else _pairs_by_blocks(df, cols)
-    names = F.array(*[F.lit(c) for c in cols])
-    return pairs.select(
-        "i", "j", F.get(names, F.col("i")).alias("var1"), F.get(names, F.col("j")).alias("var2"),
-        "n", "r",
-    )
+    few = len(cols) * (len(cols) - 1) // 2 <= FEW_PAIRS
+    pairs = _pairs_by_rows(df, cols) if few else _pairs_by_blocks(df, cols)
+    # pairs without a common row are listed too
+    size, names = len(cols), F.array(*[F.lit(c) for c in cols])
+    cells = df.sparkSession.range(size * size).select(
+        F.floor(F.col("id") / size).cast("int").alias("i"), (F.col("id") % size).cast("int").alias("j")
+    )
+    listed = cells.where("i < j").select(
+        "i", "j", F.get(names, F.col("i")).alias("var1"), F.get(names, F.col("j")).alias("var2")
+    )
+    # one row per pair on either side
+    return listed.join(F.broadcast(pairs), ["i", "j"], "left").select(
+        "i", "j", "var1", "var2", F.coalesce("n", F.lit(0)).alias("n"), "r"
+    )
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -16,28 +16,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 2_000
-
-
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Join condition on ``keys`` in which NULL equals NULL."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+MAX_BUCKETS = 10_000
 
 
 def _split_points(base: DataFrame) -> list[float]:
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
+    """Values that cut x into even parts: at least one per task, more for more rows."""
+    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(MAX_BUCKETS, max(64, 4 * tasks))
+    grid = [i / parts for i in range(1, parts)]
     row = base.agg(
-        F.count("x").alias("n"), F.percentile_approx("x", grid, 10 * MAX_BUCKETS).alias("q")
+        F.count("x").alias("n"), F.percentile_approx("x", grid, max(1000, 10 * parts)).alias("q")
     ).head()
     points = sorted(set(row.q or []))
-    spark = base.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_BUCKETS, max(tasks, row.n // ROWS_PER_BUCKET))
-    step = max(1, len(points) // wanted)
-    return points[::step]
+    wanted = min(parts, max(tasks, row.n // ROWS_PER_BUCKET))
+    return points[:: max(1, len(points) // wanted)]
 
 
 def _bucketed(counts: DataFrame, points: Sequence[float]) -> DataFrame:

@@ -61,7 +61,7 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None, by: Sequence[str]
     return tidy(base.groupBy(*by).agg(*aggs), fields, by)
 
 
-def _with_quantiles(
+def with_quantiles(
     stats: DataFrame, q: DataFrame, names: Sequence[str], by: Sequence[str]
 ) -> DataFrame:
     """Add quantile columns to a (by…, column) table; both sides have one row per pair."""
@@ -83,7 +83,7 @@ def numeric_summary(
     """The describe table plus skewness and kurtosis, one row per (by…, column)."""
     cols = list(cols if cols is not None else numeric_cols(df, by))
     q = quantiles(df, cols, (0.25, 0.5, 0.75), by, method)
-    out = _with_quantiles(moments(df, cols, by), q, ("q1", "median", "q3"), by)
+    out = with_quantiles(moments(df, cols, by), q, ("q1", "median", "q3"), by)
     order = ("count", "mean", "std", "min", "q1", "median", "q3", "max", "skewness", "kurtosis")
     return out.select(*by, "column", *order)
 

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.classes import labelled
 from ledgerlens.operators.ordered import ordered_quantiles, ordered_sums
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.operators.classes import labelled
 from ledgerlens.operators.two_sample import ks_two_sample
 from ledgerlens.roles import as_double
+from ledgerlens.session import materialise
 
 HOUR, DAY = 3600, 86400
 
@@ -29,9 +30,12 @@ def time_gaps(df: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def gap_stats(df: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
-    """mean, median, std, min, max gap and gaps over an hour and a day."""
+    """mean, median, std, min, max gap and gaps over an hour and a day.
+
+    The gap table costs a sort and is read three times, so it is written once.
+    """
     keys = list(by)
-    gaps = time_gaps(df, time, keys)
+    gaps = materialise(time_gaps(df, time, keys))
     moved = F.col("gap")
     n = F.sum("rows").cast("double")
     stats = gaps.groupBy(*keys).agg(

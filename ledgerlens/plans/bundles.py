@@ -64,24 +64,15 @@ def profile_bundle(
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One tidy row per numeric column: describe, tails, missing and distinct counts."""
+    """One tidy row per numeric column: describe table, tails and missing share."""
     cols = list(cols if cols is not None else numeric_cols(df))
     probs = (0.25, 0.5, 0.75, *profile.PERCENTILES)
     names = ("q1", "median", "q3", "p1", "p5", "p10", "p90", "p95", "p99")
-    aggs, fields = [F.count("*").alias("rows")], {}
-    base = df.select(*[as_double(df, c).alias(f"x_{i}") for i, c in enumerate(cols)])
-    for i, c in enumerate(cols):
-        x = F.col(f"x_{i}")
-        exprs = {
-            "count": F.count(x), "mean": F.avg(x), "std": profile.sample_std(x), "min": F.min(x),
-            "max": F.max(x), "skewness": profile.sample_skewness(x),
-            "kurtosis": profile.sample_kurtosis(x), "approx_distinct": F.approx_count_distinct(x),
-        }
-        aggs += [e.alias(f"{k}_{i}") for k, e in exprs.items()]
-        fields[c] = {k: f"{k}_{i}" for k in exprs}
-        fields[c]["missing_percentage"] = percent(F.col("rows") - F.col(f"count_{i}"), F.col("rows"))
-    stats = tidy(base.agg(*aggs), fields)
-    return profile._with_quantiles(stats, profile.quantiles(df, cols, probs), names, ())
+    rows = df.agg(F.count("*")).scalar()
+    stats = profile.moments(df, cols).withColumn(
+        "missing_percentage", percent(rows - F.col("count"), rows)
+    )
+    return profile.with_quantiles(stats, profile.quantiles(df, cols, probs), names, ())
 
 
 def analyse_patterns(
