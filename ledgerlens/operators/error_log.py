@@ -203,10 +203,15 @@ def error_statistics(log: DataFrame, now: Column, timestamp: str = "timestamp")
     """(metric, key, value): total, by category, by severity, last hour, retry-capable."""
     recent = F.count_if(F.col(timestamp) > now - F.expr("INTERVAL 1 HOUR"))
     c, s = F.col("category"), F.col("severity")
-    sets = log.groupingSets([[], [c], [s]], c, s).agg(
+    # one small row per (category, severity) before the grouping sets multiply rows
+    counts = log.groupBy(c, s).agg(
         F.count("*").alias("n"),
         recent.alias("recent"),
         F.count_if(F.col("retry_possible")).alias("retry"),
+    )
+    total = {k: F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n", "recent", "retry")}
+    sets = counts.groupingSets([[], [c], [s]], c, s).agg(
+        *total.values(),
         F.grouping("category").alias("no_category"),
         F.grouping("severity").alias("no_severity"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import long_form, tidy
+from ledgerlens.operators.lookup import few_groups, lookup_join
 from ledgerlens.operators.quantiles import expressions
 from ledgerlens.roles import numeric_cols
 
@@ -64,15 +65,12 @@ def histogram(
     lookup = edges.select(
         *[F.col(k).alias(f"e_{k}") for k in keys], F.col("column").alias("e_column"), "low", "high"
     )
-    if not keys:  # one row per column
-        lookup = F.broadcast(lookup)
-    on = F.col("column") == F.col("e_column")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    placed = lookup_join(
+        long_form(df, exprs, keys), lookup, [(k, f"e_{k}") for k in keys],
+        few_groups(df, keys), F.col("column") == F.col("e_column"),
+    )
     counts = (
-        long_form(df, exprs, keys)
-        .join(lookup, on)
-        .groupBy(*keys, "column", bin_index(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin"))
+        placed.groupBy(*keys, "column", bin_index(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin"))
         .agg(F.count("*").alias("count"))
         .select(
             *[F.col(k).alias(f"c_{k}") for k in keys],
@@ -100,13 +98,15 @@ def grid_counts(df: DataFrame, x: str, y: str, bins: int = 50, by: Sequence[str]
     exprs = expressions(df, [x, y])
     base = df.select(*by, *[e.alias(a) for e, a in zip(exprs.values(), "xy", strict=True)])
     base = base.where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    span = F.struct(*[f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("a", F.min), ("b", F.max))])
-    limits = base.agg(span).scalar()
+    limits = base.agg(*[f(c).alias(f"{k}{c}") for c in "xy" for k, f in (("a", F.min), ("b", F.max))])
+    limits = limits.head()
 
     def cell(c: str) -> Column:
         low, high = limits[f"a{c}"], limits[f"b{c}"]
-        half = F.when(low == high, F.lit(0.5)).otherwise(F.lit(0.0))
-        return bin_index(F.col(c), low - half, high + half, bins)
+        half = 0.5 if low == high else 0.0
+        if low is None:
+            return F.lit(None).cast("int")
+        return bin_index(F.col(c), F.lit(low - half), F.lit(high + half), bins)
 
     placed = base.select(*by, cell("x").alias("bin_x"), cell("y").alias("bin_y"))
     return placed.groupBy(*by, "bin_x", "bin_y").agg(F.count("*").alias("count"))

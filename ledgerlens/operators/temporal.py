@@ -103,18 +103,17 @@ def duration(df: DataFrame, time: str) -> DataFrame:
 
 def _equal_width(df: DataFrame, value: Column, bins: int) -> Column:
     """Right-closed equal-width cut of min..max; a value on an edge goes left."""
-    limits = df.agg(F.struct(F.min(value).alias("a"), F.max(value).alias("b"))).scalar()
-    low, high = limits["a"], limits["b"]
-    step = (high - low) / F.lit(float(bins))
-    guess = F.ceil(F.try_divide((value - low) * F.lit(float(bins)), high - low)) - 1
+    low, high = df.agg(F.min(value), F.max(value)).head()
+    if low is None or low == high:
+        return F.lit(bins // 2 - 1)  # a constant sits on the middle edge
+    step = (high - low) / bins
+    guess = F.ceil((value - low) * F.lit(float(bins)) / F.lit(high - low)) - 1
     guess = F.least(F.greatest(guess, F.lit(0)), F.lit(bins - 1))
-    placed = (
+    return (
         F.when((guess > 0) & (value <= guess * step + low), guess - 1)
         .when((guess < bins - 1) & (value > (guess + 1) * step + low), guess + 1)
         .otherwise(guess)
     )
-    middle = F.lit(bins // 2 - 1)  # a constant sits on the middle edge
-    return F.when(high == low, middle).otherwise(placed)
 
 
 def _cycle(df: DataFrame, value: Column, bins: int, name: str, mode: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from ledgerlens.functions.stats import percent, tidy
 from ledgerlens.operators import classes, clustering, correlation, outliers, profile, temporal
 from ledgerlens.operators.histogram import histogram
+from ledgerlens.operators.lookup import few_groups, lookup_join
 from ledgerlens.operators.sampling import sampling_info
 from ledgerlens.operators.two_sample import (
     ks_two_sample,
@@ -76,8 +77,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def analyse_patterns(
-    df: DataFrame, roles: Roles, n_init: int = 10, sample_limit: int = 50_000
-) -> dict[str, DataFrame]:
+    df: DataFrame, roles: Roles, n_init: int = 10, sample_limit: int = 50_000, max_k: int = 10,
+) -> dict[str, DataFrame]:
     """Every pattern module the roles allow, over all rows."""
     cols = numeric_cols(df)
     out = {"dataset_info": sampling_info(df, sample_limit)}
@@ -95,7 +96,7 @@ def analyse_patterns(
     if roles.label:
         out["outlier_label_rate"] = outliers.outlier_label_rate(df, roles.label, cols)
     if len(roles.features) > 1:
-        found = clustering.analyse_clusters(df, roles.features, n_init)
+        found = clustering.analyse_clusters(df, roles.features, n_init, max_k=max_k)
         if found.reason is None:
             out["elbow"] = found.curve
             out["optimal_clustering"] = found.summary
@@ -184,7 +185,7 @@ def segment_profile(
     """Summary, fence outliers and label correlation per segment and column.
 
     Skewed segments are safe: moments combine map-side, quantiles choose a bounded
-    method, and the fences join back on the segment.
+    method, and the fences join back broadcast or salted.
     """
     keys = list(by)
     cols = list(cols if cols is not None else numeric_cols(df, [*keys, label] if label else keys))
@@ -194,11 +195,8 @@ def segment_profile(
             F.collect_list(F.struct("column", F.struct("q1", "q3").alias("q")))
         ).alias("q")
     )  # one entry per column
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    # df may be far larger than the table of segments; Spark picks by measured size
-    joined = df.join(bounds, on)
+    small = few_groups(df, keys)
+    joined = lookup_join(df, bounds, [(k, f"b_{k}") for k in keys], small)
     aggs, fields = [], {}
     y = as_double(df, label) if label else None
     for i, c in enumerate(cols):

@@ -9,7 +9,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.window import Window
 
 from ledgerlens.functions.stats import tidy
 from ledgerlens.roles import as_double
@@ -44,13 +43,14 @@ def partial_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def merge_partials(parts: DataFrame) -> DataFrame:
     """Exact merge of the moments of any number of partials per column."""
-    total = Window.partitionBy("column")
-    mean = F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0))).over(total)
-    centre = F.try_divide(mean, F.sum("n").over(total))
+    weighted = F.sum(F.col("n") * F.coalesce("mean", F.lit(0.0)))
+    centre = parts.groupBy(F.col("column").alias("of")).agg(
+        F.try_divide(weighted, F.sum("n")).alias("centre")
+    )
     d = F.coalesce(F.col("mean") - F.col("centre"), F.lit(0.0))
     n = F.col("n").cast("double")
     return (
-        parts.withColumn("centre", centre)
+        parts.join(F.broadcast(centre), F.col("column") == F.col("of"))  # a row per column
         .groupBy("column")
         .agg(
             F.sum("n").alias("n"),
