@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.catalogue.logs import _runs
+from ledgerlens.catalogue.logs import ERROR_STATISTICS, _log, _runs
 from ledgerlens.catalogue.registry import DOC, FEAT, FEATURES, doc, feat, r, register, rounded, table, union_all, with_views
-from ledgerlens.operators import profile
+from ledgerlens.operators import error_log, profile
 from ledgerlens.operators.runs import throughput
 from ledgerlens.session import scratch_path
 from ledgerlens.sources import files
@@ -113,6 +113,15 @@ FROM events GROUP BY event_type""")
 def write_metrics(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     files.write_metrics(throughput(_runs(spark, sf_dir)), path)
-    back = spark.read.schema("operation_name string, duration_seconds double, rows_processed bigint").json(path)
+    back = files.read_run_metrics(spark, path)
     return rounded(back.groupBy("operation_name").agg(
         F.count("*").alias("rows"), F.sum("duration_seconds").alias("seconds"), F.sum("rows_processed").alias("processed")), 4)
+
+
+@register("error_log_file", ERROR_STATISTICS)
+def error_log_file(spark, sf_dir):
+    """Statistics of a log written as JSON lines and read back."""
+    path = scratch_path(spark, "errors")
+    files.write_json(error_log.enrich_errors(_log(spark, sf_dir)), path)
+    log = files.read_error_log(spark, path)
+    return error_log.error_statistics(log, log.agg(F.max("timestamp")).scalar())

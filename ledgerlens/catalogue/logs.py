@@ -101,12 +101,15 @@ def retry_possible(spark, sf_dir):
     return found.select("event_id", "retry_possible")
 
 
-@register("error_statistics", _errors_sql(f"""
+ERROR_STATISTICS = _errors_sql(f"""
 SELECT 'total_errors' AS metric, NULL AS key, count(*) AS value FROM errors
 UNION ALL SELECT 'recent_errors_1h', NULL, count(*) FROM errors WHERE timestamp > (SELECT max(timestamp) FROM errors) - INTERVAL 1 HOUR
 UNION ALL SELECT 'retry_capable_errors', NULL, count(*) FROM errors WHERE {_RETRY}
 UNION ALL SELECT 'by_category', category, count(*) FROM errors GROUP BY category
-UNION ALL SELECT 'by_severity', severity, count(*) FROM errors GROUP BY severity"""))
+UNION ALL SELECT 'by_severity', severity, count(*) FROM errors GROUP BY severity""")
+
+
+@register("error_statistics", ERROR_STATISTICS)
 def error_statistics(spark, sf_dir):
     log = error_log.enrich_errors(_log(spark, sf_dir))
     return error_log.error_statistics(log, log.agg(F.max("timestamp")).scalar())

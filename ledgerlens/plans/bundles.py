@@ -21,6 +21,7 @@ from ledgerlens.operators.two_sample import (
     t_test_by_class,
 )
 from ledgerlens.roles import Roles, as_double, numeric_cols
+from ledgerlens.session import materialise
 from ledgerlens.sources.files import dataset_info
 
 
@@ -189,7 +190,8 @@ def segment_profile(
     """
     keys = list(by)
     cols = list(cols if cols is not None else numeric_cols(df, [*keys, label] if label else keys))
-    summary = profile.numeric_summary(df, cols, keys, method)
+    # one row per segment and column, read twice below
+    summary = materialise(profile.numeric_summary(df, cols, keys, method))
     bounds = summary.groupBy(*[F.col(k).alias(f"b_{k}") for k in keys]).agg(
         F.map_from_entries(
             F.collect_list(F.struct("column", F.struct("q1", "q3").alias("q")))

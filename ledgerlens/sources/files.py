@@ -14,6 +14,20 @@ MAX_FILE_MB = 150.0
 CORRUPT = "_corrupt_record"
 
 
+# Fields of an error-log line and of an exported run-metric line.
+ERROR_LOG_SCHEMA = (
+    "error_id string, timestamp timestamp_ntz, category string, severity string, "
+    "message string, user_message string, "
+    "context struct<operation: string, component: string, request_id: string>, "
+    "retry_possible boolean"
+)
+RUN_METRICS_SCHEMA = (
+    "operation_name string, start_time timestamp_ntz, duration_seconds double, "
+    "memory_delta_mb double, cache_hit boolean, rows_processed bigint, "
+    "throughput_rows_per_sec double, metadata map<string, string>"
+)
+
+
 def transaction_schema(features: int = 28) -> T.StructType:
     """Time, V1 …, Amount, Class."""
     schema = T.StructType().add("Time", T.DoubleType())
@@ -38,6 +52,16 @@ def read_table(
     return normalise_missing(reader.csv(path))
 
 
+def read_error_log(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines error log."""
+    return spark.read.schema(ERROR_LOG_SCHEMA).json(path)
+
+
+def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """JSON-lines run metrics."""
+    return spark.read.schema(RUN_METRICS_SCHEMA).json(path)
+
+
 def csv_quality(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
     max_file_mb: float = MAX_FILE_MB, header: bool = True,

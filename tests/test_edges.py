@@ -14,6 +14,7 @@ from ledgerlens.operators import (
     clustering,
     correlation,
     error_log,
+    lookup,
     outliers,
     profile,
     responses,
@@ -413,6 +414,21 @@ def test_segments_with_null_key(spark):
     assert found[None].mean == 2.0 and math.isclose(found[None].label_r, 1.0) and found["a"].label_r is None
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_salted_lookups_change_nothing(spark, monkeypatch, few):
+    monkeypatch.setattr(lookup, "FEW_GROUPS", few)
+    rows = [(None if i % 5 == 0 else f"k{i % 3 if i % 2 else 0}", float(i % 17), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, x double, y int").repartition(9)
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for row in segment_profile(df, ["g"], ["x"], "y").collect():
+        x = pdf.x[pdf.g.isna() if row.g is None else pdf.g == row.g]
+        assert row["count"] == len(x) and math.isclose(row.median, x.median())
+    counted = histogram(df, ["x"], 4, ["g"]).groupBy("g").agg(F.sum("count").alias("n")).collect()
+    assert sum(r.n for r in counted) == 400
+    for r in counted:
+        assert r.n == (pdf.g.isna() if r.g is None else pdf.g == r.g).sum()
+
+
 def test_partials_merge_to_the_whole(spark):
     rng = np.random.default_rng(9)
     x = np.exp(rng.normal(size=900))
