@@ -44,9 +44,9 @@ def numeric_summary_with_missing(spark, sf_dir):
     return rounded(profile.numeric_summary(doc(spark, sf_dir), ["n_chars", "quality", "toxic"]))
 
 
-@register("describe_time_amount", with_views(summary_sql("tx", ["time", "amount"], digits=6), TX))
+@register("describe_time_amount", with_views(summary_sql("tx", ["time", "amount"], digits=7), TX))
 def describe_time_amount(spark, sf_dir):
-    return rounded(profile.numeric_summary(tx(spark, sf_dir), ["time", "amount"]), 6)
+    return rounded(profile.numeric_summary(tx(spark, sf_dir), ["time", "amount"]), 7)
 
 
 @register("moments_embeddings", with_views(union_all(
@@ -315,9 +315,9 @@ def histogram_sql(source: str, cols, bins: int, by: str = "", where: str = "", s
         own = f"OVER (PARTITION BY {by})" if by else "OVER ()"
         guess = f"least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})"
         extra = {
-            "left": f"{r('e.b * (e.hi - e.lo) / {0} + e.lo'.format(bins), 4)} AS \"left\"",
-            "right": f"{r('(e.b + 1) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 4)} AS \"right\"",
-            "center": f"{r('(e.b + 0.5) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 4)} AS center",
+            "left": f"{r('e.b * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS \"left\"",
+            "right": f"{r('(e.b + 1) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS \"right\"",
+            "center": f"{r('(e.b + 0.5) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS center",
             "density": f"{r('coalesce(c.n, 0) / (e.total * (e.hi - e.lo) / {0})'.format(bins), 8)} AS density",
         }
         picked = ", ".join(extra[f] for f in fields)
@@ -340,7 +340,7 @@ def _hist(df, *fields):
     names = fields or ("left", "right", "center", "density")
     digits = {"density": 8}
     keys = [c for c in df.columns if c not in ("left", "right", "center", "density")]
-    return df.select(*keys, *[(F.round(f, digits.get(f, 4)) + F.lit(0.0)).alias(f) for f in names])
+    return df.select(*keys, *[(F.round(f, digits.get(f, 6)) + F.lit(0.0)).alias(f) for f in names])
 
 
 @register("histogram", with_views(histogram_sql("feat", FEATURES, 20), FEAT))

@@ -54,9 +54,9 @@ def head_sample(spark, sf_dir):
 # -- clustering -----------------------------------------------------------------------
 
 @register("standardise", with_views(
-    f"SELECT event_id, {r('(amount - m) / s')} AS amount FROM tx, (SELECT avg(amount) AS m, stddev_pop(amount) AS s FROM tx)", TX))
+    f"SELECT event_id, {r('(amount - m) / s', 6)} AS amount FROM tx, (SELECT avg(amount) AS m, stddev_pop(amount) AS s FROM tx)", TX))
 def standardise(spark, sf_dir):
-    return rounded(clustering.standardise(tx(spark, sf_dir), ["amount"]).select("event_id", "amount"))
+    return rounded(clustering.standardise(tx(spark, sf_dir), ["amount"]).select("event_id", "amount"), 6)
 
 
 @register("kmeans_sweep")

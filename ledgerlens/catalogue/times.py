@@ -55,10 +55,10 @@ def gap_stats_ship_dates(spark, sf_dir):
 
 
 @register("duration", with_views(
-    f"SELECT {r('max(time) - min(time)', 6)} AS duration_seconds, {r('(max(time) - min(time)) / 3600', 6)} AS duration_hours, {r('(max(time) - min(time)) / 86400', 6)} AS duration_days, "
-    f"{r('avg(time)', 4)} AS mean_time, {r('quantile_cont(time, 0.5)', 6)} AS median_time FROM tx", TX))
+    f"SELECT {r('max(time) - min(time)', 7)} AS duration_seconds, {r('(max(time) - min(time)) / 3600', 7)} AS duration_hours, {r('(max(time) - min(time)) / 86400', 7)} AS duration_days, "
+    f"{r('avg(time)', 4)} AS mean_time, {r('quantile_cont(time, 0.5)', 7)} AS median_time FROM tx", TX))
 def duration(spark, sf_dir):
-    return rounded(temporal.duration(tx(spark, sf_dir), "time").withColumn("mean_time", F.round("mean_time", 4)), 6)
+    return rounded(temporal.duration(tx(spark, sf_dir), "time").withColumn("mean_time", F.round("mean_time", 4)), 7)
 
 
 def cycle_sql(slot: str, name: str, bins: int) -> str:

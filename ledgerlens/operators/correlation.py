@@ -132,8 +132,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     listed = cells.where("i < j").select(
         "i", "j", F.get(names, F.col("i")).alias("var1"), F.get(names, F.col("j")).alias("var2")
     )
-    # one row per pair on either side
-    return listed.join(F.broadcast(pairs), ["i", "j"], "left").select(
+    return listed.join(pairs, ["i", "j"], "left").select(
         "i", "j", "var1", "var2", F.coalesce("n", F.lit(0)).alias("n"), "r"
     )
 

@@ -99,7 +99,7 @@ def csv_quality(
         .agg(
             F.max("size").alias("size_bytes"),
             F.count_if(separated).alias("separated_lines"),
-            F.count_if(line.contains("�")).alias("undecodable_lines"),
+            F.count_if(~F.is_valid_utf8(line)).alias("undecodable_lines"),
         )
     )
     joined = text.join(parsed, F.col("file_path") == F.col("text_path"), "left")
