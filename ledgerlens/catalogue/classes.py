@@ -119,10 +119,11 @@ def _z(source: str, c: str) -> str:
 @register("outliers_iqr", with_views(union_all(
     f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} < lo OR {c} > hi) AS outlier_count, "
     f"{r(f'100.0 * count(*) FILTER ({c} < lo OR {c} > hi) / count({c})')} AS outlier_percentage, "
-    f"{r('any_value(lo)')} AS lower_bound, {r('any_value(hi)')} AS upper_bound FROM tx, {_fence('tx', c)}"
+    f"{r('any_value(lo)', 6)} AS lower_bound, {r('any_value(hi)', 6)} AS upper_bound FROM tx, {_fence('tx', c)}"
     for c in TX_NUMBERS), TX))
 def outliers_iqr(spark, sf_dir):
-    return rounded(outliers.outliers_iqr(tx(spark, sf_dir), TX_NUMBERS))
+    found = outliers.outliers_iqr(tx(spark, sf_dir), TX_NUMBERS)
+    return rounded(found.withColumns({c: F.round(c, 6) for c in ("lower_bound", "upper_bound")}))
 
 
 @register("outliers_zscore", with_views(union_all(

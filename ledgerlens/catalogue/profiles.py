@@ -314,10 +314,13 @@ def histogram_sql(source: str, cols, bins: int, by: str = "", where: str = "", s
         over = f"OVER (PARTITION BY {by})" if by and not shared else "OVER ()"
         own = f"OVER (PARTITION BY {by})" if by else "OVER ()"
         guess = f"least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1})"
+        # the edges as the operator defines them: bin * step + low, the last edge exact
+        left = f"(e.b * ((e.hi - e.lo) / {bins}) + e.lo)"
+        right = f"(CASE WHEN e.b = {bins - 1} THEN e.hi ELSE (e.b + 1) * ((e.hi - e.lo) / {bins}) + e.lo END)"
         extra = {
-            "left": f"{r('e.b * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS \"left\"",
-            "right": f"{r('(e.b + 1) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS \"right\"",
-            "center": f"{r('(e.b + 0.5) * (e.hi - e.lo) / {0} + e.lo'.format(bins), 6)} AS center",
+            "left": f"{r(left, 6)} AS \"left\"",
+            "right": f"{r(right, 6)} AS \"right\"",
+            "center": f"{r(f'({left} + {right}) / 2', 6)} AS center",
             "density": f"{r('coalesce(c.n, 0) / (e.total * (e.hi - e.lo) / {0})'.format(bins), 8)} AS density",
         }
         picked = ", ".join(extra[f] for f in fields)
