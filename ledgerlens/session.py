@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, name: str = "ledgerlens") -> SparkSession:
+def local_session(
+    cores: int | str = 8, name: str = "ledgerlens", conf: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config(map=conf or {})
+        .master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
@@ -25,25 +27,14 @@ def local_session(cores: int | str = 8, name: str = "ledgerlens") -> SparkSessio
     )
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can read, taken from ``spark.checkpoint.dir``.
 
-    Only a local master may run without that setting; it then gets a temporary
-    folder of its own.
+    Without that setting it is a folder below the SQL warehouse, which Hadoop resolves
+    against the default file system, so it is as shared as the tables are.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = context.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="ledgerlens-")
-    return _LOCAL_DIRS[app]
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
