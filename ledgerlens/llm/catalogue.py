@@ -1,6 +1,9 @@
 """All queries of this subpackage."""
 
-from ledgerlens.llm import exact_dedup  # noqa: F401  (importing registers the queries)
+from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
+    exact_dedup,
+    ring_shards,
+)
 from ledgerlens.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
