@@ -2,6 +2,7 @@
 
 from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     exact_dedup,
+    quality_rules,
     ring_shards,
 )
 from ledgerlens.llm.registry import QUERIES, SQL
