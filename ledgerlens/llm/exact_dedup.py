@@ -60,8 +60,10 @@ def exact_duplicates(
             "doc_id", "survives", "text_sha256"
         )
     marked = materialise(marked)
-    low = F.min(F.struct("doc_id"))["doc_id"]
-    groups = (
+    low = F.when(F.count("doc_id") == F.count("*"), F.min("doc_id"))
+    # A table of its own, so that the join deals out both sides anew and a skewed key of
+    # the rows can be split among tasks.
+    groups = materialise(
         marked.filter("survives").groupBy("text_sha256")
         .agg(low.alias("keep_id"), F.count("*").alias("group_size"))
         .filter("group_size > 1")
