@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
+    bpe_chunks,
     exact_dedup,
     packing,
     quality_rules,
