@@ -4,6 +4,7 @@ from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     bpe_chunks,
     exact_dedup,
     packing,
+    personal_data,
     quality_rules,
     ring_shards,
 )
