@@ -7,6 +7,7 @@ from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     personal_data,
     quality_rules,
     ring_shards,
+    secret_links,
 )
 from ledgerlens.llm.registry import QUERIES, SQL
 
