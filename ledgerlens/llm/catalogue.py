@@ -3,6 +3,7 @@
 from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     bpe_chunks,
     exact_dedup,
+    jaccard_join,
     line_runs,
     packing,
     personal_data,
