@@ -2,6 +2,7 @@
 
 from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     bpe_chunks,
+    context_mixing,
     exact_dedup,
     jaccard_join,
     line_runs,

@@ -65,7 +65,9 @@ class Spans:
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(
+    column: pa.Array, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, bytes, row bounds)`` for consecutive rows; nulls are empty."""
     column = pc.fill_null(column, "").cast(pa.large_binary())
     bounds = np.frombuffer(column.buffers()[1], np.int64)[
@@ -75,7 +77,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        end = int(np.searchsorted(bounds, bounds[first] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(bounds, bounds[first] + size, "right")) - 1
         end = min(max(end, first + 1), len(column))
         yield first, end, data[bounds[first] : bounds[end]], bounds[first : end + 1] - bounds[first]
         first = end
