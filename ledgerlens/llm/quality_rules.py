@@ -96,8 +96,7 @@ def _outcomes(column: pa.Array, with_text: bool) -> pa.StructArray:
         lower = in_word(inside(W.byte_class("abcdefghijklmnopqrstuvwxyz")))
         letters = upper + lower > 0
         n_letters = per_line(letters)
-        sentence = np.zeros(len(line_start), bool)
-        sentence[word_line] = _ends_sentence(data, ends)  # the last word of a line comes last
+        sentence = per_line(_ends_sentence(data, ends)) > 0
         failed = solid & (
             ~sentence
             | (per_line(in_word(bars) > 0) > MAX_BARS * line_words)
@@ -148,8 +147,8 @@ def with_quality(
 ) -> DataFrame:
     """Append one struct column ``out`` (see ``OUTCOME``) to all columns of ``df``.
 
-    Words are runs of anything but ASCII white space. A line fails when it does not end a
-    sentence, is navigation (bars), symbols, shouted (no lower-case letters) or repeated
+    Words are runs of anything but ASCII white space. A line fails when no word of
+    it ends a sentence, it is navigation (bars), symbols, shouted (no lower-case letters) or repeated
     phrases for the most part, or is short boilerplate; lines without a word never fail.
     ``clean_text`` is what is left. A text is kept unless it has fewer than 50 words, half
     of its words stand in repeated phrases, fewer than 50 words are left, or more than half
@@ -189,7 +188,7 @@ def with_quality(
                   ON pos.doc_id = cov.doc_id AND p > base AND p <= base + len(ws)
                   GROUP BY ALL),
         f AS (SELECT pos.doc_id, len(ws) AS n, len(ws) > 0 AND (
-              NOT regexp_matches(l, '[.!?"'')\x3A;…”’»][\x20\x09-\x0D]*$')
+              NOT regexp_matches(l, '[.!?"'')\x3A;…”’»]([\x20\x09-\x0D]|$)')
               OR len(list_filter(ws, lambda x: contains(x, '|'))) > 0.2 * len(ws)
               OR len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>]'))) > 0.2 * len(ws)
               OR len(list_filter(ws, lambda x: regexp_matches(x, '[A-Z].*[A-Z]')
