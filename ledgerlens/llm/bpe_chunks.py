@@ -62,7 +62,7 @@ def chunks_of(column: pa.Array) -> Iterator[list[bytes]]:
     for first, end, data, bounds in W.slices(column):
         raw = data.tobytes()
         for row, ends in enumerate(chunk_ends(data, bounds, W.Spans(data))):
-            starts = [int(bounds[row]), *ends[:-1]]
+            starts = [int(bounds[row]), *ends[:-1]] if ends else []
             yield [raw[s:e] for s, e in zip(starts, ends, strict=True)]
 
 
