@@ -18,7 +18,7 @@ from ledgerlens.llm.registry import documents, register
 from ledgerlens.session import materialise
 
 #: Shingles of the sets that one search task holds (8 bytes each, and as many list entries).
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 300_000
 #: Bits of the filter that says which sets are worth sending; its size never changes.
 FILTER_BITS = 23
 #: Weight of binary probes against heap steps when lists are divided into long and short.
