@@ -7,6 +7,7 @@ is a model of its own, so that regions can be trained and stored apart.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,11 +110,12 @@ class Region:
     refined: np.ndarray  # (8 bits, gates, buckets) float32: probability of a one
 
     def to_bytes(self) -> bytes:
-        return b"".join(x.tobytes() for x in (self.slots, self.weights, self.refined))
+        raw = b"".join(x.tobytes() for x in (self.slots, self.weights, self.refined))
+        return zlib.compress(raw, 1)  # slots of a small corpus are empty for the most part
 
     @staticmethod
     def from_bytes(raw: bytes) -> Region:
-        n = 1 << SLOT_BITS
+        raw, n = zlib.decompress(raw), 1 << SLOT_BITS
         rest = np.frombuffer(raw, np.float32, offset=2 * n)
         cut = 8 * GATES * (INPUTS + 1)
         return Region(
