@@ -252,9 +252,9 @@ _T = "(m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) * (1.0 /
 @register("t_test_by_class", with_views(
     f"SELECT \"column\", {r('m1')} AS positive_mean, {r('m0')} AS negative_mean, {r('sqrt(v1)')} AS positive_std, {r('sqrt(v0)')} AS negative_std, "
     f"{r('m1 - m0')} AS mean_difference, {r(_T)} AS t_statistic, CAST(n1 + n0 - 2 AS DOUBLE) AS degrees_of_freedom FROM t",
-    EMB, "t AS (" + union_all(_t_row("emb", c) for c in EMB_FEATURES[:10]) + ")"))
+    EMB, "t AS (" + union_all(_t_row("emb", c) for c in EMB_FEATURES) + ")"))
 def t_test_by_class(spark, sf_dir):
-    found = two_sample.t_test_by_class(emb(spark, sf_dir), EMB_FEATURES, "label", 10)
+    found = two_sample.t_test_by_class(emb(spark, sf_dir), EMB_FEATURES, "label")
     return rounded(found.drop("position", "p_value", "significant"))
 
 

@@ -113,6 +113,6 @@ def correlation_summary(spark, sf_dir):
     return rounded(correlation.correlation_summary(_related(spark, sf_dir), REL))
 
 
-@register("heatmap", with_views(f"SELECT var2 AS var1, var1 AS var2, {r('r')} AS r FROM ({pair_sql('emb', EMB_FEATURES[:16])})", EMB))
+@register("heatmap", with_views(f"SELECT var2 AS var1, var1 AS var2, {r('r')} AS r FROM ({pair_sql('emb', EMB_FEATURES)})", EMB))
 def heatmap(spark, sf_dir):
-    return rounded(correlation.heatmap(emb(spark, sf_dir), EMB_FEATURES[:16]))
+    return rounded(correlation.heatmap(emb(spark, sf_dir), EMB_FEATURES))

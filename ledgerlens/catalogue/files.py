@@ -64,11 +64,6 @@ def table_fingerprint(spark, sf_dir):
     return files.table_fingerprint(table(spark, sf_dir, "orders"), _PRINT_COLUMNS)
 
 
-@register("file_fingerprints")
-def file_fingerprints(spark, sf_dir):
-    return files.file_fingerprints(spark, f"{sf_dir}/orders.parquet").select("length", "sha256")
-
-
 @register("dataset_info", """SELECT count(*) AS total_rows, 11 AS total_columns,
   'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS columns,
   """ + r("count(*) * 11 * 8 / 1048576.0") + " AS estimated_size_mb FROM lineitem")

@@ -21,13 +21,16 @@ MESSAGES = (
     "Validation failed: bad schema from user ", "Workflow step failed for user ", "Out of memory for user ", "division by zero for user ",
 )
 LOG = ("log AS (SELECT event_id, ts AS timestamp, CASE event_id % 14 " + " ".join(
-    f"WHEN {i} THEN '{m}'" for i, m in enumerate(MESSAGES)) + " END || user_id AS message FROM events)")
+    f"WHEN {i} THEN '{m}'" for i, m in enumerate(MESSAGES)) + " END || user_id || ' ' || event_type || ' ' || props AS message FROM events)")
 
 
 def _log(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     texts = F.array(*[F.lit(m) for m in MESSAGES])
-    message = F.concat(F.get(texts, (F.col("event_id") % 14).cast("int")), F.col("user_id").cast("string"))
+    message = F.concat(
+        F.get(texts, (F.col("event_id") % 14).cast("int")), F.col("user_id").cast("string"),
+        F.lit(" "), "event_type", F.lit(" "), "props",
+    )
     return events.select("event_id", F.col("ts").alias("timestamp"), message.alias("message"))
 
 
@@ -101,6 +104,28 @@ def retry_possible(spark, sf_dir):
     return found.select("event_id", "retry_possible")
 
 
+# Exception types by event, derived ones among them, and what each says about the category.
+TYPES = ("ConnectionRefusedError", "JSONDecodeError", "AnalyserAgentError", "FileNotFoundError", "KeyError", "MemoryError")
+_TYPE_CATEGORIES = {"network": "ConnectionRefusedError", "validation": "JSONDecodeError", "workflow": "AnalyserAgentError",
+                    "file_processing": "FileNotFoundError", "system": "MemoryError"}
+_TYPED = ("typed AS (SELECT event_id, nullif(event_type, 'error') AS message, CASE event_id % 6 " + " ".join(
+    f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END AS error_type FROM events)")
+_TYPED_CATEGORY = "CASE " + " ".join(
+    f"WHEN coalesce({_any(w)}, false) OR error_type = '{_TYPE_CATEGORIES.get(c)}' THEN '{c}'" for c, w in error_log.CATEGORY_WORDS) + " ELSE 'system' END"
+
+
+@register("classify_by_type", f"WITH {_TYPED}, placed AS (SELECT *, {_TYPED_CATEGORY} AS category FROM typed) SELECT event_id, category, "
+          f"category IN ('network', 'llm_api', 'system') AND NOT coalesce({_any(error_log.NO_RETRY_WORDS)}, false) AS retry_possible FROM placed")
+def classify_by_type(spark, sf_dir):
+    """Exception types and their subclasses decide where the message does not; some are missing."""
+    types = F.array(*[F.lit(t) for t in TYPES])
+    log = table(spark, sf_dir, "events").select(
+        "event_id", F.nullif("event_type", F.lit("error")).alias("message"),
+        F.get(types, (F.col("event_id") % 6).cast("int")).alias("error_type"))
+    found = error_log.retry_possible(error_log.classify_errors(log, error_type="error_type"))
+    return found.select("event_id", "category", "retry_possible")
+
+
 ERROR_STATISTICS = _errors_sql(f"""
 SELECT 'total_errors' AS metric, NULL AS key, count(*) AS value FROM errors
 UNION ALL SELECT 'recent_errors_1h', NULL, count(*) FROM errors WHERE timestamp > (SELECT max(timestamp) FROM errors) - INTERVAL 1 HOUR
@@ -214,27 +239,29 @@ def transcripts_json(spark, sf_dir):
 
 # -- responses ---------------------------------------------------------------------------
 
-# (text before, JSON body with the document number at @, text after); no body means none
+# (text before, JSON body with the document number at @ and its text at ~, text after); no body means none
 RESPONSES = (
-    ("```json\n", '{"analysis_summary": {"key_findings": ["n @"]}, "fraud_specific_analysis": {"fraud_rate": 0.1},\n "recommendations": {"further_analysis": []}}', "\n```\nDone {"),
-    ("", '{"analysis_summary": {"key_findings": []}, "recommendations": {}, "id": @}', ""),
-    ("Here it is: ", '{"report_metadata": {"id": @}, "markdown_report": "x", "key_metrics": {"n": 5}}', " thanks }"),
-    ("No structure here @", None, ""),
-    ("Sure.\n```\n", '{"analysis_summary": {"key_findings": ["a", "b"]}, "id": @,\n"confidence_scores": {"analysis_confidence": 0.8, "pattern_strength": 0.6}}', "\n```"),
+    ("```json\n", '{"analysis_summary": {"key_findings": ["n @ ~"]}, "fraud_specific_analysis": {"fraud_rate": 0.1},\n "recommendations": {"further_analysis": []}}', "\n```\nDone {"),
+    ("", '{"analysis_summary": {"key_findings": []}, "recommendations": {}, "note": "~", "id": @}', ""),
+    ("Here it is: ", '{"report_metadata": {"id": @}, "markdown_report": "x ~", "key_metrics": {"n": 5}}', " thanks }"),
+    ("No structure here @ ~", None, ""),
+    ("Sure.\n```\n", '{"analysis_summary": {"key_findings": ["a ~", "b"]}, "id": @,\n"confidence_scores": {"analysis_confidence": 0.8, "pattern_strength": 0.6}}', "\n```"),
     ("", '{"broken": [1, @', ""),
-    ("  \n ", '{"analysis_summary": "text", "fraud_specific_analysis": 1, "recommendations": {"a": @}}', "\n trailing"),
+    ("  \n ", '{"analysis_summary": "text ~", "fraud_specific_analysis": 1, "recommendations": {"a": @}}', "\n trailing"),
 )
 
 
 def _responses(spark, sf_dir):
     number, kind = F.col("doc_id").cast("string"), F.col("doc_id") % len(RESPONSES)
-    rules = [(kind == i, F.replace(F.lit(a + (b or "") + c), F.lit("@"), number)) for i, (a, b, c) in enumerate(RESPONSES)]
+    plain = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    filled = [F.replace(F.replace(F.lit(a + (b or "") + c), F.lit("@"), number), F.lit("~"), plain) for a, b, c in RESPONSES]
+    rules = [(kind == i, text) for i, text in enumerate(filled)]
     text = first_match(rules, F.lit(None).cast("string"))
     return responses.extract_json(table(spark, sf_dir, "documents").select("doc_id", text.alias("response")))
 
 
 _BODY = f"CASE doc_id % {len(RESPONSES)} " + " ".join(
-    f"WHEN {i} THEN replace({_quote(b)}, '@', CAST(doc_id AS VARCHAR))" for i, (_, b, _c) in enumerate(RESPONSES) if b) + " END"
+    f"WHEN {i} THEN replace(replace({_quote(b)}, '@', CAST(doc_id AS VARCHAR)), '~', regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'))" for i, (_, b, _c) in enumerate(RESPONSES) if b) + " END"
 BODIES = f"bodies AS (SELECT doc_id, {_BODY} AS json FROM documents), parsed AS (SELECT doc_id, json, CASE WHEN json_valid(json) THEN json END AS j FROM bodies)"
 
 

@@ -12,6 +12,7 @@ from ledgerlens.operators import profile
 from ledgerlens.operators.charts import histogram_grid
 from ledgerlens.operators.clustering import complete_rows
 from ledgerlens.operators.histogram import grid_counts, histogram
+from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.plans.bundles import analyse_patterns, numeric_profile, profile_bundle, segment_profile
 from ledgerlens.roles import (
     Roles, categorical_cols, feature_cols, is_labelled_format, normalise_missing, numeric_cols,
@@ -165,6 +166,41 @@ def mode_numeric(spark, sf_dir):
     return found.withColumn("mode", F.col("mode").cast("double"))
 
 
+_SEGMENT_COLUMNS = {"few": "CAST(l_linenumber AS DOUBLE)", "half": "CASE WHEN l_linenumber <= 2 THEN l_extendedprice END",
+                    "all": "l_extendedprice", "none": "CAST(NULL AS DOUBLE)"}
+_SEGMENT_PROBS = (0.1, 0.5, 0.9)
+
+
+@register("percentiles_by_segment", "SELECT l_linenumber, \"column\", " + ", ".join(
+    f"{r(f'quantile_cont(x, {p})', 6)} AS p{round(p * 100)}" for p in _SEGMENT_PROBS) + " FROM (" + union_all(
+    f"SELECT l_linenumber, '{c}' AS \"column\", {e} AS x FROM lineitem" for c, e in _SEGMENT_COLUMNS.items()) + ") GROUP BY ALL")
+def percentiles_by_segment(spark, sf_dir):
+    """Columns that need each of the three methods, and one without any value."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", *[F.expr(e).alias(c) for c, e in _SEGMENT_COLUMNS.items()])
+    found = quantiles(rows, list(_SEGMENT_COLUMNS), _SEGMENT_PROBS, ["l_linenumber"], max_distinct=50, max_groups=4)
+    named = [F.get("q", i).alias(f"p{round(p * 100)}") for i, p in enumerate(_SEGMENT_PROBS)]
+    return rounded(found.select("l_linenumber", "column", *named), 6)
+
+
+_LARGE = "9007199254740992 + o_orderkey % 3"
+
+
+@register("mode_large_keys", f"SELECT 'x' AS \"column\", CAST(arg_min(x, (-n, x)) AS VARCHAR) AS mode, max(n) AS mode_count FROM "
+          f"(SELECT {_LARGE} AS x, count(*) AS n FROM orders GROUP BY ALL)")
+def mode_large_keys(spark, sf_dir):
+    """Whole numbers beyond 2**53 stay apart."""
+    rows = table(spark, sf_dir, "orders").select(F.expr(_LARGE.replace("9007199254740992", "9007199254740992L")).alias("x"))
+    return profile.mode_by_column(rows)
+
+
+@register("distinct_signed_zero", "SELECT 'x' AS \"column\", count(DISTINCT (l_linenumber - 1) // 2) AS unique_values FROM lineitem")
+def distinct_signed_zero(spark, sf_dir):
+    """0.0 and -0.0 are one value."""
+    x = F.floor((F.col("l_linenumber") - 1) / 2).cast("double")
+    sign = F.when((x == 0) & (F.col("l_linenumber") == 1), F.lit(-0.0)).otherwise(x)
+    return profile.distinct_counts(table(spark, sf_dir, "lineitem").select(sign.alias("x")))
+
+
 DOC_COLUMNS = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
 
 
@@ -356,7 +392,7 @@ def histogram_plain(spark, sf_dir):
     return _hist(histogram(tx(spark, sf_dir), ["amount"], 50))
 
 
-@register("histogram_grid", with_views(histogram_sql("emb", EMB_FEATURES[:16], 30), EMB))
+@register("histogram_grid", with_views(histogram_sql("emb", EMB_FEATURES, 30), EMB))
 def histogram_grid_query(spark, sf_dir):
     return _hist(histogram_grid(emb(spark, sf_dir), EMB_FEATURES))
 

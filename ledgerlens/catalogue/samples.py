@@ -11,7 +11,7 @@ from ledgerlens.operators import charts, clustering, sampling
 
 # fmt: off
 
-HASHED = "hashed AS (SELECT *, ((event_id % 2147483648) * 2654435761 + 42) % 4294967296 AS h FROM tx)"
+HASHED = "hashed AS (SELECT *, ('0x' || substring(md5(event_id || ':42'), 1, 8))::BIGINT AS h FROM tx)"
 
 
 def _quota_sql(cols: str, ones: str, n: int) -> str:
@@ -74,14 +74,14 @@ def final_clustering(spark, sf_dir):
 
 
 # nested groupings of the given clusters: a deterministic falling inertia curve
-_MEANS = ", ".join(f"var_pop({c}) * count(*)" for c in EMB_FEATURES[:8])
+_MEANS = ", ".join(f"var_pop({c}) * count(*)" for c in EMB_FEATURES)
 _CURVE = union_all(
     f"SELECT {k} AS k, sum(w) AS inertia FROM (SELECT list_sum([{_MEANS}]) AS w FROM emb GROUP BY least(cluster, {k - 1}))" for k in range(2, 9))
 
 
 def _curve(spark, sf_dir):
     df = emb(spark, sf_dir)
-    inside = sum((F.var_pop(c) * F.count("*") for c in EMB_FEATURES[1:8]), F.var_pop("V1") * F.count("*"))
+    inside = sum((F.var_pop(c) * F.count("*") for c in EMB_FEATURES[1:]), F.var_pop("V1") * F.count("*"))
     out = None
     for k in range(2, 9):
         part = df.groupBy(F.least("cluster", F.lit(k - 1)).alias("g")).agg(inside.alias("w"))
@@ -114,20 +114,11 @@ def silhouette_by_cluster(spark, sf_dir):
     return rounded(clustering.silhouette_by_cluster(emb(spark, sf_dir), EMB_FEATURES, "cluster"))
 
 
-@register("silhouette_euclidean", with_views(
-    f"SELECT count(*) AS rows, {r('avg(coalesce((b - a) / greatest(a, b), 0))')} AS silhouette FROM scored", _PAIRS.replace("DIST", "d")))
-def silhouette_euclidean(spark, sf_dir):
-    return rounded(clustering.silhouette_euclidean(emb(spark, sf_dir), EMB_FEATURES, "cluster", "vec_id"))
-
-
-PROFILED = EMB_FEATURES[:8]
-
-
 @register("cluster_profile", with_views(union_all(
     f"SELECT cluster, '{c}' AS \"column\", count(*) AS size, {r('100.0 * count(*) / (SELECT count(*) FROM emb)')} AS percentage, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std "
-    "FROM emb GROUP BY cluster" for c in PROFILED), EMB))
+    "FROM emb GROUP BY cluster" for c in EMB_FEATURES), EMB))
 def cluster_profile(spark, sf_dir):
-    return rounded(clustering.cluster_profile(emb(spark, sf_dir), PROFILED, "cluster"))
+    return rounded(clustering.cluster_profile(emb(spark, sf_dir), EMB_FEATURES, "cluster"))
 
 
 BY_TYPE = "typed AS (SELECT *, user_id % 7 AS cluster FROM tx)"

@@ -26,10 +26,10 @@ def histogram_by_class(
 
 
 def histogram_grid(
-    df: DataFrame, features: Sequence[str], bins: int = GRID_BINS, first: int = GRID_COLUMNS
+    df: DataFrame, features: Sequence[str], bins: int = GRID_BINS
 ) -> DataFrame:
-    """Histograms of the first features in one job."""
-    return histogram(df, list(features)[:first], bins)
+    """Histograms of all features in one job."""
+    return histogram(df, list(features), bins)
 
 
 def histogram_set(df: DataFrame, roles: Roles, bins: int = CLASS_BINS) -> DataFrame:
@@ -42,7 +42,7 @@ def histogram_set(df: DataFrame, roles: Roles, bins: int = CLASS_BINS) -> DataFr
 
 def scatter_points(
     df: DataFrame, pairs: Sequence[tuple[str, str]], label: str, key: str,
-    n: int = 10_000, seed: int = SEED,
+    n: int, seed: int = SEED,
 ) -> DataFrame:
     """(chart, x, y, label) of the chart sample."""
     sample = boosted_sample(df, n, label, key, seed)

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -16,12 +14,11 @@ from pyspark.sql.window import Window
 from pyspark.storagelevel import StorageLevel
 
 from ledgerlens.functions.stats import long_form, percent, sample_std
-from ledgerlens.operators.sampling import SEED, simple_sample
+from ledgerlens.operators.sampling import SEED
 from ledgerlens.roles import as_double
+from ledgerlens.session import materialise
 
 SILHOUETTE_UP_TO = 8
-PAIRWISE_ROWS = 50_000
-MAX_CLUSTERS = 1_000
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -85,27 +82,17 @@ def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str)
         F.avg(norm).alias("q"),
         F.array(*[F.avg(F.get("x", i)) for i in range(size)]).alias("m"),
     )
-    known = centre.limit(MAX_CLUSTERS + 1).collect()
-    if len(known) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(c.own).alias("own"), F.lit(c.n).alias("n"), F.lit(c.q).alias("q"),
-                F.array(*[F.lit(v) for v in c.m]).alias("m"),
-            )
-            for c in known
-        ]
-    )
-
+    centre = materialise(centre)
     def distance(c: Column) -> Column:
         dot = F.aggregate(
             F.zip_with("x", c["m"], lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v
         )
         return norm - 2 * dot + c["q"]
 
-    placed = rows.withColumn("d", F.transform(
-        table, lambda c: F.struct(c["own"].alias("own"), c["n"].alias("n"), distance(c).alias("d"))
+    # One row per cluster; as one array it meets every row without pairs being written out.
+    table = centre.agg(F.collect_list(F.struct("own", "n", "q", "m")).alias("centres"))
+    placed = rows.join(F.broadcast(table), F.lit(True), "left").withColumn("d", F.transform(
+        "centres", lambda c: F.struct(c["own"].alias("own"), c["n"].alias("n"), distance(c).alias("d"))
     ))
     own = F.get(F.filter("d", lambda c: c["own"] == F.col("own")), 0)
     other = F.array_min(
@@ -120,51 +107,6 @@ def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str)
     )
 
 
-def silhouette_euclidean(
-    df: DataFrame, features: Sequence[str], cluster: str, key: str,
-    max_samples: int = PAIRWISE_ROWS, seed: int = SEED,
-) -> DataFrame:
-    """Mean Euclidean silhouette of the analysis sample (all rows up to its size).
-
-    Needs every pair of the sample, so the sample is the unit: at most ``max_samples``
-    points are broadcast once, tasks compare their rows to them block by block.
-    """
-    data = complete_rows(df, features).select(
-        key, F.col(cluster).alias("own"),
-        F.array(*[as_double(df, c) for c in features]).alias("x"),
-    )
-    sample = simple_sample(data, max_samples, key, seed)
-    points = sample.select("own", "x").toPandas()
-    labels, codes = np.unique(points["own"].to_numpy(), return_inverse=True)
-    matrix = np.array(points["x"].tolist(), dtype=float).reshape(len(points), len(features))
-    shared = df.sparkSession.sparkContext.broadcast((labels, codes, matrix))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, codes, matrix = shared.value
-        sizes = np.bincount(codes, minlength=len(labels)).astype(float)
-        member = np.zeros((len(codes), len(labels)))
-        member[np.arange(len(codes)), codes] = 1.0
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
-                x = np.array(part["x"].tolist(), dtype=float)
-                own = np.searchsorted(labels, part["own"].to_numpy())
-                away = np.sqrt(((x[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
-                total = away @ member
-                at = np.arange(len(part))
-                a = total[at, own] / np.maximum(sizes[own] - 1, 1)
-                means = total / sizes
-                means[at, own] = np.inf
-                b = means.min(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = np.where(sizes[own] > 1, (b - a) / np.maximum(a, b), 0.0)
-                yield pd.DataFrame({"s": np.nan_to_num(s)})
-
-    return sample.select("own", "x").mapInPandas(score, "s double").agg(
-        F.count("*").alias("rows"), F.avg("s").alias("silhouette")
-    )
-
-
 def elbow_k(curve: DataFrame) -> DataFrame:
     """(optimal_k) from (k, inertia): the sharpest bend, 3 when there are too few points.
 

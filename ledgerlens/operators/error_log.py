@@ -22,9 +22,25 @@ CATEGORY_TYPES = {
     "llm_api": ("LLMConfigurationError", "LLMConnectionError"),
     "network": ("RequestException", "ConnectionError"),
     "validation": ("ValueError", "TypeError"),
-    "workflow": ("WorkflowError",),
+    "workflow": ("WorkflowError", "AnalyserAgentError", "ReporterAgentError"),
     "system": ("MemoryError",),
 }
+# Well-known exceptions derived from those above; a class counts as what it
+# is derived from.
+DERIVED_TYPES = {
+    "ConnectionError": (
+        "ConnectionRefusedError", "ConnectionResetError", "ConnectionAbortedError",
+        "BrokenPipeError",
+    ),
+    "RequestException": (
+        "HTTPError", "ConnectTimeout", "ReadTimeout", "Timeout", "ProxyError", "SSLError",
+        "TooManyRedirects", "ChunkedEncodingError", "InvalidURL",
+    ),
+    "ValueError": (
+        "JSONDecodeError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError",
+        "UnicodeTranslateError", "ParserError", "EmptyDataError",
+    ),
+}
 # Texts shown to the user, by category and the words that select them.
 USER_MESSAGES = {
     "file_processing": (
@@ -63,6 +79,7 @@ USER_MESSAGES = {
         ((), "An error occurred during data processing. The operation has been stopped."),
     ),
 }
+# The remaining texts shown to the user.
 CRITICAL_MESSAGE = "A critical system error occurred. Please restart the application."
 SYSTEM_MESSAGE = "A system error occurred. Please try again."
 UNKNOWN_MESSAGE = (
@@ -104,6 +121,7 @@ SUGGESTIONS = {
         "Update application dependencies",
     ),
 }
+# More suggestions, by category and the word that adds them.
 EXTRA_SUGGESTIONS = {
     "file_processing": ("size", (
         "Reduce the file size by sampling the data",
@@ -133,7 +151,8 @@ def classify_errors(
     for name, words in CATEGORY_WORDS:
         test = mentions(text, words)
         if error_type:
-            test = test | F.coalesce(F.col(error_type).isin(*CATEGORY_TYPES[name]), F.lit(False))
+            types = [t for base in CATEGORY_TYPES[name] for t in (base, *DERIVED_TYPES.get(base, ()))]
+            test = test | F.coalesce(F.col(error_type).isin(*types), F.lit(False))
         rules.append((test, name))
     category = first_match(rules, "system")
     missing_file = F.lit(False)
@@ -190,7 +209,8 @@ def recovery_suggestions(
 def retry_possible(log: DataFrame, message: str = "message") -> DataFrame:
     """Add the boolean ``retry_possible``."""
     allowed = F.col("category").isin(*RETRY_CATEGORIES)
-    return log.withColumn("retry_possible", allowed & ~mentions(F.lower(message), NO_RETRY_WORDS))
+    text = F.lower(F.coalesce(F.col(message), F.lit("")))  # a missing message forbids nothing
+    return log.withColumn("retry_possible", allowed & ~mentions(text, NO_RETRY_WORDS))
 
 
 def enrich_errors(log: DataFrame, message: str = "message") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.functions.rules import first_match, mentions
 
@@ -59,16 +60,17 @@ def transcripts(
     parts are arrays whose elements continue each other.
     """
     mark = first_match([(F.col(role) == r, m) for r, m in ROLE_MARKS.items()], OTHER_MARK)
+    who, said = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, content))
     time = F.coalesce(F.col(timestamp).cast("string"), F.lit(""))
     if form == "markdown":
         piece = F.concat(
-            F.lit("## "), mark, F.lit(" "), F.initcap(role), F.lit("\n*"), time, F.lit("*\n\n"),
-            F.col(content), F.lit("\n\n---\n"),
+            F.lit("## "), mark, F.lit(" "), F.initcap(who), F.lit("\n*"), time, F.lit("*\n\n"),
+            said, F.lit("\n\n---\n"),
         )
         opening, glue = "# Chat History\n", "\n"
     elif form == "text":
         piece = F.concat(
-            F.upper(role), F.lit(" ("), time, F.lit("):\n"), F.col(content),
+            F.upper(who), F.lit(" ("), time, F.lit("):\n"), said,
             F.lit("\n" + "-" * 30),
         )
         opening, glue = "Chat History\n" + "=" * 50 + "\n", "\n"
@@ -80,11 +82,14 @@ def transcripts(
         opening, glue = None, ","
     else:
         raise ValueError(f"unsupported transcript form {form!r}")
-    part = F.floor(F.col(turn) / part_turns)
+    # A turn without a number comes last, in the last part.
+    last = F.max(turn).over(Window.partitionBy(thread))
+    at = F.coalesce(F.col(turn), last, F.lit(0))
+    part = F.floor(at / part_turns)
     lines = messages.select(
-        F.col(thread), part.alias("part"), F.col(turn).alias("_turn"), piece.alias("_piece")
+        F.col(thread), part.alias("part"), F.col(turn).isNull().alias("_late"), F.col(turn).alias("_turn"), piece.alias("_piece")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("_turn", "_piece")))
+    ordered = F.array_sort(F.collect_list(F.struct("_late", "_turn", "_piece")))
     joined = F.array_join(F.transform(ordered, lambda s: s["_piece"]), glue)
     if opening is None:
         body = F.concat(F.lit("["), joined, F.lit("]"))

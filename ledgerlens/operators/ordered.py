@@ -16,19 +16,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 10_000
+SKETCH_SIZE = 4_000
+_MERGED = 64  # sketches of one merge
+
+
+def sketched(
+    base: DataFrame, values: Mapping[str, Column], probs: Sequence[float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """(keys…, n_, d_, min_, max_, q_ for every name): counts, approximate distinct counts,
+    extremes and approximate quantiles of named expressions.
+
+    Sketches of the input partitions are merged in a tree of three levels, so no task
+    gets more of them than a bounded share, however many tasks there are.
+    """
+    made, merged, read = [], [], []
+    for name in values:
+        x = F.col(f"value_{name}")
+        # NaN never comes here, and a sketch of nothing is NULL.
+        made += [
+            F.count(x).alias(f"n_{name}"), F.min(x).alias(f"min_{name}"),
+            F.max(x).alias(f"max_{name}"), F.hll_sketch_agg(x.cast("string")).alias(f"d_{name}"),
+            F.kll_sketch_agg_double(x, F.lit(SKETCH_SIZE)).alias(f"q_{name}"),
+        ]
+        merged += [
+            F.sum(f"n_{name}").alias(f"n_{name}"), F.min(f"min_{name}").alias(f"min_{name}"),
+            F.max(f"max_{name}").alias(f"max_{name}"), F.hll_union_agg(f"d_{name}").alias(f"d_{name}"),
+            F.kll_merge_agg_double(f"q_{name}").alias(f"q_{name}"),
+        ]
+        found = F.kll_sketch_get_quantile_double(
+            f"q_{name}", F.array(*[F.lit(float(p)) for p in probs])
+        )
+        read += [
+            F.col(f"n_{name}"), F.col(f"min_{name}"), F.col(f"max_{name}"),
+            F.hll_sketch_estimate(f"d_{name}").alias(f"d_{name}"),
+            F.when(F.col(f"n_{name}") > 0, found).alias(f"q_{name}"),
+        ]
+    rows = base.select(*keys, *[x.alias(f"value_{name}") for name, x in values.items()])
+    level = rows.groupBy(*keys, F.spark_partition_id().alias("part")).agg(*made)
+    for size in (_MERGED, _MERGED):
+        level = level.groupBy(*keys, F.floor(F.col("part") / size).alias("part")).agg(*merged)
+    return level.groupBy(*keys).agg(*merged).select(*keys, *read)
 
 
 def _split_points(base: DataFrame) -> list[float]:
     """Values that cut x into even parts: at least one per task, more for more rows."""
     tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(MAX_BUCKETS, max(64, 4 * tasks))
+    rows = base.count()
+    parts = max(64, 4 * tasks, rows // ROWS_PER_BUCKET)
     grid = [i / parts for i in range(1, parts)]
-    row = base.agg(
-        F.count("x").alias("n"), F.percentile_approx("x", grid, max(1000, 10 * parts)).alias("q")
-    ).head()
-    points = sorted(set(row.q or []))
-    wanted = min(parts, max(tasks, row.n // ROWS_PER_BUCKET))
+    row = sketched(base, {"x": F.col("x")}, grid).head()
+    points = sorted(set((row and row.q_x) or []))
+    wanted = max(tasks, rows // ROWS_PER_BUCKET)
     return points[:: max(1, len(points) // wanted)]
 
 
@@ -68,7 +106,7 @@ def ordered_sums(
         *[F.coalesce(F.sum(f"sum_{k}").over(before), F.lit(0)).alias(f"off_{k}") for k in sums],
         *[F.sum(f"sum_{k}").over(group).alias(f"tot_{k}") for k in sums],
     )
-    if not keys:  # at most MAX_BUCKETS rows
+    if not keys:  # one row per million rows
         offsets = F.broadcast(offsets)
     o = offsets.alias("o")
     c = counts.alias("c")

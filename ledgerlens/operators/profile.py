@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,14 +194,9 @@ def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
 def mode_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Most frequent value of every column as text, the smallest value on a tie."""
-    cols = list(cols or df.columns)
-    numeric = [c for c in numeric_cols(df) if c in cols]
-    other = [c for c in cols if c not in numeric]
     parts = []
-    for group, cast in ((numeric, "double"), (other, "string")):
-        if not group:
-            continue
-        exprs = {c: not_nan(df, c).cast(cast) for c in group}
+    for group in _by_type(df, list(cols or df.columns)):
+        exprs = {c: not_nan(df, c) for c in group}
         best = F.min(F.struct((-F.col("count")).alias("rank"), F.col("x")))
         counted = long_form(df, exprs).groupBy("column", "x").agg(F.count("*").alias("count"))
         top = counted.groupBy("column").agg(best.alias("best"))
@@ -211,7 +207,15 @@ def mode_by_column(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
                 (-F.col("best.rank")).alias("mode_count"),
             )
         )
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_type(df: DataFrame, cols: Sequence[str]) -> list[list[str]]:
+    """The columns grouped by type, so that values are compared as what they are."""
+    groups: dict[str, list[str]] = {}
+    for c in cols:
+        groups.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    return list(groups.values())
 
 
 def distinct_counts(
@@ -226,11 +230,12 @@ def distinct_counts(
     if approx:
         aggs = [F.approx_count_distinct(not_nan(df, c)).alias(f"d_{i}") for i, c in enumerate(cols)]
         return tidy(df.agg(*aggs), {c: {"unique_values": f"d_{i}"} for i, c in enumerate(cols)})
-    pairs = long_form(df, {c: not_nan(df, c).cast("string") for c in cols})
-    found = (
-        pairs.groupBy("column", "x").agg(F.lit(1).alias("one"))
-        .groupBy("column").agg(F.count("*").alias("unique_values"))
-    )
+    parts = [
+        long_form(df, {c: not_nan(df, c) for c in group}).groupBy("column", "x")
+        .agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("*").alias("unique_values"))
+        for group in _by_type(df, cols)
+    ]
+    found = reduce(DataFrame.unionByName, parts)
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return names.join(found, "column", "left").select(
         "column", F.coalesce("unique_values", F.lit(0)).alias("unique_values")

@@ -13,20 +13,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ledgerlens.functions.stats import long_form
-from ledgerlens.operators.ordered import ordered_quantiles
+from ledgerlens.functions.stats import every_column, long_form
+from ledgerlens.operators.ordered import ordered_quantiles, sketched
 from ledgerlens.roles import as_double
 
 MAX_DISTINCT = 200_000  # values of one column and group that a task may hold
 MAX_INSIDE = 250_000
 MAX_GROUPS = 64
-ACCURACY = 10_000
+ACCURACY = 10_000  # of ``approx``
+MARGIN = 0.002  # of the ranks around a wanted one; brackets are verified by counting
 _GRID = [i / 1000 for i in range(1001)]
 _DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -44,21 +46,54 @@ def quantiles(
     probs: Sequence[float],
     by: Sequence[str] = (),
     method: str = "auto",
+    max_distinct: int = MAX_DISTINCT,
+    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
-    """(by…, column, q) with q aligned to ``probs``, linear interpolation."""
+    """(by…, column, q) with q aligned to ``probs``, linear interpolation.
+
+    A row for every group and column, whatever the method; q is NULL where a column has
+    no value in a group.
+    """
     exprs = expressions(df, cols)
     names = list(exprs)
     keys = list(by)
     pairs = long_form(df, exprs, keys)
     if method == "auto":
-        picked = _choose(pairs, names, keys)
+        picked = _choose(pairs, names, keys, max_distinct, max_groups)
         parts = [
-            quantiles(df, {c: exprs[c] for c in names if picked[c] == m}, probs, keys, m)
+            _found(df, {c: exprs[c] for c in names if picked[c] == m}, probs, keys, m)
             for m in dict.fromkeys(picked.values())
         ]
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        return _every_pair(df, reduce(DataFrame.unionByName, parts), names, keys)
+    return _every_pair(df, _found(df, exprs, probs, keys, method), names, keys)
+
+
+def _every_pair(
+    df: DataFrame, found: DataFrame, names: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """A row for every group of ``df`` and every column name."""
+    if not keys:
+        return every_column(found, names)
+    listed = F.explode(F.array(*[F.lit(c) for c in names])).alias("column")
+    pairs = df.select(*keys).distinct().select("*", listed)
+    found = found.select(
+        *[F.col(k).alias(f"found_{k}") for k in keys], F.col("column").alias("found_column"), "q"
+    )
+    on = F.col("column") == F.col("found_column")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"found_{k}"))
+    return pairs.join(found, on, "left").select(*keys, "column", "q")
+
+
+def _found(
+    df: DataFrame, exprs: Mapping[str, Column], probs: Sequence[float], keys: list[str], method: str
+) -> DataFrame:
+    """Quantiles by one method; pairs without a value may be missing."""
+    names, pairs = list(exprs), long_form(df, exprs, keys)
     if method == "builtin":
-        found = F.percentile("x", _array(probs))
+        # Counted first, so that a column's reducer sees each of its values once.
+        pairs = pairs.groupBy(*keys, "column", "x").agg(F.count("*").alias("n"))
+        found = F.percentile("x", _array(probs), F.col("n"))
     elif method == "approx":
         found = F.percentile_approx("x", list(probs), ACCURACY)
     elif method == "select":
@@ -85,14 +120,16 @@ def _array(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _choose(pairs: DataFrame, names: list[str], keys: list[str]) -> dict[str, str]:
+def _choose(
+    pairs: DataFrame, names: list[str], keys: list[str], max_distinct: int, max_groups: int
+) -> dict[str, str]:
     """``builtin`` for columns whose distinct values fit one task in every group."""
     sizes = pairs.groupBy(*keys, "column").agg(F.approx_count_distinct("x").alias("d"))
     rows = sizes.groupBy("column").agg(F.max("d").alias("d"), F.count("*").alias("groups"))
     picked = dict.fromkeys(names, "builtin")
     for row in rows.collect():  # one row per column
-        if row.d > MAX_DISTINCT:
-            picked[row["column"]] = "select" if row.groups <= MAX_GROUPS else "ordered"
+        if row.d > max_distinct:
+            picked[row["column"]] = "select" if row.groups <= max_groups else "ordered"
     return picked
 
 
@@ -130,26 +167,14 @@ class _Target:
 
 
 def _select(base: DataFrame, names: list[str], probs: list[float], keys: list[str]) -> DataFrame:
-    margin = 3 / ACCURACY
-    around = [q for p in probs for q in (max(0.0, p - margin), min(1.0, p + margin))]
-    first = base.groupBy(*keys).agg(
-        *[
-            e
-            for i in range(len(names))
-            for e in (
-                F.count(f"x_{i}").alias(f"n_{i}"),
-                F.min(f"x_{i}").alias(f"min_{i}"),
-                F.max(f"x_{i}").alias(f"max_{i}"),
-                F.percentile_approx(f"x_{i}", around, ACCURACY).alias(f"s_{i}"),
-            )
-        ]
-    )
+    around = [q for p in probs for q in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    first = sketched(base, {str(i): F.col(f"x_{i}") for i in range(len(names))}, around, keys)
     limits: dict[tuple, tuple[float, float]] = {}
     targets: dict[tuple, list[_Target]] = {}
     for row in first.collect():
         group = tuple(row[k] for k in keys)
         for i in range(len(names)):
-            n, bracket = row[f"n_{i}"], row[f"s_{i}"]
+            n, bracket = row[f"n_{i}"], row[f"q_{i}"]
             limits[(group, i)] = (row[f"min_{i}"], row[f"max_{i}"])
             targets[(group, i)] = [
                 _Target(group, i, p, n, bracket[2 * j], bracket[2 * j + 1])
@@ -219,20 +244,17 @@ def _narrow(base, targets, limits, width: int, depth: int, keys: list[str]) -> N
         if not open_targets:
             return
         wanted = sorted({(i, j) for _, i, j in open_targets})
-        sketches = []
+        sketches = {}
         for i, j in wanted:
             x = F.col(f"x_{i}")
             held = F.when(x.between(F.get(f"low_{i}", j), F.get(f"high_{i}", j)), x)
-            sketches += [
-                F.percentile_approx(held, _GRID, ACCURACY).alias(f"g_{i}_{j}"),
-                F.approx_count_distinct(held).alias(f"d_{i}_{j}"),
-            ]
-        for row in ready.groupBy(*keys).agg(*sketches).collect():
+            sketches[f"{i}_{j}"] = held
+        for row in sketched(ready, sketches, _GRID, keys).collect():
             group = tuple(row[k] for k in keys)
             for i, j in wanted:
                 if (group, i, j) in open_targets:
                     t = targets[(group, i)][j]
-                    t.narrow(limits[(group, i)], row[f"g_{i}_{j}"], row[f"d_{i}_{j}"])
+                    t.narrow(limits[(group, i)], row[f"q_{i}_{j}"], row[f"d_{i}_{j}"])
 
 
 def _pick(base, targets, width: int, depth: int, keys: list[str]) -> dict[tuple, float]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEED = 42
 SPACE = 2**32
@@ -13,11 +12,9 @@ TRIM_ROWS = 100_000
 
 
 def sample_hash(df: DataFrame, key: str, seed: int = SEED) -> Column:
-    """Hash of the row key in 0 … 2³²−1; multiplicative for integers."""
-    if isinstance(df.schema[key].dataType, T.IntegralType):
-        low = F.pmod(F.col(key).cast("bigint"), F.lit(2**31))
-        return (low * F.lit(2654435761) + F.lit(seed)) % F.lit(SPACE)
-    return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(SPACE))
+    """Leading 32 bits of the MD5 of ``key:seed``; a missing key counts as an empty text."""
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def lowest_hashes(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:

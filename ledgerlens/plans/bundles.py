@@ -13,7 +13,6 @@ from ledgerlens.functions.stats import percent, tidy
 from ledgerlens.operators import classes, clustering, correlation, outliers, profile, temporal
 from ledgerlens.operators.histogram import histogram
 from ledgerlens.operators.lookup import few_groups, lookup_join
-from ledgerlens.operators.sampling import sampling_info
 from ledgerlens.operators.two_sample import (
     ks_two_sample,
     mann_whitney_u,
@@ -78,11 +77,16 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def analyse_patterns(
-    df: DataFrame, roles: Roles, n_init: int = 10, sample_limit: int = 50_000, max_k: int = 10,
+    df: DataFrame, roles: Roles, n_init: int = 10, max_k: int = 10,
 ) -> dict[str, DataFrame]:
     """Every pattern module the roles allow, over all rows."""
     cols = numeric_cols(df)
-    out = {"dataset_info": sampling_info(df, sample_limit)}
+    read = df.agg(F.count("*").alias("original_size"))
+    # Every row is analysed; no sample is taken.
+    out = {"dataset_info": read.select(
+        "original_size", F.col("original_size").alias("analyzed_size"),
+        F.lit(False).alias("sampling_applied"),
+    )}
     if roles.time:
         out["duration"] = temporal.duration(df, roles.time)
         out["time_gaps"] = temporal.gap_stats(df, roles.time)
@@ -111,7 +115,7 @@ def analyse_patterns(
                 )
     if len(cols) > 1:
         out["correlation_summary"] = correlation.correlation_summary(df, cols)
-        out["high_correlations"] = correlation.high_correlations(df, cols, limit=20)
+        out["high_correlations"] = correlation.high_correlations(df, cols)
         out["strong_correlations"] = correlation.strong_correlations(df, cols)
         if roles.label:
             out["target_top"] = correlation.target_top(df, roles.label, 10, cols)
@@ -125,9 +129,9 @@ def analyse_patterns(
         if roles.time:
             out["time_test"] = ks_two_sample(df, [roles.time], roles.label)
         if roles.features:
-            out["feature_tests"] = t_test_by_class(df, roles.features, roles.label, 10)
+            out["feature_tests"] = t_test_by_class(df, roles.features, roles.label)
             out["significant_features"] = significant_features(
-                df, roles.features, roles.label, limit=10
+                df, roles.features, roles.label
             )
     out["key_findings"] = key_findings(df, roles, cols, out.get("cluster_separation"))
     return out

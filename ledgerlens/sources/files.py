@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from ledgerlens.roles import normalise_missing
 
-MAX_FILE_MB = 150.0
 CORRUPT = "_corrupt_record"
 
 
@@ -64,7 +63,7 @@ def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_quality(
     spark: SparkSession, path: str, schema: T.StructType, sep: str = ",",
-    max_file_mb: float = MAX_FILE_MB, header: bool = True,
+    max_file_mb: float | None = None, header: bool = True,
 ) -> DataFrame:
     """One row per file: rows, corrupt rows, and the structural checks with a verdict.
 
@@ -105,7 +104,7 @@ def csv_quality(
     joined = text.join(parsed, F.col("file_path") == F.col("text_path"), "left")
     count = {c: F.coalesce(c, F.lit(0)) for c in ("rows", "corrupt_rows", "empty_rows")}
     problem = (
-        F.when(F.col("size_bytes") > max_file_mb * 1024 * 1024, "too large")
+        F.when(F.col("size_bytes") > F.lit(max_file_mb) * 1024 * 1024, "too large")
         .when(~F.lower("text_path").endswith(".csv"), "not a csv file")
         .when(F.col("undecodable_lines") > 0, "not UTF-8")
         .when(F.col("separated_lines") == 0, "no separator")
@@ -119,12 +118,6 @@ def csv_quality(
     )
 
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file; for files below the 2 GB limit of a binary cell."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
-
-
 def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(rows, fingerprint) of a table of any size, independent of row order.
 
