@@ -313,7 +313,7 @@ def interaction(spark, sf_dir):
 
 @register("anomaly_clusters")
 def anomaly_clusters(spark, sf_dir):
-    found = insight.anomaly_clusters(tx(spark, sf_dir), ["amount", "user_id"], n_init=1, max_k=4)
+    found = insight.anomaly_clusters(tx(spark, sf_dir), ["amount", "user_id"])
     return found.summary
 
 

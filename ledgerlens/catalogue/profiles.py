@@ -426,7 +426,7 @@ def profile_bundle_query(spark, sf_dir):
 @register("pattern_bundle")
 def pattern_bundle(spark, sf_dir):
     roles = Roles("time", "amount", "label", ("amount", "user_id"))
-    return _section_rows(analyse_patterns(tx(spark, sf_dir).drop("event_id"), roles, n_init=1, max_k=3))
+    return _section_rows(analyse_patterns(tx(spark, sf_dir).drop("event_id"), roles))
 
 
 _SEG = ["quantity", "price"]

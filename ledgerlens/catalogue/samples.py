@@ -62,15 +62,27 @@ def standardise(spark, sf_dir):
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     """(k, inertia, silhouette) and the chosen k; initialisation depends on partitioning."""
-    found = clustering.analyse_clusters(emb(spark, sf_dir), EMB_FEATURES, n_init=1, max_k=5)
+    found = clustering.analyse_clusters(emb(spark, sf_dir), EMB_FEATURES)
     return found.curve.withColumn("optimal_k", F.lit(found.optimal_k))
 
 
-@register("final_clustering")
+# Event types lie so far apart that the best five clusters are the types.
+_APART = "apart AS (SELECT " + ", ".join(
+    f"({{kind}}) * 1000000 + {e} AS {c}" for c, e in (("a", "value"), ("b", "user_id % 100"))) + " FROM events)"
+
+
+@register("final_clustering", with_views(
+    f"SELECT count(*) AS size, {r('avg(a)', 4)} AS a, {r('avg(b)', 4)} AS b FROM apart GROUP BY floor(b / 1000000)",
+    _APART.format(kind="dense_rank() OVER (ORDER BY event_type)")))
 def final_clustering(spark, sf_dir):
-    """Size of every cluster after the refit with the elbow's k."""
-    found = clustering.analyse_clusters(tx(spark, sf_dir), ["amount", "user_id"], n_init=1, max_k=4)
-    return found.assigned.groupBy("cluster").agg(F.count("*").alias("size"))
+    """Size and centre of every cluster with the elbow's k."""
+    events = table(spark, sf_dir, "events")
+    kinds = [x.event_type for x in events.select("event_type").distinct().orderBy("event_type").collect()]
+    kind = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("event_type")) * 1_000_000
+    apart = events.select((kind + F.col("value")).alias("a"), (kind + F.col("user_id") % 100).cast("double").alias("b"))
+    found = clustering.analyse_clusters(apart, ["a", "b"], n_init=3)
+    sizes = found.assigned.groupBy("cluster").agg(F.count("*").alias("size"), F.avg("a").alias("a"), F.avg("b").alias("b"))
+    return rounded(sizes.drop("cluster"), 4)
 
 
 # nested groupings of the given clusters: a deterministic falling inertia curve

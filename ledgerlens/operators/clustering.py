@@ -50,9 +50,12 @@ def vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> Da
 
 
 def fit_kmeans(
-    data: DataFrame, k: int, n_init: int = 10, seed: int = SEED, max_iter: int = 100
+    data: DataFrame, k: int, n_init: int = 1, seed: int = SEED, max_iter: int = 100
 ) -> KMeansModel:
-    """Best of ``n_init`` seeded runs by training cost; ``data`` has ``features``."""
+    """Best of ``n_init`` seeded k-means|| runs by training cost; ``data`` has ``features``.
+
+    One run is the default: its starting points already come from several sampling passes.
+    """
     best = None
     for start in range(n_init):
         model = KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=1e-4).fit(data)
@@ -167,10 +170,10 @@ class Clustering:
 
 
 def kmeans_sweep(
-    data: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = SEED
-) -> list[tuple[int, float, float | None]]:
-    """(k, inertia, silhouette for k ≤ 8) on standardised ``features``."""
-    out = []
+    data: DataFrame, ks: Sequence[int], n_init: int = 1, seed: int = SEED
+) -> tuple[list[tuple[int, float, float | None]], dict[int, KMeansModel]]:
+    """(k, inertia, silhouette for k ≤ 8) on standardised ``features``, and the models."""
+    out, models = [], {}
     for k in ks:
         model = fit_kmeans(data, k, n_init, seed)
         score = None
@@ -179,14 +182,15 @@ def kmeans_sweep(
             found = placed.select("prediction").distinct().count()
             score = silhouette(placed, "features", "prediction") if found > 1 else 0.0
         out.append((k, float(model.summary.trainingCost), score))
-    return out
+        models[k] = model
+    return out, models
 
 
 def analyse_clusters(
-    df: DataFrame, features: Sequence[str], n_init: int = 10, seed: int = SEED,
+    df: DataFrame, features: Sequence[str], n_init: int = 1, seed: int = SEED,
     max_k: int = 10,
 ) -> Clustering:
-    """Sweep k, pick the elbow, refit, and assign every complete row."""
+    """Sweep k, pick the elbow, and assign every complete row by that k's model."""
     if len(features) < 2:
         return Clustering("fewer than two features")
     rows = complete_rows(df, features)
@@ -198,10 +202,10 @@ def analyse_clusters(
     spark = df.sparkSession
     try:
         ks = range(2, max(2, min(max_k, n // 10)) + 1)
-        sweep = kmeans_sweep(data, ks, n_init, seed)
+        sweep, models = kmeans_sweep(data, ks, n_init, seed)
         curve = spark.createDataFrame(sweep, "k int, inertia double, silhouette double")
         best = elbow_k(curve).head().optimal_k
-        model = fit_kmeans(data, best, n_init, seed)
+        model = models[best] if best in models else fit_kmeans(data, best, n_init, seed)
         placed = model.transform(data)
         score = silhouette(placed, "features", "prediction")
     finally:

@@ -67,7 +67,7 @@ def interaction(df: DataFrame, a: str, b: str, label: str, bins: int = 4) -> Dat
 
 
 def anomaly_clusters(
-    df: DataFrame, features: Sequence[str], method: str = "iqr", n_init: int = 10,
+    df: DataFrame, features: Sequence[str], method: str = "iqr", n_init: int = 1,
     max_k: int = 10,
 ) -> Clustering:
     """Cluster only the rows that are an outlier in some feature."""

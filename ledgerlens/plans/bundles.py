@@ -77,7 +77,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def analyse_patterns(
-    df: DataFrame, roles: Roles, n_init: int = 10, max_k: int = 10,
+    df: DataFrame, roles: Roles, n_init: int = 1, max_k: int = 10,
 ) -> dict[str, DataFrame]:
     """Every pattern module the roles allow, over all rows."""
     cols = numeric_cols(df)
