@@ -14,15 +14,22 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
-from ledgerlens.llm.registry import documents, register
+from ledgerlens.llm.registry import documents, join_keys, register
 from ledgerlens.session import materialise
 
 #: Shingles of the sets that one search task holds (8 bytes each, and as many list entries).
 BLOCK_SHINGLES = 300_000
-#: Bits of the filter that says which sets are worth sending; its size never changes.
-FILTER_BITS = 23
+#: Bits of the filters that say which signatures and sets are worth sending; their size
+#: never changes.
+FILTER_BITS = 25
+#: Sets of one signature that one task compares; larger groups are cut into blocks.
+HOT_GROUP = 2_000
+#: 64-bit words of a set's parity sketch.
+SKETCH_WORDS = 16
 #: Weight of binary probes against heap steps when lists are divided into long and short.
 PROBE_WEIGHT = 0.01
+#: Key tables up to this many rows are broadcast, larger ones are shuffled.
+BROADCAST_KEYS = 100_000
 
 
 # -- sets of shingles ---------------------------------------------------------------
@@ -121,6 +128,78 @@ class Bands:
             yield of[emit], W.mix(sums[emit] + seed[emit])
 
 
+def parity_sketches(value: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """(n, SKETCH_WORDS): each shingle flips one bit, so sketches of two sets differ in at
+    most as many bits as the sets differ in shingles."""
+    bit = (W.mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)).astype(np.int64)
+    bits = SKETCH_WORDS * 64
+    odd = (np.bincount(row * bits + bit % bits, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
+
+
+def compatible_links(
+    ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all sets of a group which their sketches allow to link.
+
+    Breadth first as :func:`spanning_links`: what was reached is not compared again.
+    """
+    waiting, links = np.arange(len(ids)), []
+    while len(waiting):
+        queue, waiting = [waiting[0]], waiting[1:]
+        for k in queue:
+            if not len(waiting):
+                break
+            differ = np.bitwise_count(sketches[waiting] ^ sketches[k]).sum(axis=1, dtype=np.int64)
+            most = (sizes[waiting] + sizes[k]) * (100 - percent) // (100 + percent)
+            met = differ <= most
+            for x in waiting[met].tolist():
+                links.append((ids[k], ids[x]))
+                queue.append(x)
+            waiting = waiting[~met]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _grouped_links(percent: int):
+    """Compatible links of each run of equal ``group``; rows come sorted by it."""
+
+    def links_of(group, ids, sizes, sketches) -> pa.RecordBatch:
+        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        ends = np.append(heads[1:], len(group))
+        pairs = heads[ends - heads == 2]  # nearly all groups
+        differ = np.bitwise_count(sketches[pairs] ^ sketches[pairs + 1]).sum(axis=1, dtype=np.int64)
+        most = (sizes[pairs] + sizes[pairs + 1]) * (100 - percent) // (100 + percent)
+        pairs = pairs[differ <= most]
+        out = [(ids[pairs], ids[pairs + 1])]
+        for head, end in zip(heads, ends, strict=True):
+            if end - head > 2:
+                own = slice(head, end)
+                out.append(compatible_links(ids[own], sizes[own], sketches[own], percent))
+        made = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = b"".join(batch.column(3).to_pylist())
+            now = [
+                *(batch.column(k).to_numpy() for k in range(3)),
+                np.frombuffer(sketch, np.uint64).reshape(-1, SKETCH_WORDS),
+            ]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            last = int(np.searchsorted(held[0] == held[0][-1], True))  # the group may go on
+            if last:
+                yield links_of(*[x[:last] for x in held])
+                held = [x[last:] for x in held]
+        if held:
+            yield links_of(*held)
+
+    return work
+
+
 # -- search -------------------------------------------------------------------------
 
 
@@ -229,6 +308,39 @@ def spanning_links(sets: list[list[int]], side: list[int], percent: int) -> list
     return links
 
 
+# -- filters ------------------------------------------------------------------------
+
+
+def _filter_of(keys: DataFrame, column: str):
+    """A broadcast bitmap of hashed keys: ``2**FILTER_BITS`` bits whatever their number."""
+    words = 1 << (FILTER_BITS - 6)
+    key = F.col(column)
+    marks = keys.groupBy(F.shiftright(key, 6).bitwiseAND(words - 1).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")).alias("bits")
+    )
+    table = np.zeros(words, np.uint64)
+    packed = marks.groupBy((F.col("word") % 256).alias("slice")).agg(
+        F.collect_list("word").alias("words"), F.collect_list("bits").alias("bits")
+    )
+    for row in packed.toLocalIterator():  # at most `words` numbers in all
+        table[np.array(row.words, np.int64)] = np.array(row.bits, np.int64).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word = table[(keys >> np.uint64(6)) & np.uint64(len(table) - 1)]
+    return ((word >> (keys & np.uint64(63))) & np.uint64(1)) > 0
+
+
+def _first_seen(ids: np.ndarray, sent: set[int]) -> np.ndarray:
+    """Mask of the ids that are not in ``sent``, which gets them."""
+    new = np.zeros(len(ids), bool)
+    for k, x in enumerate(ids.tolist()):
+        new[k] = x not in sent
+        sent.add(x)
+    return new
+
+
 # -- the join -----------------------------------------------------------------------
 
 
@@ -261,43 +373,59 @@ def near_sets(
         for batch in batches:
             sent: set[int] = set()  # equal sets of a batch are sent once
             for value, row, size, ids in per_text(batch.column(0), width):
-                new = np.zeros(len(size), bool)
-                for k, x in enumerate(ids.tolist()):
-                    new[k] = x not in sent
-                    sent.add(x)
+                new = _first_seen(ids, sent)
                 kept = new[row]
+                for _, sig in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["sig"])
+
+    counted = texts.mapInArrow(signatures, "sig long").groupBy("sig").agg(F.count("*").alias("n"))
+    shared = materialise(counted.filter("n > 1"))
+    may_share = _filter_of(shared, "sig")
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent, largest)
+        for batch in batches:
+            sent: set[int] = set()
+            for value, row, size, ids in per_text(batch.column(0), width):
+                new = _first_seen(ids, sent)
+                kept = new[row]
+                sketches = parity_sketches(value, row, len(size))
+                raw = sketches.tobytes()
+                step = 8 * SKETCH_WORDS
                 for of, sig in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
+                    use = _passes(may_share.value, sig)
+                    of, sig = of[use], sig[use]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig.view(np.int64)), pa.array(ids[of].view(np.int64))],
-                        ["sig", "set_id"],
-                    )
-
-    signed = texts.mapInArrow(signatures, "sig long, set_id long")
-    shared = materialise(
-        signed.groupBy("sig").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
-        .filter("a <> b").select("sig", "a")
+                        [pa.array(sig.view(np.int64)), pa.array(ids[of].view(np.int64)),
+                         pa.array(size[of].astype(np.int64)),
+                         pa.array([raw[k * step : (k + 1) * step] for k in of.tolist()], pa.binary())],
+                        ["sig", "set_id", "size", "sketch"],
+                    )
+
+    signed = texts.mapInArrow(sketched, "sig long, set_id long, size long, sketch binary")
+    hot = materialise(
+        shared.filter(F.col("n") > HOT_GROUP)
+        .select("sig", F.ceil(F.col("n") / HOT_GROUP).cast("int").alias("blocks"))
     )
-    stars = signed.join(shared, "sig").filter("set_id <> a").select("a", F.col("set_id").alias("b"))
-    candidates = materialise(components(stars))
-
-    # Only sets that have a candidate are sent on: a filter of fixed size says which may.
-    words = 1 << (FILTER_BITS - 6)
-    marks = candidates.groupBy((F.shiftright("node", 6).bitwiseAND(words - 1)).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")
+    signed = join_keys(signed, hot, ["sig"], "left", BROADCAST_KEYS)
+    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
+    signed = signed.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("met", met)
+    group = F.when(F.col("blocks").isNull(), F.col("sig")).otherwise(
+        F.xxhash64("sig", F.least("block", "met"), F.greatest("block", "met"))
     )
-    table = np.zeros(words, np.uint64)
-    for word, bits in marks.collect():  # at most `words` rows
-        table[word] = bits & 0xFFFFFFFFFFFFFFFF
-    hint = df.sparkSession.sparkContext.broadcast(table)
+    signed = signed.select(group.alias("group"), "set_id", "size", "sketch")
+    signed = signed.repartition("group").sortWithinPartitions("group")
+    links = signed.mapInArrow(_grouped_links(percent), "a long, b long").filter("a <> b").distinct()
+    candidates = materialise(components(links))
+    hint = _filter_of(candidates, "node")
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sent: set[int] = set()
             keys, sets = [], []
             for value, row, size, ids in per_text(batch.column(0), width):
-                word = hint.value[(ids >> np.uint64(6)) & np.uint64(words - 1)]
-                maybe = (word >> (ids & np.uint64(63))) & np.uint64(1)
-                for k in np.flatnonzero((maybe > 0) & (size > 0)).tolist():
+                for k in np.flatnonzero(_passes(hint.value, ids) & (size > 0)).tolist():
                     if int(ids[k]) not in sent:
                         sent.add(int(ids[k]))
                         keys.append(int(ids[k].view(np.int64)))
@@ -356,7 +484,8 @@ def jaccard_components(
     Texts link when ``100 * intersection >= percent * union`` of their sets of word
     shingles; ``component_id`` is the least id that links reach. Equal sets are one set
     from the first scan on. Signatures of parts (:class:`Bands`) bring every two sets that
-    can link into one candidate group; within it, :func:`divide_skip` searches inverted
+    can link together, and parity sketches part those of them that cannot, such as texts
+    with a passage in common; within what is left, :func:`divide_skip` searches inverted
     lists for sets with the required overlap, and sets that were reached leave the lists.
     Shingles and sets go by 64-bit hashes.
 

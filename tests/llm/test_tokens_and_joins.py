@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -283,3 +284,29 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
         assert bool(kept) == bool(given)
 
 
+
+
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    for drop in (0, 1, 20, 150):
+        a, b = np.unique(base[drop:]), np.unique(base[: 400 - drop // 2])
+        row = np.repeat([0, 1], [len(a), len(b)])
+        x, y = jaccard_join.parity_sketches(np.concatenate([a, b]), row, 2)
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_groups_may_span_batches():
+    rng = np.random.default_rng(9)
+    words = jaccard_join.SKETCH_WORDS
+    near = rng.integers(0, 2**63, words, dtype=np.uint64)
+    groups = np.sort(rng.integers(0, 30, 200))
+    sketches = [near.tobytes() if k % 3 else bytes(8 * words) for k in range(200)]
+    rows = [pa.array(groups), pa.array(np.arange(200)), pa.array(np.full(200, 50)), pa.array(sketches, pa.binary())]
+    whole = pa.RecordBatch.from_arrays(rows, ["group", "set_id", "size", "sketch"])
+    for step in (1, 7, 200):
+        batches = iter([whole.slice(k, step) for k in range(0, 200, step)])
+        links = [x for b in jaccard_join._grouped_links(80)(batches) for x in zip(*b.to_pydict().values(), strict=True)]
+        want = [(a, b) for a, b in itertools.combinations(range(200), 2)
+                if groups[a] == groups[b] and (a % 3 > 0) == (b % 3 > 0)]
+        assert classes(200, links) == classes(200, want)
