@@ -15,9 +15,9 @@ from ledgerlens.llm.registry import documents, register, text_or_empty
 from ledgerlens.session import materialise
 
 #: Bytes of text whose words make one block of postings, and whose grams are counted at once.
-POSTING_BYTES, GRAM_BYTES = 8 << 20, 4 << 20
+POSTING_BYTES, GRAM_BYTES = 4 << 20, 2 << 20
 #: Distinct entries that a task gathers before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
 

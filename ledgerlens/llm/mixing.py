@@ -20,7 +20,7 @@ ORDERS = 5
 INPUTS = ORDERS + 1
 #: Gates: how many of the byte contexts were seen, and how often the word context was.
 GATES = 4 * (ORDERS + 1)
-REGION_BITS, SLOT_BITS = 6, 19
+REGION_BITS, SLOT_BITS = 7, 18
 #: What is added to the counts of zeros and ones of a slot.
 PRIOR = 0.1
 #: Grams of one step of the mixer, and its learning rate.
