@@ -137,10 +137,15 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     )
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """The full tidy matrix (var1, var2, r): both triangles and the diagonal."""
+def correlation_matrix(
+    df: DataFrame, cols: Sequence[str] | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
+    """The full tidy matrix (var1, var2, r): both triangles and the diagonal.
+
+    ``pairs``, here and below, is a ready :func:`correlation_pairs` of the same columns.
+    """
     cols = list(cols if cols is not None else numeric_cols(df))
-    pairs = correlation_pairs(df, cols)
+    pairs = correlation_pairs(df, cols) if pairs is None else pairs
     both = pairs.select(
         F.inline(
             F.array(
@@ -162,11 +167,12 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None) -> Data
 
 def high_correlations(
     df: DataFrame, cols: Sequence[str] | None = None, threshold: float = 0.5,
-    limit: int | None = None, by_strength: bool = False,
+    limit: int | None = None, by_strength: bool = False, pairs: DataFrame | None = None,
 ) -> DataFrame:
     """Pairs with |r| above the threshold and their strength; optional first ``limit``."""
     strength = F.when(F.abs("r") > 0.8, "very_high").when(F.abs("r") > 0.5, "high")
-    table = correlation_pairs(df, cols).where(F.abs("r") > threshold)
+    pairs = correlation_pairs(df, cols) if pairs is None else pairs
+    table = pairs.where(F.abs("r") > threshold)
     table = table.withColumn("strength", strength)
     if limit is None:
         return table
@@ -174,9 +180,11 @@ def high_correlations(
     return table.orderBy(*order).limit(limit)
 
 
-def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def strong_correlations(
+    df: DataFrame, cols: Sequence[str] | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Pairs with |r| > 0.8."""
-    return high_correlations(df, cols, 0.8)
+    return high_correlations(df, cols, 0.8, pairs=pairs)
 
 
 def feature_pairs(
@@ -217,10 +225,13 @@ def target_extremes(df: DataFrame, label: str, cols: Sequence[str] | None = None
     )
 
 
-def correlation_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def correlation_summary(
+    df: DataFrame, cols: Sequence[str] | None = None, pairs: DataFrame | None = None
+) -> DataFrame:
     """Mean and maximum |r|, counts over 0.5 and 0.8, pairs, undefined pairs."""
     size = F.abs("r")
-    return correlation_pairs(df, cols).agg(
+    pairs = correlation_pairs(df, cols) if pairs is None else pairs
+    return pairs.agg(
         F.avg(size).alias("mean_correlation"),
         F.max(size).alias("max_correlation"),
         F.count_if(size > 0.5).alias("correlations_over_05"),

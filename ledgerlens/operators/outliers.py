@@ -95,9 +95,14 @@ def _columns(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
     return list(cols if cols is not None else numeric_cols(df))
 
 
-def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Count, percentage and fence per column."""
-    found = bounds(df, _columns(df, cols), ["iqr"])
+def outliers_iqr(
+    df: DataFrame, cols: Sequence[str] | None = None, found: dict | None = None
+) -> DataFrame:
+    """Count, percentage and fence per column.
+
+    ``found``, here and below, are ready :func:`bounds` of the same columns.
+    """
+    found = found or bounds(df, _columns(df, cols), ["iqr"])
     aggs, fields = [], {}
     for i, (c, b) in enumerate(found.items()):
         x = as_double(df, c)
@@ -111,9 +116,11 @@ def outliers_iqr(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return tidy(df.agg(*aggs), fields)
 
 
-def outliers_zscore(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def outliers_zscore(
+    df: DataFrame, cols: Sequence[str] | None = None, found: dict | None = None
+) -> DataFrame:
     """Count, percentage, largest and mean |z| per column (population σ)."""
-    found = bounds(df, _columns(df, cols), ["zscore"])
+    found = found or bounds(df, _columns(df, cols), ["zscore"])
     aggs, fields = [], {}
     for i, (c, b) in enumerate(found.items()):
         x = as_double(df, c)
@@ -133,9 +140,11 @@ def outliers_zscore(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     return tidy(df.agg(*aggs), fields)
 
 
-def outliers_modified_z(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def outliers_modified_z(
+    df: DataFrame, cols: Sequence[str] | None = None, found: dict | None = None
+) -> DataFrame:
     """Count and percentage per column; columns with MAD 0 are left out."""
-    found = bounds(df, _columns(df, cols), ["modified_zscore"])
+    found = found or bounds(df, _columns(df, cols), ["modified_zscore"])
     aggs, fields = [F.count("*").alias("rows")], {}
     for i, (c, b) in enumerate(found.items()):
         if not b.mad:
@@ -158,10 +167,10 @@ def outliers_modified_z(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
 
 def outlier_label_rate(
-    df: DataFrame, label: str, cols: Sequence[str] | None = None
+    df: DataFrame, label: str, cols: Sequence[str] | None = None, found: dict | None = None
 ) -> DataFrame:
     """Label rate overall and among fence outliers of each column, from the same rows."""
-    found = bounds(df, _columns(df, cols), ["iqr"])
+    found = found or bounds(df, _columns(df, cols), ["iqr"])
     y = as_double(df, label)
     aggs, fields = [F.avg(y).alias("overall")], {}
     for i, (c, b) in enumerate(found.items()):
@@ -176,10 +185,12 @@ def outlier_label_rate(
     return tidy(df.agg(*aggs), fields)
 
 
-def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def outlier_summary(
+    df: DataFrame, cols: Sequence[str] | None = None, found: dict | None = None
+) -> DataFrame:
     """Totals per method, columns analysed, and the first column with most fence outliers."""
     names = _columns(df, cols)
-    found = bounds(df, names, ["iqr", "zscore"])
+    found = found or bounds(df, names, ["iqr", "zscore"])
     aggs, fields = [], {}
     for i, (c, b) in enumerate(found.items()):
         x = as_double(df, c)

@@ -39,14 +39,22 @@ def profile_bundle(
 ) -> dict[str, DataFrame]:
     """The seven sections of a profile; wrap ``df`` in :func:`shared_input` to share scans."""
     cols = numeric_cols(df, exclude)
+    # One run of quantiles serves the summary and the percentiles.
+    quarters = (0.25, 0.5, 0.75)
+    ranks = materialise(profile.quantiles(df, cols, (*quarters, *profile.PERCENTILES)))
     out = {
         "file_info": dataset_info(df),
         "data_types": profile.column_types(df),
-        "numeric_statistics": profile.numeric_summary(df, cols),
+        "numeric_statistics": profile.with_quantiles(
+            profile.moments(df, cols), ranks, ("q1", "median", "q3"), ()
+        ),
         "categorical_statistics": profile.categorical_summary(df),
         "value_counts": profile.value_counts(df),
         "histograms": histogram(df, cols, bins),
-        "percentiles": profile.percentiles(df, cols),
+        "percentiles": ranks.select("column", *[
+            F.get("q", len(quarters) + i).alias(f"p{round(p * 100):d}")
+            for i, p in enumerate(profile.PERCENTILES)
+        ]),
         "missing_by_column": profile.missing_by_column(df),
         "missing_summary": profile.missing_summary(df),
     }
@@ -59,8 +67,9 @@ def profile_bundle(
         if roles.amount:
             out["amount_by_class"] = classes.describe_by_class(df, [roles.amount], roles.label)
     if len(cols) > 1:
-        out["correlation_matrix"] = correlation.correlation_matrix(df, cols)
-        out["high_correlations"] = correlation.high_correlations(df, cols)
+        pairs = materialise(correlation.correlation_pairs(df, cols))
+        out["correlation_matrix"] = correlation.correlation_matrix(df, cols, pairs)
+        out["high_correlations"] = correlation.high_correlations(df, cols, pairs=pairs)
     return out
 
 
@@ -94,12 +103,20 @@ def analyse_patterns(
         out["weekly_pattern"] = temporal.weekly_pattern(df, roles.time)
         if roles.label:
             out["time_by_class"] = temporal.time_by_class(df, roles.time, roles.label)
-    out["outliers_iqr"] = outliers.outliers_iqr(df, cols)
-    out["outliers_zscore"] = outliers.outliers_zscore(df, cols)
-    out["outliers_modified_zscore"] = outliers.outliers_modified_z(df, cols)
-    out["outlier_summary"] = outliers.outlier_summary(df, cols)
+    # Fences, pairs and the order test are found once and passed to all that need them.
+    found_bounds = outliers.bounds(df, cols, outliers.METHODS)
+    pairs = materialise(correlation.correlation_pairs(df, cols)) if len(cols) > 1 else None
+    timing = None
+    if roles.time and roles.label:
+        timing = materialise(ks_two_sample(df, [roles.time], roles.label))
+    out["outliers_iqr"] = outliers.outliers_iqr(df, cols, found_bounds)
+    out["outliers_zscore"] = outliers.outliers_zscore(df, cols, found_bounds)
+    out["outliers_modified_zscore"] = outliers.outliers_modified_z(df, cols, found_bounds)
+    out["outlier_summary"] = materialise(outliers.outlier_summary(df, cols, found_bounds))
     if roles.label:
-        out["outlier_label_rate"] = outliers.outlier_label_rate(df, roles.label, cols)
+        out["outlier_label_rate"] = outliers.outlier_label_rate(
+            df, roles.label, cols, found_bounds
+        )
     if len(roles.features) > 1:
         found = clustering.analyse_clusters(df, roles.features, n_init, max_k=max_k)
         if found.reason is None:
@@ -114,9 +131,9 @@ def analyse_patterns(
                     found.assigned, roles.label, "cluster"
                 )
     if len(cols) > 1:
-        out["correlation_summary"] = correlation.correlation_summary(df, cols)
-        out["high_correlations"] = correlation.high_correlations(df, cols)
-        out["strong_correlations"] = correlation.strong_correlations(df, cols)
+        out["correlation_summary"] = correlation.correlation_summary(df, cols, pairs)
+        out["high_correlations"] = correlation.high_correlations(df, cols, pairs=pairs)
+        out["strong_correlations"] = correlation.strong_correlations(df, cols, pairs)
         if roles.label:
             out["target_top"] = correlation.target_top(df, roles.label, 10, cols)
             out["target_extremes"] = correlation.target_extremes(df, roles.label, cols)
@@ -127,21 +144,28 @@ def analyse_patterns(
             out["amount_test"] = mann_whitney_u(df, [roles.amount], roles.label)
             out["zero_amounts"] = classes.zero_amounts_by_class(df, roles.amount, roles.label)
         if roles.time:
-            out["time_test"] = ks_two_sample(df, [roles.time], roles.label)
+            out["time_test"] = timing
         if roles.features:
             out["feature_tests"] = t_test_by_class(df, roles.features, roles.label)
             out["significant_features"] = significant_features(
                 df, roles.features, roles.label
             )
-    out["key_findings"] = key_findings(df, roles, cols, out.get("cluster_separation"))
+    out["key_findings"] = key_findings(
+        df, roles, cols, out.get("cluster_separation"), timing, out["outlier_summary"],
+        out.get("correlation_summary"),
+    )
     return out
 
 
 def key_findings(
     df: DataFrame, roles: Roles, cols: Sequence[str] | None = None,
-    separation: DataFrame | None = None,
+    separation: DataFrame | None = None, timing: DataFrame | None = None,
+    outlier_table: DataFrame | None = None, correlations: DataFrame | None = None,
 ) -> DataFrame:
-    """(rule, finding): the sentences whose rule holds, or the default sentence."""
+    """(rule, finding): the sentences whose rule holds, or the default sentence.
+
+    The last three arguments are the tables of those rules where they are ready.
+    """
     cols = list(cols if cols is not None else numeric_cols(df))
     found: list[DataFrame] = []
 
@@ -150,20 +174,25 @@ def key_findings(
 
     # The sentences of the findings list.
     if roles.time and roles.label:
-        timing = ks_two_sample(df, [roles.time], roles.label)
+        if timing is None:
+            timing = ks_two_sample(df, [roles.time], roles.label)
         text = "Fraud transactions have significantly different timing patterns"
         add(1, timing, F.col("significant"), F.lit(text))
     if cols:
         total = F.col("total_outliers_iqr")
         text = F.format_string("Detected %d outliers across all features", total)
-        add(2, outliers.outlier_summary(df, cols), total > 0, text)
+        if outlier_table is None:
+            outlier_table = outliers.outlier_summary(df, cols)
+        add(2, outlier_table, total > 0, text)
     if separation is not None:
         text = "Clustering effectively separates fraud from normal transactions"
         add(3, separation, F.col("separates"), F.lit(text))
     if len(cols) > 1:
         high = F.col("correlations_over_05")
         text = F.format_string("Found %d high correlations between variables", high)
-        add(4, correlation.correlation_summary(df, cols), high > 0, text)
+        if correlations is None:
+            correlations = correlation.correlation_summary(df, cols)
+        add(4, correlations, high > 0, text)
     if roles.label:
         both = (F.col("positive_count") > 0) & (F.col("negative_count") > 0)
         text = F.format_string("Dataset has %.2f%% fraud rate", F.col("positive_pct"))
