@@ -25,6 +25,9 @@ MIN_CHUNK, MAX_CHUNK = 128, 4096
 #: is not in it is encoded where it occurs, so results do not depend on it.
 DICTIONARY = 8_192
 
+#: Tokens of a batch of results.
+OUT_TOKENS = 500_000
+
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -203,8 +206,8 @@ def encode_documents(
         known = {chunk: Encoded(chunk, ids_of) for chunk in shared.value}
         names = _token_texts(ids_of)
         for batch in batches:
-            ids, decoded = [], []
-            for chunks in chunks_of(batch.column(1)):
+            first, size, ids, decoded = 0, 0, [], []
+            for row, chunks in enumerate(chunks_of(batch.column(1))):
                 try:
                     packed = encode_chunks(chunks, known, ids_of)
                 except Disagreement:
@@ -212,10 +215,15 @@ def encode_documents(
                 own = np.frombuffer(packed, "<u4")
                 ids.append(own.astype("int32"))
                 decoded.append(" ".join(map(names.__getitem__, own.tolist())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)],
-                ["doc_id", "ids", "tokens"],
-            )
+                size += len(own)
+                # Results are larger than texts, so they leave in smaller batches.
+                if size > OUT_TOKENS or row + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(first, row + 1 - first),
+                         pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                        ["doc_id", "ids", "tokens"],
+                    )
+                    first, size, ids, decoded = row + 1, 0, [], []
 
     return rows.mapInArrow(work, f"doc_id {id_type}, ids array<int>, tokens string")
 

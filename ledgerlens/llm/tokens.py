@@ -7,7 +7,7 @@ import re
 from tokenizers import Tokenizer
 
 #: Entries remembered at most; beyond that a memo starts anew, so memory stays bounded.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Longer words are encoded each time and not remembered.
 MEMO_BYTES = 64
 
