@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.catalogue.registry import TX, r, register, rounded, table, tx, union_all, with_views
@@ -132,12 +135,25 @@ def incremental_profile(spark, sf_dir):
     return rounded(incremental.read_profile(spark, state).drop("approx_quantiles"), 7)
 
 
+@register("incremental_folded", union_all(_moments_sql(c) for c in LINE_NUMBERS))
+def incremental_folded(spark, sf_dir):
+    """Two arrivals with a fold between them, and the first batch replayed after it."""
+    lines = table(spark, sf_dir, "lineitem")
+    state, early = scratch_path(spark, "state"), F.col("l_linenumber") <= 3
+    incremental.save_partial(lines.where(early), LINE_NUMBERS, state, 0)
+    incremental.fold_partials(spark, state)
+    incremental.save_partial(lines.where(~early), LINE_NUMBERS, state, 1)
+    incremental.save_partial(lines.where(early), LINE_NUMBERS, state, 0)
+    return rounded(incremental.read_profile(spark, state).drop("approx_quantiles"), 7)
+
+
 @register("merged_partials", union_all(_moments_sql(c) for c in LINE_NUMBERS))
 def merged_partials(spark, sf_dir):
     """Partials per return flag merged into one profile."""
     lines = table(spark, sf_dir, "lineitem")
-    parts = [incremental.partial_profile(lines.where(F.col("l_returnflag") == flag), LINE_NUMBERS) for flag in "ANR"]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    flags = [x.l_returnflag for x in lines.select("l_returnflag").distinct().collect()]
+    parts = [incremental.partial_profile(lines.where(F.col("l_returnflag").eqNullSafe(F.lit(flag))), LINE_NUMBERS) for flag in flags]
+    both = reduce(DataFrame.unionByName, parts)
     return rounded(incremental.finish_profile(incremental.merge_partials(both)).drop("approx_quantiles"), 7)
 
 

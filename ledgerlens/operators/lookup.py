@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FEW_GROUPS = 1_000
-SALTS = 32
 
 
 def few_groups(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -25,7 +24,7 @@ def lookup_join(
     """Inner join of ``rows`` with ``table`` on (row key, table key) ``pairs``.
 
     NULL keys match each other.  A table of few groups is broadcast.  Otherwise both
-    sides are salted, so the rows of one hot group are spread over SALTS tasks; which
+    sides are salted, so the rows of one hot group are spread over as many tasks as a shuffle has; which
     salt a row gets does not matter, every salt holds the whole table.
     """
     on = F.lit(True) if extra is None else extra
@@ -33,8 +32,9 @@ def lookup_join(
         on = on & F.col(left).eqNullSafe(F.col(right))
     if small:
         return rows.join(F.broadcast(table), on)
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_table_salt")
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_table_salt")
     copies = table.select("*", every)
     return salted.join(copies, on & (F.col("_salt") == F.col("_table_salt"))).drop(
         "_salt", "_table_salt"

@@ -189,8 +189,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def as_document(table: DataFrame) -> DataFrame:
-    """A bounded result table as one JSON document row."""
+def as_document(table: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A small result table as one JSON document row; larger tables go to :func:`write_json`."""
+    if table.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows do not belong in one document")
     row = F.struct(*table.columns)
     return table.agg(F.to_json(F.array_sort(F.collect_list(row))).alias("document"))
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -98,21 +99,54 @@ def incremental_profile(
 
     A replayed batch overwrites its own folder, so a restart cannot count rows twice.
     """
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        partial_profile(batch, cols).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-
     return (
-        stream.writeStream.foreachBatch(save)
+        stream.writeStream.foreachBatch(lambda batch, at: save_partial(batch, cols, state, at))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def save_partial(batch: DataFrame, cols: Sequence[str], state: str, batch_id: int) -> None:
+    """The partial of one batch, in a folder of its own."""
+    partial_profile(batch, cols).write.mode("overwrite").parquet(f"{state}/batches/batch={batch_id}")
+
+
+def _folded(spark: SparkSession, state: str) -> tuple[DataFrame | None, int]:
+    """The newest folded partials and the last batch that they contain."""
+    try:
+        versions = spark.read.parquet(f"{state}/folded")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None, -1
+    upto = versions.agg(F.max("upto")).first()[0]
+    return versions.where(F.col("upto") == upto).drop("upto"), upto
+
+
+def _partials(spark: SparkSession, state: str) -> DataFrame:
+    folded, upto = _folded(spark, state)
+    batches = spark.read.parquet(f"{state}/batches").where(F.col("batch") > upto).drop("batch")
+    return batches if folded is None else folded.unionByName(batches)
+
+
+def fold_partials(spark: SparkSession, state: str) -> int:
+    """Merge all partials so far into one row per column; returns the last batch in them.
+
+    The result is a new version beside the old ones, and readers pass over the batches that
+    it contains: a batch that is replayed later changes nothing, and folders of folded
+    batches can be removed at any time.
+    """
+    last = spark.read.parquet(f"{state}/batches").agg(F.max("batch")).first()[0]
+    merge_partials(_partials(spark, state)).write.mode("overwrite").parquet(
+        f"{state}/folded/upto={last}"
+    )
+    return last
+
+
 def read_profile(spark: SparkSession, state: str) -> DataFrame:
     """The profile of everything that has arrived."""
-    return finish_profile(merge_partials(spark.read.parquet(state)))
+    return finish_profile(merge_partials(_partials(spark, state)))
 
 
 def hourly_stream(
