@@ -25,8 +25,8 @@ MIN_CHUNK, MAX_CHUNK = 128, 4096
 #: is not in it is encoded where it occurs, so results do not depend on it.
 DICTIONARY = 8_192
 
-#: Tokens of a batch of results.
-OUT_TOKENS = 500_000
+#: Tokens of a batch of results, and words that a worker remembers.
+OUT_TOKENS, MEMO_WORDS = 500_000, 200_000
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -202,7 +202,7 @@ def encode_documents(
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(path)
+        ids_of = word_ids(path, MEMO_WORDS)
         known = {chunk: Encoded(chunk, ids_of) for chunk in shared.value}
         names = _token_texts(ids_of)
         for batch in batches:

@@ -6,8 +6,9 @@ import re
 
 from tokenizers import Tokenizer
 
-#: Entries remembered at most; beyond that a memo starts anew, so memory stays bounded.
-MEMO_WORDS = 250_000
+#: Entries remembered at most, unless the caller says otherwise; beyond that a memo starts
+#: anew, so memory stays bounded.
+MEMO_WORDS = 400_000
 #: Longer words are encoded each time and not remembered.
 MEMO_BYTES = 64
 
@@ -26,13 +27,13 @@ def _byte_letters() -> dict[int, str]:
 class _Pieces(dict):
     """Ids of a piece that the tokenizer's model gets as it is."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.model, self.letters = tokenizer.model, _byte_letters()
+    def __init__(self, tokenizer: Tokenizer, limit: int):
+        self.model, self.letters, self.limit = tokenizer.model, _byte_letters(), limit
 
     def __missing__(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else "".join(map(self.letters.get, piece.encode()))
         ids = pack(t.id for t in self.model.tokenize(shown))
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= self.limit:
             self.clear()
         self[piece] = ids
         return ids
@@ -49,12 +50,13 @@ class WordIds(dict):
     :func:`check_word_tokenizer` refuses others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int):
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         check_word_tokenizer(self.tokenizer)
-        self.pieces = _Pieces(self.tokenizer)
+        self.pieces = _Pieces(self.tokenizer, limit)
 
     def encode(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -69,7 +71,7 @@ class WordIds(dict):
         else:
             ids = self.encode(text)
         if len(word) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
+            if len(self) >= self.limit:
                 self.clear()
             self[word] = ids
         return ids
@@ -83,11 +85,11 @@ def check_word_tokenizer(tokenizer: Tokenizer) -> None:
         raise ValueError("the tokenizer's tokens depend on white space; words can't be encoded alone")
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, limit: int = MEMO_WORDS) -> WordIds:
     """The worker's memo for a vocabulary file."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    if (path, limit) not in _loaded:
+        _loaded[path, limit] = WordIds(path, limit)
+    return _loaded[path, limit]
