@@ -24,8 +24,10 @@ BLOCK_SHINGLES = 300_000
 FILTER_BITS = 25
 #: Sets of one signature that one task compares; larger groups are cut into blocks.
 HOT_GROUP = 2_000
-#: 64-bit words of a set's parity sketch.
-SKETCH_WORDS = 16
+#: 64-bit words of a set's parity sketch. Sets of more than SKETCH_SETS shingles are
+#: sketched from a share of them, chosen by hash, which then bounds the difference but for
+#: a chance below 1e-14 for each pair (ten standard deviations).
+SKETCH_WORDS, SKETCH_SETS = 16, 800
 #: Weight of binary probes against heap steps when lists are divided into long and short.
 PROBE_WEIGHT = 0.01
 #: Key tables up to this many rows are broadcast, larger ones are shuffled.
@@ -95,9 +97,11 @@ class Bands:
         self.lows = np.array(lows)
         most = self.lows[1:-1] - 1 + self.lows[2:] - 1  # of a band and of it with the next
         self.differ = most * (100 - percent) // (100 + percent)
+        self.levels = np.maximum(0, np.ceil(np.log2(self.lows / SKETCH_SETS))).astype(np.int64)
 
     def signatures(self, value: np.ndarray, row: np.ndarray, size: np.ndarray):
-        """Rows and values of all signatures that make a candidate when shared."""
+        """Rows and values of all signatures that make a candidate when shared, and for
+        each row the level of the sketch that goes with them."""
         band = np.searchsorted(self.lows, size, "right") - 1
         low, high = value & np.uint64(0xFFFFFFFF), value >> np.uint64(32)
         mixed = W.mix(value)
@@ -125,20 +129,34 @@ class Bands:
             emit = filled | (empty[of] >= 2)
             number = (np.arange(total) - base[of]).astype(np.uint64)
             seed = W.mix((group[of].astype(np.uint64) << np.uint64(32)) + number + np.uint64(1))
-            yield of[emit], W.mix(sums[emit] + seed[emit])
+            yield of[emit], W.mix(sums[emit] + seed[emit]), self.levels[np.maximum(group, 0)]
 
 
-def parity_sketches(value: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+def parity_sketches(
+    value: np.ndarray, row: np.ndarray, n: int, levels: np.ndarray | None = None
+) -> np.ndarray:
     """(n, SKETCH_WORDS): each shingle flips one bit, so sketches of two sets differ in at
-    most as many bits as the sets differ in shingles."""
+    most as many bits as the sets differ in shingles. At level j a row's sketch has one in
+    ``2**j`` of its shingles."""
+    if levels is not None and levels.any():
+        picked = W.mix(value ^ np.uint64(0x2545F4914F6CDD1D))
+        kept = (picked & ((np.uint64(1) << levels[row].astype(np.uint64)) - np.uint64(1))) == 0
+        value, row = value[kept], row[kept]
     bit = (W.mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)).astype(np.int64)
     bits = SKETCH_WORDS * 64
     odd = (np.bincount(row * bits + bit % bits, minlength=n * bits) & 1).astype(np.uint8)
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(np.uint64)
 
 
+def most_bits(total: np.ndarray, level: int | np.ndarray, percent: int) -> np.ndarray:
+    """Most bits in which sketches of linked sets of ``total`` shingles together differ."""
+    exact = total * (100 - percent) // (100 + percent)
+    share = exact / 2.0**level
+    return np.where(level > 0, share + 10 * np.sqrt(share) + 8, exact)
+
+
 def compatible_links(
-    ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int
+    ids: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, level: int, percent: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect all sets of a group which their sketches allow to link.
 
@@ -151,8 +169,7 @@ def compatible_links(
             if not len(waiting):
                 break
             differ = np.bitwise_count(sketches[waiting] ^ sketches[k]).sum(axis=1, dtype=np.int64)
-            most = (sizes[waiting] + sizes[k]) * (100 - percent) // (100 + percent)
-            met = differ <= most
+            met = differ <= most_bits(sizes[waiting] + sizes[k], level, percent)
             for x in waiting[met].tolist():
                 links.append((ids[k], ids[x]))
                 queue.append(x)
@@ -164,18 +181,17 @@ def compatible_links(
 def _grouped_links(percent: int):
     """Compatible links of each run of equal ``group``; rows come sorted by it."""
 
-    def links_of(group, ids, sizes, sketches) -> pa.RecordBatch:
+    def links_of(group, ids, sizes, levels, sketches) -> pa.RecordBatch:
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         ends = np.append(heads[1:], len(group))
         pairs = heads[ends - heads == 2]  # nearly all groups
         differ = np.bitwise_count(sketches[pairs] ^ sketches[pairs + 1]).sum(axis=1, dtype=np.int64)
-        most = (sizes[pairs] + sizes[pairs + 1]) * (100 - percent) // (100 + percent)
-        pairs = pairs[differ <= most]
+        pairs = pairs[differ <= most_bits(sizes[pairs] + sizes[pairs + 1], levels[pairs], percent)]
         out = [(ids[pairs], ids[pairs + 1])]
         for head, end in zip(heads, ends, strict=True):
             if end - head > 2:
                 own = slice(head, end)
-                out.append(compatible_links(ids[own], sizes[own], sketches[own], percent))
+                out.append(compatible_links(ids[own], sizes[own], sketches[own], levels[head], percent))
         made = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
 
@@ -184,9 +200,9 @@ def _grouped_links(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = b"".join(batch.column(3).to_pylist())
+            sketch = b"".join(batch.column(4).to_pylist())
             now = [
-                *(batch.column(k).to_numpy() for k in range(3)),
+                *(batch.column(k).to_numpy() for k in range(4)),
                 np.frombuffer(sketch, np.uint64).reshape(-1, SKETCH_WORDS),
             ]
             held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
@@ -375,7 +391,7 @@ def near_sets(
             for value, row, size, ids in per_text(batch.column(0), width):
                 new = _first_seen(ids, sent)
                 kept = new[row]
-                for _, sig in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
+                for _, sig, _ in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["sig"])
 
     counted = texts.mapInArrow(signatures, "sig long").groupBy("sig").agg(F.count("*").alias("n"))
@@ -389,20 +405,21 @@ def near_sets(
             for value, row, size, ids in per_text(batch.column(0), width):
                 new = _first_seen(ids, sent)
                 kept = new[row]
-                sketches = parity_sketches(value, row, len(size))
-                raw = sketches.tobytes()
                 step = 8 * SKETCH_WORDS
-                for of, sig in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
+                for of, sig, levels in bands.signatures(
+                    value[kept], row[kept], np.where(new, size, 0)
+                ):
+                    raw = parity_sketches(value, row, len(size), levels).tobytes()
                     use = _passes(may_share.value, sig)
                     of, sig = of[use], sig[use]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(sig.view(np.int64)), pa.array(ids[of].view(np.int64)),
-                         pa.array(size[of].astype(np.int64)),
+                         pa.array(size[of].astype(np.int64)), pa.array(levels[of]),
                          pa.array([raw[k * step : (k + 1) * step] for k in of.tolist()], pa.binary())],
-                        ["sig", "set_id", "size", "sketch"],
+                        ["sig", "set_id", "size", "level", "sketch"],
                     )
 
-    signed = texts.mapInArrow(sketched, "sig long, set_id long, size long, sketch binary")
+    signed = texts.mapInArrow(sketched, "sig long, set_id long, size long, level long, sketch binary")
     hot = materialise(
         shared.filter(F.col("n") > HOT_GROUP)
         .select("sig", F.ceil(F.col("n") / HOT_GROUP).cast("int").alias("blocks"))
@@ -414,7 +431,7 @@ def near_sets(
     group = F.when(F.col("blocks").isNull(), F.col("sig")).otherwise(
         F.xxhash64("sig", F.least("block", "met"), F.greatest("block", "met"))
     )
-    signed = signed.select(group.alias("group"), "set_id", "size", "sketch")
+    signed = signed.select(group.alias("group"), "set_id", "size", "level", "sketch")
     signed = signed.repartition("group").sortWithinPartitions("group")
     links = signed.mapInArrow(_grouped_links(percent), "a long, b long").filter("a <> b").distinct()
     candidates = materialise(components(links))

@@ -155,7 +155,7 @@ def test_bands_lose_no_link():
                 row = np.repeat([0, 1], [len(a), len(b)])
                 sent = {0: set(), 1: set()}
                 size = np.array([len(a), len(b)])
-                for of, sig in Bands(percent, 1000).signatures(value, row, size):
+                for of, sig, _ in Bands(percent, 1000).signatures(value, row, size):
                     for k, s in zip(of.tolist(), sig.tolist(), strict=True):
                         sent[k].add(s)
                 assert sent[0] & sent[1], (percent, len(a), len(b), both)
@@ -296,14 +296,28 @@ def test_parity_sketches_bound_the_difference():
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_sampled_sketches_keep_large_linked_sets():
+    rng = np.random.default_rng(10)
+    for percent, n in ((80, 9_000), (90, 9_000), (80, 2_000)):
+        base = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        other = np.unique(np.concatenate([base[: n * percent // 100], rng.integers(0, 2**63, 40, dtype=np.uint64)]))
+        far = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        level = np.array([Bands(percent, n).levels[np.searchsorted(Bands(percent, n).lows, n, "right") - 1]] * 3)
+        row = np.repeat([0, 1, 2], [len(base), len(other), len(far)])
+        a, b, c = jaccard_join.parity_sketches(np.concatenate([base, other, far]), row, 3, level)
+        bound = jaccard_join.most_bits(np.array([len(base) + len(other)]), level[:1], percent)
+        assert np.bitwise_count(a ^ b).sum() <= bound < np.bitwise_count(a ^ c).sum()
+
+
 def test_groups_may_span_batches():
     rng = np.random.default_rng(9)
     words = jaccard_join.SKETCH_WORDS
     near = rng.integers(0, 2**63, words, dtype=np.uint64)
     groups = np.sort(rng.integers(0, 30, 200))
     sketches = [near.tobytes() if k % 3 else bytes(8 * words) for k in range(200)]
-    rows = [pa.array(groups), pa.array(np.arange(200)), pa.array(np.full(200, 50)), pa.array(sketches, pa.binary())]
-    whole = pa.RecordBatch.from_arrays(rows, ["group", "set_id", "size", "sketch"])
+    rows = [pa.array(groups), pa.array(np.arange(200)), pa.array(np.full(200, 50)),
+            pa.array(np.zeros(200, np.int64)), pa.array(sketches, pa.binary())]
+    whole = pa.RecordBatch.from_arrays(rows, ["group", "set_id", "size", "level", "sketch"])
     for step in (1, 7, 200):
         batches = iter([whole.slice(k, step) for k in range(0, 200, step)])
         links = [x for b in jaccard_join._grouped_links(80)(batches) for x in zip(*b.to_pydict().values(), strict=True)]
