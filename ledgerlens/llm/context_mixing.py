@@ -15,9 +15,9 @@ from ledgerlens.llm.registry import documents, register, text_or_empty
 from ledgerlens.session import materialise
 
 #: Bytes of text whose words make one block of postings, and whose grams are counted at once.
-POSTING_BYTES, GRAM_BYTES = 4 << 20, 2 << 20
+POSTING_BYTES, GRAM_BYTES = 7 << 20, 2 << 20
 #: Distinct entries that a task gathers before it sends them on.
-HELD = 1_500_000
+HELD = 4_000_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
 
@@ -103,25 +103,17 @@ def model_scores(rows: DataFrame, models: dict[int, bytes]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(models)  # of a fixed size
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regions = {k: M.Region.from_bytes(raw) for k, raw in shared.value.items()}
-        unseen = M.Region.empty()
+        scorer = M.Scorer(shared.value)
         for batch in batches:
             tokens, sizes, scores = [], [], []
             for first, end, data, bounds in W.slices(batch.column(3), GRAM_BYTES):
                 n = end - first
                 rows_of_words = W.split_words(data, bounds)[2]
                 grams, row = M.grams_of(data, bounds)
-                distinct, place = np.unique(grams, return_inverse=True)
-                region = M.regions(distinct)
-                value = np.empty(len(distinct))
-                order = np.argsort(region, kind="stable")
-                ends = np.searchsorted(region[order], np.arange((1 << M.REGION_BITS) + 1))
-                for k in np.flatnonzero(np.diff(ends)):
-                    own = order[ends[k] : ends[k + 1]]
-                    value[own] = M.log2_of(regions.get(int(k), unseen), distinct[own])
+                value = scorer.log2(grams)
                 tokens.append(np.bincount(rows_of_words, minlength=n) + 1)
                 sizes.append(np.bincount(row, minlength=n))
-                scores.append(np.bincount(row, value[place], minlength=n) * np.log10(2))
+                scores.append(np.bincount(row, value, minlength=n) * np.log10(2))
             made = [
                 pa.array(np.concatenate([*x, np.zeros(0)]).astype(kind))
                 for x, kind in ((tokens, "int64"), (sizes, "int64"), (scores, "float64"))

@@ -197,16 +197,45 @@ def _bucket(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-def log2_of(model: Region, grams: np.ndarray) -> np.ndarray:
-    """log2 of the probability of each gram's byte after its context."""
-    contexts, total = _contexts(grams), np.zeros(len(grams))
-    for bit in range(8):
-        packed = model.slots[_slots(grams, contexts, bit)]
-        inputs, gate = _inputs((packed >> 2).astype(np.float32) / 600, packed & 3)
-        mixed = (model.weights[bit][gate].T * inputs).sum(axis=0)
-        place, part = _bucket(mixed)
-        table = model.refined[bit]
-        refined = table[gate, place] * (1 - part) + table[gate, place + 1] * part
-        p = np.clip((_squash(mixed) + refined) / 2, 1e-6, 1 - 1e-6)
-        total += np.log2(np.where(_bit(grams, bit), p, 1 - p))
-    return total
+class Scorer:
+    """All regions side by side, and what grams scored last: a cache of fixed size in which
+    each gram has one place."""
+
+    def __init__(self, models: dict[int, bytes], cache_bits: int = 21):
+        made = [Region.from_bytes(models[k]) if k in models else Region.empty()
+                for k in range(1 << REGION_BITS)]
+        self.slots = np.stack([m.slots for m in made])
+        self.weights = np.stack([m.weights for m in made])
+        self.refined = np.stack([m.refined for m in made])
+        self.shift = np.uint64(64 - cache_bits)
+        # No gram is all ones: nothing but ENDs stands before a first byte, and no word yet.
+        self.keys = np.full(1 << cache_bits, 2**64 - 1, np.uint64)
+        self.values = np.zeros(1 << cache_bits, np.float32)
+
+    def log2(self, grams: np.ndarray) -> np.ndarray:
+        """log2 of the probability of each gram's byte after its context."""
+        place = (grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+        out = self.values[place].astype(np.float64)
+        missed = np.flatnonzero(self.keys[place] != grams)
+        if len(missed):
+            distinct, inverse = np.unique(grams[missed], return_inverse=True)
+            value = self.compute(distinct).astype(np.float32)
+            out[missed] = value[inverse]
+            place = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+            # Of grams with one place the last stays, as key and as value.
+            self.keys[place], self.values[place] = distinct, value
+        return out
+
+    def compute(self, grams: np.ndarray) -> np.ndarray:
+        contexts, total = _contexts(grams), np.zeros(len(grams))
+        region = regions(grams)
+        for bit in range(8):
+            packed = self.slots[region, _slots(grams, contexts, bit)]
+            inputs, gate = _inputs((packed >> 2).astype(np.float32) / 600, packed & 3)
+            mixed = (self.weights[region, bit, gate].T * inputs).sum(axis=0)
+            place, part = _bucket(mixed)
+            low = self.refined[region, bit, gate, place]
+            refined = low + (self.refined[region, bit, gate, place + 1] - low) * part
+            p = np.clip((_squash(mixed) + refined) / 2, 1e-6, 1 - 1e-6)
+            total += np.log2(np.where(_bit(grams, bit), p, 1 - p))
+        return total

@@ -240,11 +240,12 @@ def test_scores_are_probabilities():
     distinct, n = np.unique(grams, return_counts=True)
     region = M.regions(distinct)
     own = region == region[0]
-    model = M.train(distinct[own], n[own])
-    assert np.allclose(M.log2_of(M.Region.from_bytes(model.to_bytes()), distinct[own]),
-                       M.log2_of(model, distinct[own]))
-    after = (distinct[0] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** M.log2_of(model, after)).sum() - 1) < 1e-6
+    scorer = M.Scorer({int(region[0]): M.train(distinct[own], n[own]).to_bytes()}, cache_bits=4)
+    assert np.allclose(scorer.log2(distinct), scorer.compute(distinct), atol=1e-5)
+    assert np.allclose(scorer.log2(grams), scorer.compute(grams), atol=1e-5)
+    after = (distinct[own][0] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
+    assert abs((2.0 ** scorer.compute(after)).sum() - 1) < 1e-6
+    assert scorer.compute(distinct[own]).mean() > -4
 
 
 def test_scores_empty_table(spark):
