@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are worked on in slices of about this many bytes; one longer text is one slice.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _P = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * 2 + 1
