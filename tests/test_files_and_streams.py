@@ -131,8 +131,13 @@ def test_incremental_profile_counts_arrivals_once(spark, tmp_path):
         assert row.mean == whole.mean() and abs(row.skewness - whole.skew()) < 1e-9
     # a replayed batch replaces its own partial
     replay = spark.createDataFrame([(30.0,), (4.0,)], ddl)
-    incremental.partial_profile(replay, ["x"]).write.mode("overwrite").parquet(f"{state}/batch=1")
+    incremental.save_partial(replay, ["x"], state, 1)
     assert incremental.read_profile(spark, state).head().n == 4
+    # after a fold, too, and later batches are added to it
+    assert incremental.fold_partials(spark, state) == 1
+    incremental.save_partial(replay, ["x"], state, 1)
+    incremental.save_partial(replay, ["x"], state, 2)
+    assert incremental.read_profile(spark, state).head().n == 6
 
 
 def test_chunks_merge_at_any_partitioning(spark):
