@@ -112,17 +112,37 @@ _ALOUD = re.compile(
     rf"(?<![^\W_])(?:{_ANY}|[0-9])(?:[ \t,-]{{1,3}}(?:{_ANY}|[0-9])(?![^\W_])){{2,}}", re.IGNORECASE
 )
 _ALOUD_PART = re.compile(rf"({_ANY})|[ \t,-]+|[0-9]", re.IGNORECASE)
-#: What every text with a spelled digit has; quick, as it starts with a set of characters.
-_HINT = re.compile(rf"""[\s,(\[{{"':;+.-](?:{_ANY})[ \t,-]{{1,3}}(?:{_ANY}|[0-9])|[0-9][ \t,-]{{1,3}}(?:{_ANY})""")
 _PLUS = re.compile(r"(?:(?<![^\W_])plus|\+)[ \t]{1,3}(?=[0-9])", re.IGNORECASE)
 _BRACKETED = re.compile(r"[ \t]{0,3}[\[({<][ \t]{0,3}(at|dot|@|\.)[ \t]{0,3}[\])}>][ \t]{0,3}", re.IGNORECASE)
-_OPEN = re.compile(r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]", re.IGNORECASE)
 _WORDED = re.compile(
     r"(?<=[A-Za-z0-9])[ \t]{1,3}(at|@)[ \t]{1,3}(?=[A-Za-z0-9-]+(?:[ \t]{1,3}dot[ \t]{1,3}|\.)[A-Za-z])",
     re.IGNORECASE,
 )
 _DOTTED = re.compile(r"(?<=[A-Za-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[A-Za-z0-9])", re.IGNORECASE)
+#: A local part said with "dot" before its last word, and a domain without one.
+_DOT_BEFORE = re.compile(r"[ \t]dot[ \t]{1,3}\Z", re.IGNORECASE)
+_PLAIN_DOMAIN = re.compile(r"[A-Za-z0-9-]+\.[A-Za-z0-9.-]*+(?![ \t]{1,3}dot[ \t])", re.IGNORECASE)
 _SIGN = {"at": "@", "dot": ".", "@": "@", ".": "."}
+#: Letters that match an ASCII one when case is ignored.
+_FOLDED = {"ſ": "s", "ı": "i", "İ": "i"}
+#: What every text that a transducer changes has, on folded text: looser forms of the
+#: patterns above, which start with a set of few characters or are plain substrings.
+_GATES = tuple(map(re.compile, (
+    rf"(?:{_ANY})[ \t,-]{{1,3}}(?:{_ANY}|[0-9])|[0-9][ \t,-]{{1,3}}(?:{_ANY})",
+    r"plus[ \t]{1,3}[0-9]",
+    r"\+[ \t]{1,3}[0-9]",
+    r"[\[({<][ \t]{0,3}(?:at|dot|@|\.)[ \t]{0,3}[\])}>]",
+    r"[ \t]at[ \t]{1,3}[a-z0-9-]+(?:\.[a-z]|[ \t]{1,3}dot[ \t])",
+)))
+_PIECES = (" dot ", "\tdot", "dot\t", "@ ", " @", "@\t", "\t@")
+#: Words of prose that stand before "at" and a place; no one's mailbox is called so.
+_PROSE = frozenset(
+    "am are arrive arrived be been begin begins buy bought check checked ended find found "
+    "had has have he held her here him hosted is it listed live lives living look looked "
+    "looking looks me meet meeting meets met more not now only or published read register "
+    "registered see seen she sign sold started stay stayed stop stopped that them there "
+    "they this today us visit was we were work worked working works you".split()
+)
 
 
 class Tape:
@@ -156,31 +176,55 @@ def _aloud(m: re.Match) -> list[tuple[str, int, int]]:
     out = []
     for part in _ALOUD_PART.finditer(m.string, m.start(), m.end()):
         if part[1]:
-            out.append((_SPELLED[part[1].lower()], part.start(), part.end()))
+            word = "".join(_FOLDED.get(c, c) for c in part[1]).lower()
+            out.append((_SPELLED[word], part.start(), part.end()))
         elif part[0].isdigit():
             out.append((part[0], part.start(), part.end()))
     return out
 
 
+def _sign(m: re.Match) -> list[tuple[str, int, int]]:
+    """The sign stands for the word and the space around it."""
+    sign = _SIGN[m[m.lastindex].lower()] if m.lastindex else "."
+    return [(sign, m.start(), m.end())]
+
+
+def _worded(m: re.Match) -> list[tuple[str, int, int]]:
+    """As ``_sign``, but prose such as "meet at acme.com" stays: a lone word of ``_PROSE``,
+    "at", and a domain written plainly."""
+    text, start = m.string, m.start()
+    while start and m.start() - start < 16 and text[start - 1] in _LOCAL:
+        start -= 1
+    if m[1] != "@" and text[start : m.start()].lower() in _PROSE:
+        if not _DOT_BEFORE.search(text, max(0, start - 7), start) and _PLAIN_DOMAIN.match(text, m.end()):
+            return [(c, k, k + 1) for k, c in enumerate(m[0], m.start())]
+    return _sign(m)
+
+
+def _open(text: str) -> bool:
+    """Whether a transducer may change the text: true for each that one does change, and
+    quick. What is prose and what a disguise is decided at the match."""
+    if not text.isascii():
+        if _FOREIGN.search(text) and not GLYPHS.keys().isdisjoint(text):
+            return True
+        for odd, plain in _FOLDED.items():
+            text = text.replace(odd, plain)
+    text = text.lower()
+    return any(x in text for x in _PIECES) or any(x.search(text) for x in _GATES)
+
+
 def normalised(text: str) -> Tape | None:
     """The text without disguises; None when it has none."""
-    glyphs = not text.isascii() and _FOREIGN.search(text) and not GLYPHS.keys().isdisjoint(text)
-    if not glyphs:
-        folded = f" {text.lower()}"
-        worded = " dot " in folded or "\tdot" in folded or "dot\t" in folded
-        bracketed = ("at" in folded or "dot" in folded or "@" in folded) and _OPEN.search(text)
-        at_sign = "@ " in folded or " @" in folded or "@\t" in folded or "\t@" in folded
-        if not (worded or bracketed or at_sign or _HINT.search(folded)):
-            return None
+    if not _open(text):
+        return None
     tape = Tape(text)
-    if glyphs:
+    if not text.isascii():
         tape.rewrite(_GLYPH, lambda m: [(GLYPHS[m[0]], m.start(), m.end())])
     tape.rewrite(_ALOUD, _aloud)
     tape.rewrite(_PLUS, lambda m: [("+", m.start(), m.end())])
-    for pattern in (_BRACKETED, _WORDED, _DOTTED):
-        sign = lambda m: _SIGN[m[m.lastindex].lower()] if m.lastindex else "."
-        # The sign stands for the word and the space around it.
-        tape.rewrite(pattern, lambda m, sign=sign: [(sign(m), m.start(), m.end())])
+    tape.rewrite(_BRACKETED, _sign)
+    tape.rewrite(_WORDED, _worded)
+    tape.rewrite(_DOTTED, _sign)
     return tape if tape.text != text else None
 
 
@@ -222,8 +266,8 @@ def with_personal_data(
     Plain identifiers (e-mail, IP address, card, phone) are found in the text as it is.
     Then transducers replace look-alike letters and digits of other scripts, remove
     invisible characters, read numbers spelled digit by digit, and undo "at" and "dot"
-    disguises; identifiers found in that text are mapped back to source characters and
-    added; next to a plain one of the same kind only where they hold all of it and more. Counts and
+    disguises (a word of prose, "at" and a plain domain, as in "meet at acme.com", is none);
+    identifiers found in that text are mapped back to source characters and added; next to a plain one of the same kind only where they hold all of it and more. Counts and
     ``base_sha256`` are of the plain ones, ``spans`` and ``masked_text`` of all. A missing
     or empty text has none of them and an empty masked text. One pass without a shuffle.
     """

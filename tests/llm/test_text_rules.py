@@ -120,6 +120,46 @@ def test_clean_texts_stay(text):
     assert find(text) == ([], []) and mask(text, []) == text
 
 
+@pytest.mark.parametrize(
+    "text, kind, source",
+    [
+        ("write john at example.com today", "email", "john at example.com"),
+        ("john_meet\tat\texample.com", "email", "john_meet\tat\texample.com"),
+        ("meet at acme dot com", "email", "meet at acme dot com"),
+        ("x dot meet at acme.com", "email", "x dot meet at acme.com"),
+        ("call Plus 44 20 7946 0958", "phone", "Plus 44 20 7946 0958"),
+        ("call + 44 20 7946 0958", "phone", "+ 44 20 7946 0958"),
+        ("192[.]168[.]0[.]1", "ip", "192[.]168[.]0[.]1"),
+        ("card=four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "card", "four 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"),
+        ("+ fıve ſıx seven one two three four one two three", "phone",
+         "+ fıve ſıx seven one two three four one two three"),
+    ],
+)
+def test_disguises_alone_in_a_text(text, kind, source):
+    spans = find(text)[1]
+    assert (kind, source) in [(KINDS[k], text[s:e]) for s, k, e in spans]
+    assert source not in mask(text, spans)
+
+
+@pytest.mark.parametrize("text", ["meet at acme.com", "a dot b, meet at acme.com", "Look at acme.com аnd go"])
+def test_prose_is_decided_at_the_match(text):
+    assert find(text) == ([], [])
+
+
+def test_gate_changes_no_result(monkeypatch):
+    import random
+
+    from ledgerlens.llm import personal_data
+
+    rng = random.Random(11)
+    pieces = "at dot @ . plus + [ ] ( ) john meet acme com .com x.y 4 1 one two five ſıx ſeven İ , - _ = / — а".split()
+    pieces += [" ", " ", " ", "\t", "44 20 7946 0958", "1 1 1 1", "one two three four", " at ", " dot ", "PLUS ", "AT"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(30_000)]
+    gated = [find(t) for t in texts]
+    monkeypatch.setattr(personal_data, "_open", lambda text: True)
+    assert gated == [find(t) for t in texts]
+
+
 def test_personal_data_table(spark):
     rows = odd_rows() + [(60, "a@b.co " * 3)]
     got = with_personal_data(table(spark, rows)).select("text", "personal").collect()
