@@ -1,4 +1,4 @@
-"""Secrets, with the parts of multipart credentials linked by an interval join."""
+"""Secrets, with the parts of multipart credentials linked by the gaps between them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.registry import documents, register, text_or_empty
 from ledgerlens.session import materialise
 
-#: Parts are in one scope when their starts are at most this many code points apart.
+#: Parts are in one scope when at most this many code points stand between the end of one
+#: and the start of the other; parts have any length.
 SCOPE = 256
 
 #: In the order of listing. The first three count by themselves; the others are weak and
@@ -54,8 +55,7 @@ def _found(text: Column, kind: str, wanted: Column) -> Column:
         if kind == "ident":
             return F.length(value) >= 3
         if kind == "key":  # no word, no number, no path: letters of both cases and a digit
-            mixed = hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9]")
-            return mixed & (F.length(hit) <= 512)
+            return hit.rlike("[a-z]") & hit.rlike("[A-Z]") & hit.rlike("[0-9]")
         return F.lit(True)
 
     zipped = F.arrays_zip(hits.alias("hit"), values.alias("value"), gaps.alias("gap"))
@@ -98,56 +98,47 @@ def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The strong parts, and the weak ones whose complements stand in their scope.
 
     A key or an identifier needs the other one (an access identifier or any secret will
-    do), an endpoint needs both. The interval join is an equi-join on buckets as wide as
-    the scope: one row per bucket has the outermost starts of each role, which is all that
-    the neighbouring buckets need to know, so a text full of parts makes no pairs.
+    do), an endpoint needs both, or one of two that stand in each other's scope. Of the parts that start earlier the last end is nearest, of
+    the later ones the first start, so each part meets two bounds of each role and a text
+    full of parts makes no pairs.
     """
     kind = F.col("kind")
     number = KINDS.index
-    own = Window.partitionBy("doc_id", "h").orderBy("start", "kind", "end")
+    order = ("start", "kind", "end")
+    until_here = (Window.unboundedPreceding, -1)
+    own = Window.partitionBy("doc_id", "h").orderBy(*order).rowsBetween(*until_here)
+    # The later parts by descending order: a frame that shrinks would be summed up anew for each row.
+    back = Window.partitionBy("doc_id", "h").orderBy(*[F.desc(c) for c in order]).rowsBetween(*until_here)
     strong = kind <= number("hex")
     # A weak part inside or across a strong one says nothing new.
-    past = F.max(F.when(strong, F.col("end"))).over(own.rowsBetween(Window.unboundedPreceding, -1))
-    next_ = F.min(F.when(strong, F.col("start"))).over(own.rowsBetween(1, Window.unboundedFollowing))
+    past = F.max(F.when(strong, F.col("end"))).over(own)
+    next_ = F.min(F.when(strong, F.col("start"))).over(back)
     parts = parts.withColumn("past", past).withColumn("next", next_)
     parts = parts.filter(
         strong | (F.coalesce(F.col("past") <= F.col("start"), F.lit(True))
                   & F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
-    ).select("doc_id", "h", "kind", "start", "end", F.floor(F.col("start") / scope).alias("bucket"))
+    ).select("doc_id", "h", "kind", "start", "end")
     roles = {
         "ident": kind.isin(number("access"), number("ident")),
         "secret": kind.isin(number("assign"), number("hex"), number("key")),
     }
-    edges = parts.groupBy("doc_id", "h", "bucket").agg(
-        *[f(F.when(is_role, F.col("start"))).alias(f"{end}_{role}")
-          for role, is_role in roles.items() for end, f in (("low", F.min), ("high", F.max))]
-    ).withColumnsRenamed({"doc_id": "e_id", "h": "e_h", "bucket": "e_bucket"})
-    weak = parts.filter(~strong).withColumn("near", F.explode(F.array(*[
-        F.col("bucket") + k for k in (-1, 0, 1)
-    ])))
-    met = weak.join(
-        edges,
-        F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("h") == F.col("e_h"))
-        & (F.col("near") == F.col("e_bucket")),
-    )
 
-    def reached(role: str) -> Column:
-        start = F.col("start")
-        near = (
-            F.when(F.col("near") < F.col("bucket"), F.col(f"high_{role}") >= start - scope)
-            .when(F.col("near") > F.col("bucket"), F.col(f"low_{role}") <= start + scope)
-            .otherwise(F.col(f"low_{role}").isNotNull())
-        )
-        return F.max(F.coalesce(near, F.lit(False))).alias(f"by_{role}")
+    def reached(is_role: Column) -> Column:
+        before = F.max(F.when(is_role, F.col("end"))).over(own)
+        after = F.min(F.when(is_role, F.col("start"))).over(back)
+        near = (before >= F.col("start") - scope, after <= F.col("end") + scope)
+        return F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False))
 
-    linked = met.groupBy("doc_id", "h", "kind", "start", "end").agg(*map(reached, roles))
+    linked = parts.withColumns({f"by_{role}": reached(is_role) for role, is_role in roles.items()})
+    paired = (roles["ident"] & F.col("by_secret")) | (roles["secret"] & F.col("by_ident"))
+    linked = linked.withColumn("by_pair", reached(paired))
     linked = linked.filter(
-        ((kind == number("ident")) & F.col("by_secret"))
+        strong
+        | ((kind == number("ident")) & F.col("by_secret"))
         | ((kind == number("key")) & F.col("by_ident"))
-        | ((kind == number("endpoint")) & F.col("by_secret") & F.col("by_ident"))
+        | ((kind == number("endpoint")) & (F.col("by_pair") | (F.col("by_secret") & F.col("by_ident"))))
     )
-    columns = ["doc_id", "h", "kind", "start", "end"]
-    return parts.filter(strong).select(columns).unionByName(linked.select(columns))
+    return linked.select("doc_id", "h", "kind", "start", "end")
 
 
 def find_secrets(
