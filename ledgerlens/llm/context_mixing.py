@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 from ledgerlens.llm import mixing as M
 from ledgerlens.llm import words as W
 from ledgerlens.llm.registry import documents, register, text_or_empty
-from ledgerlens.session import materialise
+from ledgerlens.session import materialise, scratch_path
 
 #: Bytes of text whose words make one block of postings, and whose grams are counted at once.
 POSTING_BYTES, GRAM_BYTES = 7 << 20, 2 << 20
 #: Distinct entries that a task gathers before it sends them on.
 HELD = 4_000_000
+#: Distinct grams of a region that one task trains on, at about 400 bytes each.
+PART = 500_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
 
@@ -71,12 +74,14 @@ def _counted(grams: bool):
     return work
 
 
-def train_model(texts: DataFrame) -> DataFrame:
+def train_model(texts: DataFrame, part: int = PART) -> DataFrame:
     """``region, model`` from a table of texts; at most ``2**REGION_BITS`` rows of fixed size.
 
-    Grams are counted over all texts, so what is shuffled follows the input; a region's
-    task then sees each of its distinct grams once, however often it occurs.
+    Grams are counted over all texts, so what is shuffled follows the input; each distinct
+    gram is then seen once, however often it occurs. A region of more than ``part`` grams is
+    dealt into parts of about that many, so no task's share grows with the corpus.
     """
+    spark = texts.sparkSession
     grams = texts.mapInArrow(_counted(True), "item long, n long")
     grams = grams.groupBy("item").agg(F.sum("n").alias("n"))
 
@@ -87,15 +92,83 @@ def train_model(texts: DataFrame) -> DataFrame:
                 [pa.array(M.regions(items)), *batch.columns], ["region", "item", "n"]
             )
 
+    path = scratch_path(spark, "grams")  # read for the sizes, the counts and the mixers
+    grams.mapInArrow(with_region, "region long, item long, n long").write.parquet(path)
+    placed = spark.read.parquet(path)
+    sizes = {r.region: r["count"] for r in placed.groupBy("region").count().collect()}
+    large = {region: -(-size // part) for region, size in sizes.items() if size > part}
+    is_large = F.col("region").isin(list(large))
+
     def train(table: pa.Table) -> pa.Table:
-        table = table.sort_by("item")
-        model = M.train(table["item"].to_numpy().view(np.uint64), table["n"].to_numpy())
+        made = M.train(*_grams_in(table))
+        return pa.table(
+            {"region": table["region"][:1], "model": pa.array([made.to_bytes()], pa.binary())}
+        )
+
+    small = placed.filter(~is_large).groupBy("region")
+    models = small.applyInArrow(train, "region long, model binary")
+    if large:
+        models = models.unionByName(_train_large(placed.filter(is_large), large))
+    return models
+
+
+def _grams_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("item")
+    return table["item"].to_numpy().view(np.uint64), table["n"].to_numpy()
+
+
+def _train_large(placed: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """As ``train_model``, of regions in so many parts. Slots are counted by part and summed;
+    mixers are fitted by part on the counts of the whole region, and their sums make one."""
+    salts = F.create_map(*[F.lit(x).cast("long") for pair in parts.items() for x in pair])[F.col("region")]
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("item"), salts))
+    size = 1 << M.SLOT_BITS
+
+    def slots(table: pa.Table) -> pa.Table:
+        found = M.count_slots(*_grams_in(table))
+        slot = np.flatnonzero(found.any(axis=0))
+        return pa.table({
+            "region": pa.array(np.full(len(slot), table["region"][0].as_py())), "slot": pa.array(slot),
+            "zeros": pa.array(found[0][slot]), "ones": pa.array(found[1][slot]),
+        })
+
+    def counts(table: pa.Table) -> pa.Table:
+        whole = np.zeros((2, size))
+        whole[:, table["slot"].to_numpy()] = table["zeros"].to_numpy(), table["ones"].to_numpy()
+        blob = zlib.compress(whole.tobytes(), 1)
+        return pa.table({"region": table["region"][:1], "counts": pa.array([blob], pa.binary())})
+
+    def table_in(counts: pa.Table) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(counts["counts"][0].as_py())).reshape(2, size)
+
+    def fit(grams: pa.Table, counts: pa.Table) -> pa.Table:
+        if not len(grams):  # no gram has this salt
+            return pa.table({"region": pa.array([], "int64"), "cell": pa.array([], "int64"), "value": pa.array([], "float64")})
+        values = M.fit(*_grams_in(grams), table_in(counts)).ravel()
+        cell = np.flatnonzero(values)
+        region = np.full(len(cell), grams["region"][0].as_py())
+        return pa.table({"region": region, "cell": cell, "value": values[cell]})
+
+    def finish(counts: pa.Table, fitted: pa.Table) -> pa.Table:
+        values = np.zeros((8, M.GATES, M.CELLS))
+        values.reshape(-1)[fitted["cell"].to_numpy()] = fitted["value"].to_numpy()
+        made = M.finish(table_in(counts), values)
         return pa.table(
-            {"region": table["region"][:1], "model": pa.array([model.to_bytes()], pa.binary())}
+            {"region": counts["region"][:1], "model": pa.array([made.to_bytes()], pa.binary())}
         )
 
-    placed = grams.mapInArrow(with_region, "region long, item long, n long")
-    return placed.groupBy("region").applyInArrow(train, "region long, model binary")
+    by_part = dealt.groupBy("region", "salt")
+    counted = by_part.applyInArrow(slots, "region long, slot long, zeros double, ones double")
+    summed = counted.groupBy("region", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
+    tables = materialise(summed.groupBy("region").applyInArrow(counts, "region long, counts binary"))
+    spread = tables.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    fitted = by_part.cogroup(spread.groupBy("region", "salt")).applyInArrow(
+        fit, "region long, cell long, value double"
+    )
+    fitted = fitted.groupBy("region", "cell").agg(F.sum("value").alias("value"))
+    return tables.groupBy("region").cogroup(fitted.groupBy("region")).applyInArrow(
+        finish, "region long, model binary"
+    )
 
 
 def model_scores(rows: DataFrame, models: dict[int, bytes]) -> DataFrame:

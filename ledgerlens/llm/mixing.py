@@ -145,14 +145,9 @@ def _inputs(odds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return inputs, (level[:-1] > 0).sum(axis=0) + (ORDERS + 1) * level[-1].astype(np.int64)
 
 
-def train(grams: np.ndarray, counts: np.ndarray) -> Region:
-    """A region's model from its distinct training grams and how often each occurred.
-
-    Slots count first. Then the mixer goes over the grams once, in steps; each gram is
-    predicted from the counts without itself, so that weights fit texts not seen. What
-    the mixer makes of them also refines its buckets.
-    """
-    made, contexts = Region.empty(), _contexts(grams)
+def count_slots(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Zeros and ones of each slot (2, slots) of one region; sums of parts are those of the whole."""
+    contexts = _contexts(grams)
     n, size = counts.astype(np.float64), 1 << SLOT_BITS
     table = np.zeros((2, size))
     for bit in range(8):
@@ -160,15 +155,31 @@ def train(grams: np.ndarray, counts: np.ndarray) -> Region:
         for places in _slots(grams, contexts, bit):
             table[0] += np.bincount(places, n * ~one, minlength=size)
             table[1] += np.bincount(places, n * one, minlength=size)
-    odds, level = _stretched(*table)
-    made.slots = ((odds * 600).astype(np.int16) << 2) | level.astype(np.int16)
+    return table
+
+
+#: Of a bit and gate in ``fit``: weights times what was seen, what was seen, and for each
+#: bucket the ones and all of the shares as lower bucket, then as upper bucket.
+CELLS = INPUTS + 2 + 4 * BUCKETS
+
+
+def fit(grams: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What ``finish`` needs (8 bits, gates, CELLS) of the mixer learnt on some grams of a
+    region with all its counts; the sum over parts of the region is that of their mean mixer.
+
+    The mixer goes over the grams once, in steps; each gram is predicted from the counts
+    without itself, so that weights fit texts not seen. What the mixer makes of them also
+    refines its buckets.
+    """
+    contexts, weights = _contexts(grams), Region.empty().weights
+    out = np.zeros((8, GATES, CELLS))
     order = np.argsort(mix(grams), kind="stable")
-    weight = np.sqrt(n)
+    weight = np.sqrt(counts.astype(np.float64))
     for bit in range(8):
         one, slots = _bit(grams, bit), _slots(grams, contexts, bit)
         zeros, ones = table[0][slots], table[1][slots]
         inputs, gate = _inputs(*_stretched(np.maximum(zeros - ~one, 0), np.maximum(ones - one, 0)))
-        w = made.weights[bit]
+        w = weights[bit]
         speed = np.full_like(w, 1e-4)
         mixed = np.empty(len(grams), np.float32)
         for at in range(0, len(grams), STEP):
@@ -180,17 +191,39 @@ def train(grams: np.ndarray, counts: np.ndarray) -> Region:
             slope /= np.bincount(g, weight[now], minlength=GATES)[:, None] + 1e-9
             speed += slope * slope
             w += (RATE * slope / np.sqrt(speed)).astype(np.float32)
+        seen = np.bincount(gate, weight, minlength=GATES)
+        out[bit, :, : INPUTS + 1], out[bit, :, INPUTS + 1] = w * seen[:, None], seen
         place, part = _bucket(mixed)
+        sums = []
         for offset, share in ((0, 1 - part), (1, part)):
             key = gate * BUCKETS + place + offset
             size = GATES * BUCKETS
-            total = np.bincount(key, share * weight, minlength=size)
-            hits = np.bincount(key, share * weight * one, minlength=size)
-            old = made.refined[bit].reshape(-1)
-            made.refined[bit] = ((hits + PULL * old) / (total + PULL)).reshape(GATES, BUCKETS)
+            sums.append(np.bincount(key, share * weight * one, minlength=size))
+            sums.append(np.bincount(key, share * weight, minlength=size))
+        out[bit, :, INPUTS + 2 :] = np.concatenate([x.reshape(GATES, BUCKETS) for x in sums], axis=1)
+    return out
+
+
+def finish(table: np.ndarray, fitted: np.ndarray) -> Region:
+    """A region's model from its counts and the sum of what was fitted on its parts."""
+    made = Region.empty()
+    odds, level = _stretched(*table)
+    made.slots = ((odds * 600).astype(np.int16) << 2) | level.astype(np.int16)
+    seen = fitted[..., INPUTS + 1, None]
+    mean = fitted[..., : INPUTS + 1] / np.where(seen > 0, seen, 1)
+    made.weights = np.where(seen > 0, mean, made.weights).astype(np.float32)
+    sums = np.split(fitted[..., INPUTS + 2 :], 4, axis=-1)
+    for hits, total in (sums[:2], sums[2:]):
+        made.refined = ((hits + PULL * made.refined) / (total + PULL)).astype(np.float32)
     return made
 
 
+def train(grams: np.ndarray, counts: np.ndarray) -> Region:
+    """A region's model from its distinct training grams and how often each occurred."""
+    table = count_slots(grams, counts)
+    return finish(table, fit(grams, counts, table))
+
+
 def _bucket(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = np.clip((mixed + SPREAD) / (2 * SPREAD) * (BUCKETS - 1), 0, BUCKETS - 1.001)
     low = place.astype(np.int64)

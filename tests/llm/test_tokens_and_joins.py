@@ -15,7 +15,7 @@ import corpus_pipeline
 from ledgerlens.llm import bpe_chunks, jaccard_join, packing
 from ledgerlens.llm.bpe_chunks import encode_documents
 from ledgerlens.llm.components import components
-from ledgerlens.llm.context_mixing import mixing_scores
+from ledgerlens.llm.context_mixing import mixing_scores, train_model
 from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components, spanning_links
 from ledgerlens.llm.packing import pack_documents
 from tests.llm.common import WORDS, odd_rows, prose, table
@@ -252,6 +252,23 @@ def test_scores_empty_table(spark):
     assert mixing_scores(table(spark, [])).collect() == []
 
 
+def test_large_regions_are_trained_in_parts(spark):
+    from ledgerlens.llm import mixing as M
+
+    texts = spark.createDataFrame([(prose(k, 200),) for k in range(40)], "t string")
+    models = [{r.region: bytes(r.model) for r in train_model(texts, part).collect()} for part in (10**6, 100)]
+    assert models[0].keys() == models[1].keys()
+    whole, dealt = [{k: M.Region.from_bytes(x) for k, x in m.items()} for m in models]
+    # Counts are those of the whole region; mixers are means of the parts' mixers.
+    assert all((whole[k].slots == dealt[k].slots).all() for k in whole)
+    assert any((whole[k].weights != dealt[k].weights).any() for k in whole)
+    data = np.frombuffer(prose(99, 200).encode(), np.uint8)
+    grams, _ = M.grams_of(data, np.array([0, len(data)]))
+    scores = [M.Scorer(m, cache_bits=8).log2(grams).sum() for m in models]
+    assert scores[1] > 1.1 * scores[0]  # both are negative: at most a tenth worse
+
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
