@@ -14,7 +14,7 @@ from ledgerlens.llm.line_runs import with_lines_removed
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.personal_data import with_personal_data
 from ledgerlens.llm.quality_rules import with_quality
-from ledgerlens.session import scratch_path
+from ledgerlens.session import materialise, scratch_path
 
 #: No SQL twin: packing needs a tokenizer. Tests compare the stages with brute force.
 ORACLE_SQL = None
@@ -40,11 +40,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group of near duplicates."""
-    groups = jaccard_components(docs, width=5, percent=80)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """Keep one row of each group of near duplicates: of the least id, missing ones last.
+
+    Rows go by id and text, so an id given to several texts is not kept for all of them;
+    of rows equal in both the least by the other columns stays. A text without words is in
+    no group and stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn("_key", key)
+    groups = jaccard_components(keyed, width=5, percent=80, id_col="_key")
+    stay = groups.filter("n_shingles = 0 or doc_id = component_id").groupBy(F.col("doc_id").alias("_stays"))
+    stay = materialise(stay.agg(((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("_many")))
+    on = F.col("_key") == F.col("_stays")
+    once = keyed.join(stay.filter("not _many"), on, "left_semi").select(docs.columns)
+    many = keyed.join(stay.filter("_many"), on, "left_semi")
+    least = many.groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,6 +304,20 @@ def test_pipeline_takes_odd_rows(spark, tmp_path):
 
 
 
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    a, b, c = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(1, a), (1, a), (1, a + " end"), (1, b), (2, b), (2, c), (2, c), (None, prose(4)), (None, prose(4)),
+            (None, prose(5)), (None, c), (7, ""), (7, ""), (8, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "l", f"s{k}", None) for k, (i, t) in enumerate(rows)], schema)
+    got = corpus_pipeline.near_duplicates(spark, docs.repartition(4), SF)
+    assert got.columns == docs.columns
+    near = {a: a, a + " end": a}
+    found = Counter((r.doc_id, near.get(r.text, r.text)) for r in got.collect())
+    assert found == {(1, a): 1, (1, b): 1, (2, c): 1, (None, prose(4)): 1, (None, prose(5)): 1,
+                     (7, ""): 2, (8, None): 1}
+
+
 def test_parity_sketches_bound_the_difference():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
