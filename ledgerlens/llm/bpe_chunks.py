@@ -20,8 +20,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees; a chunk ends where its low MASK_BITS are zero.
 ROLLING, MASK_BITS = 32, 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
-#: Shared chunks that are encoded once for the whole job and handed to every task: those
-#: that save most. It bounds the broadcast to DICTIONARY * MAX_CHUNK bytes of text; what
+#: Shared chunks whose texts are handed to every task, which encodes each of them once for
+#: itself: those that save most. It bounds the broadcast to DICTIONARY * MAX_CHUNK bytes of text; what
 #: is not in it is encoded where it occurs, so results do not depend on it.
 DICTIONARY = 8_192
 
@@ -103,11 +103,9 @@ def repaired(before: bytes, cut: bytes, after: bytes, ids_of: WordIds) -> bytes:
     """
     left, right = (ids_of[w] if w else b"" for w in (before, after))
     ids = ids_of[cut]
-    if len(cut) <= 64:  # the usual case: the word's ids are known or found by themselves
-        window = b" ".join(w for w in (before, cut, after) if w)
-        again = ids_of.encode(window.decode())
-        if again != left + ids + right:
-            raise Disagreement
+    window = b" ".join(w for w in (before, cut, after) if w)
+    if ids_of.encode(window.decode()) != left + ids + right:
+        raise Disagreement
     return ids
 
 
@@ -187,7 +185,7 @@ def encode_documents(
     """One row per input row: ``doc_id, ids`` (array of int), ``tokens`` (the decoded text).
 
     A rolling hash cuts texts into chunks; chunks that occur more than once and save most
-    are encoded once and reused, and words that a cut runs through are encoded again with
+    are encoded once a task and reused there, and words that a cut runs through are encoded again with
     their neighbours. Ids equal those of the tokenizers library on the whole text without
     special tokens added; ``tokens`` equals its ``decode(ids, skip_special_tokens=False)``.
     A missing or empty text has no ids and decodes to an empty text. Rows with a missing

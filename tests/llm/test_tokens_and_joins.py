@@ -207,6 +207,21 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+def test_repairs_of_long_words_are_checked():
+    class Ids(dict):
+        """Words of other ids beside their neighbours than alone."""
+
+        def __missing__(self, word):
+            return bytes(4)
+
+        def encode(self, text):
+            return b"other"
+
+    for size in (3, 65, 5_000):
+        with pytest.raises(bpe_chunks.Disagreement):
+            bpe_chunks.repaired(b"before", b"x" * size, b"after", Ids())
+
+
 # -- scores -------------------------------------------------------------------------
 
 
