@@ -8,6 +8,7 @@ from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     line_runs,
     packing,
     personal_data,
+    prefix_trie,
     quality_rules,
     ring_shards,
     secret_links,
