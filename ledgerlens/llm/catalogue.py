@@ -12,6 +12,7 @@ from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     quality_rules,
     ring_shards,
     secret_links,
+    structure_repair,
 )
 from ledgerlens.llm.registry import QUERIES, SQL
 

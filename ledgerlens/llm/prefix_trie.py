@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.registry import SPACE, conversations, join_keys, register, text_or_empty
+from ledgerlens.llm.registry import SPACE, conversations, crc32_sql, join_keys, register, text_or_empty
 from ledgerlens.session import materialise
 
 #: A container of more turns than this bursts, unless it is one sequence; so many turns
 #: (about 300 bytes each) are swept in one go.
-BURST_TURNS = 20_000
+BURST_TURNS = 4_000
 #: Conversation ids that are hashed as one piece of text.
 ID_BLOCK_BITS = 12
 #: Tables of burst heads up to this many rows are broadcast, larger ones are shuffled.
@@ -384,13 +384,7 @@ def conversation_trie(
                 AS p
             FROM conversations WHERE conv_id IS NOT NULL),
         c0 AS (SELECT DISTINCT conv_id, conv_id - conv_id % 20 AS b FROM t),
-        bits AS (SELECT conv_id, b, list_reduce(list_concat([4294967295::UBIGINT],
-              list_transform(range(1, length(conv_id::VARCHAR) + 1),
-                             lambda i: ascii((conv_id::VARCHAR)[i])::UBIGINT)),
-              lambda a, x: list_reduce(list_concat([xor(a, x)], list_transform(range(8), lambda k: 0::UBIGINT)),
-                lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384::UBIGINT)
-                                  ELSE y // 2 END)) AS r FROM c0),
-        c AS (SELECT conv_id, b, xor(r, 4294967295::UBIGINT) % 4 AS h FROM bits),
+        c AS (SELECT conv_id, b, """ + crc32_sql("conv_id::VARCHAR") + r""" % 4 AS h FROM c0),
         r AS (SELECT c.conv_id, p, role, text FROM c JOIN t ON t.conv_id = c.b AND p <= h
               UNION ALL
               SELECT c.conv_id, p + 1000000000, role, text FROM c JOIN t USING (conv_id) WHERE p > h),

@@ -41,3 +41,13 @@ def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], how: str, limit:
     """Join a key table, broadcast only when a count shows at most ``limit`` keys."""
     few = keys.limit(limit + 1).count() <= limit
     return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of an ASCII string expression."""
+    start, poly = "4294967295::UBIGINT", "3988292384::UBIGINT"
+    shift = f"CASE WHEN y % 2 = 1 THEN xor(y // 2, {poly}) ELSE y // 2 END"
+    eight = "list_transform(range(8), lambda k: 0::UBIGINT)"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::UBIGINT)"
+    byte = f"list_reduce(list_concat([xor(a, x)], {eight}), lambda y, z: {shift})"
+    return f"xor(list_reduce(list_concat([{start}], {codes}), lambda a, x: {byte}), {start})"

@@ -1,14 +1,19 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import defaultdict
+from functools import cache
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
 from ledgerlens.llm.prefix_trie import conversation_trie, sweep
+from ledgerlens.llm.structure_repair import BlockTables, damaged, repair_report, repaired_turns
 
+sys.setrecursionlimit(10_000)
 SCHEMA = T.StructType(
     [
         T.StructField("conv_id", T.LongType()),
@@ -118,3 +123,133 @@ def test_sweep_of_one_container():
     assert got[(4, 0)][0] is None and got[(4, 0)][1:5] == [4, 2, 2, 2 * 2 + 3]
     assert got[(4, 1)][:5] == [4, 3, 1, 1, 2 * 2 + 3] and got[(4, 1)][5] == "x"
     assert got[(4, 2)][:5] == [4, 2, 0, 1, 3] and got[(7, 1)][:5] == [4, 1, 0, 1, 0]
+
+
+# -- structure repair ---------------------------------------------------------------
+
+
+def best_edits(symbols):
+    """(cost, letters) by plain recursion over rows, states and edits, no tables."""
+    onward, keeps = (2, 2, 3, 2), ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
+
+    @cache
+    def best(i, state, inserts):
+        found = []
+        if i == len(symbols) and state in (0, 3):
+            found.append((0, ""))
+        if inserts:
+            cost, rest = best(i, onward[state], inserts - 1)
+            found.append((cost + 3, "I" + rest))
+        if i < len(symbols):
+            initial, gone, cut = symbols[i]
+            ways = [(4, "D", state)]
+            if not gone:
+                if initial in keeps[state]:
+                    ways.append((3 * cut, "K", keeps[state][initial]))
+                ways.append((3 + 3 * cut, "R", onward[state]))
+            for price, letter, to in ways:
+                cost, rest = best(i + 1, to, 3)
+                found.append((cost + price, letter + rest))
+        return min(found, default=(10**9, ""))
+
+    return best(0, 0, 3)
+
+
+def damage(rows):
+    for c, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        shown = [" " if x is None else str(x) for x in (c, turn)]
+        fault = zlib.crc32(":".join(shown).encode()) % 20
+        text = {1: "", 2: re.sub("[.!?]", "", text)}.get(fault, text)
+        yield from [(c, turn, "user" if fault == 4 else role, text)] * {0: 0, 3: 2}.get(fault, 1)
+
+
+def repaired_rows(rows, spoil=damage):
+    out = {c: [] for c, *_ in rows}
+    for c, turn, role, text in spoil(rows):
+        out[c].append((turn is not None, turn or 0, turn_id(role, text), role, text))
+    for c, found in out.items():
+        found.sort()
+        seen, symbols = set(), []
+        counts = dict.fromkeys(("blank", "duplicate", "truncated"), 0)
+        for *_, role, text in found:
+            said = re.findall(r"[^\x20\x09-\x0d]", text)
+            blank, twice = not said, (role, text) in seen
+            cut = not (said and said[-1] in ".!?")
+            seen.add((role, text))
+            fault = "blank" if blank else "duplicate" if twice else "truncated" if cut else None
+            if fault:
+                counts[fault] += 1
+            symbols.append((role[:1], blank or twice, int(cut)))
+        cost, audit = best_edits(tuple(symbols))
+        state, lines, left = 0, [], iter(found)
+        for letter in audit:
+            row = next(left) if letter != "I" else None
+            if letter == "D":
+                continue
+            role = row[3] if letter == "K" else ("assistant" if state == 2 else "user")
+            lines.append(f"{role}:{row[4] if row else ''}")
+            state = {"s": 1, "u": 2, "a": 3}[role[0]]
+        turns = {t for has, t, *_ in found if has}
+        pairs = [a[0] + b[0] for a, b in zip(symbols, symbols[1:], strict=False)]
+        yield (
+            c, max(turns) - min(turns) + 1 - len(turns) if turns else 0, *counts.values(),
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit,
+            hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+        )
+
+
+def by_conversation(rows):
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0))
+
+
+def broken_conversations():
+    rng = random.Random(8)
+    rows = []
+    for c in range(-3, 160):
+        for t in range(rng.randrange(0, 14)):
+            say = rng.choice(["Yes.", "Why?", "cut off", " \n", "", None, "Ends. \x0b", "多.", "a "])
+            role = rng.choice(["user", "assistant", "system", None, "", "tool", "assistant", "user"])
+            rows.append((c, None if rng.random() < 0.05 else t * rng.choice([1, 1, 2]), role, say))
+    rows += [(None, None, None, None), (None, 3, "user", "Hello."), (700, 1, "user", "x. " * 60_000)]
+    rows += [(701, t, "user" if t % 2 else "assistant", f"Turn {t}.") for t in range(300)]
+    rows += [(702, 5, "user", "Same.")] * 3
+    return rows
+
+
+def test_repair_equals_plain_recursion(spark):
+    rows = broken_conversations()
+    got = repair_report(damaged(table(spark, rows))).collect()
+    assert by_conversation(got) == by_conversation(repaired_rows(rows))
+
+
+def test_repair_of_rows_as_they_are(spark):
+    rows = [r for r in broken_conversations() if r[0] is None or r[0] < 60]
+    same = lambda rows: ((c, t, " " if r is None else r, " " if x is None else x) for c, t, r, x in rows)
+    df = table(spark, rows)
+    got = by_conversation(repair_report(df).collect())
+    assert got == by_conversation(repaired_rows(rows, same))
+    turns = defaultdict(dict)
+    for r in repaired_turns(df).collect():
+        turns[r.conv_id][r.position] = f"{r.role}:{r.text}"
+    for r in got:
+        lines = [turns[r[0]][k] for k in range(len(turns[r[0]]))]
+        assert hashlib.sha256("\n".join(lines).encode()).hexdigest() == r[-1]
+
+
+def test_repair_of_nothing(spark):
+    df = table(spark, [])
+    assert repair_report(damaged(df)).collect() == repaired_turns(df).collect() == []
+    gone = next(t for t in range(99) if zlib.crc32(f"1:{t}".encode()) % 20 == 0)
+    (row,) = repair_report(damaged(table(spark, [(1, gone, "user", "All is lost.")]))).collect()
+    assert tuple(row) == (1, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 4])
+def test_block_tables(block):
+    rng = random.Random(block)
+    made = BlockTables(block)
+    for _ in range(400):
+        rows = [(rng.choice("suax"), rng.random() < 0.2, rng.randrange(2)) for _ in range(rng.randrange(12))]
+        codes = [0 if gone else 1 + 2 * "suax".index(i) + cut for i, gone, cut in rows]
+        assert made.repair(np.array(codes, np.int64)) == best_edits(tuple(rows))
