@@ -9,6 +9,7 @@ from ledgerlens.llm import (  # noqa: F401  (importing registers the queries)
     packing,
     personal_data,
     prefix_trie,
+    quality_density,
     quality_rules,
     ring_shards,
     secret_links,
