@@ -1,6 +1,7 @@
 """Registered queries with their SQL twins, by family."""
 
 from ledgerlens.catalogue import (  # noqa: F401  (imports register the queries)
+    bundles,
     classes,
     correlations,
     files,

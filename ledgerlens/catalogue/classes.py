@@ -311,16 +311,14 @@ def interaction(spark, sf_dir):
     return rounded(insight.interaction(tx(spark, sf_dir), "amount", "user_id", "label"))
 
 
-@register("anomaly_clusters")
-def anomaly_clusters(spark, sf_dir):
-    found = insight.anomaly_clusters(tx(spark, sf_dir), ["amount", "user_id"])
-    return found.summary
-
-
 _HIGH = " + ".join(f"CAST(abs(corr({a}, {b})) > 0.5 AS INTEGER)" for a, b in (("amount", "user_id"), ("amount", "label"), ("user_id", "label")))
 _FOUND = " + ".join(f"(SELECT count(*) FILTER ({c} < lo OR {c} > hi) FROM tx, {_fence('tx', c)})" for c in ("amount", "user_id", "label"))
 
 
+_FOUND_TIME = f"(SELECT count(*) FILTER (time < lo OR time > hi) FROM tx, {_fence('tx', 'time')})"
+_HIGH_TIME = " + ".join(f"CAST(abs(corr(time, {c})) > 0.5 AS INTEGER)" for c in ("amount", "user_id", "label"))
+
+
 @register("key_findings", with_views(
     f"""SELECT * FROM (SELECT 2 AS rule, printf('Detected %d outliers across all features', n) AS finding FROM (SELECT {_FOUND} AS n) WHERE n > 0
 UNION ALL SELECT 4, printf('Found %d high correlations between variables', n) FROM (SELECT {_HIGH} AS n FROM tx) WHERE n > 0
@@ -330,11 +328,27 @@ def findings(spark, sf_dir):
     return key_findings(df, Roles(amount="amount", label="label"))
 
 
-@register("key_findings_with_time")
+@register("key_findings_with_time", with_views(
+    f"""SELECT * FROM (SELECT 1 AS rule, 'Fraud transactions have significantly different timing patterns' AS finding FROM ({_KS_ROW}) WHERE p < 0.05
+UNION ALL SELECT 2, printf('Detected %d outliers across all features', n) FROM (SELECT {_FOUND} + {_FOUND_TIME} AS n) WHERE n > 0
+UNION ALL SELECT 4, printf('Found %d high correlations between variables', n) FROM (SELECT {_HIGH} + {_HIGH_TIME} AS n FROM tx) WHERE n > 0
+UNION ALL SELECT 5, printf('Dataset has %.2f%% fraud rate', 100.0 * avg(label)) FROM tx)""", TX))
 def findings_with_time(spark, sf_dir):
     return key_findings(tx(spark, sf_dir).drop("event_id"), Roles("time", "amount", "label"))
 
 
+_LATE = TX.replace("/ 1e6 AS time", "/ 1e6 + CASE WHEN event_type = 'error' THEN 86400 ELSE 0 END AS time")
+
+
+@register("key_findings_late_errors", with_views(
+    f"""SELECT * FROM (SELECT 1 AS rule, 'Fraud transactions have significantly different timing patterns' AS finding FROM ({_KS_ROW}) WHERE p < 0.05
+UNION ALL SELECT 5, printf('Dataset has %.2f%% fraud rate', 100.0 * avg(label)) FROM tx)""", _LATE))
+def findings_late_errors(spark, sf_dir):
+    """Errors moved by a day: the timing rule holds at the larger scales."""
+    late = tx(spark, sf_dir).withColumn("time", F.col("time") + F.when(F.col("label") == 1, 86400).otherwise(0))
+    return key_findings(late, Roles("time", "amount", "label"), cols=[])
+
+
 # -- chart data ------------------------------------------------------------------------------
 
 @register("histogram_by_class", with_views(histogram_sql("tx", ["amount"], 50, "label"), TX))

@@ -13,9 +13,9 @@ from ledgerlens.operators.charts import histogram_grid
 from ledgerlens.operators.clustering import complete_rows
 from ledgerlens.operators.histogram import grid_counts, histogram
 from ledgerlens.operators.quantiles import quantiles
-from ledgerlens.plans.bundles import analyse_patterns, numeric_profile, profile_bundle, segment_profile
+from ledgerlens.plans.bundles import numeric_profile, segment_profile
 from ledgerlens.roles import (
-    Roles, categorical_cols, feature_cols, is_labelled_format, normalise_missing, numeric_cols,
+    categorical_cols, feature_cols, is_labelled_format, normalise_missing, numeric_cols,
 )
 
 # fmt: off
@@ -378,7 +378,7 @@ LEFT JOIN (SELECT {key}CAST(CASE WHEN x < g * ((hi - lo) / {bins}) + lo THEN g -
 def _hist(df, *fields):
     names = fields or ("left", "right", "center", "density")
     digits = {"density": 8}
-    keys = [c for c in df.columns if c not in ("left", "right", "center", "density")]
+    keys = [c for c in df.columns if c not in names and c not in ("left", "right", "center", "density")]
     return df.select(*keys, *[(F.round(f, digits.get(f, 6)) + F.lit(0.0)).alias(f) for f in names])
 
 
@@ -405,28 +405,7 @@ def grid_counts_query(spark, sf_dir):
     return grid_counts(tx(spark, sf_dir), "time", "amount", 50, ["label"])
 
 
-# -- bundles ------------------------------------------------------------------------------
-
-
-def _section_rows(sections):
-    """(section, rows) of a bundle."""
-    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(s).alias("section"), "rows") for s, t in sections.items()]
-    out = counts[0]
-    for more in counts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-@register("profile_bundle")
-def profile_bundle_query(spark, sf_dir):
-    with_roles = tx(spark, sf_dir)
-    return _section_rows(profile_bundle(with_roles, Roles("time", "amount", "label"), exclude=["event_id"]))
-
-
-@register("pattern_bundle")
-def pattern_bundle(spark, sf_dir):
-    roles = Roles("time", "amount", "label", ("amount", "user_id"))
-    return _section_rows(analyse_patterns(tx(spark, sf_dir).drop("event_id"), roles))
+# -- segments -----------------------------------------------------------------------------
 
 
 _SEG = ["quantity", "price"]

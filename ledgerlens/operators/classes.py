@@ -24,6 +24,11 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
         F.count_if(F.col(label) == 1).alias("positive_count"),
         F.count_if(F.col(label) == 0).alias("negative_count"),
     )
+    return class_balance_of(wide)
+
+
+def class_balance_of(wide: DataFrame) -> DataFrame:
+    """:func:`class_balance` from one row of ``total, positive_count, negative_count``."""
     ones, zeros = F.col("positive_count"), F.col("negative_count")
     return wide.select(
         "total",

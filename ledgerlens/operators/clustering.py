@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
 from ledgerlens.functions.stats import long_form, percent, sample_std
+from ledgerlens.operators import kmeans
 from ledgerlens.operators.sampling import SEED
 from ledgerlens.roles import as_double
 from ledgerlens.session import materialise
 
 SILHOUETTE_UP_TO = 8
+STARTS = 10  # of which the best is kept
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -37,6 +35,16 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
+def _standard_vectors(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Complete rows with their standardised values as the array ``kmeans.VECTOR``."""
+    x = [as_double(rows, c) for c in features]
+    stats = rows.agg(*[F.avg(c) for c in x], *[F.stddev_pop(c) for c in x]).head()
+    means = F.array(*[F.lit(v) for v in stats[: len(x)]])
+    scales = F.array(*[F.lit(v or 1.0) for v in stats[len(x) :]])
+    moved = F.zip_with(F.array(*x), means, lambda a, m: a - m)
+    return rows.withColumn(kmeans.VECTOR, F.zip_with(moved, scales, lambda a, s: a / s))
+
+
 def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rows in which every feature is present."""
     present = F.lit(True)
@@ -45,31 +53,6 @@ def complete_rows(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.where(present)
 
 
-def vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
-    return df.withColumn(out, array_to_vector(F.array(*[as_double(df, c) for c in features])))
-
-
-def fit_kmeans(
-    data: DataFrame, k: int, n_init: int = 1, seed: int = SEED, max_iter: int = 100
-) -> KMeansModel:
-    """Best of ``n_init`` seeded k-means|| runs by training cost; ``data`` has ``features``.
-
-    One run is the default: its starting points already come from several sampling passes.
-    """
-    best = None
-    for start in range(n_init):
-        model = KMeans(k=k, seed=seed + start, maxIter=max_iter, tol=1e-4).fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
-
-
-def silhouette(df: DataFrame, vector: str, cluster: str) -> float:
-    """Mean silhouette under squared Euclidean distance: exact, linear in the rows."""
-    evaluator = ClusteringEvaluator(featuresCol=vector, predictionCol=cluster)
-    return evaluator.evaluate(df.withColumn(cluster, F.col(cluster).cast("double")))
-
-
 def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str) -> DataFrame:
     """(cluster, rows, silhouette) under squared Euclidean distance.
 
@@ -170,56 +153,47 @@ class Clustering:
 
 
 def kmeans_sweep(
-    data: DataFrame, ks: Sequence[int], n_init: int = 1, seed: int = SEED
-) -> tuple[list[tuple[int, float, float | None]], dict[int, KMeansModel]]:
-    """(k, inertia, silhouette for k ≤ 8) on standardised ``features``, and the models."""
-    out, models = [], {}
-    for k in ks:
-        model = fit_kmeans(data, k, n_init, seed)
-        score = None
-        if k <= SILHOUETTE_UP_TO:
-            placed = model.transform(data)
-            found = placed.select("prediction").distinct().count()
-            score = silhouette(placed, "features", "prediction") if found > 1 else 0.0
-        out.append((k, float(model.summary.trainingCost), score))
-        models[k] = model
-    return out, models
+    data: DataFrame, ks: Sequence[int], n: int, d: int, n_init: int = STARTS, seed: int = SEED
+) -> dict[int, kmeans.Model]:
+    """The best model of each k with its inertia, and its silhouette for k ≤ 8.
+
+    ``data`` has ``n`` rows with ``d`` standardised values as ``kmeans.VECTOR``. All models move in the same
+    scans; one more finds the silhouettes.
+    """
+    models = kmeans.fit_many(data, ks, n, d, n_init, seed)
+    kmeans.add_silhouettes(data, [m for k, m in models.items() if k <= SILHOUETTE_UP_TO], d)
+    return models
 
 
 def analyse_clusters(
-    df: DataFrame, features: Sequence[str], n_init: int = 1, seed: int = SEED,
+    df: DataFrame, features: Sequence[str], n_init: int = STARTS, seed: int = SEED,
     max_k: int = 10,
 ) -> Clustering:
     """Sweep k, pick the elbow, and assign every complete row by that k's model."""
     if len(features) < 2:
         return Clustering("fewer than two features")
-    rows = complete_rows(df, features)
-    n = rows.count()
+    data = materialise(_standard_vectors(complete_rows(df, features), features))
+    n, d = data.count(), len(features)
     if n < 10:
         return Clustering("fewer than ten complete rows")
-    raw = rows.withColumns({f"_raw_{i}": F.col(c) for i, c in enumerate(features)})
-    data = vectors(standardise(raw, features), features).persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
-    try:
-        ks = range(2, max(2, min(max_k, n // 10)) + 1)
-        sweep, models = kmeans_sweep(data, ks, n_init, seed)
-        curve = spark.createDataFrame(sweep, "k int, inertia double, silhouette double")
-        best = elbow_k(curve).head().optimal_k
-        model = models[best] if best in models else fit_kmeans(data, best, n_init, seed)
-        placed = model.transform(data)
-        score = silhouette(placed, "features", "prediction")
-    finally:
-        data.unpersist()
-    centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-    raw_again = [F.col(f"_raw_{i}").alias(c) for i, c in enumerate(features)]
-    kept = [c for c in df.columns if c not in features]
+    models = kmeans_sweep(data, range(2, max(2, min(max_k, n // 10)) + 1), n, d, n_init, seed)
+    sweep = [(k, m.inertia, m.silhouette) for k, m in models.items()]
+    curve = spark.createDataFrame(sweep, "k int, inertia double, silhouette double")
+    best = elbow_k(curve).head().optimal_k
+    if best not in models:
+        models |= kmeans.fit_many(data, [best], n, d, n_init, seed)
+    model = models[best]
+    if model.silhouette is None:
+        kmeans.add_silhouettes(data, [model], d)
+    placed = kmeans.with_cluster(data, model).drop(kmeans.VECTOR)
+    centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.centres)]
     return Clustering(
         curve=curve,
         optimal_k=best,
         centres=spark.createDataFrame(centres, "cluster int, centre array<double>"),
         summary=spark.createDataFrame(
-            [(best, float(model.summary.trainingCost), float(score))],
-            "optimal_k int, inertia double, silhouette double",
+            [(best, model.inertia, model.silhouette)], "optimal_k int, inertia double, silhouette double"
         ),
-        assigned=placed.select(*kept, *raw_again, F.col("prediction").alias("cluster")),
+        assigned=placed,
     )

@@ -146,14 +146,6 @@ def correlation_matrix(
     """
     cols = list(cols if cols is not None else numeric_cols(df))
     pairs = correlation_pairs(df, cols) if pairs is None else pairs
-    both = pairs.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("var1"), F.col("var2"), F.col("r")),
-                F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), F.col("r")),
-            )
-        )
-    )
     spread = df.agg(*[F.stddev_pop(as_double(df, c)).alias(f"s_{i}") for i, c in enumerate(cols)])
     own = tidy(
         spread,
@@ -162,7 +154,20 @@ def correlation_matrix(
             for i, c in enumerate(cols)
         },
     )
-    return both.unionByName(own.withColumnRenamed("column", "var1"))
+    return matrix_of(pairs, own.withColumnRenamed("column", "var1"))
+
+
+def matrix_of(pairs: DataFrame, diagonal: DataFrame) -> DataFrame:
+    """:func:`correlation_matrix` from the pairs and the rows of the diagonal."""
+    both = pairs.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("var1"), F.col("var2"), F.col("r")),
+                F.struct(F.col("var2").alias("var1"), F.col("var1").alias("var2"), F.col("r")),
+            )
+        )
+    )
+    return both.unionByName(diagonal)
 
 
 def high_correlations(
@@ -211,13 +216,23 @@ def target_top(
     df: DataFrame, label: str, k: int = 10, cols: Sequence[str] | None = None
 ) -> DataFrame:
     """The k columns most correlated with the label by |r|."""
-    table = target_correlation(df, label, cols).where(F.col("r").isNotNull())
+    return strongest(target_correlation(df, label, cols), k)
+
+
+def strongest(table: DataFrame, k: int = 10) -> DataFrame:
+    """:func:`target_top` from ready (variable, r)."""
+    table = table.where(F.col("r").isNotNull())
     return table.orderBy(F.abs("r").desc(), "variable").limit(k)
 
 
 def target_extremes(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Strongest positive and strongest negative column."""
-    return target_correlation(df, label, cols).agg(
+    return extremes(target_correlation(df, label, cols))
+
+
+def extremes(table: DataFrame) -> DataFrame:
+    """:func:`target_extremes` from ready (variable, r)."""
+    return table.agg(
         F.max_by("variable", "r").alias("strongest_positive"),
         F.max("r").alias("positive_r"),
         F.min_by("variable", "r").alias("strongest_negative"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.clustering import Clustering, analyse_clusters
+from ledgerlens.operators.clustering import STARTS, Clustering, analyse_clusters
 from ledgerlens.operators.correlation import target_correlation
 from ledgerlens.operators.outliers import METHODS, bounds, flag_outliers
 from ledgerlens.operators.quantiles import quantile_values
@@ -67,7 +67,7 @@ def interaction(df: DataFrame, a: str, b: str, label: str, bins: int = 4) -> Dat
 
 
 def anomaly_clusters(
-    df: DataFrame, features: Sequence[str], method: str = "iqr", n_init: int = 1,
+    df: DataFrame, features: Sequence[str], method: str = "iqr", n_init: int = STARTS,
     max_k: int = 10,
 ) -> Clustering:
     """Cluster only the rows that are an outlier in some feature."""

@@ -1,9 +1,11 @@
 """Ordered running sums without a single-task sort.
 
 Values are first reduced to one row per distinct value (so a value held by a third
-of all rows costs one row), then cut into buckets at split points taken from a
-quantile sketch.  Split points are constants once collected, which makes the bucket
-of a value a pure function: recomputing a lost partition cannot move a row.
+of all rows costs one row), then cut into buckets at split points taken from quantile
+sketches.  Buckets form a tree: every level cuts each bucket into at most ``FANOUT``
+parts, so a bucket is named by a path of small numbers, and offsets are added up level
+by level.  The driver and a broadcast hold ``FANOUT`` split points, or its square, however
+many values there are.
 """
 
 from __future__ import annotations
@@ -15,7 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerlens.session import materialise
+
 ROWS_PER_BUCKET = 1_000_000
+FANOUT = 256  # parts of a bucket on the next level
+_CHUNK = 16  # split points looked through at once
 SKETCH_SIZE = 4_000
 _MERGED = 64  # sketches of one merge
 
@@ -58,23 +64,84 @@ def sketched(
     return level.groupBy(*keys).agg(*merged).select(*keys, *read)
 
 
-def _split_points(base: DataFrame) -> list[float]:
-    """Values that cut x into even parts: at least one per task, more for more rows."""
-    tasks = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = base.count()
-    parts = max(64, 4 * tasks, rows // ROWS_PER_BUCKET)
-    grid = [i / parts for i in range(1, parts)]
-    row = sketched(base, {"x": F.col("x")}, grid).head()
-    points = sorted(set((row and row.q_x) or []))
-    wanted = max(tasks, rows // ROWS_PER_BUCKET)
-    return points[:: max(1, len(points) // wanted)]
-
-
-def _bucketed(counts: DataFrame, points: Sequence[float]) -> DataFrame:
-    if not points:
-        return counts.withColumn("bucket", F.lit(0.0))
-    splits = [float("-inf"), *points, float("inf")]
-    return Bucketizer(splits=splits, inputCol="x", outputCol="bucket").transform(counts)
+def _slot(points: Column, x: Column) -> Column:
+    """How many of the sorted points are at most x; looks through chunks, then through one."""
+    heads = F.filter(points["heads"], lambda p: p <= x)
+    chunk = F.coalesce(F.get(points["chunks"], F.size(heads) - 1), F.array().cast("array<double>"))
+    inside = F.size(F.filter(chunk, lambda p: p <= x))
+    return F.greatest(F.size(heads) - 1, F.lit(0)) * _CHUNK + inside
+
+
+def _with_buckets(counts: DataFrame, levels: int) -> tuple[DataFrame, list[str]]:
+    """``counts`` with the path of every value through ``levels`` levels of buckets."""
+    grid = [i / FANOUT for i in range(1, FANOUT)]
+    path: list[str] = []
+    for level in range(levels):
+        name = f"bucket_{level}"
+        found = sketched(counts, {"x": F.col("x")}, grid, path)
+        if not path:
+            points = sorted(set(found.head().q_x))  # FANOUT numbers
+            splits = [float("-inf"), *points, float("inf")]
+            counts = Bucketizer(splits=splits, inputCol="x", outputCol=name).transform(counts)
+            counts = counts.withColumn(name, F.col(name).cast("int"))
+        else:
+            points = F.array_sort(F.array_distinct("q_x"))
+            starts = F.sequence(F.lit(1), F.size(points), F.lit(_CHUNK))
+            table = found.select(
+                *[F.col(k).alias(f"of_{k}") for k in path],
+                F.struct(
+                    F.transform(starts, lambda i: F.get(points, i - 1)).alias("heads"),
+                    F.transform(starts, lambda i: F.slice(points, i, F.lit(_CHUNK))).alias("chunks"),
+                ).alias("points"),
+            )
+            on = F.lit(True)
+            for k in path:
+                on = on & (F.col(k) == F.col(f"of_{k}"))
+            # The second level's split points are FANOUT rows; deeper ones are shuffled.
+            table = F.broadcast(table) if level == 1 else table
+            joined = counts.join(table, on)
+            counts = joined.withColumn(name, _slot(F.col("points"), F.col("x")).cast("int"))
+            counts = counts.drop("points", *[f"of_{k}" for k in path])
+        path.append(name)
+        if level + 1 < levels:
+            counts = materialise(counts)
+    return counts, path
+
+
+def _offsets(totals: DataFrame, keys: list[str], path: list[str], sums: Sequence[str]) -> DataFrame:
+    """(keys…, path…, last_x, off_, tot_) from the totals of buckets: what lies before each.
+
+    Every level adds up at most FANOUT buckets of one parent; parents are a level of their own.
+    """
+    if not path:
+        return totals.select(
+            *keys, F.lit(None).cast("double").alias("last_x"),
+            *[F.lit(0).cast("long").alias(f"off_{k}") for k in sums],
+            *[F.col(f"sum_{k}").alias(f"tot_{k}") for k in sums],
+        )
+    parent = path[:-1]
+    above = totals.groupBy(*keys, *parent).agg(
+        F.max("last_x").alias("last_x"), *[F.sum(f"sum_{k}").alias(f"sum_{k}") for k in sums]
+    )
+    upper = _offsets(above, keys, parent, sums)
+    upper = upper.select(
+        *[F.col(k).alias(f"u_{k}") for k in (*keys, *parent)], F.col("last_x").alias("u_last_x"),
+        *[F.col(f"{t}_{k}").alias(f"u_{t}_{k}") for k in sums for t in ("off", "tot")],
+    )
+    in_order = Window.partitionBy(*keys, *parent, F.lit(0)).orderBy(path[-1])
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    own = totals.select(
+        *keys, *path, F.lag("last_x").over(in_order).alias("lag_x"),
+        *[F.coalesce(F.sum(f"sum_{k}").over(before), F.lit(0)).alias(f"own_{k}") for k in sums],
+    )
+    on = F.lit(True)
+    for k in (*keys, *parent):
+        on = on & F.col(k).eqNullSafe(F.col(f"u_{k}"))
+    return own.join(upper, on).select(
+        *keys, *path, F.coalesce("lag_x", "u_last_x").alias("last_x"),
+        *[(F.col(f"own_{k}") + F.col(f"u_off_{k}")).alias(f"off_{k}") for k in sums],
+        *[F.col(f"u_tot_{k}").alias(f"tot_{k}") for k in sums],
+    )
 
 
 def ordered_sums(
@@ -84,46 +151,47 @@ def ordered_sums(
 
     Output: by…, x, prev_x (the next smaller distinct value), and for every name in
     ``sums`` the sum at x (``name``), the inclusive running sum (``cum_name``) and the
-    group total (``tot_name``).
+    group total (``tot_name``).  A bucket has about ``ROWS_PER_BUCKET`` rows.
     """
     keys = list(by)
     base = df.select(
         *keys, x.cast("double").alias("x"), *[e.alias(k) for k, e in sums.items()]
     ).where(F.col("x").isNotNull())
     counts = base.groupBy(*keys, "x").agg(*[F.sum(k).alias(k) for k in sums])
-    counts = _bucketed(counts, _split_points(base.select("x")))
-
-    totals = counts.groupBy(*keys, "bucket").agg(
+    levels = 0
+    if base.count() > ROWS_PER_BUCKET:
+        counts = materialise(counts)
+        room, rows = ROWS_PER_BUCKET, counts.count()
+        while room < rows:
+            room, levels = room * FANOUT, levels + 1
+    counts, path = _with_buckets(counts, levels)
+    inside = Window.partitionBy(*keys, *path, F.lit(0)).orderBy("x")
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = {k: F.sum(k).over(upto) for k in sums}
+    if not path:  # one bucket for each group
+        whole = Window.partitionBy(*keys, F.lit(0))
+        return counts.select(
+            *keys, "x", F.lag("x").over(inside).alias("prev_x"), *sums,
+            *[cum[k].alias(f"cum_{k}") for k in sums],
+            *[F.sum(k).over(whole).alias(f"tot_{k}") for k in sums],
+        )
+    totals = counts.groupBy(*keys, *path).agg(
         F.max("x").alias("last_x"), *[F.sum(k).alias(f"sum_{k}") for k in sums]
     )
-    group = Window.partitionBy(*keys, F.lit(0))
-    in_order = group.orderBy("bucket")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        "bucket",
-        F.lag("last_x").over(in_order).alias("last_x"),
-        *[F.coalesce(F.sum(f"sum_{k}").over(before), F.lit(0)).alias(f"off_{k}") for k in sums],
-        *[F.sum(f"sum_{k}").over(group).alias(f"tot_{k}") for k in sums],
-    )
-    if not keys:  # one row per million rows
-        offsets = F.broadcast(offsets)
-    o = offsets.alias("o")
-    c = counts.alias("c")
-    on = F.col("c.bucket") == F.col("o.bucket")
-    for key in keys:
-        on = on & F.col(f"c.{key}").eqNullSafe(F.col(f"o.{key}"))
-    joined = c.join(o, on).select(
-        "c.*", "o.last_x", *[f"o.off_{k}" for k in sums], *[f"o.tot_{k}" for k in sums]
-    )
-    inside = Window.partitionBy(*keys, "bucket").orderBy("x")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return joined.select(
+    offsets = _offsets(materialise(totals), keys, path, list(sums))
+    offsets = offsets.select(
+        *[F.col(k).alias(f"o_{k}") for k in (*keys, *path)],
+        "last_x", *[F.col(f"{t}_{k}") for k in sums for t in ("off", "tot")],
+    )
+    on = F.lit(True)
+    for k in (*keys, *path):
+        on = on & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    return counts.join(offsets, on).select(
         *keys,
         "x",
         F.coalesce(F.lag("x").over(inside), F.col("last_x")).alias("prev_x"),
         *sums,
-        *[(F.sum(k).over(upto) + F.col(f"off_{k}")).alias(f"cum_{k}") for k in sums],
+        *[(cum[k] + F.col(f"off_{k}")).alias(f"cum_{k}") for k in sums],
         *[F.col(f"tot_{k}") for k in sums],
     )
 

@@ -156,7 +156,7 @@ def missing_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 # -- values -----------------------------------------------------------------------
 
 
-def _value_table(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
+def value_table(df: DataFrame, cols: Sequence[str], where: Column | None = None) -> DataFrame:
     """(column, value, count); hot values are combined before the shuffle."""
     rows = df if where is None else df.where(where)
     pairs = long_form(rows, {c: F.col(c).cast("string") for c in cols})
@@ -168,7 +168,11 @@ def value_counts(
     least: bool = False,
 ) -> DataFrame:
     """The k most (or least) frequent values per column, ties by value."""
-    table = _value_table(df, list(cols or categorical_cols(df)), where)
+    return top_values(value_table(df, list(cols or categorical_cols(df)), where), k, least)
+
+
+def top_values(table: DataFrame, k: int = 20, least: bool = False) -> DataFrame:
+    """:func:`value_counts` from a ready (column, value, count) table."""
     count = F.col("count").asc() if least else F.col("count").desc()
     by_count = Window.partitionBy("column").orderBy(count, "value")
     return table.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
@@ -177,13 +181,14 @@ def value_counts(
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """unique_count, most frequent value and its count per categorical column."""
     cols = list(cols or categorical_cols(df))
+    return categorical_summary_of(value_table(df, cols), cols)
+
+
+def categorical_summary_of(table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """:func:`categorical_summary` from a ready (column, value, count) table."""
     best = F.min(F.struct((-F.col("count")).alias("rank"), F.col("value")))
-    found = (
-        _value_table(df, cols)
-        .groupBy("column")
-        .agg(F.count("*").alias("unique_count"), best.alias("best"))
-    )
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    found = table.groupBy("column").agg(F.count("*").alias("unique_count"), best.alias("best"))
+    names = table.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return names.join(found, "column", "left").select(
         "column",
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
@@ -250,6 +255,14 @@ def column_types(
 ) -> DataFrame:
     """dtype, numeric / categorical flags, distinct values and their ratio to all rows."""
     cols = list(cols or df.columns)
+    rows = df.agg(F.count("*")).scalar()
+    return column_types_of(df, cols, distinct_counts(df, cols, approx), rows)
+
+
+def column_types_of(
+    df: DataFrame, cols: Sequence[str], unique: DataFrame, rows: Column | int
+) -> DataFrame:
+    """:func:`column_types` from ready (column, unique_values) and the number of rows."""
     numeric = set(numeric_cols(df))
     facts = []
     for c in cols:
@@ -260,8 +273,7 @@ def column_types(
         facts, "column string, dtype string, numpy_dtype string, "
         "is_numeric boolean, is_categorical boolean",
     )
-    rows = df.agg(F.count("*")).scalar()
-    unique = distinct_counts(df, cols, approx)
+    rows = F.lit(rows) if isinstance(rows, int) else rows
     return known.join(unique, "column").withColumn(
         "unique_ratio", F.try_divide(F.col("unique_values").cast("double"), rows)
     )

@@ -48,18 +48,19 @@ def quantiles(
     method: str = "auto",
     max_distinct: int = MAX_DISTINCT,
     max_groups: int = MAX_GROUPS,
+    picked: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """(by…, column, q) with q aligned to ``probs``, linear interpolation.
 
     A row for every group and column, whatever the method; q is NULL where a column has
-    no value in a group.
+    no value in a group. ``picked`` names the method of each column where it is known.
     """
     exprs = expressions(df, cols)
     names = list(exprs)
     keys = list(by)
     pairs = long_form(df, exprs, keys)
     if method == "auto":
-        picked = _choose(pairs, names, keys, max_distinct, max_groups)
+        picked = picked or _choose(pairs, names, keys, max_distinct, max_groups)
         parts = [
             _found(df, {c: exprs[c] for c in names if picked[c] == m}, probs, keys, m)
             for m in dict.fromkeys(picked.values())
@@ -108,12 +109,13 @@ def _found(
 
 def quantile_values(
     df: DataFrame, cols: Sequence[str] | Mapping[str, Column], probs: Sequence[float],
-    method: str = "auto",
+    method: str = "auto", picked: Mapping[str, str] | None = None,
 ) -> dict[str, list[float | None]]:
     """Collected quantiles per column: len(cols) × len(probs) numbers."""
     names = list(cols)
-    rows = quantiles(df, cols, probs, method=method).collect()
-    return dict.fromkeys(names, [None] * len(probs)) | {r["column"]: list(r["q"]) for r in rows}
+    rows = quantiles(df, cols, probs, method=method, picked=picked).collect()
+    none = [None] * len(probs)
+    return dict.fromkeys(names, none) | {r["column"]: list(r["q"] or none) for r in rows}
 
 
 def _array(values: Sequence[float]) -> Column:

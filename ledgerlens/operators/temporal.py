@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.classes import labelled
 from ledgerlens.operators.ordered import ordered_quantiles, ordered_sums
-from ledgerlens.operators.quantiles import quantiles
+from ledgerlens.operators.quantiles import MAX_DISTINCT, quantiles
 from ledgerlens.operators.two_sample import ks_two_sample
 from ledgerlens.roles import as_double
 from ledgerlens.session import materialise
@@ -34,8 +34,12 @@ def gap_stats(df: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
 
     The gap table costs a sort and is read three times, so it is written once.
     """
+    return gap_stats_of(materialise(time_gaps(df, time, by)), by)
+
+
+def gap_stats_of(gaps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """:func:`gap_stats` of a written gap table (by…, time, rows, gap)."""
     keys = list(by)
-    gaps = materialise(time_gaps(df, time, keys))
     moved = F.col("gap")
     n = F.sum("rows").cast("double")
     stats = gaps.groupBy(*keys).agg(
@@ -58,7 +62,11 @@ def gap_stats(df: DataFrame, time: str, by: Sequence[str] = ()) -> DataFrame:
             )
         ),
     ).where((F.col("w") > 0) & F.col("g").isNotNull())
-    middle = ordered_quantiles(weighted, F.col("g"), [0.5], keys, F.col("w")).select(
+    if gaps.limit(MAX_DISTINCT + 1).count() <= MAX_DISTINCT:  # all values fit a task
+        middle = weighted.groupBy(*keys).agg(F.array(F.percentile("g", 0.5, F.col("w"))).alias("q"))
+    else:
+        middle = ordered_quantiles(weighted, F.col("g"), [0.5], keys, F.col("w"))
+    middle = middle.select(
         *[F.col(k).alias(f"m_{k}") for k in keys], F.get("q", 0).alias("median_gap")
     )
     on = F.lit(True)

@@ -25,7 +25,11 @@ def class_counts_in_order(df: DataFrame, cols: Sequence[str], label: str) -> Dat
 
 def ks_two_sample(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Kolmogorov–Smirnov D and asymptotic p per column."""
-    o = class_counts_in_order(df, cols, label)
+    return ks_of(class_counts_in_order(df, cols, label))
+
+
+def ks_of(o: DataFrame) -> DataFrame:
+    """:func:`ks_two_sample` from running class counts."""
     gap = F.abs(
         F.try_divide(F.col("cum_c1").cast("double"), "tot_c1")
         - F.try_divide(F.col("cum_c0").cast("double"), "tot_c0")
@@ -42,7 +46,11 @@ def ks_two_sample(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 def mann_whitney_u(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """U of the positive class with tie-corrected normal p per column."""
-    o = class_counts_in_order(df, cols, label)
+    return mann_whitney_of(class_counts_in_order(df, cols, label))
+
+
+def mann_whitney_of(o: DataFrame) -> DataFrame:
+    """:func:`mann_whitney_u` from running class counts."""
     ties = (F.col("c1") + F.col("c0")).cast("double")
     upto = (F.col("cum_c1") + F.col("cum_c0")).cast("double")
     rank = upto - ties + (ties + 1) / 2
@@ -74,7 +82,6 @@ def t_test_by_class(
     ``limit`` keeps the first columns of the list, as a report of ten features does.
     """
     cols = list(cols)[:limit] if limit else list(cols)
-    names = F.array(*[F.lit(c) for c in cols])
     aggs = []
     for k in (1, 0):
         x = F.when(F.col(label) == k, F.col("x"))
@@ -84,7 +91,12 @@ def t_test_by_class(
             F.when(F.count(x) >= 2, F.var_samp(x)).alias(f"v{k}"),
         ]
     pairs = long_form(labelled(df, label), expressions(df, cols), [label])
-    row = pairs.groupBy("column").agg(*aggs)
+    return t_test_of(pairs.groupBy("column").agg(*aggs), cols)
+
+
+def t_test_of(row: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """:func:`t_test_by_class` from (column, n1, m1, v1, n0, m0, v0): rows, means, variances."""
+    names = F.array(*[F.lit(c) for c in cols])
     row = row.withColumn("position", F.array_position(names, F.col("column")).cast("int") - 1)
     n1, n0 = F.col("n1"), F.col("n0")
     freedom = n1 + n0 - 2
@@ -107,7 +119,12 @@ def significant_features(
     df: DataFrame, cols: Sequence[str], label: str, k: int = 5, limit: int | None = None
 ) -> DataFrame:
     """The k significant columns with the largest absolute mean difference."""
-    tests = t_test_by_class(df, cols, label, limit).where("significant")
+    return largest_differences(t_test_by_class(df, cols, label, limit), k)
+
+
+def largest_differences(tests: DataFrame, k: int = 5) -> DataFrame:
+    """:func:`significant_features` from ready tests."""
+    tests = tests.where("significant")
     size = F.abs("mean_difference")
     return (
         tests.orderBy(size.desc(), "position")

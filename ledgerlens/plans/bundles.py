@@ -10,18 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ledgerlens.functions.stats import percent, tidy
-from ledgerlens.operators import classes, clustering, correlation, outliers, profile, temporal
-from ledgerlens.operators.histogram import histogram
+from ledgerlens.operators import classes, clustering, correlation, outliers, profile
 from ledgerlens.operators.lookup import few_groups, lookup_join
-from ledgerlens.operators.two_sample import (
-    ks_two_sample,
-    mann_whitney_u,
-    significant_features,
-    t_test_by_class,
-)
+from ledgerlens.operators.two_sample import ks_two_sample, largest_differences
+from ledgerlens.plans.shared import SharedPasses
 from ledgerlens.roles import Roles, as_double, numeric_cols
 from ledgerlens.session import materialise
-from ledgerlens.sources.files import dataset_info
 
 
 @contextmanager
@@ -35,41 +29,37 @@ def shared_input(df: DataFrame):
 
 
 def profile_bundle(
-    df: DataFrame, roles: Roles, bins: int = 20, exclude: Sequence[str] = ()
-) -> dict[str, DataFrame]:
-    """The seven sections of a profile; wrap ``df`` in :func:`shared_input` to share scans."""
-    cols = numeric_cols(df, exclude)
-    # One run of quantiles serves the summary and the percentiles.
-    quarters = (0.25, 0.5, 0.75)
-    ranks = materialise(profile.quantiles(df, cols, (*quarters, *profile.PERCENTILES)))
+    df: DataFrame, roles: Roles, bins: int = 20, exclude: Sequence[str] = (),
+    passes: SharedPasses | None = None,
+) -> dict[str, DataFrame]:
+    """The seven sections of a profile, from shared passes; wrap ``df`` in
+    :func:`shared_input` to read its source once.
+
+    ``passes`` are those of an earlier bundle of the same input, columns and bins.
+    """
+    p = passes or SharedPasses(df, roles, bins, exclude)
     out = {
-        "file_info": dataset_info(df),
-        "data_types": profile.column_types(df),
-        "numeric_statistics": profile.with_quantiles(
-            profile.moments(df, cols), ranks, ("q1", "median", "q3"), ()
-        ),
-        "categorical_statistics": profile.categorical_summary(df),
-        "value_counts": profile.value_counts(df),
-        "histograms": histogram(df, cols, bins),
-        "percentiles": ranks.select("column", *[
-            F.get("q", len(quarters) + i).alias(f"p{round(p * 100):d}")
-            for i, p in enumerate(profile.PERCENTILES)
-        ]),
-        "missing_by_column": profile.missing_by_column(df),
-        "missing_summary": profile.missing_summary(df),
+        "file_info": p.file_info(),
+        "data_types": p.data_types(),
+        "numeric_statistics": p.numeric_statistics(),
+        "histograms": p.histograms(),
+        "percentiles": p.percentiles(),
+        **p.missing_sections(),
     }
+    if p.flat:
+        out["categorical_statistics"] = profile.categorical_summary_of(p.values, p.flat)
+        out["value_counts"] = profile.top_values(p.values)
     if roles.time:
-        out["time_analysis"] = temporal.gap_stats(df, roles.time)
+        out["time_analysis"] = p.gaps()
     if roles.amount:
-        out["amount_analysis"] = classes.amount_flags(df, roles.amount)
+        out["amount_analysis"] = p.amount_flags()
     if roles.label:
-        out["class_analysis"] = classes.class_balance(df, roles.label)
+        out["class_analysis"] = classes.class_balance_of(p.balance())
         if roles.amount:
-            out["amount_by_class"] = classes.describe_by_class(df, [roles.amount], roles.label)
-    if len(cols) > 1:
-        pairs = materialise(correlation.correlation_pairs(df, cols))
-        out["correlation_matrix"] = correlation.correlation_matrix(df, cols, pairs)
-        out["high_correlations"] = correlation.high_correlations(df, cols, pairs=pairs)
+            out["amount_by_class"] = p.by_class(roles.amount)
+    if len(p.cols) > 1:
+        out["correlation_matrix"] = correlation.matrix_of(p.pairs, p.diagonal())
+        out["high_correlations"] = correlation.high_correlations(df, p.cols, pairs=p.pairs)
     return out
 
 
@@ -86,37 +76,27 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def analyse_patterns(
-    df: DataFrame, roles: Roles, n_init: int = 1, max_k: int = 10,
+    df: DataFrame, roles: Roles, n_init: int = clustering.STARTS, max_k: int = 10,
+    exclude: Sequence[str] = (), passes: SharedPasses | None = None,
 ) -> dict[str, DataFrame]:
-    """Every pattern module the roles allow, over all rows."""
-    cols = numeric_cols(df)
-    read = df.agg(F.count("*").alias("original_size"))
+    """Every pattern module the roles allow, over all rows, from shared passes.
+
+    ``passes`` are those of an earlier bundle of the same input and columns.
+    """
+    p = passes or SharedPasses(df, roles, exclude=exclude)
+    cols, rows = p.cols, p.totals.rows
     # Every row is analysed; no sample is taken.
-    out = {"dataset_info": read.select(
-        "original_size", F.col("original_size").alias("analyzed_size"),
-        F.lit(False).alias("sampling_applied"),
-    )}
+    info = "original_size long, analyzed_size long, sampling_applied boolean"
+    out = {"dataset_info": p.local([(rows, rows, False)], info)}
     if roles.time:
-        out["duration"] = temporal.duration(df, roles.time)
-        out["time_gaps"] = temporal.gap_stats(df, roles.time)
-        out["hourly_pattern"] = temporal.hourly_pattern(df, roles.time)
-        out["weekly_pattern"] = temporal.weekly_pattern(df, roles.time)
+        out["duration"] = p.duration()
+        out["time_gaps"] = p.gaps()
+        out["hourly_pattern"] = p.cycle("hour", 24)
+        out["weekly_pattern"] = p.cycle("day", 7)
         if roles.label:
-            out["time_by_class"] = temporal.time_by_class(df, roles.time, roles.label)
-    # Fences, pairs and the order test are found once and passed to all that need them.
-    found_bounds = outliers.bounds(df, cols, outliers.METHODS)
-    pairs = materialise(correlation.correlation_pairs(df, cols)) if len(cols) > 1 else None
-    timing = None
-    if roles.time and roles.label:
-        timing = materialise(ks_two_sample(df, [roles.time], roles.label))
-    out["outliers_iqr"] = outliers.outliers_iqr(df, cols, found_bounds)
-    out["outliers_zscore"] = outliers.outliers_zscore(df, cols, found_bounds)
-    out["outliers_modified_zscore"] = outliers.outliers_modified_z(df, cols, found_bounds)
-    out["outlier_summary"] = materialise(outliers.outlier_summary(df, cols, found_bounds))
-    if roles.label:
-        out["outlier_label_rate"] = outliers.outlier_label_rate(
-            df, roles.label, cols, found_bounds
-        )
+            out["time_by_class"] = p.time_by_class()
+            out["time_test"] = p.test_of(0, roles.time)
+    out |= p.outlier_sections()
     if len(roles.features) > 1:
         found = clustering.analyse_clusters(df, roles.features, n_init, max_k=max_k)
         if found.reason is None:
@@ -131,28 +111,27 @@ def analyse_patterns(
                     found.assigned, roles.label, "cluster"
                 )
     if len(cols) > 1:
-        out["correlation_summary"] = correlation.correlation_summary(df, cols, pairs)
-        out["high_correlations"] = correlation.high_correlations(df, cols, pairs=pairs)
-        out["strong_correlations"] = correlation.strong_correlations(df, cols, pairs)
+        out["correlation_summary"] = correlation.correlation_summary(df, cols, p.pairs)
+        out["high_correlations"] = correlation.high_correlations(df, cols, pairs=p.pairs)
+        out["strong_correlations"] = correlation.strong_correlations(df, cols, p.pairs)
         if roles.label:
-            out["target_top"] = correlation.target_top(df, roles.label, 10, cols)
-            out["target_extremes"] = correlation.target_extremes(df, roles.label, cols)
+            out["target_top"] = correlation.strongest(p.target())
+            out["target_extremes"] = correlation.extremes(p.target())
     if roles.label:
-        out["class_balance"] = classes.class_balance(df, roles.label)
+        out["class_balance"] = classes.class_balance_of(p.balance())
         if roles.amount:
-            out["amount_by_class"] = classes.compare_by_class(df, [roles.amount], roles.label)
-            out["amount_test"] = mann_whitney_u(df, [roles.amount], roles.label)
-            out["zero_amounts"] = classes.zero_amounts_by_class(df, roles.amount, roles.label)
-        if roles.time:
-            out["time_test"] = timing
-        if roles.features:
-            out["feature_tests"] = t_test_by_class(df, roles.features, roles.label)
-            out["significant_features"] = significant_features(
-                df, roles.features, roles.label
+            compared = p.by_class(roles.amount)
+            out["amount_by_class"] = compared.select(
+                roles.label, "column", "mean", "median", "std", "min", "max"
             )
+            out["amount_test"] = p.test_of(1, roles.amount)
+            out["zero_amounts"] = p.zero_amounts()
+        if roles.features:
+            out["feature_tests"] = p.feature_tests()
+            out["significant_features"] = largest_differences(out["feature_tests"])
     out["key_findings"] = key_findings(
-        df, roles, cols, out.get("cluster_separation"), timing, out["outlier_summary"],
-        out.get("correlation_summary"),
+        df, roles, cols, out.get("cluster_separation"), out.get("time_test"), out["outlier_summary"],
+        out.get("correlation_summary"), out.get("class_balance"),
     )
     return out
 
@@ -161,10 +140,11 @@ def key_findings(
     df: DataFrame, roles: Roles, cols: Sequence[str] | None = None,
     separation: DataFrame | None = None, timing: DataFrame | None = None,
     outlier_table: DataFrame | None = None, correlations: DataFrame | None = None,
+    balance: DataFrame | None = None,
 ) -> DataFrame:
     """(rule, finding): the sentences whose rule holds, or the default sentence.
 
-    The last three arguments are the tables of those rules where they are ready.
+    The arguments after ``cols`` are the tables of those rules where they are ready.
     """
     cols = list(cols if cols is not None else numeric_cols(df))
     found: list[DataFrame] = []
@@ -196,7 +176,8 @@ def key_findings(
     if roles.label:
         both = (F.col("positive_count") > 0) & (F.col("negative_count") > 0)
         text = F.format_string("Dataset has %.2f%% fraud rate", F.col("positive_pct"))
-        add(5, classes.class_balance(df, roles.label), both, text)
+        balance = classes.class_balance(df, roles.label) if balance is None else balance
+        add(5, balance, both, text)
     default = F.struct(
         F.lit(0).alias("rule"),
         F.lit("No significant patterns detected in the analysis").alias("finding"),

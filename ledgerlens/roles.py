@@ -81,17 +81,27 @@ def expand_vector(df: DataFrame, vector: str, size: int, prefix: str = "V") -> D
     return df.select(*rest, *parts)
 
 
+def quoted(name: str) -> str:
+    """The name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _not_nan_sql(df: DataFrame, name: str) -> str:
+    # SQL text is parsed in one call; wide tables build many of these.
+    column = quoted(name)
+    if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+        return f"CASE WHEN NOT isnan({column}) THEN {column} END"
+    return column
+
+
 def not_nan(df: DataFrame, name: str) -> Column:
     """The column with NaN read as NULL."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(name), F.col(name))
-    return F.col(name)
+    return F.expr(_not_nan_sql(df, name))
 
 
 def as_double(df: DataFrame, name: str) -> Column:
     """Numeric column as double, NaN read as NULL."""
-    return not_nan(df, name).cast("double")
+    return F.expr(f"CAST({_not_nan_sql(df, name)} AS DOUBLE)")
 
 
 def normalise_missing(df: DataFrame, na_tokens: Sequence[str] = NA_TOKENS) -> DataFrame:

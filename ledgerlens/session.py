@@ -21,6 +21,7 @@ def local_session(
         .config("spark.sql.files.openCostInBytes", "524288")
         .config("spark.sql.files.maxPartitionBytes", "16777216")
         .config("spark.driver.memory", "16g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call sites kept
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
