@@ -16,6 +16,7 @@ columns and classes together, and gives a table whose size does not depend on th
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import cached_property
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgerlens.functions.stats import long_form, sample_kurtosis, sample_skewness, sample_std
+from ledgerlens.functions.stats import long_form
 from ledgerlens.operators import correlation, outliers, profile
 from ledgerlens.operators.histogram import bin_index
 from ledgerlens.operators.ordered import ordered_sums
@@ -46,6 +47,60 @@ def _class_name(column: str, label: int) -> str:
     return f"{column}\0{label}"
 
 
+def _moments(n: int, mean: float, m2: float, m3: float, m4: float) -> dict[str, float | None]:
+    """Corrected deviation, skewness and kurtosis from central sums."""
+    out = {"std": math.sqrt(m2 / (n - 1)) if n >= 2 else None, "spread": math.sqrt(m2 / n) if n else None}
+    out |= {"skewness": None, "kurtosis": None}
+    if n >= 3 and m2 > 0:
+        out["skewness"] = math.sqrt(n) * m3 / m2**1.5 * math.sqrt(n * (n - 1)) / (n - 2)
+    if n >= 4 and m2 > 0:
+        out["kurtosis"] = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (n * m4 / m2**2 - 3) + 6)
+    return out | {"mean": mean if n else None}
+
+
+def _central(p: dict) -> tuple:
+    """Rows, mean and central sums of one part; a constant part has no shape."""
+    n, mean, m2 = p["count"], p["mean"] or 0.0, p["count"] * (p["var"] or 0.0)
+    if not n or not m2 or p["skewness"] is None:
+        return n, mean, m2, 0.0, 0.0
+    return n, mean, m2, p["skewness"] * m2**1.5 / math.sqrt(n), (p["kurtosis"] + 3) * m2**2 / n
+
+
+def _merged(parts: dict[int, dict]) -> Row:
+    """Facts of a column from those of its classes: 1, 0 and all other labels."""
+    some = list(parts.values())
+    add = lambda k: sum(p[k] or 0 for p in some)
+    out = {k: add(k) for k in ("rows", "count", "none", "distinct", *(f"over_{t}" for t in OVER))}
+    out["rate"] = add("sum_y") / add("labelled") if add("labelled") else None
+    sums = [_central(p) for p in some if p["count"]]
+    n = sum(p[0] for p in sums)
+    mean = sum(p[0] * p[1] for p in sums) / n if n else 0.0
+    total = [0.0, 0.0, 0.0]
+    for m, at, m2, m3, m4 in sums:  # moved to the common mean
+        d = at - mean
+        total[0] += m2 + m * d * d
+        total[1] += m3 + 3 * d * m2 + m * d**3
+        total[2] += m4 + 4 * d * m3 + 6 * d * d * m2 + m * d**4
+    out |= _moments(n, mean, *total)
+    for f, k in ((min, "min"), (max, "max")):
+        out[k] = f((p[k] for p in some if p[k] is not None), default=None)
+    # Co-moments with the label, over rows that have both.
+    both = [p for p in some if p["both"]]
+    m = sum(p["both"] for p in both)
+    centre = {k: sum(p["both"] * p[f"mean_{k}"] for p in both) / m if m else 0.0 for k in "xy"}
+    moved = lambda p, k: p[f"mean_{k}"] - centre[k]
+    out["covariance"] = sum(p["both"] * (p["cov"] + moved(p, "x") * moved(p, "y")) for p in both) / m if m else None
+    for k in "xy":
+        square = sum(p["both"] * (p[f"var_{k}"] + moved(p, k) ** 2) for p in both)
+        out[f"spread_{k}"] = math.sqrt(square / m) if m else None
+    for k, name in ((1, "ones"), (0, "zeros")):
+        p = parts.get(k) or {"rows": 0, "count": 0, "none": 0, "min": None, "max": None, "mean": None}
+        out[name] = p["rows"]
+        out |= {f"{f}{k}": v for f, v in _moments(*(_central(p) if p["count"] else (0, 0.0, 0.0, 0.0, 0.0))).items()}
+        out |= {f"{f}{k}": p[f] for f in ("count", "min", "max", "none", "mean")}
+    return Row(*out)(*out.values())
+
+
 class SharedPasses:
     """The passes over ``df``; wrap it in ``shared_input`` to read its source once."""
 
@@ -62,30 +117,24 @@ class SharedPasses:
 
     @cached_property
     def facts(self) -> dict[str, Row]:
-        """One grouped pass: everything about a column that adds up."""
+        """One pass grouped by column and class: everything about a column that adds up."""
         x, y = F.col("x"), F.col("y")
         makers = {
-            "rows": F.count(F.lit(1)), "ones": F.count_if(y == 1), "zeros": F.count_if(y == 0),
-            "rate": F.avg(y), "count": F.count(x), "mean": F.avg(x), "std": sample_std(x),
-            "spread": F.stddev_pop(x), "min": F.min(x), "max": F.max(x),
-            "skewness": sample_skewness(x), "kurtosis": sample_kurtosis(x),
-            "distinct": F.approx_count_distinct(x), "none": F.count_if(x == 0),
+            "rows": F.count(F.lit(1)), "labelled": F.count(y), "sum_y": F.sum(y),
+            "count": F.count(x), "mean": F.avg(x), "var": F.var_pop(x), "min": F.min(x), "max": F.max(x),
+            "skewness": F.skewness(x), "kurtosis": F.kurtosis(x), "none": F.count_if(x == 0),
             **{f"over_{k}": F.count_if(x > k) for k in OVER},
-            "covariance": F.covar_pop(x, y), "spread_x": F.stddev_pop(F.when(y.isNotNull(), x)),
-            "spread_y": F.stddev_pop(F.when(x.isNotNull(), y)),
+            "both": F.count(x + y), "mean_x": F.avg(F.when(y.isNotNull(), x)), "mean_y": F.avg(F.when(x.isNotNull(), y)),
+            "cov": F.covar_pop(x, y), "var_x": F.var_pop(F.when(y.isNotNull(), x)), "var_y": F.var_pop(F.when(x.isNotNull(), y)),
+            "distinct": F.approx_count_distinct(x),
         }
-        for k in (1, 0) if self.roles.label else ():
-            own = F.when(y == k, x)
-            makers |= {
-                f"count{k}": F.count(own), f"mean{k}": F.avg(own), f"std{k}": sample_std(own),
-                f"min{k}": F.min(own), f"max{k}": F.max(own), f"none{k}": F.count_if(own == 0),
-                f"skewness{k}": sample_skewness(own), f"kurtosis{k}": sample_kurtosis(own),
-            }
+        kind = F.when(y == 1, 1).when(y == 0, 0).otherwise(2).alias("kind")
         pairs = self._long(self.all, keep_null=True)
-        found = pairs.groupBy("column").agg(*[e.alias(k) for k, e in makers.items()])
-        got = {r["column"]: r for r in found.collect()}  # one row per column
-        empty = Row(*found.columns)(*[0 if t == "bigint" else None for _, t in found.dtypes])
-        return {c: got.get(c, empty) for c in self.all}
+        found = pairs.groupBy("column", kind).agg(*[e.alias(k) for k, e in makers.items()])
+        parts = defaultdict(dict)
+        for r in found.collect():  # three rows per column
+            parts[r["column"]][r.kind] = r.asDict()
+        return {c: _merged(parts[c]) for c in self.all}
 
     @cached_property
     def totals(self) -> Row:
