@@ -38,7 +38,11 @@ def _any(words) -> str:
     return "(" + " OR ".join(f"contains(lower(message), '{w}')" for w in words) + ")"
 
 
-_CATEGORY = "CASE " + " ".join(f"WHEN {_any(w)} THEN '{c}'" for c, w in error_log.CATEGORY_WORDS) + " ELSE 'system' END"
+# The words of each category in the order they are tried, as the twins have them.
+_WORDS = (("file_processing", ("file", "csv", "upload", "size", "format")), ("llm_api", ("api", "llm", "openai", "ollama", "rate limit", "quota")),
+          ("network", ("network", "connection", "timeout", "unreachable")), ("validation", ("invalid", "validation", "format", "schema")),
+          ("workflow", ("workflow",)), ("system", ("memory",)))
+_CATEGORY = "CASE " + " ".join(f"WHEN {_any(w)} THEN '{c}'" for c, w in _WORDS) + " ELSE 'system' END"
 _SEVERITY = (f"CASE WHEN category = 'llm_api' AND {_any(['configuration'])} THEN 'high' WHEN category = 'workflow' THEN 'high' "
              f"WHEN category = 'system' AND {_any(['memory'])} THEN 'critical' ELSE 'medium' END")
 CLASSIFIED = (LOG, f"placed AS (SELECT *, {_CATEGORY} AS category FROM log)", f"errors AS (SELECT *, {_SEVERITY} AS severity FROM placed)")
@@ -95,7 +99,9 @@ def all_suggestions(spark, sf_dir):
     return found.select("event_id", F.array_join("recovery_suggestions", "|").alias("suggestions"))
 
 
-_RETRY = f"category IN ('network', 'llm_api', 'system') AND NOT {_any(error_log.NO_RETRY_WORDS)}"
+# What forbids a retry, as the twin has it.
+_NO_RETRY = ("not found", "permission denied", "invalid format", "authentication failed", "api key", "quota exceeded")
+_RETRY = f"category IN ('network', 'llm_api', 'system') AND NOT {_any(_NO_RETRY)}"
 
 
 @register("retry_possible", _errors_sql(f"SELECT event_id, {_RETRY} AS retry_possible FROM errors"))
@@ -105,25 +111,28 @@ def retry_possible(spark, sf_dir):
 
 
 # Exception types by event, derived ones among them, and what each says about the category.
-TYPES = ("ConnectionRefusedError", "JSONDecodeError", "AnalyserAgentError", "FileNotFoundError", "KeyError", "MemoryError")
-_TYPE_CATEGORIES = {"network": "ConnectionRefusedError", "validation": "JSONDecodeError", "workflow": "AnalyserAgentError",
-                    "file_processing": "FileNotFoundError", "system": "MemoryError"}
-_TYPED = ("typed AS (SELECT event_id, nullif(event_type, 'error') AS message, CASE event_id % 6 " + " ".join(
+TYPES = ("ConnectionRefusedError", "JSONDecodeError", "AnalyserAgentError", "FileNotFoundError", "KeyError", "MemoryError", "ReporterAgentError", "WorkflowError")
+# The category of each of these types, as the twin has it.
+_OF_TYPE = {"network": ("ConnectionRefusedError",), "validation": ("JSONDecodeError",), "llm_api": ("AnalyserAgentError", "ReporterAgentError"),
+            "file_processing": ("FileNotFoundError",), "workflow": ("WorkflowError",), "system": ("MemoryError",)}
+_TYPED = ("typed AS (SELECT event_id, nullif(event_type, 'error') AS message, CASE event_id % 8 " + " ".join(
     f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END AS error_type FROM events)")
 _TYPED_CATEGORY = "CASE " + " ".join(
-    f"WHEN coalesce({_any(w)}, false) OR error_type = '{_TYPE_CATEGORIES.get(c)}' THEN '{c}'" for c, w in error_log.CATEGORY_WORDS) + " ELSE 'system' END"
+    f"WHEN coalesce({_any(w)}, false) OR error_type IN ({', '.join(map(_quote, _OF_TYPE[c]))}) THEN '{c}'" for c, w in _WORDS) + " ELSE 'system' END"
+_TYPED_SEVERITY = ("CASE category WHEN 'file_processing' THEN CASE WHEN error_type = 'FileNotFoundError' THEN 'high' ELSE 'medium' END "
+                   "WHEN 'workflow' THEN 'high' WHEN 'system' THEN CASE WHEN error_type = 'MemoryError' THEN 'critical' ELSE 'medium' END ELSE 'medium' END")
 
 
-@register("classify_by_type", f"WITH {_TYPED}, placed AS (SELECT *, {_TYPED_CATEGORY} AS category FROM typed) SELECT event_id, category, "
-          f"category IN ('network', 'llm_api', 'system') AND NOT coalesce({_any(error_log.NO_RETRY_WORDS)}, false) AS retry_possible FROM placed")
+@register("classify_by_type", f"WITH {_TYPED}, placed AS (SELECT *, {_TYPED_CATEGORY} AS category FROM typed) SELECT event_id, category, {_TYPED_SEVERITY} AS severity, "
+          f"category IN ('network', 'llm_api', 'system') AND NOT coalesce({_any(_NO_RETRY)}, false) AS retry_possible FROM placed")
 def classify_by_type(spark, sf_dir):
     """Exception types and their subclasses decide where the message does not; some are missing."""
     types = F.array(*[F.lit(t) for t in TYPES])
     log = table(spark, sf_dir, "events").select(
         "event_id", F.nullif("event_type", F.lit("error")).alias("message"),
-        F.get(types, (F.col("event_id") % 6).cast("int")).alias("error_type"))
+        F.get(types, (F.col("event_id") % 8).cast("int")).alias("error_type"))
     found = error_log.retry_possible(error_log.classify_errors(log, error_type="error_type"))
-    return found.select("event_id", "category", "retry_possible")
+    return found.select("event_id", "category", "severity", "retry_possible")
 
 
 ERROR_STATISTICS = _errors_sql(f"""

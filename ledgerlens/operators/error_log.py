@@ -19,10 +19,12 @@ CATEGORY_WORDS = (
 # Exception types that select a category whatever the message says.
 CATEGORY_TYPES = {
     "file_processing": ("FileNotFoundError", "PermissionError", "FileValidationError"),
-    "llm_api": ("LLMConfigurationError", "LLMConnectionError"),
+    "llm_api": (
+        "LLMConfigurationError", "LLMConnectionError", "AnalyserAgentError", "ReporterAgentError",
+    ),
     "network": ("RequestException", "ConnectionError"),
     "validation": ("ValueError", "TypeError"),
-    "workflow": ("WorkflowError", "AnalyserAgentError", "ReporterAgentError"),
+    "workflow": ("WorkflowError",),
     "system": ("MemoryError",),
 }
 # Well-known exceptions derived from those above; a class counts as what it
