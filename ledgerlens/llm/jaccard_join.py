@@ -9,8 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
@@ -22,8 +24,12 @@ BLOCK_SHINGLES = 300_000
 #: Bits of the filters that say which signatures and sets are worth sending; their size
 #: never changes.
 FILTER_BITS = 25
-#: Sets of one signature that one task compares; larger groups are cut into blocks.
+#: Sets of one signature that one task compares; larger groups meet pivots first.
 HOT_GROUP = 2_000
+#: Pivots of a hot signature in the first round and at most; rounds double them.
+PIVOTS, MOST_PIVOTS = 4, 256
+#: Rows of pivots up to this number are broadcast (150 bytes each), more are shuffled.
+BROADCAST_PIVOTS = 50_000
 #: 64-bit words of a set's parity sketch. Sets of more than SKETCH_SETS shingles are
 #: sketched from a share of them, chosen by hash, which then bounds the difference but for
 #: a chance below 1e-14 for each pair (ten standard deviations).
@@ -84,9 +90,11 @@ class Bands:
     """Ranges of set sizes such that linked sets lie in one range or in neighbouring ones.
 
     Linked sets of the sizes n and m differ in at most ``(n + m) (1 - t) / (1 + t)``
-    shingles (t: the percentage as a share). Cut into two more parts than that by hash,
-    both have at least two equal parts, so they share a filled one unless both have two
-    empty parts or more; only then empty parts are sent as well.
+    shingles (t: the percentage as a share). Cut by hash into ``1 + spare`` more parts than
+    that, both have at least ``1 + spare`` equal parts, so they share a filled one unless
+    both have more than ``spare`` empty parts; only then empty parts are sent as well.
+    ``spare`` is six deviations above the empty parts that the smallest set of a band has
+    on average, so what is sent says something of the content.
     """
 
     def __init__(self, percent: int, largest: int):
@@ -97,6 +105,12 @@ class Bands:
         self.lows = np.array(lows)
         most = self.lows[1:-1] - 1 + self.lows[2:] - 1  # of a band and of it with the next
         self.differ = most * (100 - percent) // (100 + percent)
+        parts = self.differ + 2.0
+        for _ in range(8):  # more parts have more empty ones
+            empty = parts * np.exp(-self.lows[:-2] / parts)
+            spare = np.maximum(1, np.ceil(empty + 6 * np.sqrt(empty) - 1e-3))
+            parts = self.differ + 1 + spare
+        self.spare = spare.astype(np.int64)
         self.levels = np.maximum(0, np.ceil(np.log2(self.lows / SKETCH_SETS))).astype(np.int64)
 
     def signatures(self, value: np.ndarray, row: np.ndarray, size: np.ndarray):
@@ -110,7 +124,8 @@ class Bands:
             sent = (size > 0) & (group >= 0)
             differ = np.where(sent, self.differ[np.maximum(group, 0)], 0)
             sent &= differ > 0  # without a difference linked sets are equal sets
-            parts = np.where(sent, differ + 2, 0)
+            spare = self.spare[np.maximum(group, 0)]
+            parts = np.where(sent, differ + 1 + spare, 0)
             base = np.concatenate([[0], np.cumsum(parts)])
             use = sent[row]
             if not use.any():
@@ -126,7 +141,7 @@ class Bands:
                 sums += added.astype(np.uint64) << np.uint64(shift)
             of = np.repeat(np.arange(len(size)), parts)
             empty = np.bincount(of[~filled], minlength=len(size))
-            emit = filled | (empty[of] >= 2)
+            emit = filled | (empty[of] > spare[of])
             number = (np.arange(total) - base[of]).astype(np.uint64)
             seed = W.mix((group[of].astype(np.uint64) << np.uint64(32)) + number + np.uint64(1))
             yield of[emit], W.mix(sums[emit] + seed[emit]), self.levels[np.maximum(group, 0)]
@@ -193,11 +208,20 @@ def _grouped_links(percent: int):
                 own = slice(head, end)
                 out.append(compatible_links(ids[own], sizes[own], sketches[own], levels[head], percent))
         made = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(made[0]), pa.array(made[1])], ["a", "b"])
+        n = made.shape[1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(made[0]), pa.array(made[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+             pa.nulls(n, pa.binary())], ["a", "b", "size", "level", "sketch"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
+            hot = batch.column(5)
+            if pc.any(hot).as_py():  # those of hot signatures go on as they are
+                names = ["a", "b", "size", "level", "sketch"]
+                yield pa.RecordBatch.from_arrays(batch.filter(hot).columns[:5], names)
+                batch = batch.filter(pc.invert(hot))
             if not batch.num_rows:
                 continue
             sketch = b"".join(batch.column(4).to_pylist())
@@ -216,6 +240,99 @@ def _grouped_links(percent: int):
     return work
 
 
+_FOUND = "a long, b long, size long, level long, sketch binary"
+
+
+def _links_by_signature(signed: DataFrame, percent: int) -> DataFrame:
+    """Compatible links (without a sketch) of ``sig, set_id, size, level, sketch, hot``, and
+    the rows of hot signatures as they are."""
+    # Hot signatures are only passed on, so their rows are dealt out by set as well.
+    group = F.when(F.col("hot"), F.xxhash64("sig", "set_id")).otherwise(F.col("sig"))
+    rows = signed.select(group.alias("group"), "set_id", "size", "level", "sketch", "hot", "sig")
+    rows = rows.repartition("group").sortWithinPartitions("group")
+    # `group` has done its work; a hot row's signature is what goes on.
+    rows = rows.select(F.when(F.col("hot"), F.col("sig")).otherwise(F.col("group")).alias("group"),
+                       "set_id", "size", "level", "sketch", "hot")
+    return rows.mapInArrow(_grouped_links(percent), _FOUND)
+
+
+def _met_pivots(percent: int):
+    """For each row: the pivots of its signature within twice the bound, and whether one is
+    within the bound itself."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            ids = batch.column(1).to_numpy()
+            level, most = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(n, -1)
+            ends = batch.column(6).offsets.to_numpy()
+            ends = ends - ends[0]
+            flat = batch.column(6).flatten()
+            pivot = flat.field(0).to_numpy()
+            other = np.frombuffer(b"".join(flat.field(1).to_pylist()), np.uint64).reshape(len(pivot), -1)
+            row = np.repeat(np.arange(n), np.diff(ends))
+            away = np.zeros(len(row), np.int64)
+            for first in range(0, len(row), 20_000):
+                part = slice(first, first + 20_000)
+                differ = np.bitwise_count(sketch[row[part]] ^ other[part])
+                away[part] = differ.sum(axis=1, dtype=np.int64)
+            bound = most_bits(2 * most, level, percent)[row]
+            near = np.zeros(n, bool)
+            near[row[away <= bound]] = True
+            met = (away <= 2 * bound) & (pivot != ids[row])
+            counts = np.bincount(row[met], minlength=n)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(pivot[met])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:5], pa.array(near), lists],
+                ["sig", "set_id", "size", "level", "sketch", "near", "met"],
+            )
+
+    return work
+
+
+def _hot_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join whatever may link within hot signatures.
+
+    Sketch distance obeys the triangle inequality: what links with a set within the bound
+    of a pivot lies within twice the bound of that pivot. So all sets within twice the
+    bound are linked with the pivot, and those within the bound are done. Each round
+    compares every set that is left with a few pivots of its signature; a group of near
+    copies is done after one. Signatures with few sets left are compared in one task.
+    """
+    rest = rows.select(F.col("a").alias("sig"), F.col("b").alias("set_id"), "size", "level", "sketch")
+    rest = materialise(rest.dropDuplicates(["sig", "set_id"]))
+    schema = "sig long, set_id long, size long, level long, sketch binary, near boolean, met array<long>"
+    found, pivots = [], PIVOTS
+    while True:
+        counts = materialise(rest.groupBy("sig").agg(F.count("*").alias("n"), F.max("size").alias("most")))
+        hot = counts.filter(F.col("n") > HOT_GROUP)
+        cool = counts.filter(F.col("n") <= HOT_GROUP).select("sig")
+        few = rest.join(cool, "sig", "left_semi").withColumn("hot", F.lit(False))
+        found.append(materialise(_links_by_signature(few, percent).select("a", "b").distinct()))
+        if hot.isEmpty():
+            break
+        rest = rest.join(hot.select("sig"), "sig", "left_semi")
+        first = F.row_number().over(Window.partitionBy("sig").orderBy("set_id"))
+        chosen = rest.withColumn("place", first).filter(F.col("place") <= pivots)  # limits before it shuffles
+        chosen = chosen.groupBy("sig").agg(F.collect_list(F.struct("set_id", "sketch")).alias("pivots"))
+        chosen = materialise(chosen.join(hot.select("sig", "most"), "sig"))
+        met = join_keys(rest, chosen, ["sig"], "inner", BROADCAST_PIVOTS // pivots)
+        met = met.select("sig", "set_id", "size", "level", "sketch", "most", "pivots")
+        met = materialise(met.mapInArrow(_met_pivots(percent), schema))
+        found.append(met.select(F.explode("met").alias("a"), F.col("set_id").alias("b")).distinct())
+        rest = met.filter("not near").select("sig", "set_id", "size", "level", "sketch")
+        pivots = min(2 * pivots, MOST_PIVOTS)
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links
+
+
 # -- search -------------------------------------------------------------------------
 
 
@@ -420,20 +537,14 @@ def near_sets(
                     )
 
     signed = texts.mapInArrow(sketched, "sig long, set_id long, size long, level long, sketch binary")
-    hot = materialise(
-        shared.filter(F.col("n") > HOT_GROUP)
-        .select("sig", F.ceil(F.col("n") / HOT_GROUP).cast("int").alias("blocks"))
-    )
+    hot = materialise(shared.filter(F.col("n") > HOT_GROUP).select("sig", F.lit(True).alias("hot")))
     signed = join_keys(signed, hot, ["sig"], "left", BROADCAST_KEYS)
-    block = F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1))
-    signed = signed.withColumn("block", F.coalesce(block, F.lit(0))).withColumn("met", met)
-    group = F.when(F.col("blocks").isNull(), F.col("sig")).otherwise(
-        F.xxhash64("sig", F.least("block", "met"), F.greatest("block", "met"))
-    )
-    signed = signed.select(group.alias("group"), "set_id", "size", "level", "sketch")
-    signed = signed.repartition("group").sortWithinPartitions("group")
-    links = signed.mapInArrow(_grouped_links(percent), "a long, b long").filter("a <> b").distinct()
+    signed = signed.withColumn("hot", F.coalesce("hot", F.lit(False)))
+    met = materialise(_links_by_signature(signed, percent))
+    links = met.filter("sketch is null").select("a", "b")
+    if not hot.isEmpty():
+        links = links.unionByName(_hot_links(met.filter("sketch is not null"), percent))
+    links = links.filter("a <> b").distinct()
     candidates = materialise(components(links))
     hint = _filter_of(candidates, "node")
 

@@ -363,11 +363,56 @@ def test_groups_may_span_batches():
     groups = np.sort(rng.integers(0, 30, 200))
     sketches = [near.tobytes() if k % 3 else bytes(8 * words) for k in range(200)]
     rows = [pa.array(groups), pa.array(np.arange(200)), pa.array(np.full(200, 50)),
-            pa.array(np.zeros(200, np.int64)), pa.array(sketches, pa.binary())]
-    whole = pa.RecordBatch.from_arrays(rows, ["group", "set_id", "size", "level", "sketch"])
+            pa.array(np.zeros(200, np.int64)), pa.array(sketches, pa.binary()), pa.array([False] * 200)]
+    whole = pa.RecordBatch.from_arrays(rows, ["group", "set_id", "size", "level", "sketch", "hot"])
     for step in (1, 7, 200):
         batches = iter([whole.slice(k, step) for k in range(0, 200, step)])
-        links = [x for b in jaccard_join._grouped_links(80)(batches) for x in zip(*b.to_pydict().values(), strict=True)]
+        links = [x for b in jaccard_join._grouped_links(80)(batches) for x in zip(*[c.to_pylist() for c in b.columns[:2]], strict=True)]
         want = [(a, b) for a, b in itertools.combinations(range(200), 2)
                 if groups[a] == groups[b] and (a % 3 > 0) == (b % 3 > 0)]
         assert classes(200, links) == classes(200, want)
+
+
+def test_hot_rows_pass_the_groups_unchanged():
+    words = jaccard_join.SKETCH_WORDS
+    names = ["group", "set_id", "size", "level", "sketch", "hot"]
+    rows = [[5, 5, 7, 9], [1, 2, 3, 4], [50] * 4, [0] * 4, [bytes(8 * words)] * 4, [False, False, True, True]]
+    made = list(jaccard_join._grouped_links(80)(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)])))
+    got = [tuple(c.to_pylist()[k] for c in b.columns[:2]) + (b.column(4)[k].is_valid,) for b in made for k in range(b.num_rows)]
+    assert sorted(got) == [(1, 2, False), (7, 3, True), (9, 4, True)]
+
+
+def near_copies(n, words=30):
+    """Copies with a word changed here and there, in two families, and unrelated texts."""
+    rng = random.Random(n)
+    base = [[f"w{f}x{k}" for k in range(words)] for f in range(2)]
+    rows = []
+    for k in range(n):
+        text = list(base[k % 2])
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(words)] = f"new{rng.randrange(50)}"
+        rows.append((k, " ".join(text)))
+    return rows + [(n + k, " ".join(f"u{k}y{j}" for j in range(words))) for k in range(5)]
+
+
+def test_hot_signatures_meet_pivots(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_GROUP", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    rows = near_copies(60)
+    sets = {i: {" ".join(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for i, t in rows}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2)
+             if 100 * len(sets[a] & sets[b]) >= 60 * len(sets[a] | sets[b])]
+    want = classes(len(rows), links)
+    got = {r.doc_id: r.component_id for r in jaccard_components(table(spark, rows), 3, 60).collect()}
+    assert [got[k] for k in range(len(rows))] == want
+
+
+def test_unrelated_texts_share_no_signature():
+    """Signatures say something of the content, also where parts are empty."""
+    rng = np.random.default_rng(2)
+    for n in (100, 1_000, 4_000):
+        value = np.sort(rng.integers(0, 2**63, (20, n), dtype=np.uint64), axis=1).reshape(-1)
+        row, size = np.repeat(np.arange(20), n), np.full(20, n)
+        sent = [sig for _, sig, _ in Bands(80, 2 * n).signatures(value, row, size)]
+        sent = np.concatenate(sent)
+        assert len(np.unique(sent)) == len(sent)
