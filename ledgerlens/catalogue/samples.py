@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalogue.registry import (
     EMB, EMB_FEATURES, TX, emb, r, register, rounded, table, tx, union_all, with_views,
 )
-from ledgerlens.operators import charts, clustering, sampling
+from ledgerlens.operators import charts, clustering, sampling, silhouettes
 
 # fmt: off
 
@@ -126,6 +126,21 @@ def silhouette_by_cluster(spark, sf_dir):
     return rounded(clustering.silhouette_by_cluster(emb(spark, sf_dir), EMB_FEATURES, "cluster"))
 
 
+@register("silhouette_many_clusters", with_views(
+    f"SELECT own AS cluster, count(*) AS rows, {r('avg(coalesce((b - a) / greatest(a, b), 0))')} AS silhouette FROM scored GROUP BY own", _PAIRS.replace("DIST", "d * d")))
+def silhouette_many_clusters(spark, sf_dir):
+    """The form for any number of clusters, with centres in blocks."""
+    return rounded(silhouettes.silhouette_of_many_clusters(emb(spark, sf_dir), EMB_FEATURES, "cluster"))
+
+
+@register("silhouette_euclidean", with_views(
+    f"SELECT own AS cluster, count(*) AS rows, {r('avg(coalesce((b - a) / greatest(a, b), 0))')} AS silhouette FROM scored WHERE vec_id % 100 = 0 GROUP BY own", _PAIRS.replace("DIST", "d")))
+def silhouette_euclidean(spark, sf_dir):
+    """Every row whose id is divisible by 100, against all rows."""
+    rows = emb(spark, sf_dir)
+    return rounded(silhouettes.silhouette_euclidean(rows, EMB_FEATURES, "cluster", F.col("vec_id") % 100 == 0))
+
+
 @register("cluster_profile", with_views(union_all(
     f"SELECT cluster, '{c}' AS \"column\", count(*) AS size, {r('100.0 * count(*) / (SELECT count(*) FROM emb)')} AS percentage, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std "
     "FROM emb GROUP BY cluster" for c in EMB_FEATURES), EMB))

@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 from ledgerlens.functions.stats import long_form, percent, sample_std
 from ledgerlens.operators import kmeans
 from ledgerlens.operators.sampling import SEED
+from ledgerlens.operators.silhouettes import silhouette_of_many_clusters
 from ledgerlens.roles import as_double
 from ledgerlens.session import materialise
 
 SILHOUETTE_UP_TO = 8
+FEW_CLUSTERS = 1_000  # whose centres are broadcast
 STARTS = 10  # of which the best is kept
 
 
@@ -57,8 +59,11 @@ def silhouette_by_cluster(df: DataFrame, features: Sequence[str], cluster: str)
     """(cluster, rows, silhouette) under squared Euclidean distance.
 
     The mean squared distance of x to a cluster is |x|² − 2x·m + q with m the mean and
-    q the mean squared norm, so only (clusters × features) means travel to the tasks.
+    q the mean squared norm, so only (clusters × features) means travel to the tasks. More
+    than ``FEW_CLUSTERS`` clusters are compared block by block instead.
     """
+    if df.select(cluster).distinct().limit(FEW_CLUSTERS + 1).count() > FEW_CLUSTERS:
+        return silhouette_of_many_clusters(df, features, cluster)
     x = F.array(*[as_double(df, c) for c in features])
     rows = complete_rows(df, features).select(F.col(cluster).alias("own"), x.alias("x"))
     size = len(features)

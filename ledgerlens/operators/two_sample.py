@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import long_form
-from ledgerlens.functions.tails import kolmogorov_p, normal_p, student_p
+from ledgerlens.functions.tails import d_p, kolmogorov_p, normal_p, student_p, u_p
 from ledgerlens.operators.classes import labelled
 from ledgerlens.operators.ordered import ordered_sums
 from ledgerlens.operators.quantiles import expressions
@@ -23,12 +23,15 @@ def class_counts_in_order(df: DataFrame, cols: Sequence[str], label: str) -> Dat
     return ordered_sums(pairs, F.col("x"), {"c1": ones, "c0": 1 - ones}, ["column"])
 
 
-def ks_two_sample(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Kolmogorov–Smirnov D and asymptotic p per column."""
-    return ks_of(class_counts_in_order(df, cols, label))
+def ks_two_sample(
+    df: DataFrame, cols: Sequence[str], label: str, exact: bool = True
+) -> DataFrame:
+    """Kolmogorov–Smirnov D and p per column; p is exact for small samples unless ``exact``
+    is off (see :mod:`ledgerlens.functions.tails`)."""
+    return ks_of(class_counts_in_order(df, cols, label), exact)
 
 
-def ks_of(o: DataFrame) -> DataFrame:
+def ks_of(o: DataFrame, exact: bool = True) -> DataFrame:
     """:func:`ks_two_sample` from running class counts."""
     gap = F.abs(
         F.try_divide(F.col("cum_c1").cast("double"), "tot_c1")
@@ -39,17 +42,22 @@ def ks_of(o: DataFrame) -> DataFrame:
     )
     n1, n0 = F.col("n1").cast("double"), F.col("n0").cast("double")
     scaled = F.sqrt(F.try_divide(n1 * n0, n1 + n0)) * F.col("statistic")
-    return found.withColumn("p_value", kolmogorov_p(scaled)).withColumn(
+    both = (n1 > 0) & (n0 > 0)
+    p = d_p("statistic", F.when(both, n1), F.when(both, n0)) if exact else kolmogorov_p(scaled)
+    return found.withColumn("p_value", p).withColumn(
         "significant", F.col("p_value") < ALPHA
     )
 
 
-def mann_whitney_u(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """U of the positive class with tie-corrected normal p per column."""
-    return mann_whitney_of(class_counts_in_order(df, cols, label))
+def mann_whitney_u(
+    df: DataFrame, cols: Sequence[str], label: str, exact: bool = True
+) -> DataFrame:
+    """U of the positive class and p per column: exact for small samples without ties unless
+    ``exact`` is off, else normal with tie and continuity correction."""
+    return mann_whitney_of(class_counts_in_order(df, cols, label), exact)
 
 
-def mann_whitney_of(o: DataFrame) -> DataFrame:
+def mann_whitney_of(o: DataFrame, exact: bool = True) -> DataFrame:
     """:func:`mann_whitney_u` from running class counts."""
     ties = (F.col("c1") + F.col("c0")).cast("double")
     upto = (F.col("cum_c1") + F.col("cum_c0")).cast("double")
@@ -67,7 +75,11 @@ def mann_whitney_of(o: DataFrame) -> DataFrame:
     )
     spread = F.sqrt(n1 * n0 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1))))
     off = F.greatest(F.abs(F.col("statistic") - n1 * n0 / 2) - 0.5, F.lit(0.0))
-    found = found.withColumn("p_value", normal_p(F.try_divide(off, spread)))
+    z = F.try_divide(off, spread)
+    # One value on either side has no spread without ties, but an exact p.
+    z = F.coalesce(z, F.when(F.col("tie_term") == 0, 0.0))
+    p = u_p("statistic", n1, n0, "tie_term", z) if exact else normal_p(z)
+    found = found.withColumn("p_value", p)
     return found.select(
         "column", n1.cast("bigint").alias("n1"), n0.cast("bigint").alias("n0"),
         "statistic", "tie_term", "p_value", (F.col("p_value") < ALPHA).alias("significant"),

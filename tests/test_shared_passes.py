@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import kmeans, ordered
+from ledgerlens.functions import tails
+from ledgerlens.operators import kmeans, ordered, silhouettes
 from ledgerlens.operators.clustering import analyse_clusters
 from ledgerlens.operators.ordered import ordered_quantiles, ordered_sums
+from ledgerlens.operators.two_sample import ks_two_sample, mann_whitney_u
 from ledgerlens.plans.bundles import analyse_patterns, profile_bundle
 from ledgerlens.plans.shared import SharedPasses
 from ledgerlens.roles import Roles
@@ -147,3 +149,91 @@ def test_passes_run_once_for_both_bundles(spark, monkeypatch):
     profile_bundle(df, roles, passes=passes)
     analyse_patterns(df, roles, passes=passes)
     assert len(calls) == 3  # facts, shape and order
+
+
+# -- exact p values -----------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "m"), [(3, 4), (5, 5), (2, 7), (1, 6), (4, 6)])
+def test_exact_tails_equal_counting_all_orders(n, m):
+    d_of, u_of = [], []
+    for pick in itertools.combinations(range(n + m), n):
+        a = b = d = u = 0
+        for k in range(n + m):
+            if k in pick:
+                a, u = a + 1, u + b
+            else:
+                b += 1
+            d = max(d, abs(a * m - b * n))
+        d_of.append(d)
+        u_of.append(u)
+    for d in set(d_of):
+        assert tails.lattice_tail(d / (n * m), n, m) == pytest.approx(sum(x >= d for x in d_of) / len(d_of))
+    for u in set(u_of):
+        high = max(u, n * m - u)
+        want = min(1, 2 * sum(x >= high for x in u_of) / len(u_of))
+        assert tails.counted_u_tail(u, n, m) == pytest.approx(want)
+
+
+def test_tails_of_published_tables():
+    # Critical values of the two-sample D and U tables, at most 5 % on two sides.
+    for n, d in ((5, 5 / 5), (8, 6 / 8), (10, 7 / 10), (15, 8 / 15), (20, 9 / 20)):
+        assert tails.lattice_tail(d, n, n) <= 0.05 < tails.lattice_tail(d - 1 / n, n, n)
+    for n, m, u in ((4, 4, 0), (5, 5, 2), (6, 6, 5), (7, 7, 8), (8, 8, 13), (5, 8, 6)):
+        assert tails.counted_u_tail(u, n, m) <= 0.05 < tails.counted_u_tail(u + 1, n, m)
+
+
+def test_large_samples_go_over_smoothly(monkeypatch):
+    exact = [tails.counted_u_tail(u, n, m) for n, m, u in ((8, 40_000, 250_000), (1, 3_000, 2_900), (4, 9_000, 30_000))]
+    monkeypatch.setattr(tails, "COUNTED_U", 1)
+    sums = [tails.counted_u_tail(u, n, m) for n, m, u in ((8, 40_000, 250_000), (1, 3_000, 2_900), (4, 9_000, 30_000))]
+    assert sums == pytest.approx(exact, rel=2e-3)
+    limit = tails.kolmogorov_tail(0.03 * math.sqrt(4_000 * 5_000 / 9_000))
+    assert tails.lattice_tail(0.03, 4_000, 5_000) == pytest.approx(limit, rel=0.05)
+
+
+def test_small_samples_have_exact_p(spark):
+    rows = [(v, 1) for v in (1.0, 2.5, 9.0)] + [(float(v), 0) for v in (3, 4, 5, 6, 7)] + [(None, 1), (8.0, None)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    d, u = ks_two_sample(df, ["x"], "y").head(), mann_whitney_u(df, ["x"], "y").head()
+    assert d.p_value == pytest.approx(tails.lattice_tail(d.statistic, 3, 5))
+    assert u.p_value == pytest.approx(tails.counted_u_tail(u.statistic, 3, 5))
+    assert ks_two_sample(df, ["x"], "y", exact=False).head().p_value != pytest.approx(d.p_value)
+    alone = spark.createDataFrame([(1.0, 1), (2.0, 1)], "x double, y int")
+    assert ks_two_sample(alone, ["x"], "y").head().p_value is None
+    assert mann_whitney_u(alone, ["x"], "y").head().p_value is None
+
+
+# -- silhouettes --------------------------------------------------------------------
+
+
+def test_tiled_silhouettes_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(silhouettes, "BLOCK", 7)
+    rng = random.Random(6)
+    rows = [(k, k % 4, rng.random() + k % 4, rng.random()) for k in range(60)]
+    rows += [(60, 9, 5.0, 5.0), (61, None, 7.0, 1.0), (62, None, 7.5, 1.0), (63, 1, None, 2.0), (64, 0, 0.5, 0.5), (65, 0, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "id long, c int, a double, b double").repartition(3)
+    whole = [r for r in rows if None not in r[2:]]
+    x = np.array([r[2:] for r in whole])
+    own = [r[1] for r in whole]
+    square = ((x[:, None] - x[None]) ** 2).sum(-1)
+
+    def scores(away, asked):
+        out = {}
+        for i, c in enumerate(own):
+            if not asked(whole[i][0]):
+                continue
+            of = {k: [away[i, j] for j in range(len(own)) if own[j] == k] for k in set(own)}
+            a = sum(of[c]) / max(len(of[c]) - 1, 1)
+            b = min(sum(v) / len(v) for k, v in of.items() if k != c)
+            out.setdefault(c, []).append((b - a) / max(a, b) if len(of[c]) > 1 else 0.0)
+        return {c: (len(v), pytest.approx(float(np.mean(v)))) for c, v in out.items()}
+
+    table = lambda found: {r.c: (r.rows, r.silhouette) for r in found.collect()}
+    got = table(silhouettes.silhouette_euclidean(df, ["a", "b"], "c", F.col("id") % 3 == 0))
+    assert got == scores(np.sqrt(square), lambda i: i % 3 == 0)
+    want = scores(square, lambda i: True)
+    assert table(silhouettes.silhouette_of_many_clusters(df, ["a", "b"], "c")) == want
+    one = silhouettes.silhouette_euclidean(df.where("c = 1"), ["a", "b"], "c").head()
+    assert one.silhouette == 0.0
+    assert silhouettes.silhouette_euclidean(df.where("c = 77"), ["a", "b"], "c").collect() == []
