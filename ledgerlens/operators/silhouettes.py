@@ -39,11 +39,16 @@ def _packed(rows: DataFrame, width: int, prefix: str) -> DataFrame:
     return made.select(*[F.col(c).alias(f"{prefix}_{c}") for c in made.columns])
 
 
-def _coded(df: DataFrame, features: Sequence[str], cluster: str) -> tuple[DataFrame, DataFrame]:
-    """Complete rows as (cluster code, x, rest), and (code, cluster): codes are hashes."""
-    x = F.array(*[as_double(df, c) for c in features])
-    whole = F.forall(x, lambda v: v.isNotNull())
-    rows = df.withColumns({"\0code": F.xxhash64(cluster), "\0x": x}).where(whole)
+def _coded(
+    df: DataFrame, features: Sequence[str], cluster: str, asked: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Complete rows as (code, x, asked), written, and (code, cluster): codes are hashes."""
+    rows = df.select(
+        F.xxhash64(cluster).alias("\0code"), F.col(cluster).alias(cluster),
+        F.array(*[as_double(df, c) for c in features]).alias("\0x"),
+        (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("\0asked"),
+    )
+    rows = materialise(rows).where(F.forall("\0x", lambda v: v.isNotNull()))
     names = rows.groupBy(F.col("\0code").alias("own")).agg(F.first(cluster).alias(cluster))
     return rows, names
 
@@ -70,10 +75,9 @@ def silhouette_euclidean(
     has a table of one cluster.
     """
     width = len(features)
-    rows, names = _coded(df, features, cluster)
+    rows, names = _coded(df, features, cluster, queries)
     points = _packed(rows.select("\0code", "\0x"), width, "p")
-    asked = rows if queries is None else rows.where(queries)
-    asked = _packed(asked.select("\0code", "\0x"), width, "q")
+    asked = _packed(rows.where("`\0asked`").select("\0code", "\0x"), width, "q")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = ["block", "place", "own", "other", "n", "total"]
