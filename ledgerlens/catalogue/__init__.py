@@ -8,6 +8,7 @@ from ledgerlens.catalogue import (  # noqa: F401  (imports register the queries)
     logs,
     profiles,
     samples,
+    segments,
     times,
 )
 from ledgerlens.catalogue.registry import QUERIES, SQL

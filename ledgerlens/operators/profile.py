@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,6 +23,7 @@ from ledgerlens.functions.stats import (
 )
 from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.roles import as_double, categorical_cols, not_nan, numeric_cols
+from ledgerlens.session import materialise
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.90, 0.95, 0.99)
 _NUMPY_NAMES = {
@@ -178,6 +180,43 @@ def top_values(table: DataFrame, k: int = 20, least: bool = False) -> DataFrame:
     return table.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= k)
 
 
+def _merged_sketches(level: DataFrame, tracked: int) -> DataFrame:
+    """(column, sketch) from (column, part, sketch), merged in a tree of three levels."""
+    merge = F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(tracked)).alias("sketch")
+    for _ in range(2):
+        level = level.groupBy("column", F.floor(F.col("part") / 64).alias("part")).agg(merge)
+    return level.groupBy("column").agg(merge)
+
+
+def frequent_values(
+    df: DataFrame, k: int = 20, cols: Sequence[str] | None = None, tracked: int = 10_000
+) -> DataFrame:
+    """(column, value, count, rank, certain): the k most frequent values without a shuffle of
+    all values.
+
+    A heavy-hitter sketch of ``tracked`` values per task and column finds the candidates,
+    merged in a tree; a second pass counts them exactly, broadcast as ``tracked`` rows a
+    column. A value left out occurs in at most ``3.5 / size`` of the column's rows, ``size``
+    the power of two above ``tracked / 0.75``; ``certain`` rows are more frequent than that,
+    so they are exactly what :func:`value_counts` gives.
+    """
+    cols = list(cols or categorical_cols(df))
+    pairs = long_form(df, {c: F.col(c).cast("string") for c in cols})
+    sketch = F.call_function("approx_top_k_accumulate", F.col("x"), F.lit(tracked)).alias("sketch")
+    parts = pairs.groupBy("column", F.spark_partition_id().alias("part")).agg(sketch)
+    found = F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(tracked))
+    merged = _merged_sketches(parts, tracked)
+    listed = merged.select("column", F.explode(F.transform(found, lambda e: e["item"])).alias("x"))
+    listed = materialise(listed)
+    held = pairs.join(F.broadcast(listed), ["column", "x"], "left_semi")
+    counted = held.groupBy("column", F.col("x").alias("value")).agg(F.count("*").alias("count"))
+    rows = df.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)])
+    totals = tidy(rows, {c: {"total": f"n_{i}"} for i, c in enumerate(cols)})
+    size = 2 ** math.ceil(math.log2(math.ceil(tracked / 0.75)))
+    top = top_values(counted, k).join(F.broadcast(totals), "column")  # one row per column
+    return top.withColumn("certain", F.col("count") > F.col("total") * 3.5 / size).drop("total")
+
+
 def categorical_summary(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """unique_count, most frequent value and its count per categorical column."""
     cols = list(cols or categorical_cols(df))
