@@ -55,12 +55,11 @@ def shortest_runs(live: DataFrame, min_words: int) -> DataFrame:
         )
 
     def answered(asked: DataFrame, data: DataFrame, forwards: bool) -> DataFrame:
-        order = Window.partitionBy(*_SEGMENT).orderBy("v", "kind", "at")
-        found = (
-            F.first("found", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-            if forwards
-            else F.last("found", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        )
+        # Frames that end at the row are kept up from row to row; frames that begin there
+        # would be read again for each of them.
+        turn = F.desc if forwards else F.asc
+        order = Window.partitionBy(*_SEGMENT).orderBy(turn("v"), turn("kind"), turn("at"))
+        found = F.last("found", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
         return asked.unionByName(data).withColumn("to", found).filter(
             F.col("found").isNull() & F.col("to").isNotNull()
         )
@@ -131,12 +130,14 @@ def later_copies(live: DataFrame, min_words: int) -> DataFrame:
     later = runs.join(intervals, key).filter(
         (F.col("first") < place) & ~(same & (F.col("first.at") + F.col("n") > F.col("at")))
     )
-    covered = later.select(
-        *_DOC, F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")
-    ).distinct()
-    nth = F.row_number().over(Window.partitionBy(*_DOC).orderBy("at"))
-    stretch = covered.withColumn("stretch", F.col("at") - nth).groupBy(*_DOC, "stretch")
-    return stretch.agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    # Runs that overlap or touch are one stretch.
+    order = Window.partitionBy(*_DOC).orderBy("at", "end")
+    spans = later.select(*_DOC, "at", (F.col("at") + F.col("n") - 1).alias("end")).distinct()
+    furthest = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce(F.col("at") > furthest + 1, F.lit(True)).cast("int")
+    stretch = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    spans = spans.withColumn("opens", opens).withColumn("stretch", stretch)
+    return spans.groupBy(*_DOC, "stretch").agg(F.min("at").alias("low"), F.max("end").alias("high"))
 
 
 def with_lines_removed(

@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -296,3 +297,15 @@ def test_line_runs_odd_rows(spark):
     # The same row given twice has one result, and the first of equal texts stays whole.
     assert len({r.lines.clean_text for r in got if r.doc_id == 3 and r.text == prose(1)}) == 1
     assert [r.lines.clean_text for r in got if r.doc_id is None and r.text == prose(1)] == [prose(1)]
+
+
+def test_line_runs_of_long_segments_are_linear(spark):
+    """Tens of thousands of one-word lines; frames that start at each row would take minutes."""
+    long = "\n".join(f"w{k % 9_973}" for k in range(30_000))
+    start = time.monotonic()
+    got = with_lines_removed(table(spark, [(1, long), (2, long), (3, "own line")])).collect()
+    assert time.monotonic() - start < 90
+    texts = {r.doc_id: r.lines for r in got}
+    # A run of the first copy stands again in its own text after 9 973 lines.
+    assert texts[1].clean_text == "\n".join(f"w{k}" for k in range(9_973))
+    assert texts[2].n_removed == 30_000 and texts[3].n_removed == 0
