@@ -28,6 +28,8 @@ FILTER_BITS = 25
 HOT_GROUP = 2_000
 #: Pivots of a hot signature in the first round and at most; rounds double them.
 PIVOTS, MOST_PIVOTS = 4, 256
+#: Rows of hot signatures in one task.
+ROWS_PER_TASK = 20_000
 #: Rows of pivots up to this number are broadcast (150 bytes each), more are shuffled.
 BROADCAST_PIVOTS = 50_000
 #: 64-bit words of a set's parity sketch. Sets of more than SKETCH_SETS shingles are
@@ -243,13 +245,14 @@ def _grouped_links(percent: int):
 _FOUND = "a long, b long, size long, level long, sketch binary"
 
 
-def _links_by_signature(signed: DataFrame, percent: int) -> DataFrame:
+def _links_by_signature(signed: DataFrame, percent: int, tasks: int | None = None) -> DataFrame:
     """Compatible links (without a sketch) of ``sig, set_id, size, level, sketch, hot``, and
-    the rows of hot signatures as they are."""
+    the rows of hot signatures as they are; in ``tasks`` tasks where few rows are known."""
     # Hot signatures are only passed on, so their rows are dealt out by set as well.
     group = F.when(F.col("hot"), F.xxhash64("sig", "set_id")).otherwise(F.col("sig"))
     rows = signed.select(group.alias("group"), "set_id", "size", "level", "sketch", "hot", "sig")
-    rows = rows.repartition("group").sortWithinPartitions("group")
+    rows = rows.repartition("group")
+    rows = (rows.coalesce(tasks) if tasks else rows).sortWithinPartitions("group")
     # `group` has done its work; a hot row's signature is what goes on.
     rows = rows.select(F.when(F.col("hot"), F.col("sig")).otherwise(F.col("group")).alias("group"),
                        "set_id", "size", "level", "sketch", "hot")
@@ -310,17 +313,21 @@ def _hot_links(rows: DataFrame, percent: int) -> DataFrame:
     found, pivots = [], PIVOTS
     while True:
         counts = materialise(rest.groupBy("sig").agg(F.count("*").alias("n"), F.max("size").alias("most")))
+        # Few rows are worked on by few tasks.
+        tasks = max(1, -(-(counts.agg(F.sum("n")).first()[0] or 0) // ROWS_PER_TASK))
+        counts, rest = counts.coalesce(tasks), rest.coalesce(tasks)
         hot = counts.filter(F.col("n") > HOT_GROUP)
         cool = counts.filter(F.col("n") <= HOT_GROUP).select("sig")
         few = rest.join(cool, "sig", "left_semi").withColumn("hot", F.lit(False))
-        found.append(materialise(_links_by_signature(few, percent).select("a", "b").distinct()))
+        links = _links_by_signature(few, percent, tasks).select("a", "b").distinct()
+        found.append(materialise(links.coalesce(tasks)))
         if hot.isEmpty():
             break
         rest = rest.join(hot.select("sig"), "sig", "left_semi")
         first = F.row_number().over(Window.partitionBy("sig").orderBy("set_id"))
         chosen = rest.withColumn("place", first).filter(F.col("place") <= pivots)  # limits before it shuffles
         chosen = chosen.groupBy("sig").agg(F.collect_list(F.struct("set_id", "sketch")).alias("pivots"))
-        chosen = materialise(chosen.join(hot.select("sig", "most"), "sig"))
+        chosen = materialise(chosen.join(hot.select("sig", "most"), "sig").coalesce(tasks))
         met = join_keys(rest, chosen, ["sig"], "inner", BROADCAST_PIVOTS // pivots)
         met = met.select("sig", "set_id", "size", "level", "sketch", "most", "pivots")
         met = materialise(met.mapInArrow(_met_pivots(percent), schema))
