@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,10 +17,10 @@ from ledgerlens.session import materialise, scratch_path
 
 #: Bytes of text whose words make one block of postings, and whose grams are counted at once.
 POSTING_BYTES, GRAM_BYTES = 7 << 20, 2 << 20
+#: Bytes of text of a block, whose distinct grams are sent once, and of texts to a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
 #: Distinct entries that a task gathers before it sends them on.
 HELD = 4_000_000
-#: Distinct grams of a region that one task trains on, at about 400 bytes each.
-PART = 500_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
 
@@ -38,12 +38,15 @@ class Counter:
         self.counts.append(counts)
         self.size += len(keys)
 
-    def take(self) -> pa.RecordBatch:
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([*self.keys, np.zeros(0, np.uint64)])
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
-        distinct, place = np.unique(keys, return_inverse=True)
-        sums = np.bincount(place, counts, minlength=len(distinct)).astype(np.int64)
         self.__init__()
+        distinct, place = np.unique(keys, return_inverse=True)
+        return distinct, np.bincount(place, counts, minlength=len(distinct)).astype(np.int64)
+
+    def take(self) -> pa.RecordBatch:
+        distinct, sums = self.sums()
         return pa.RecordBatch.from_arrays(
             [pa.array(distinct.view(np.int64)), pa.array(sums)], ["item", "n"]
         )
@@ -58,147 +61,173 @@ def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, np.concatenate([rows, np.arange(n)])
 
 
-def _counted(grams: bool):
-    """Counts of the grams, or of the tokens, of all texts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter()
-        for batch in batches:
-            for _, _, data, bounds in W.slices(batch.column(0), GRAM_BYTES):
-                found = M.grams_of(data, bounds)[0] if grams else _tokens(data, bounds)[0]
-                held.add(*np.unique(found, return_counts=True))
-                if held.size > HELD:
-                    yield held.take()
-        yield held.take()
-
-    return work
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the tokens of all texts."""
+    held = Counter()
+    for batch in batches:
+        for _, _, data, bounds in W.slices(batch.column(0), GRAM_BYTES):
+            held.add(*np.unique(_tokens(data, bounds)[0], return_counts=True))
+            if held.size > HELD:
+                yield held.take()
+    yield held.take()
 
 
-def train_model(texts: DataFrame, part: int = PART) -> DataFrame:
-    """``region, model`` from a table of texts; at most ``2**REGION_BITS`` rows of fixed size.
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """The rows with a ``block`` number: consecutive ones of about ``size`` bytes of text.
 
-    Grams are counted over all texts, so what is shuffled follows the input; each distinct
-    gram is then seen once, however often it occurs. A region of more than ``part`` grams is
-    dealt into parts of about that many, so no task's share grows with the corpus.
+    The numbers depend on how rows are dealt to tasks, so the table is written at once.
     """
-    spark = texts.sparkSession
-    grams = texts.mapInArrow(_counted(True), "item long, n long")
-    grams = grams.groupBy("item").agg(F.sum("n").alias("n"))
 
-    def with_region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            items = batch.column(0).to_numpy().view(np.uint64)
+            sizes = np.array([len(x.as_buffer()) for x in batch.column(3)], np.int64)
+            number = (filled + np.cumsum(sizes) - sizes) // size
+            filled += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(M.regions(items)), *batch.columns], ["region", "item", "n"]
+                [pa.array(block + number), *batch.columns], ["block", "doc_id", "key", "trains", "t"]
             )
 
-    path = scratch_path(spark, "grams")  # read for the sizes, the counts and the mixers
-    grams.mapInArrow(with_region, "region long, item long, n long").write.parquet(path)
-    placed = spark.read.parquet(path)
-    sizes = {r.region: r["count"] for r in placed.groupBy("region").count().collect()}
-    large = {region: -(-size // part) for region, size in sizes.items() if size > part}
-    is_large = F.col("region").isin(list(large))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    path = scratch_path(rows.sparkSession, "blocks")
+    made = rows.mapInArrow(work, f"block long, doc_id {kind}, key long, trains boolean, t string")
+    made.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-    def train(table: pa.Table) -> pa.Table:
-        made = M.train(*_grams_in(table))
-        return pa.table(
-            {"region": table["region"][:1], "model": pa.array([made.to_bytes()], pa.binary())}
-        )
 
-    small = placed.filter(~is_large).groupBy("region")
-    models = small.applyInArrow(train, "region long, model binary")
-    if large:
-        models = models.unionByName(_train_large(placed.filter(is_large), large))
-    return models
-
-
-def _grams_in(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    table = table.sort_by("item")
-    return table["item"].to_numpy().view(np.uint64), table["n"].to_numpy()
-
-
-def _train_large(placed: DataFrame, parts: dict[int, int]) -> DataFrame:
-    """As ``train_model``, of regions in so many parts. Slots are counted by part and summed;
-    mixers are fitted by part on the counts of the whole region, and their sums make one."""
-    salts = F.create_map(*[F.lit(x).cast("long") for pair in parts.items() for x in pair])[F.col("region")]
-    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("item"), salts))
-    size = 1 << M.SLOT_BITS
-
-    def slots(table: pa.Table) -> pa.Table:
-        found = M.count_slots(*_grams_in(table))
-        slot = np.flatnonzero(found.any(axis=0))
-        return pa.table({
-            "region": pa.array(np.full(len(slot), table["region"][0].as_py())), "slot": pa.array(slot),
-            "zeros": pa.array(found[0][slot]), "ones": pa.array(found[1][slot]),
-        })
-
-    def counts(table: pa.Table) -> pa.Table:
-        whole = np.zeros((2, size))
-        whole[:, table["slot"].to_numpy()] = table["zeros"].to_numpy(), table["ones"].to_numpy()
-        blob = zlib.compress(whole.tobytes(), 1)
-        return pa.table({"region": table["region"][:1], "counts": pa.array([blob], pa.binary())})
-
-    def table_in(counts: pa.Table) -> np.ndarray:
-        return np.frombuffer(zlib.decompress(counts["counts"][0].as_py())).reshape(2, size)
-
-    def fit(grams: pa.Table, counts: pa.Table) -> pa.Table:
-        if not len(grams):  # no gram has this salt
-            return pa.table({"region": pa.array([], "int64"), "cell": pa.array([], "int64"), "value": pa.array([], "float64")})
-        values = M.fit(*_grams_in(grams), table_in(counts)).ravel()
-        cell = np.flatnonzero(values)
-        region = np.full(len(cell), grams["region"][0].as_py())
-        return pa.table({"region": region, "cell": cell, "value": values[cell]})
-
-    def finish(counts: pa.Table, fitted: pa.Table) -> pa.Table:
-        values = np.zeros((8, M.GATES, M.CELLS))
-        values.reshape(-1)[fitted["cell"].to_numpy()] = fitted["value"].to_numpy()
-        made = M.finish(table_in(counts), values)
-        return pa.table(
-            {"region": counts["region"][:1], "model": pa.array([made.to_bytes()], pa.binary())}
-        )
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: sorted values and
+    small counts compress well like this."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _all_planes(column: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [_from_planes(x.as_buffer(), kind) for x in column]
 
-    by_part = dealt.groupBy("region", "salt")
-    counted = by_part.applyInArrow(slots, "region long, slot long, zeros double, ones double")
-    summed = counted.groupBy("region", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    tables = materialise(summed.groupBy("region").applyInArrow(counts, "region long, counts binary"))
-    spread = tables.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
-    fitted = by_part.cogroup(spread.groupBy("region", "salt")).applyInArrow(
-        fit, "region long, cell long, value double"
-    )
-    fitted = fitted.groupBy("region", "cell").agg(F.sum("value").alias("value"))
-    return tables.groupBy("region").cogroup(fitted.groupBy("region")).applyInArrow(
-        finish, "region long, model binary"
-    )
 
+def _block_grams(n_buckets: int):
+    """One row per bucket of a block: its distinct grams and their counts in training texts."""
 
-def model_scores(rows: DataFrame, models: dict[int, bytes]) -> DataFrame:
-    """``doc_id, key, trains, n_tokens, n_bytes, score`` (log10) for rows of ``_prepared``."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)  # of a fixed size
+    def rows_of(block: int, held: Counter) -> pa.RecordBatch:
+        grams, n = held.sums()
+        bucket = M.buckets(grams, n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, grams, n = bucket[order], grams[order], n[order].astype(np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[cuts[:-1]]),
+                pa.array(np.full(len(parts), block)),
+                pa.array([_planes(grams[x]) for x in parts], pa.binary()),
+                pa.array([_planes(n[x]) for x in parts], pa.binary()),
+            ],
+            ["bucket", "block", "grams", "n"],
+        )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = M.Scorer(shared.value)
+        block, held = None, Counter()
         for batch in batches:
-            tokens, sizes, scores = [], [], []
-            for first, end, data, bounds in W.slices(batch.column(3), GRAM_BYTES):
+            blocks, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(np.diff(blocks)) + 1
+            for at, end in zip([0, *change], [*change, len(blocks)], strict=True):
+                if block != blocks[at] and held.size:
+                    yield rows_of(block, held)
+                block = int(blocks[at])
+                for first, last, data, bounds in W.slices(batch.column(2)[at:end], GRAM_BYTES):
+                    grams, row = M.grams_of(data, bounds)
+                    learnt = trains[at + first : at + last][row]
+                    held.add(*np.unique(grams[learnt], return_counts=True))
+                    others = np.unique(grams[~learnt])
+                    held.add(others, np.zeros(len(others), np.int64))
+                    if held.size > HELD:
+                        held.add(*held.sums())
+        if held.size:
+            yield rows_of(block, held)
+
+    return work
+
+
+def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``block, grams, scores``: log2 probabilities of the distinct grams of every block.
+
+    Every gram of every text reaches the bucket that has all counts of its contexts, so the
+    counts are those of the whole corpus and their table grows with it: the number of
+    buckets is that of the bytes. Counts of the two shortest contexts, at most 2**24 whatever
+    the corpus, are sent to all buckets.
+    """
+    spark = blocks.sparkSession
+    size = blocks.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    path = scratch_path(spark, "grams")  # read for the short contexts and for the buckets
+    blocks.select("block", "trains", "t").mapInArrow(
+        _block_grams(max(8, -(-size // bucket_bytes))), "bucket long, block long, grams binary, n binary"
+    ).write.parquet(path)
+    placed = spark.read.parquet(path)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counter()
+        for batch in batches:
+            for grams, n in zip(
+                _all_planes(batch.column(0), np.uint64), _all_planes(batch.column(1), np.int32), strict=True
+            ):
+                items, place = np.unique(M.short_items(grams), return_inverse=True)
+                held.add(items, np.bincount(place, n, minlength=len(items)).astype(np.int64))
+                if held.size > HELD:
+                    held.add(*held.sums())
+        yield held.take()
+
+    found = placed.select("grams", "n").mapInArrow(short, "item long, n long")
+    found = found.groupBy("item").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
+    found = found.sort_by("item")
+    shared = spark.sparkContext.broadcast(
+        (found["item"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.float64))
+    )
+
+    def score(table: pa.Table) -> pa.Table:
+        parts = _all_planes(table["grams"], np.uint64)
+        grams, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        n = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(grams))
+        value = M.log2_of(grams, n, *shared.value).astype(np.float32)[inverse]
+        ends = np.cumsum([len(x) for x in parts])
+        scores = [_planes(value[end - len(x) : end]) for x, end in zip(parts, ends, strict=True)]
+        return pa.table({"block": table["block"], "grams": table["grams"], "scores": pa.array(scores, pa.binary())})
+
+    return placed.groupBy("bucket").applyInArrow(score, "block long, grams binary, scores binary")
+
+
+def model_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id, key, trains, n_tokens, n_bytes, score`` (log10) for rows of ``doc_id, key,
+    trains, t``; those that train are learnt from, all are scored."""
+    blocks = in_blocks(rows, block_bytes)
+
+    def finish(texts: pa.Table, scored: pa.Table) -> pa.Table:
+        known = M.Lookup(
+            np.concatenate([*_all_planes(scored["grams"], np.uint64), np.zeros(0, np.uint64)]),
+            np.concatenate([*_all_planes(scored["scores"], np.float32), np.zeros(0, np.float32)]),
+        )
+        made = {"n_tokens": [], "n_bytes": [], "score": []}
+        for chunk in texts["t"].chunks:
+            for first, end, data, bounds in W.slices(chunk, GRAM_BYTES):
                 n = end - first
-                rows_of_words = W.split_words(data, bounds)[2]
                 grams, row = M.grams_of(data, bounds)
-                value = scorer.log2(grams)
-                tokens.append(np.bincount(rows_of_words, minlength=n) + 1)
-                sizes.append(np.bincount(row, minlength=n))
-                scores.append(np.bincount(row, value, minlength=n) * np.log10(2))
-            made = [
-                pa.array(np.concatenate([*x, np.zeros(0)]).astype(kind))
-                for x, kind in ((tokens, "int64"), (sizes, "int64"), (scores, "float64"))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], *made],
-                ["doc_id", "key", "trains", "n_tokens", "n_bytes", "score"],
-            )
+                made["n_tokens"].append(np.bincount(W.split_words(data, bounds)[2], minlength=n) + 1)
+                made["n_bytes"].append(np.bincount(row, minlength=n))
+                made["score"].append(np.bincount(row, known.of(grams), minlength=n) * np.log10(2))
+        return pa.table(
+            {name: texts[name] for name in ("doc_id", "key", "trains")}
+            | {name: np.concatenate(x) for name, x in made.items()}
+        )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        work, f"doc_id {kind}, key long, trains boolean, n_tokens long, n_bytes long, score double"
+    scored = gram_scores(blocks, bucket_bytes)
+    return blocks.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
+        finish,
+        f"doc_id {kind}, key long, trains boolean, n_tokens long, n_bytes long, score double",
     )
 
 
@@ -208,7 +237,7 @@ def unigram_sums(rows: DataFrame) -> tuple[DataFrame, int, int]:
     Postings leave a task as one row per word and block of texts, so a word that a third of
     all rows have is as many rows as there are blocks and no group; the join splits it.
     """
-    counts = rows.filter("trains").select("t").mapInArrow(_counted(False), "item long, n long")
+    counts = rows.filter("trains").select("t").mapInArrow(_counted, "item long, n long")
     counts = materialise(counts.groupBy("item").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
 
@@ -277,12 +306,11 @@ def mixing_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     smoothed unigram sum, ``score`` the model's log10 probability of the token sequence
     (words, one space between them, an end), from the first byte to the end.
 
-    The model: for each byte, eight bits; each bit is predicted from counts in hashed
-    slots for contexts of one to five bytes and for the word so far. A mixer adds the
-    stretched predictions with weights that the region (hash of two bytes), the bit and a
-    gate (what was seen) choose; the weights are learnt online, gram by gram, and what
-    comes out is refined by an adaptive table. Its size is fixed by ``REGION_BITS`` and
-    ``SLOT_BITS``, whatever the corpus.
+    The model: for each byte, eight bits; each bit is predicted from the counts of all
+    training texts for contexts of one to five bytes and for the word so far, by hash. A
+    mixer adds the stretched predictions with weights that the bucket of contexts, the bit
+    and a gate (what was seen) choose; the weights are learnt online, gram by gram, and
+    what comes out is refined by an adaptive table. The counts grow with the corpus.
 
     A missing or empty text is the end alone. A missing id counts as an empty text for the
     checksum, so such rows are learnt from. Rows that repeat id and text have the same
@@ -296,8 +324,7 @@ def mixing_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.crc32(id_text) % 5 != 1).alias("trains"),
         text.alias("t"),
     )
-    models = {r.region: bytes(r.model) for r in train_model(rows.filter("trains").select("t")).collect()}
-    scored = model_scores(rows, models)
+    scored = model_scores(rows)
     base, total, distinct = unigram_sums(rows)
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     joined = scored.join(base, "key")

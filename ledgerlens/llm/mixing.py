@@ -1,15 +1,14 @@
 """Online logistic mixing of hashed-context bit predictors, on arrays of n-grams.
 
 A gram packs a byte (bits 0-7), the ORDERS bytes before it (8-47) and a hash of the word
-so far (48-63) into 64 bits. The two bytes before the coded one choose a region; a region
-is a model of its own, so that regions can be trained and stored apart.
+so far (48-63) into 64 bits. A bucket holds all grams of some contexts of BUCKET_ORDER
+bytes, so every longer context lies in one bucket; the shorter ones have at most 2**24
+counts in all and are known to each bucket. What is counted is exact and grows with the
+corpus: a context is a 56-bit hash, and its counts are never shared with another's.
 """
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass
-
 import numpy as np
 
 from ledgerlens.llm.words import FOLD, Spans, mix, split_words
@@ -20,11 +19,12 @@ ORDERS = 5
 INPUTS = ORDERS + 1
 #: Gates: how many of the byte contexts were seen, and how often the word context was.
 GATES = 4 * (ORDERS + 1)
-REGION_BITS, SLOT_BITS = 7, 18
-#: What is added to the counts of zeros and ones of a slot.
+#: Contexts of this length choose the bucket; those below it are counted apart.
+BUCKET_ORDER = 3
+#: What is added to the counts of zeros and ones of a node.
 PRIOR = 0.1
 #: Grams of one step of the mixer, and its learning rate.
-STEP, RATE = 256, 0.004
+STEP, RATE = 512, 0.006
 BUCKETS, SPREAD = 33, 12.0
 #: Pull of the mixer's own probability on the refinement of a bucket, in observations.
 PULL = 20.0
@@ -63,33 +63,34 @@ def grams_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams, row
 
 
-def regions(grams: np.ndarray) -> np.ndarray:
-    return (mix((grams >> np.uint64(8)) & np.uint64(0xFFFF)) >> np.uint64(64 - REGION_BITS)).astype(
-        np.int64
-    )
+def buckets(grams: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each gram, of so many."""
+    near = (grams >> np.uint64(8)) & np.uint64((1 << 8 * BUCKET_ORDER) - 1)
+    return (mix(near) % np.uint64(n)).astype(np.int64)
+
+
+def short_items(grams: np.ndarray) -> np.ndarray:
+    """The byte and the BUCKET_ORDER - 1 bytes before it."""
+    return grams & np.uint64((1 << 8 * BUCKET_ORDER) - 1)
 
 
-def _contexts(grams: np.ndarray) -> list[np.ndarray]:
+def _hashed(grams: np.ndarray) -> list[np.ndarray]:
+    """For each context that a bucket has whole, its hash (56 bits) and the byte after it."""
     before = grams >> np.uint64(8)
-    out = [before & np.uint64((1 << 8 * order) - 1) for order in range(1, ORDERS + 1)]
+    out = [before & np.uint64((1 << 8 * order) - 1) for order in range(BUCKET_ORDER, ORDERS + 1)]
     # The word so far: its hash, and its bytes as far as the window has them.
     inside, own = np.ones(len(grams), bool), np.zeros(len(grams), np.uint64)
     for k in range(ORDERS):
         byte = (before >> np.uint64(8 * k)) & np.uint64(0xFF)
         inside &= (byte != 0x20) & (byte != END)
         own |= np.where(inside, byte << np.uint64(8 * k), np.uint64(0))
-    out.append(own | (grams >> np.uint64(48) << np.uint64(40)))
-    return [mix(x ^ (np.uint64(k + 1) << np.uint64(57))) for k, x in enumerate(out)]
-
-
-def _slots(grams: np.ndarray, contexts: list[np.ndarray], bit: int) -> np.ndarray:
-    """Slot of each (context, gram) in its region, for one bit."""
-    node = ((grams & np.uint64(0xFF)) >> np.uint64(8 - bit)) | np.uint64(1 << bit)
-    node *= np.uint64(0x9E3779B97F4A7C15)
-    out = np.empty((INPUTS, len(grams)), np.int32)
-    for k, context in enumerate(contexts):
-        out[k] = (context + node) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SLOT_BITS)
-    return out
+    near = before & np.uint64((1 << 8 * BUCKET_ORDER) - 1)
+    out.append(mix(near) ^ own ^ (grams >> np.uint64(48) << np.uint64(40)))
+    last = np.uint64(0xFF)
+    return [
+        (mix(x ^ (np.uint64(k + 1) << np.uint64(57))) & ~last) | (grams & last)
+        for k, x in enumerate(out)
+    ]
 
 
 def _bit(grams: np.ndarray, bit: int) -> np.ndarray:
@@ -100,128 +101,119 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
-@dataclass
-class Region:
-    """What scoring needs of a region. A slot packs its stretched prediction in 14 bits and
-    how often it was seen (four levels) in 2, so a model has a fixed, small size."""
-
-    slots: np.ndarray  # (slots,) int16
-    weights: np.ndarray  # (8 bits, gates, inputs) float32
-    refined: np.ndarray  # (8 bits, gates, buckets) float32: probability of a one
-
-    def to_bytes(self) -> bytes:
-        raw = b"".join(x.tobytes() for x in (self.slots, self.weights, self.refined))
-        return zlib.compress(raw, 1)  # slots of a small corpus are empty for the most part
-
-    @staticmethod
-    def from_bytes(raw: bytes) -> Region:
-        raw, n = zlib.decompress(raw), 1 << SLOT_BITS
-        rest = np.frombuffer(raw, np.float32, offset=2 * n)
-        cut = 8 * GATES * (INPUTS + 1)
-        return Region(
-            np.frombuffer(raw, np.int16, n),
-            rest[:cut].reshape(8, GATES, INPUTS + 1),
-            rest[cut:].reshape(8, GATES, BUCKETS),
-        )
-
-    @staticmethod
-    def empty() -> Region:
-        weights = np.full((8, GATES, INPUTS + 1), 0.3, np.float32)
-        centres = _squash(np.linspace(-SPREAD, SPREAD, BUCKETS))
-        refined = np.broadcast_to(centres, (8, GATES, BUCKETS)).astype(np.float32)
-        return Region(np.zeros(1 << SLOT_BITS, np.int16), weights, refined.copy())
-
-
-def _stretched(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of a one, drawn to nothing where little was seen, and how much was seen."""
-    seen = zeros + ones
-    odds = np.log((ones + PRIOR) / (zeros + PRIOR)) * (seen / (seen + 0.4))
-    return np.clip(odds, -13, 13), np.digitize(seen, [0.5, 2.5, 12.5])
-
-
-def _inputs(odds: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Predictions and a bias (inputs, n), and the gate."""
-    inputs = np.concatenate([odds, np.full((1, odds.shape[1]), 0.3, odds.dtype)])
-    return inputs, (level[:-1] > 0).sum(axis=0) + (ORDERS + 1) * level[-1].astype(np.int64)
-
-
-def count_slots(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Zeros and ones of each slot (2, slots) of one region; sums of parts are those of the whole."""
-    contexts = _contexts(grams)
-    n, size = counts.astype(np.float64), 1 << SLOT_BITS
-    table = np.zeros((2, size))
-    for bit in range(8):
-        one = _bit(grams, bit)
-        for places in _slots(grams, contexts, bit):
-            table[0] += np.bincount(places, n * ~one, minlength=size)
-            table[1] += np.bincount(places, n * one, minlength=size)
-    return table
-
-
-#: Of a bit and gate in ``fit``: weights times what was seen, what was seen, and for each
-#: bucket the ones and all of the shares as lower bucket, then as upper bucket.
-CELLS = INPUTS + 2 + 4 * BUCKETS
-
+def _node_counts(items: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones that followed each item's context and first ``bit`` bits; the items,
+    a context and a byte each, are sorted, so a node is a run of them."""
+    if not len(items):
+        return n, n
+    node = items >> np.uint64(8 - bit)
+    at = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+    size = np.diff(np.append(at, len(items)))
+    ones = np.add.reduceat(n * _bit(items, bit), at)
+    zeros = np.add.reduceat(n, at) - ones
+    return np.repeat(zeros, size), np.repeat(ones, size)
+
+
+class Counts:
+    """Counts of the nodes of some grams: of a bucket's contexts by its own grams, and of
+    the shorter contexts by ``items`` (see :func:`short_items`, sorted) and their counts."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, items: np.ndarray, counts: np.ndarray):
+        self.short, self.place = np.unique(short_items(grams), return_inverse=True)
+        self.tables = []
+        for order in range(1, BUCKET_ORDER):
+            mask = np.uint64((1 << 8 * (order + 1)) - 1)
+            own, inverse = np.unique(items & mask, return_inverse=True)
+            self.tables.append((mask, own, np.bincount(inverse, counts, minlength=len(own))))
+        self.sorted = []
+        for item in _hashed(grams):
+            order = np.argsort(item)
+            self.sorted.append((order, item[order], n[order].astype(np.float64)))
+
+    def of(self, bit: int) -> np.ndarray:
+        """Zeros and ones (2, inputs, grams) at one bit."""
+        out = np.zeros((2, INPUTS, len(self.place)))
+        for k, (mask, items, n) in enumerate(self.tables):
+            nodes, wanted = items >> np.uint64(8 - bit), (self.short & mask) >> np.uint64(8 - bit)
+            at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
+            for side, counted in zip(out, _node_counts(items, n, bit), strict=True):
+                if len(nodes):
+                    side[k] = np.where(nodes[at] == wanted, counted[at], 0)[self.place]
+        for k, (order, items, n) in enumerate(self.sorted, len(self.tables)):
+            for side, counted in zip(out, _node_counts(items, n, bit), strict=True):
+                side[k, order] = counted
+        return out
 
-def fit(grams: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """What ``finish`` needs (8 bits, gates, CELLS) of the mixer learnt on some grams of a
-    region with all its counts; the sum over parts of the region is that of their mean mixer.
 
-    The mixer goes over the grams once, in steps; each gram is predicted from the counts
-    without itself, so that weights fit texts not seen. What the mixer makes of them also
-    refines its buckets.
+def _inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched predictions and a bias (inputs + 1, n), and the gate. A prediction is the
+    log odds of a one, drawn to nothing where little was seen."""
+    seen = zeros + ones
+    odds = np.log((ones + PRIOR) / (zeros + PRIOR)) * (seen / (seen + 0.4))
+    inputs = np.full((INPUTS + 1, zeros.shape[1]), 0.3, np.float32)
+    inputs[:-1] = np.clip(odds, -13, 13)
+    level = np.digitize(seen[-1], [0.5, 2.5, 12.5])
+    return inputs, (seen[:-1] > 0).sum(axis=0) + (ORDERS + 1) * level
+
+
+def importance(n: np.ndarray) -> np.ndarray:
+    """Weight of a gram in learning by how often it occurred."""
+    return np.sqrt(n.astype(np.float64))
+
+
+def _learn(inputs, gate, one, weight, order) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (gates, inputs + 1) and the refinement (gates, buckets) of one bit, learnt
+    online: each step is mixed with the weights that the steps before it left."""
+    w = np.full((GATES, INPUTS + 1), 0.3, np.float32)
+    speed = np.full_like(w, 1e-4)
+    mixed = np.empty(len(order), np.float32)
+    for at in range(0, len(order), STEP):
+        now = order[at : at + STEP]
+        x, g = inputs[:, now], gate[now]
+        mixed[now] = (w[g].T * x).sum(axis=0)
+        error = (one[now] - _squash(mixed[now])) * weight[now]
+        slope = np.stack([np.bincount(g, error * row, minlength=GATES) for row in x], axis=1)
+        slope /= np.bincount(g, weight[now], minlength=GATES)[:, None] + 1e-9
+        speed += slope * slope
+        w += (RATE * slope / np.sqrt(speed)).astype(np.float32)
+    place, part = _bucket(mixed)
+    total = np.full(GATES * BUCKETS, PULL)
+    hits = np.tile(PULL * _squash(np.linspace(-SPREAD, SPREAD, BUCKETS)), GATES)
+    for key, share in ((gate * BUCKETS + place, 1 - part), (gate * BUCKETS + place + 1, part)):
+        hits += np.bincount(key, share * weight * one, minlength=len(hits))
+        total += np.bincount(key, share * weight, minlength=len(hits))
+    refined = (hits / total).reshape(GATES, BUCKETS)
+    return w, refined
+
+
+def log2_of(grams: np.ndarray, n: np.ndarray, items: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each gram's byte after its context.
+
+    ``grams`` are the distinct grams of a bucket and ``n`` how often each occurred in
+    training texts (0: only in others); ``items`` and ``counts`` are those of the shorter
+    contexts. The mixer learns from the grams with a count, each predicted from the counts
+    without one of its own, so that the weights fit texts not seen; all are then scored
+    with the whole counts.
     """
-    contexts, weights = _contexts(grams), Region.empty().weights
-    out = np.zeros((8, GATES, CELLS))
-    order = np.argsort(mix(grams), kind="stable")
-    weight = np.sqrt(counts.astype(np.float64))
+    known, total = Counts(grams, n, items, counts), np.zeros(len(grams))
+    trained = np.flatnonzero(n > 0)
+    order = np.argsort(mix(grams[trained]), kind="stable")
+    weight = importance(n[trained])
     for bit in range(8):
-        one, slots = _bit(grams, bit), _slots(grams, contexts, bit)
-        zeros, ones = table[0][slots], table[1][slots]
-        inputs, gate = _inputs(*_stretched(np.maximum(zeros - ~one, 0), np.maximum(ones - one, 0)))
-        w = weights[bit]
-        speed = np.full_like(w, 1e-4)
-        mixed = np.empty(len(grams), np.float32)
-        for at in range(0, len(grams), STEP):
-            now = order[at : at + STEP]
-            x, g = inputs[:, now], gate[now]
-            mixed[now] = (w[g].T * x).sum(axis=0)
-            error = (one[now] - _squash(mixed[now])) * weight[now]
-            slope = np.stack([np.bincount(g, error * row, minlength=GATES) for row in x], axis=1)
-            slope /= np.bincount(g, weight[now], minlength=GATES)[:, None] + 1e-9
-            speed += slope * slope
-            w += (RATE * slope / np.sqrt(speed)).astype(np.float32)
-        seen = np.bincount(gate, weight, minlength=GATES)
-        out[bit, :, : INPUTS + 1], out[bit, :, INPUTS + 1] = w * seen[:, None], seen
+        one, (zeros, ones) = _bit(grams, bit), known.of(bit)
+        own = one[trained]
+        w, refined = _learn(
+            *_inputs(np.maximum(zeros[:, trained] - ~own, 0), np.maximum(ones[:, trained] - own, 0)),
+            own, weight, order,
+        )
+        inputs, gate = _inputs(zeros, ones)
+        mixed = (w[gate].T * inputs).sum(axis=0)
         place, part = _bucket(mixed)
-        sums = []
-        for offset, share in ((0, 1 - part), (1, part)):
-            key = gate * BUCKETS + place + offset
-            size = GATES * BUCKETS
-            sums.append(np.bincount(key, share * weight * one, minlength=size))
-            sums.append(np.bincount(key, share * weight, minlength=size))
-        out[bit, :, INPUTS + 2 :] = np.concatenate([x.reshape(GATES, BUCKETS) for x in sums], axis=1)
-    return out
-
-
-def finish(table: np.ndarray, fitted: np.ndarray) -> Region:
-    """A region's model from its counts and the sum of what was fitted on its parts."""
-    made = Region.empty()
-    odds, level = _stretched(*table)
-    made.slots = ((odds * 600).astype(np.int16) << 2) | level.astype(np.int16)
-    seen = fitted[..., INPUTS + 1, None]
-    mean = fitted[..., : INPUTS + 1] / np.where(seen > 0, seen, 1)
-    made.weights = np.where(seen > 0, mean, made.weights).astype(np.float32)
-    sums = np.split(fitted[..., INPUTS + 2 :], 4, axis=-1)
-    for hits, total in (sums[:2], sums[2:]):
-        made.refined = ((hits + PULL * made.refined) / (total + PULL)).astype(np.float32)
-    return made
-
-
-def train(grams: np.ndarray, counts: np.ndarray) -> Region:
-    """A region's model from its distinct training grams and how often each occurred."""
-    table = count_slots(grams, counts)
-    return finish(table, fit(grams, counts, table))
+        low = refined[gate, place]
+        adapted = low + (refined[gate, place + 1] - low) * part
+        p = np.clip((_squash(mixed) + adapted) / 2, 1e-6, 1 - 1e-6)
+        total += np.log2(np.where(one, p, 1 - p))
+    return total
 
 
 def _bucket(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,45 +222,27 @@ def _bucket(mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, place - low
 
 
-class Scorer:
-    """All regions side by side, and what grams scored last: a cache of fixed size in which
-    each gram has one place."""
-
-    def __init__(self, models: dict[int, bytes], cache_bits: int = 21):
-        made = [Region.from_bytes(models[k]) if k in models else Region.empty()
-                for k in range(1 << REGION_BITS)]
-        self.slots = np.stack([m.slots for m in made])
-        self.weights = np.stack([m.weights for m in made])
-        self.refined = np.stack([m.refined for m in made])
-        self.shift = np.uint64(64 - cache_bits)
-        # No gram is all ones: nothing but ENDs stands before a first byte, and no word yet.
-        self.keys = np.full(1 << cache_bits, 2**64 - 1, np.uint64)
-        self.values = np.zeros(1 << cache_bits, np.float32)
-
-    def log2(self, grams: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each gram's byte after its context."""
-        place = (grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-        out = self.values[place].astype(np.float64)
-        missed = np.flatnonzero(self.keys[place] != grams)
-        if len(missed):
-            distinct, inverse = np.unique(grams[missed], return_inverse=True)
-            value = self.compute(distinct).astype(np.float32)
-            out[missed] = value[inverse]
-            place = (distinct * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-            # Of grams with one place the last stays, as key and as value.
-            self.keys[place], self.values[place] = distinct, value
+class Lookup:
+    """Values by gram: places by hash, and what found its place taken in a further level."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray):
+        self.levels, factor = [], 0x9E3779B97F4A7C15
+        while len(grams):
+            shift = np.uint64(62 - int(len(grams)).bit_length())
+            place = grams * np.uint64(factor) >> shift
+            slot = np.zeros(1 << (64 - int(shift)), np.int32)
+            slot[place] = np.arange(len(grams))
+            self.levels.append((np.uint64(factor), shift, slot, grams, values))
+            rest = grams[slot[place]] != grams
+            grams, values = grams[rest], values[rest]
+            factor = factor * 0xD6E8FEB86659FD93 % 2**64
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The value of each gram; all of them are known."""
+        out, left = np.zeros(len(grams)), np.arange(len(grams))
+        for factor, shift, slot, known, values in self.levels:
+            at = slot[grams * factor >> shift]
+            hit = known[at] == grams
+            out[left[hit]] = values[at[hit]]
+            left, grams = left[~hit], grams[~hit]
         return out
-
-    def compute(self, grams: np.ndarray) -> np.ndarray:
-        contexts, total = _contexts(grams), np.zeros(len(grams))
-        region = regions(grams)
-        for bit in range(8):
-            packed = self.slots[region, _slots(grams, contexts, bit)]
-            inputs, gate = _inputs((packed >> 2).astype(np.float32) / 600, packed & 3)
-            mixed = (self.weights[region, bit, gate].T * inputs).sum(axis=0)
-            place, part = _bucket(mixed)
-            low = self.refined[region, bit, gate, place]
-            refined = low + (self.refined[region, bit, gate, place + 1] - low) * part
-            p = np.clip((_squash(mixed) + refined) / 2, 1e-6, 1 - 1e-6)
-            total += np.log2(np.where(_bit(grams, bit), p, 1 - p))
-        return total

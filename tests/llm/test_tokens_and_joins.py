@@ -15,7 +15,8 @@ import corpus_pipeline
 from ledgerlens.llm import bpe_chunks, jaccard_join, packing
 from ledgerlens.llm.bpe_chunks import encode_documents
 from ledgerlens.llm.components import components
-from ledgerlens.llm.context_mixing import mixing_scores, train_model
+from ledgerlens.llm import mixing as M
+from ledgerlens.llm.context_mixing import mixing_scores, model_scores
 from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components, spanning_links
 from ledgerlens.llm.packing import pack_documents
 from tests.llm.common import WORDS, odd_rows, prose, table
@@ -246,42 +247,131 @@ def test_scores(spark):
     assert sum(held) / len(held) < 3.5
 
 
-def test_scores_are_probabilities():
-    """The bytes after a context share one unit of probability."""
-    from ledgerlens.llm import mixing as M
-
-    data = np.frombuffer(prose(1, 600).encode(), np.uint8)
+def bucket_of(text, n_buckets=1):
+    """Grams of the first bucket of a text, their counts, and those of the short contexts."""
+    data = np.frombuffer(text.encode(), np.uint8)
     grams, _ = M.grams_of(data, np.array([0, len(data)]))
+    items, counts = np.unique(M.short_items(grams), return_counts=True)
     distinct, n = np.unique(grams, return_counts=True)
-    region = M.regions(distinct)
-    own = region == region[0]
-    scorer = M.Scorer({int(region[0]): M.train(distinct[own], n[own]).to_bytes()}, cache_bits=4)
-    assert np.allclose(scorer.log2(distinct), scorer.compute(distinct), atol=1e-5)
-    assert np.allclose(scorer.log2(grams), scorer.compute(grams), atol=1e-5)
-    after = (distinct[own][0] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
-    assert abs((2.0 ** scorer.compute(after)).sum() - 1) < 1e-6
-    assert scorer.compute(distinct[own]).mean() > -4
+    own = M.buckets(distinct, n_buckets) == M.buckets(distinct[:1], n_buckets)[0]
+    return distinct[own], n[own], items, counts.astype(float)
 
 
-def test_scores_empty_table(spark):
-    assert mixing_scores(table(spark, [])).collect() == []
+def test_scores_are_probabilities():
+    """The bytes after a context share one unit of probability, seen in training or not."""
+    grams, n, items, counts = bucket_of(prose(1, 600), 4)
+    for at in (0, len(grams) // 2, len(grams) - 1):
+        after = (grams[at] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
+        every = np.union1d(grams, after)
+        times = np.zeros(len(every), np.int64)
+        times[np.searchsorted(every, grams)] = n
+        score = M.log2_of(every, times, items, counts)
+        assert abs((2.0 ** score[np.searchsorted(every, after)]).sum() - 1) < 1e-6
+        # Grams without a count change nothing for the others.
+        assert np.allclose(score[np.searchsorted(every, grams)], M.log2_of(grams, n, items, counts), atol=1e-4)
+
+
+def brute_force_log2(text):
+    """The model of one bucket with dictionaries and loops, for the text's distinct grams."""
+    raw, seen = text.encode() + b"\xff", Counter()
+    for i, byte in enumerate(raw):
+        before = b"\xff" * 5 + raw[:i]
+        # An END has the whole of the last word before it, a space likewise.
+        word = before[max(before.rfind(b" "), before.rfind(b"\xff")) + 1 :]
+        seen[(before[-5:], word, byte)] += 1
+    table = Counter()
+    contexts = lambda before, word: [before[5 - k :] for k in range(1, 6)] + [(before[-3:], word)]
+    for (before, word, byte), n in seen.items():
+        for k, context in enumerate(contexts(before, word)):
+            for bit in range(8):
+                table[k, context, bit, byte >> (8 - bit), byte >> (7 - bit) & 1] += n
+    squash = lambda x: 1 / (1 + math.exp(-min(max(x, -20), 20)))
+
+    def view(gram, bit, less):
+        before, word, byte = gram
+        x, known, level = [], 0, 0
+        for k, context in enumerate(contexts(before, word)):
+            zeros, ones = (table[k, context, bit, byte >> (8 - bit), side] for side in (0, 1))
+            one = byte >> (7 - bit) & 1
+            zeros, ones = zeros - less * (1 - one), ones - less * one
+            both = zeros + ones
+            odds = math.log((ones + M.PRIOR) / (zeros + M.PRIOR)) * both / (both + 0.4)
+            x.append(min(max(odds, -13), 13))
+            known += k < 5 and both > 0
+            level = sum(both >= edge for edge in (0.5, 2.5, 12.5))
+        return np.array([*x, 0.3]), known + 6 * level
+
+    return seen, view, squash
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(M, "STEP", 1)
+    text = " ".join(prose(3, 60).lower().split())
+    seen, view, squash = brute_force_log2(text)
+    grams, n, items, counts = bucket_of(text)
+    pack = {}  # the same gram as numbers, to learn in the same order
+    data = np.frombuffer(text.encode(), np.uint8)
+    raw = text.encode() + b"\xff"
+    for i, gram in enumerate(M.grams_of(data, np.array([0, len(data)]))[0]):
+        before = b"\xff" * 5 + raw[:i]
+        word = before[max(before.rfind(b" "), before.rfind(b"\xff")) + 1 :]
+        pack[(before[-5:], word, raw[i])] = int(gram)
+    assert len(set(pack.values())) == len(pack) == len(grams)
+    order = sorted(seen, key=lambda g: int(M.mix(np.array([pack[g]], np.uint64))[0]))
+    want = dict.fromkeys(seen, 0.0)
+    for bit in range(8):
+        w, speed = np.full((M.GATES, 7), 0.3), np.full((M.GATES, 7), 1e-4)
+        line = np.linspace(-M.SPREAD, M.SPREAD, M.BUCKETS)
+        hits = np.array([[M.PULL * squash(v) for v in line]] * M.GATES)
+        hits, total = hits, np.full((M.GATES, M.BUCKETS), M.PULL)
+        for gram in order:
+            x, gate = view(gram, bit, 1)
+            one, weight = gram[2] >> (7 - bit) & 1, M.importance(np.array([seen[gram]]))[0]
+            mixed = w[gate] @ x
+            slope = (one - squash(mixed)) * x
+            speed[gate] += slope**2
+            w[gate] += M.RATE * slope / np.sqrt(speed[gate])
+            place, part = M._bucket(np.array([mixed]))
+            for at, share in ((place[0], 1 - part[0]), (place[0] + 1, part[0])):
+                hits[gate, at] += share * weight * one
+                total[gate, at] += share * weight
+        refined = hits / total
+        for gram in seen:
+            x, gate = view(gram, bit, 0)
+            mixed = w[gate] @ x
+            adapted = np.interp(np.clip(mixed, -M.SPREAD, line[-1] - 1e-9), line, refined[gate])
+            p = min(max((squash(mixed) + adapted) / 2, 1e-6), 1 - 1e-6)
+            want[gram] += math.log2(p if gram[2] >> (7 - bit) & 1 else 1 - p)
+    got = dict(zip(grams.tolist(), M.log2_of(grams, n, items, counts), strict=True))
+    assert all(abs(got[pack[g]] - want[g]) < 1e-2 for g in seen)
+
+
+def test_scores_do_not_depend_on_blocks(spark):
+    rows = spark.createDataFrame(
+        [(k, k, k % 5 != 1, prose(k, 120) if k else "") for k in range(30)],
+        "doc_id long, key long, trains boolean, t string",
+    )
+    made = [
+        {r.doc_id: r for r in model_scores(rows, block).collect()} for block in (1 << 24, 500, 1)
+    ]
+    assert set(made[0]) == set(range(30))
+    for other in made[1:]:
+        assert all(abs(other[k].score - r.score) < 1e-3 for k, r in made[0].items())
+        assert all((other[k].n_tokens, other[k].n_bytes) == (r.n_tokens, r.n_bytes) for k, r in made[0].items())
+    # More buckets have mixers of their own, but the same counts.
+    many = {r.doc_id: r.score for r in model_scores(rows, 1 << 24, 500).collect()}
+    assert sum(many.values()) > 1.2 * sum(r.score for r in made[0].values())
 
 
-def test_large_regions_are_trained_in_parts(spark):
-    from ledgerlens.llm import mixing as M
+def test_lookup_finds_every_gram():
+    grams = M.mix(np.arange(5000, dtype=np.uint64))
+    found = M.Lookup(grams, np.arange(5000.0)).of(np.repeat(grams[::-1], 2))
+    assert (found == np.repeat(np.arange(5000.0)[::-1], 2)).all()
+    assert len(M.Lookup(grams[:0], np.zeros(0)).of(grams[:0])) == 0
 
-    texts = spark.createDataFrame([(prose(k, 200),) for k in range(40)], "t string")
-    models = [{r.region: bytes(r.model) for r in train_model(texts, part).collect()} for part in (10**6, 100)]
-    assert models[0].keys() == models[1].keys()
-    whole, dealt = [{k: M.Region.from_bytes(x) for k, x in m.items()} for m in models]
-    # Counts are those of the whole region; mixers are means of the parts' mixers.
-    assert all((whole[k].slots == dealt[k].slots).all() for k in whole)
-    assert any((whole[k].weights != dealt[k].weights).any() for k in whole)
-    data = np.frombuffer(prose(99, 200).encode(), np.uint8)
-    grams, _ = M.grams_of(data, np.array([0, len(data)]))
-    scores = [M.Scorer(m, cache_bits=8).log2(grams).sum() for m in models]
-    assert scores[1] > 1.1 * scores[0]  # both are negative: at most a tenth worse
 
+def test_scores_empty_table(spark):
+    assert mixing_scores(table(spark, [])).collect() == []
 
 
 # -- pipeline -----------------------------------------------------------------------
