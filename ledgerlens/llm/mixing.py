@@ -22,9 +22,9 @@ GATES = 4 * (ORDERS + 1)
 #: Contexts of this length choose the bucket; those below it are counted apart.
 BUCKET_ORDER = 3
 #: What is added to the counts of zeros and ones of a node.
-PRIOR = 0.1
+PRIOR = 0.02
 #: Grams of one step of the mixer, and its learning rate.
-STEP, RATE = 512, 0.006
+STEP, RATE = 256, 0.04
 BUCKETS, SPREAD = 33, 12.0
 #: Pull of the mixer's own probability on the refinement of a bucket, in observations.
 PULL = 20.0
@@ -156,11 +156,6 @@ def _inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return inputs, (seen[:-1] > 0).sum(axis=0) + (ORDERS + 1) * level
 
 
-def importance(n: np.ndarray) -> np.ndarray:
-    """Weight of a gram in learning by how often it occurred."""
-    return np.sqrt(n.astype(np.float64))
-
-
 def _learn(inputs, gate, one, weight, order) -> tuple[np.ndarray, np.ndarray]:
     """Weights (gates, inputs + 1) and the refinement (gates, buckets) of one bit, learnt
     online: each step is mixed with the weights that the steps before it left."""
@@ -191,14 +186,14 @@ def log2_of(grams: np.ndarray, n: np.ndarray, items: np.ndarray, counts: np.ndar
 
     ``grams`` are the distinct grams of a bucket and ``n`` how often each occurred in
     training texts (0: only in others); ``items`` and ``counts`` are those of the shorter
-    contexts. The mixer learns from the grams with a count, each predicted from the counts
-    without one of its own, so that the weights fit texts not seen; all are then scored
-    with the whole counts.
+    contexts. The mixer learns from the grams with a count, each as often as it occurred and
+    predicted from the counts without one of its own, so that the weights fit texts not
+    seen; all are then scored with the whole counts.
     """
     known, total = Counts(grams, n, items, counts), np.zeros(len(grams))
     trained = np.flatnonzero(n > 0)
     order = np.argsort(mix(grams[trained]), kind="stable")
-    weight = importance(n[trained])
+    weight = n[trained].astype(np.float64)
     for bit in range(8):
         one, (zeros, ones) = _bit(grams, bit), known.of(bit)
         own = one[trained]
