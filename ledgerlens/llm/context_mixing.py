@@ -18,9 +18,9 @@ from ledgerlens.session import materialise, scratch_path
 #: Bytes of text whose words make one block of postings, and whose grams are counted at once.
 POSTING_BYTES, GRAM_BYTES = 7 << 20, 2 << 20
 #: Bytes of text of a block, whose distinct grams are sent once, and of texts to a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
 #: Distinct entries that a task gathers before it sends them on.
-HELD = 4_000_000
+HELD = 3_000_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
 
@@ -190,11 +190,12 @@ def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
 
     def score(table: pa.Table) -> pa.Table:
         parts = _all_planes(table["grams"], np.uint64)
+        ends = np.cumsum([len(x) for x in parts])
         grams, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        del parts
         n = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(grams))
         value = M.log2_of(grams, n, *shared.value).astype(np.float32)[inverse]
-        ends = np.cumsum([len(x) for x in parts])
-        scores = [_planes(value[end - len(x) : end]) for x, end in zip(parts, ends, strict=True)]
+        scores = [_planes(x) for x in np.split(value, ends[:-1])]
         return pa.table({"block": table["block"], "grams": table["grams"], "scores": pa.array(scores, pa.binary())})
 
     return placed.groupBy("bucket").applyInArrow(score, "block long, grams binary, scores binary")

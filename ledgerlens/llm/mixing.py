@@ -25,6 +25,8 @@ BUCKET_ORDER = 3
 PRIOR = 0.02
 #: Grams of one step of the mixer, and its learning rate.
 STEP, RATE = 256, 0.04
+#: Grams whose inputs are made at once.
+PIECE = 1 << 16
 BUCKETS, SPREAD = 33, 12.0
 #: Pull of the mixer's own probability on the refinement of a bucket, in observations.
 PULL = 20.0
@@ -128,11 +130,11 @@ class Counts:
         self.sorted = []
         for item in _hashed(grams):
             order = np.argsort(item)
-            self.sorted.append((order, item[order], n[order].astype(np.float64)))
+            self.sorted.append((order.astype(np.int32), item[order], n[order]))
 
     def of(self, bit: int) -> np.ndarray:
         """Zeros and ones (2, inputs, grams) at one bit."""
-        out = np.zeros((2, INPUTS, len(self.place)))
+        out = np.zeros((2, INPUTS, len(self.place)), np.float32)
         for k, (mask, items, n) in enumerate(self.tables):
             nodes, wanted = items >> np.uint64(8 - bit), (self.short & mask) >> np.uint64(8 - bit)
             at = np.minimum(np.searchsorted(nodes, wanted), len(nodes) - 1)
@@ -152,8 +154,17 @@ def _inputs(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray
     odds = np.log((ones + PRIOR) / (zeros + PRIOR)) * (seen / (seen + 0.4))
     inputs = np.full((INPUTS + 1, zeros.shape[1]), 0.3, np.float32)
     inputs[:-1] = np.clip(odds, -13, 13)
-    level = np.digitize(seen[-1], [0.5, 2.5, 12.5])
-    return inputs, (seen[:-1] > 0).sum(axis=0) + (ORDERS + 1) * level
+    level = np.digitize(seen[-1], [0.5, 2.5, 12.5]).astype(np.int16)
+    return inputs, (seen[:-1] > 0).sum(axis=0, dtype=np.int16) + np.int16(ORDERS + 1) * level
+
+
+def _views(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_inputs``, in pieces, so that what is in between stays small."""
+    parts = [
+        _inputs(zeros[:, at : at + PIECE], ones[:, at : at + PIECE])
+        for at in range(0, max(1, zeros.shape[1]), PIECE)
+    ]
+    return np.concatenate([x for x, _ in parts], axis=1), np.concatenate([g for _, g in parts])
 
 
 def _learn(inputs, gate, one, weight, order) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +185,8 @@ def _learn(inputs, gate, one, weight, order) -> tuple[np.ndarray, np.ndarray]:
     place, part = _bucket(mixed)
     total = np.full(GATES * BUCKETS, PULL)
     hits = np.tile(PULL * _squash(np.linspace(-SPREAD, SPREAD, BUCKETS)), GATES)
-    for key, share in ((gate * BUCKETS + place, 1 - part), (gate * BUCKETS + place + 1, part)):
+    key = gate.astype(np.int64) * BUCKETS + place
+    for key, share in ((key, 1 - part), (key + 1, part)):
         hits += np.bincount(key, share * weight * one, minlength=len(hits))
         total += np.bincount(key, share * weight, minlength=len(hits))
     refined = (hits / total).reshape(GATES, BUCKETS)
@@ -197,17 +209,20 @@ def log2_of(grams: np.ndarray, n: np.ndarray, items: np.ndarray, counts: np.ndar
     for bit in range(8):
         one, (zeros, ones) = _bit(grams, bit), known.of(bit)
         own = one[trained]
-        w, refined = _learn(
-            *_inputs(np.maximum(zeros[:, trained] - ~own, 0), np.maximum(ones[:, trained] - own, 0)),
-            own, weight, order,
-        )
-        inputs, gate = _inputs(zeros, ones)
-        mixed = (w[gate].T * inputs).sum(axis=0)
-        place, part = _bucket(mixed)
-        low = refined[gate, place]
-        adapted = low + (refined[gate, place + 1] - low) * part
-        p = np.clip((_squash(mixed) + adapted) / 2, 1e-6, 1 - 1e-6)
-        total += np.log2(np.where(one, p, 1 - p))
+        left = [np.maximum(x[:, trained] - y, 0) for x, y in ((zeros, ~own), (ones, own))]
+        inputs, gate = _views(*left)
+        del left
+        w, refined = _learn(inputs, gate, own, weight, order)
+        del inputs, gate
+        for at in range(0, len(grams), PIECE):
+            now = slice(at, at + PIECE)
+            inputs, gate = _inputs(zeros[:, now], ones[:, now])
+            mixed = (w[gate].T * inputs).sum(axis=0)
+            place, part = _bucket(mixed)
+            low = refined[gate, place]
+            adapted = low + (refined[gate, place + 1] - low) * part
+            p = np.clip((_squash(mixed) + adapted) / 2, 1e-6, 1 - 1e-6)
+            total[now] += np.log2(np.where(one[now], p, 1 - p))
     return total
 
 
