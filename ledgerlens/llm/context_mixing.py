@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from ledgerlens.llm import words as W
 from ledgerlens.llm.registry import documents, register, text_or_empty
 from ledgerlens.session import materialise, scratch_path
 
-#: Bytes of text whose words make one block of postings, and whose grams are counted at once.
-POSTING_BYTES, GRAM_BYTES = 7 << 20, 2 << 20
+#: Bytes of text whose grams are found at once.
+GRAM_BYTES = 2 << 20
 #: Bytes of text of a block, whose distinct grams are sent once, and of texts to a bucket.
 BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+#: Log2 probabilities go back to the texts in steps of one by GRAIN.
+GRAIN = 512
 #: Distinct entries that a task gathers before it sends them on.
 HELD = 3_000_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
@@ -61,17 +65,6 @@ def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return words, np.concatenate([rows, np.arange(n)])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the tokens of all texts."""
-    held = Counter()
-    for batch in batches:
-        for _, _, data, bounds in W.slices(batch.column(0), GRAM_BYTES):
-            held.add(*np.unique(_tokens(data, bounds)[0], return_counts=True))
-            if held.size > HELD:
-                yield held.take()
-    yield held.take()
-
-
 def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     """The rows with a ``block`` number: consecutive ones of about ``size`` bytes of text.
 
@@ -81,28 +74,30 @@ def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, filled = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            sizes = np.array([len(x.as_buffer()) for x in batch.column(3)], np.int64)
+            sizes = np.array([len(x.as_buffer()) for x in batch.column(2)], np.int64)
             number = (filled + np.cumsum(sizes) - sizes) // size
             filled += int(sizes.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block + number), *batch.columns], ["block", "doc_id", "key", "trains", "t"]
+                [pa.array(block + number), *batch.columns], ["block", "doc_id", "trains", "t"]
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     path = scratch_path(rows.sparkSession, "blocks")
-    made = rows.mapInArrow(work, f"block long, doc_id {kind}, key long, trains boolean, t string")
+    rows = rows.select("doc_id", "trains", "t")
+    made = rows.mapInArrow(work, f"block long, doc_id {kind}, trains boolean, t string")
     made.write.parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The first bytes of all values, then the second ones, and so on: sorted values and
-    small counts compress well like this."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """The first bytes of all values, then the second ones, and so on, compressed: what is
+    sorted or small takes little room like this."""
+    return zlib.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 1)
 
 
 def _from_planes(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
+    raw = zlib.decompress(raw)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
@@ -154,7 +149,7 @@ def _block_grams(n_buckets: int):
 
 
 def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``block, grams, scores``: log2 probabilities of the distinct grams of every block.
+    """``block, items, values``: log2 probabilities of the distinct grams of every block.
 
     Every gram of every text reaches the bucket that has all counts of its contexts, so the
     counts are those of the whole corpus and their table grows with it: the number of
@@ -194,108 +189,106 @@ def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
         grams, inverse = np.unique(np.concatenate(parts), return_inverse=True)
         del parts
         n = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(grams))
-        value = M.log2_of(grams, n, *shared.value).astype(np.float32)[inverse]
+        value = M.log2_of(grams, n, *shared.value)
+        value = (np.round(value * GRAIN) / GRAIN).astype(np.float32)[inverse]
         scores = [_planes(x) for x in np.split(value, ends[:-1])]
-        return pa.table({"block": table["block"], "grams": table["grams"], "scores": pa.array(scores, pa.binary())})
+        return pa.table(
+            {"block": table["block"], "items": table["grams"], "values": pa.array(scores, pa.binary())}
+        )
+
+    return placed.groupBy("bucket").applyInArrow(score, "block long, items binary, values binary")
+
+
+def token_counts(blocks: DataFrame) -> tuple[DataFrame, int, int]:
+    """``block, items, values``: how often the distinct tokens of every block occur in all
+    training texts; and N and V.
+
+    A token leaves a block once, so one that all texts have is as many rows as there are
+    blocks, and the join can split it.
+    """
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            change = np.flatnonzero(np.diff(blocks)) + 1
+            for at, end in zip([0, *change], [*change, len(blocks)], strict=True):
+                held = Counter()
+                for first, last, data, bounds in W.slices(batch.column(2)[at:end], GRAM_BYTES):
+                    words, row = _tokens(data, bounds)
+                    distinct, place = np.unique(words, return_inverse=True)
+                    learnt = trains[at + first : at + last][row]
+                    held.add(distinct, np.bincount(place, learnt, minlength=len(distinct)).astype(np.int64))
+                made = held.take() if held.size else None
+                if made is not None:
+                    block = pa.array(np.full(made.num_rows, blocks[at]))
+                    yield pa.RecordBatch.from_arrays([block, *made.columns], ["block", "item", "n"])
+
+    posted = blocks.select("block", "trains", "t").mapInArrow(found, "block long, item long, n long")
+    posted = materialise(posted.groupBy("block", "item").agg(F.sum("n").alias("n")))
+    counts = materialise(posted.groupBy("item").agg(F.sum("n").alias("c")))
+    total, distinct = counts.filter("c > 0").agg(F.sum("c"), F.count("*")).first()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, item, c = (x.to_numpy() for x in batch.columns)
+            order = np.argsort(block, kind="stable")
+            names, at = np.unique(block[order], return_index=True)
+            parts = np.split(order, at[1:])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names),
+                    pa.array([_planes(item[x]) for x in parts], pa.binary()),
+                    pa.array([_planes(c[x]) for x in parts], pa.binary()),
+                ],
+                ["block", "items", "values"],
+            )
 
-    return placed.groupBy("bucket").applyInArrow(score, "block long, grams binary, scores binary")
+    joined = posted.join(counts, "item").select("block", "item", "c")
+    return joined.mapInArrow(packed, "block long, items binary, values binary"), total or 0, distinct
 
 
-def model_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``doc_id, key, trains, n_tokens, n_bytes, score`` (log10) for rows of ``doc_id, key,
-    trains, t``; those that train are learnt from, all are scored."""
+def all_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """``doc_id, trains, n_tokens, n_known, train_tokens, base_score, n_bytes, score`` (log10)
+    for rows of ``doc_id, trains, t``; those that train are learnt from, all are scored."""
     blocks = in_blocks(rows, block_bytes)
+    tokens, total, distinct = token_counts(blocks)
+    norm = float(np.log10(total + 0.5 * (distinct + 1)))
 
-    def finish(texts: pa.Table, scored: pa.Table) -> pa.Table:
-        known = M.Lookup(
-            np.concatenate([*_all_planes(scored["grams"], np.uint64), np.zeros(0, np.uint64)]),
-            np.concatenate([*_all_planes(scored["scores"], np.float32), np.zeros(0, np.float32)]),
-        )
-        made = {"n_tokens": [], "n_bytes": [], "score": []}
+    def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        def known(kind: str, items: type, values: type) -> M.Lookup:
+            mine = answers.filter(pc.equal(answers["kind"], kind))
+            return M.Lookup(
+                np.concatenate([*_all_planes(mine["items"], items), np.zeros(0, items)]).view(np.uint64),
+                np.concatenate([*_all_planes(mine["values"], values), np.zeros(0, values)]),
+            )
+
+        by_gram, by_token = known("gram", np.uint64, np.float32), known("token", np.int64, np.int64)
+        made = {name: [] for name in ("n_tokens", "n_known", "base_score", "n_bytes", "score")}
         for chunk in texts["t"].chunks:
             for first, end, data, bounds in W.slices(chunk, GRAM_BYTES):
                 n = end - first
+                words, row = _tokens(data, bounds)
+                c, size = by_token.of(words), np.bincount(row, minlength=n)
+                made["n_tokens"].append(size)
+                made["n_known"].append(np.bincount(row[c > 0], minlength=n))
+                made["base_score"].append(np.bincount(row, np.log10(c + 0.5), minlength=n) - size * norm)
                 grams, row = M.grams_of(data, bounds)
-                made["n_tokens"].append(np.bincount(W.split_words(data, bounds)[2], minlength=n) + 1)
                 made["n_bytes"].append(np.bincount(row, minlength=n))
-                made["score"].append(np.bincount(row, known.of(grams), minlength=n) * np.log10(2))
+                made["score"].append(np.bincount(row, by_gram.of(grams), minlength=n) * np.log10(2))
         return pa.table(
-            {name: texts[name] for name in ("doc_id", "key", "trains")}
+            {"doc_id": texts["doc_id"], "trains": texts["trains"]}
             | {name: np.concatenate(x) for name, x in made.items()}
         )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scored = gram_scores(blocks, bucket_bytes)
-    return blocks.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
+    answers = gram_scores(blocks, bucket_bytes).withColumn("kind", F.lit("gram"))
+    answers = answers.unionByName(tokens.withColumn("kind", F.lit("token")))
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         finish,
-        f"doc_id {kind}, key long, trains boolean, n_tokens long, n_bytes long, score double",
-    )
-
-
-def unigram_sums(rows: DataFrame) -> tuple[DataFrame, int, int]:
-    """``key, sum, known, texts`` (sum: of ``log10(c + 0.5)``), and N and V.
-
-    Postings leave a task as one row per word and block of texts, so a word that a third of
-    all rows have is as many rows as there are blocks and no group; the join splits it.
-    """
-    counts = rows.filter("trains").select("t").mapInArrow(_counted, "item long, n long")
-    counts = materialise(counts.groupBy("item").agg(F.sum("n").alias("c")))
-    total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for first, end, data, bounds in W.slices(batch.column(1), POSTING_BYTES):
-                words, row = _tokens(data, bounds)
-                key = keys[first:end][row]
-                order = np.lexsort((key, words))
-                words, key = words[order], key[order]
-                new = np.ones(len(words), bool)
-                new[1:] = (words[1:] != words[:-1]) | (key[1:] != key[:-1])
-                at = np.flatnonzero(new)
-                tf = np.diff(np.append(at, len(words))).astype(np.int32)
-                words, key = words[at], key[at]
-                heads = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-                bounds_of = np.append(heads, len(words)).astype(np.int32)
-                blobs = [
-                    pa.Array.from_buffers(
-                        pa.binary(), len(heads),
-                        [None, pa.py_buffer(bounds_of * width), pa.py_buffer(values)],
-                    )
-                    for values, width in ((key, np.int32(8)), (tf, np.int32(4)))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(words[heads].view(np.int64)), *blobs], ["item", "keys", "tfs"]
-                )
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            item, c = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            lists = [batch.column(k).cast(pa.large_binary()) for k in (1, 2)]
-            key, tf = (
-                np.frombuffer(b"".join(x.to_pylist()), kind)
-                for x, kind in zip(lists, (np.int64, np.int32), strict=True)
-            )
-            n = np.array([len(x) // 4 for x in lists[1].to_pylist()], np.int64)
-            value = np.repeat(np.log10(c + 0.5), n) * tf
-            known = np.repeat(c > 0, n) * tf
-            ends = np.repeat(item == np.int64(END_WORD), n) * tf
-            distinct, place = np.unique(key, return_inverse=True)
-            made = [np.bincount(place, x, minlength=len(distinct)) for x in (value, known, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct), pa.array(made[0]),
-                 *[pa.array(x.astype(np.int64)) for x in made[1:]]],
-                ["key", "sum", "known", "texts"],
-            )
-
-    posted = rows.select("key", "t").mapInArrow(postings, "item long, keys binary, tfs binary")
-    joined = posted.join(counts, "item", "left").select(
-        "item", "keys", "tfs", F.coalesce("c", F.lit(0).cast("long")).alias("c")
+        f"doc_id {kind}, trains boolean, n_tokens long, n_known long, base_score double, "
+        "n_bytes long, score double",
     )
-    parts = joined.mapInArrow(sums, "key long, sum double, known long, texts long")
-    names = ("sum", "known", "texts")
-    whole = parts.groupBy("key").agg(*[F.sum(name).alias(name) for name in names])
-    return materialise(whole), total or 0, distinct
+    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
 def mixing_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,22 +313,15 @@ def mixing_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = text_or_empty(text_col)
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")
     rows = df.select(
-        F.col(id_col).alias("doc_id"),
-        F.xxhash64(id_col, text).alias("key"),
-        (F.crc32(id_text) % 5 != 1).alias("trains"),
-        text.alias("t"),
+        F.col(id_col).alias("doc_id"), (F.crc32(id_text) % 5 != 1).alias("trains"), text.alias("t")
     )
-    scored = model_scores(rows)
-    base, total, distinct = unigram_sums(rows)
-    norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    joined = scored.join(base, "key")
-    return joined.select(
+    return all_scores(rows).select(
         "doc_id",
         (~F.col("trains")).alias("held_out"),
         "n_tokens",
-        F.expr("known div texts").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sum") / F.col("texts") - F.col("n_tokens") * norm).alias("base_score"),
+        "n_known",
+        "train_tokens",
+        "base_score",
         "score",
         (-F.col("score") / float(np.log10(2)) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -16,7 +16,7 @@ from ledgerlens.llm import bpe_chunks, jaccard_join, packing
 from ledgerlens.llm.bpe_chunks import encode_documents
 from ledgerlens.llm.components import components
 from ledgerlens.llm import mixing as M
-from ledgerlens.llm.context_mixing import mixing_scores, model_scores
+from ledgerlens.llm.context_mixing import all_scores, mixing_scores
 from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components, spanning_links
 from ledgerlens.llm.packing import pack_documents
 from tests.llm.common import WORDS, odd_rows, prose, table
@@ -352,14 +352,14 @@ def test_scores_do_not_depend_on_blocks(spark):
         "doc_id long, key long, trains boolean, t string",
     )
     made = [
-        {r.doc_id: r for r in model_scores(rows, block).collect()} for block in (1 << 24, 500, 1)
+        {r.doc_id: r for r in all_scores(rows, block).collect()} for block in (1 << 24, 500, 1)
     ]
     assert set(made[0]) == set(range(30))
     for other in made[1:]:
         assert all(abs(other[k].score - r.score) < 1e-3 for k, r in made[0].items())
         assert all((other[k].n_tokens, other[k].n_bytes) == (r.n_tokens, r.n_bytes) for k, r in made[0].items())
     # More buckets have mixers of their own, but the same counts.
-    many = {r.doc_id: r.score for r in model_scores(rows, 1 << 24, 500).collect()}
+    many = {r.doc_id: r.score for r in all_scores(rows, 1 << 24, 500).collect()}
     assert sum(many.values()) > 1.2 * sum(r.score for r in made[0].values())
 
 
