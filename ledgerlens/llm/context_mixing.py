@@ -105,12 +105,13 @@ def _all_planes(column: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarr
     return [_from_planes(x.as_buffer(), kind) for x in column]
 
 
-def _block_grams(n_buckets: int):
-    """One row per bucket of a block: its distinct grams and their counts in training texts."""
+def _block_items(n_buckets: int, of_grams: bool):
+    """One row per bucket of a block: its distinct grams, or tokens, and their counts in
+    training texts."""
 
     def rows_of(block: int, held: Counter) -> pa.RecordBatch:
         grams, n = held.sums()
-        bucket = M.buckets(grams, n_buckets)
+        bucket = M.buckets(grams, n_buckets) if of_grams else (grams % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, grams, n = bucket[order], grams[order], n[order].astype(np.int32)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
@@ -135,7 +136,7 @@ def _block_grams(n_buckets: int):
                     yield rows_of(block, held)
                 block = int(blocks[at])
                 for first, last, data, bounds in W.slices(batch.column(2)[at:end], GRAM_BYTES):
-                    grams, row = M.grams_of(data, bounds)
+                    grams, row = M.grams_of(data, bounds) if of_grams else _tokens(data, bounds)
                     learnt = trains[at + first : at + last][row]
                     held.add(*np.unique(grams[learnt], return_counts=True))
                     others = np.unique(grams[~learnt])
@@ -160,7 +161,7 @@ def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
     size = blocks.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     path = scratch_path(spark, "grams")  # read for the short contexts and for the buckets
     blocks.select("block", "trains", "t").mapInArrow(
-        _block_grams(max(8, -(-size // bucket_bytes))), "bucket long, block long, grams binary, n binary"
+        _block_items(max(8, -(-size // bucket_bytes)), True), "bucket long, block long, grams binary, n binary"
     ).write.parquet(path)
     placed = spark.read.parquet(path)
 
@@ -199,52 +200,32 @@ def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
     return placed.groupBy("bucket").applyInArrow(score, "block long, items binary, values binary")
 
 
-def token_counts(blocks: DataFrame) -> tuple[DataFrame, int, int]:
+def token_counts(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, int]:
     """``block, items, values``: how often the distinct tokens of every block occur in all
-    training texts; and N and V.
-
-    A token leaves a block once, so one that all texts have is as many rows as there are
-    blocks, and the join can split it.
-    """
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blocks, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            change = np.flatnonzero(np.diff(blocks)) + 1
-            for at, end in zip([0, *change], [*change, len(blocks)], strict=True):
-                held = Counter()
-                for first, last, data, bounds in W.slices(batch.column(2)[at:end], GRAM_BYTES):
-                    words, row = _tokens(data, bounds)
-                    distinct, place = np.unique(words, return_inverse=True)
-                    learnt = trains[at + first : at + last][row]
-                    held.add(distinct, np.bincount(place, learnt, minlength=len(distinct)).astype(np.int64))
-                made = held.take() if held.size else None
-                if made is not None:
-                    block = pa.array(np.full(made.num_rows, blocks[at]))
-                    yield pa.RecordBatch.from_arrays([block, *made.columns], ["block", "item", "n"])
-
-    posted = blocks.select("block", "trains", "t").mapInArrow(found, "block long, item long, n long")
-    posted = materialise(posted.groupBy("block", "item").agg(F.sum("n").alias("n")))
-    counts = materialise(posted.groupBy("item").agg(F.sum("n").alias("c")))
-    total, distinct = counts.filter("c > 0").agg(F.sum("c"), F.count("*")).first()
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            block, item, c = (x.to_numpy() for x in batch.columns)
-            order = np.argsort(block, kind="stable")
-            names, at = np.unique(block[order], return_index=True)
-            parts = np.split(order, at[1:])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(names),
-                    pa.array([_planes(item[x]) for x in parts], pa.binary()),
-                    pa.array([_planes(c[x]) for x in parts], pa.binary()),
-                ],
-                ["block", "items", "values"],
-            )
+    training texts; and N and V. A token leaves a block once."""
+    size = blocks.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    posted = blocks.select("block", "trains", "t").mapInArrow(
+        _block_items(max(8, -(-size // bucket_bytes)), False),
+        "bucket long, block long, grams binary, n binary",
+    )
 
-    joined = posted.join(counts, "item").select("block", "item", "c")
-    return joined.mapInArrow(packed, "block long, items binary, values binary"), total or 0, distinct
+    def count(table: pa.Table) -> pa.Table:
+        parts = _all_planes(table["grams"], np.uint64)
+        items, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        c = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(items))
+        values = np.split(c.astype(np.int64)[inverse], np.cumsum([len(x) for x in parts])[:-1])
+        first = np.arange(len(parts)) == 0  # one row of a bucket has its sums
+        return pa.table({
+            "block": table["block"], "items": table["grams"],
+            "values": pa.array([_planes(x) for x in values], pa.binary()),
+            "total": first * int(c.sum()), "distinct": first * int((c > 0).sum()),
+        })
+
+    counted = materialise(posted.groupBy("bucket").applyInArrow(
+        count, "block long, items binary, values binary, total long, distinct long"
+    ))
+    total, distinct = counted.agg(F.sum("total"), F.sum("distinct")).first()
+    return counted.select("block", "items", "values"), total or 0, distinct or 0
 
 
 def all_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -258,11 +239,11 @@ def all_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: in
         def known(kind: str, items: type, values: type) -> M.Lookup:
             mine = answers.filter(pc.equal(answers["kind"], kind))
             return M.Lookup(
-                np.concatenate([*_all_planes(mine["items"], items), np.zeros(0, items)]).view(np.uint64),
+                np.concatenate([*_all_planes(mine["items"], items), np.zeros(0, items)]),
                 np.concatenate([*_all_planes(mine["values"], values), np.zeros(0, values)]),
             )
 
-        by_gram, by_token = known("gram", np.uint64, np.float32), known("token", np.int64, np.int64)
+        by_gram, by_token = known("gram", np.uint64, np.float32), known("token", np.uint64, np.int64)
         made = {name: [] for name in ("n_tokens", "n_known", "base_score", "n_bytes", "score")}
         for chunk in texts["t"].chunks:
             for first, end, data, bounds in W.slices(chunk, GRAM_BYTES):
