@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.stats import long_form, tidy
-from ledgerlens.operators.lookup import few_groups, lookup_join
+from ledgerlens.operators.lookup import hot_groups, lookup_join
 from ledgerlens.operators.quantiles import expressions
 from ledgerlens.roles import numeric_cols
 
@@ -67,7 +67,7 @@ def histogram(
     )
     placed = lookup_join(
         long_form(df, exprs, keys), lookup, [(k, f"e_{k}") for k in keys],
-        few_groups(df, keys), F.col("column") == F.col("e_column"),
+        hot_groups(df, keys), F.col("column") == F.col("e_column"),
     )
     counts = (
         placed.groupBy(*keys, "column", bin_index(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin"))

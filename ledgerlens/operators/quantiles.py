@@ -65,14 +65,15 @@ def quantiles(
             _found(df, {c: exprs[c] for c in names if picked[c] == m}, probs, keys, m)
             for m in dict.fromkeys(picked.values())
         ]
-        return _every_pair(df, reduce(DataFrame.unionByName, parts), names, keys)
-    return _every_pair(df, _found(df, exprs, probs, keys, method), names, keys)
+        many = "ordered" in picked.values()
+        return _every_pair(df, reduce(DataFrame.unionByName, parts), names, keys, many)
+    return _every_pair(df, _found(df, exprs, probs, keys, method), names, keys, method == "ordered")
 
 
 def _every_pair(
-    df: DataFrame, found: DataFrame, names: Sequence[str], keys: Sequence[str]
+    df: DataFrame, found: DataFrame, names: Sequence[str], keys: Sequence[str], many: bool
 ) -> DataFrame:
-    """A row for every group of ``df`` and every column name."""
+    """A row for every group of ``df`` and every column name; no broadcast of ``many`` groups."""
     if not keys:
         return every_column(found, names)
     listed = F.explode(F.array(*[F.lit(c) for c in names])).alias("column")
@@ -83,6 +84,7 @@ def _every_pair(
     on = F.col("column") == F.col("found_column")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"found_{k}"))
+    found = found.hint("merge") if many else found
     return pairs.join(found, on, "left").select(*keys, "column", "q")
 
 

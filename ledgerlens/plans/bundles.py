@@ -11,7 +11,7 @@ from pyspark.storagelevel import StorageLevel
 
 from ledgerlens.functions.stats import percent, tidy
 from ledgerlens.operators import classes, clustering, correlation, outliers, profile
-from ledgerlens.operators.lookup import few_groups, lookup_join
+from ledgerlens.operators.lookup import hot_groups, lookup_join
 from ledgerlens.operators.two_sample import ks_two_sample, largest_differences
 from ledgerlens.plans.shared import SharedPasses
 from ledgerlens.roles import Roles, as_double, numeric_cols
@@ -211,8 +211,8 @@ def segment_profile(
             F.collect_list(F.struct("column", F.struct("q1", "q3").alias("q")))
         ).alias("q")
     )  # one entry per column
-    small = few_groups(df, keys)
-    joined = lookup_join(df, bounds, [(k, f"b_{k}") for k in keys], small)
+    hot = hot_groups(df, keys)
+    joined = lookup_join(df, bounds, [(k, f"b_{k}") for k in keys], hot)
     aggs, fields = [], {}
     y = as_double(df, label) if label else None
     for i, c in enumerate(cols):
@@ -238,4 +238,5 @@ def segment_profile(
     on = F.col("column") == F.col("e_column")
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"e_{k}"))
+    renamed = renamed if hot is None else renamed.hint("merge")
     return summary.join(renamed, on).drop("e_column", *[f"e_{k}" for k in keys])

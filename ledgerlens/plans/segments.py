@@ -2,7 +2,8 @@
 
 Every table has one row per segment and column, bin or pair. Rows of a segment are combined
 map-side wherever they add up, quantiles choose a bounded method, and thresholds go back to
-the rows broadcast for few segments and salted for many, so one segment may hold any share.
+the rows broadcast for few segments and by a shuffle for many, where large ones are salted, so
+one segment may hold any share.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.stats import long_form, percent, tidy
 from ledgerlens.operators import profile
 from ledgerlens.operators.histogram import histogram
-from ledgerlens.operators.lookup import few_groups, lookup_join
+from ledgerlens.operators.lookup import hot_groups, lookup_join
 from ledgerlens.operators.outliers import FENCE, MAD_SCALE, MODIFIED_Z_LIMIT, Z_LIMIT
 from ledgerlens.operators.quantiles import quantiles
 from ledgerlens.plans.bundles import segment_profile
@@ -24,12 +25,12 @@ from ledgerlens.session import materialise
 
 
 def _with_thresholds(
-    rows: DataFrame, table: DataFrame, keys: Sequence[str], out: str, small: bool
+    rows: DataFrame, table: DataFrame, keys: Sequence[str], out: str, hot: DataFrame | None
 ) -> DataFrame:
     """Attach ``out``, a map from column to the struct ``t`` of (by…, column, t)."""
     entries = F.map_from_entries(F.collect_list(F.struct("column", "t")))  # one entry per column
     named = table.groupBy(*[F.col(k).alias(f"\0{out}_{k}") for k in keys]).agg(entries.alias(out))
-    joined = lookup_join(rows, named, [(k, f"\0{out}_{k}") for k in keys], small)
+    joined = lookup_join(rows, named, [(k, f"\0{out}_{k}") for k in keys], hot)
     return joined.drop(*[f"\0{out}_{k}" for k in keys])
 
 
@@ -43,7 +44,7 @@ def segment_outliers(
     """
     keys = list(by)
     cols = list(cols if cols is not None else numeric_cols(df, keys))
-    small = few_groups(df, keys)
+    hot = hot_groups(df, keys)
     base = df.select(*keys, *[as_double(df, c).alias(c) for c in cols])
     ranks = quantiles(base, cols, (0.25, 0.5, 0.75), keys, method)
     pairs = long_form(base, {c: F.col(c) for c in cols}, keys)
@@ -57,13 +58,14 @@ def segment_outliers(
     known = F.struct(
         F.get("q", 0).alias("q1"), F.get("q", 1).alias("median"), F.get("q", 2).alias("q3"), "mean", "spread"
     )
+    spread = spread if hot is None else spread.hint("merge")
     table = materialise(ranks.join(spread, on, "left").select(*keys, "column", known.alias("t")))
-    rows = _with_thresholds(base, table, keys, "\0t", small)
+    rows = _with_thresholds(base, table, keys, "\0t", hot)
     t = lambda c, name: F.col("\0t")[c][name]
     away = {c: F.abs(F.col(c) - t(c, "median")) for c in cols}
     mads = quantiles(rows, away, (0.5,), keys, method)
     mads = materialise(mads.select(*keys, "column", F.struct(F.get("q", 0).alias("mad")).alias("t")))
-    rows = _with_thresholds(rows, mads, keys, "\0m", small)
+    rows = _with_thresholds(rows, mads, keys, "\0m", hot)
     aggs, fields = [], {}
     for i, c in enumerate(cols):
         x = F.col(c)

@@ -82,3 +82,26 @@ def test_frequent_values_are_certain_or_say_so(spark, tracked):
             assert exact[r.rank - 1] == (r.value, r["count"])
     if tracked == 1_000:
         assert [(r.value, r["count"]) for r in sorted(got, key=lambda r: r.rank)] == exact[:5]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("hot", [None, "x"])
+def test_thresholds_of_many_groups_are_not_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(lookup, "FEW_GROUPS", 3)
+    few = [(f"g{k % 40}" if k % 40 else None, k) for k in range(160)]
+    rows = spark.createDataFrame(few + [(hot, -k) for k in range(1, 300)], "g string, v long").repartition(6)
+    names = {g for g, _ in few} | {hot}
+    table = spark.createDataFrame([(g, f"t{g}") for g in names], "k string, t string")
+    found = lookup.hot_groups(rows, ["g"])
+    assert [r.g for r in found.collect()] == [hot]
+    joined = lookup.lookup_join(rows, table, [("g", "k")], found)
+    assert sorted((str(r.g), r.v, r.t) for r in joined.collect()) == sorted((str(r.g), r.v, f"t{r.g}") for r in rows.collect())
+    assert "SortMergeJoin" in _plan(joined)
+    even = spark.createDataFrame([(f"g{1 + k % 39}", k) for k in range(160)], "g string, v long")
+    plain = lookup.lookup_join(even, table, [("g", "k")], lookup.hot_groups(even, ["g"]))
+    assert plain.count() == 160
+    # Neither side is collected at the driver, and no group is copied for every salt.
+    assert "Broadcast" not in _plan(plain) and "Generate" not in _plan(plain)
