@@ -2,7 +2,7 @@
 
 Starting points come from a weighted coreset of a fixed expected size. Each task adds up
 sums for every centre of every model that still moves; the sums of tasks are merged in a
-tree, so what the driver gets does not grow with the rows or the tasks.
+tree to one, so the driver gets each sum of a scan once, however many rows or tasks there are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Expected rows of the coreset from which starting points are drawn.
 CORESET = 4_096
-#: Partial sums that one merging task, or the driver, adds up.
+#: Partial sums that one merging task adds up.
 MERGED = 32
 CORESET_ROUNDS = 100
 #: Column of the standardised values, as an array.
@@ -85,11 +85,11 @@ def _add_up(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
         yield _batch(total)
 
     tasks = parts.rdd.getNumPartitions()
-    while tasks > MERGED:
+    while tasks > 1:
         tasks = -(-tasks // MERGED)
         parts = parts.repartition(tasks).mapInArrow(merge, parts.schema)
     total = np.zeros(shape)
-    for row in parts.collect():  # MERGED sums of each slot at most
+    for row in parts.collect():  # one sum of each slot
         total[row.slot] += row.sums
     return total
 

@@ -105,6 +105,23 @@ def test_best_start_is_the_optimum_of_a_small_table(spark):
         assert inertia == pytest.approx(best)
 
 
+@pytest.mark.parametrize("merged", [3, 32])
+def test_sums_of_many_tasks_reach_the_driver_once(spark, monkeypatch, merged):
+    monkeypatch.setattr(kmeans, "MERGED", merged)
+    rows = [(k % 5, [float(k), 1.0]) for k in range(70)]
+    parts = spark.createDataFrame(rows, "slot int, sums array<double>").repartition(14)
+    sent, collect = [], type(parts).collect
+
+    def counted(df):
+        sent.append(collect(df))
+        return sent[-1]
+
+    monkeypatch.setattr(type(parts), "collect", counted)
+    total = kmeans._add_up(parts, (5, 2))
+    assert [len(found) for found in sent] == [5]
+    assert total.tolist() == [[float(sum(range(slot, 70, 5))), 14.0] for slot in range(5)]
+
+
 def test_copies_and_constants_do_not_stop_kmeans(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 12, "V1 double, V2 double")
     found = analyse_clusters(df, ["V1", "V2"], max_k=3)
