@@ -79,8 +79,9 @@ def _pack_partition(path: str, width: int, space: int):
         end = END_ID.to_bytes(4, "little")
         held: list[tuple] = []
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = b"".join(map(ids_of.__getitem__, text.as_py().encode().split())) + end
+            texts = batch.column(1).cast(pa.binary())
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                ids = b"".join(map(ids_of.__getitem__, text.as_py().split())) + end
                 n = len(ids) // 4
                 for start, length, window, offset in packer.place(n):
                     crc = zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)])

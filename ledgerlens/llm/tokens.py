@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import string
+import sys
+from array import array
 
 from tokenizers import Tokenizer
 
@@ -14,7 +17,8 @@ MEMO_BYTES = 64
 
 #: Letters whose normal form, lower case and class are the same in every Unicode version,
 #: and punctuation: such a word is one piece of letters and one of punctuation.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(string.punctuation)}]*)")
+_PUNCTUATION = string.punctuation.encode()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,14 +29,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Pieces(dict):
-    """Ids of a piece that the tokenizer's model gets as it is."""
+    """Ids of a piece (bytes) that the tokenizer's model gets as it is."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
         self.model, self.letters, self.limit = tokenizer.model, _byte_letters(), limit
 
-    def __missing__(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() else "".join(map(self.letters.get, piece.encode()))
-        ids = pack(t.id for t in self.model.tokenize(shown))
+    def __missing__(self, piece: bytes) -> bytes:
+        shown = piece.decode() if piece.isascii() else "".join(map(self.letters.get, piece))
+        ids = pack([t.id for t in self.model.tokenize(shown)])
         if len(self) >= self.limit:
             self.clear()
         self[piece] = ids
@@ -40,7 +44,10 @@ class _Pieces(dict):
 
 
 def pack(ids) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    out = array("I", ids)  # four bytes each
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class WordIds(dict):
@@ -62,18 +69,20 @@ class WordIds(dict):
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text) if len(word) <= MEMO_BYTES else None
-        if plain:
-            ids = self.pieces[plain[1].lower()]
-            if plain[2]:
-                ids += self.pieces[plain[2]]
+        if len(word) > MEMO_BYTES:
+            return self.encode(word.decode())
+        letters = word.rstrip(_PUNCTUATION)
+        if letters.isalpha():  # of bytes: ASCII letters
+            ids, rest = self.pieces[letters.lower()], word[len(letters) :]
+        elif not word.isascii() and (plain := _PLAIN.fullmatch(word.decode())):
+            ids, rest = self.pieces[plain[1].lower().encode()], plain[2].encode()
         else:
-            ids = self.encode(text)
-        if len(word) <= MEMO_BYTES:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
+            ids, rest = self.encode(word.decode()), b""
+        if rest:
+            ids += self.pieces[rest]
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
         return ids
 
 

@@ -19,6 +19,7 @@ from ledgerlens.llm import mixing as M
 from ledgerlens.llm.context_mixing import all_scores, mixing_scores
 from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components, spanning_links
 from ledgerlens.llm.packing import pack_documents
+from ledgerlens.llm.tokens import WordIds
 from tests.llm.common import WORDS, odd_rows, prose, table
 
 SF = "/root/testdata/sf0.001"
@@ -57,6 +58,21 @@ def test_encoding_equals_the_library(spark, tokenizer, monkeypatch):
     assert encode_documents(table(spark, [])).collect() == []
 
 
+def test_words_with_any_punctuation_are_remembered_by_their_pieces(tokenizer):
+    ids_of = WordIds(bpe_chunks.public_tokenizers.path("word_bpe_49k.json"), 50)
+    rng, whole = random.Random(5), []
+    encode_whole = ids_of.encode
+    ids_of.encode = lambda text: whole.append(text) or encode_whole(text)
+    parts = ["Word", "é", "Ünß", "x", "***", "###", "!?", "'", "'s", '"', ")", "<|endoftext|>", "42", "\x01", "中"]
+    for _ in range(3_000):
+        word = "".join(rng.choices(parts, k=rng.randint(1, 4)))
+        assert list(np.frombuffer(ids_of[word.encode()], "<u4")) == encode(tokenizer, word)
+    whole.clear()
+    for word in ("tree***", "Stone$$$", "été)", "leaf'"):  # once encoded as a whole, at six times the cost
+        assert list(np.frombuffer(ids_of[word.encode()], "<u4")) == encode(tokenizer, word)
+    assert whole == []
+
+
 def test_packing_covers_every_id_once(spark, tokenizer):
     rows = odd_rows() + STRANGE + [(1000 + i, t) for i, t in given_rows()]
     got = pack_documents(table(spark, rows), space=4).collect()
