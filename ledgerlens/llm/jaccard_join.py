@@ -484,6 +484,28 @@ def _first_seen(ids: np.ndarray, sent: set[int]) -> np.ndarray:
 # -- the join -----------------------------------------------------------------------
 
 
+def _sets_of(width: int, hint):
+    """The sets that the broadcast filter ``hint`` lets pass, once for each batch of texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sent: set[int] = set()
+            # One batch for each slice of texts, as sets are larger than their texts.
+            for value, row, size, ids in per_text(batch.column(0), width):
+                keys, sets = [], []
+                for k in np.flatnonzero(_passes(hint.value, ids) & (size > 0)).tolist():
+                    if int(ids[k]) not in sent:
+                        sent.add(int(ids[k]))
+                        keys.append(int(ids[k].view(np.int64)))
+                        first, end = np.searchsorted(row, [k, k + 1])
+                        sets.append(value[first:end].tobytes())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"]
+                )
+
+    return work
+
+
 def near_sets(
     df: DataFrame, width: int, percent: int, id_col: str, text_col: str
 ) -> tuple[DataFrame, DataFrame]:
@@ -555,21 +577,6 @@ def near_sets(
     candidates = materialise(components(links))
     hint = _filter_of(candidates, "node")
 
-    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sent: set[int] = set()
-            keys, sets = [], []
-            for value, row, size, ids in per_text(batch.column(0), width):
-                for k in np.flatnonzero(_passes(hint.value, ids) & (size > 0)).tolist():
-                    if int(ids[k]) not in sent:
-                        sent.add(int(ids[k]))
-                        keys.append(int(ids[k].view(np.int64)))
-                        first, end = np.searchsorted(row, [k, k + 1])
-                        sets.append(value[first:end].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"]
-            )
-
     # Groups that are too large for a task are cut into blocks; every two blocks of a
     # group meet in a task of their own.
     counts = rows.groupBy("set_id").agg(F.first("n_shingles").alias("n"))
@@ -581,7 +588,7 @@ def near_sets(
     placed = members.join(total, "root").select("node", "root", blocks)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block)
-    sets = texts.mapInArrow(wanted, "node long, shingles binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(_sets_of(width, hint), "node long, shingles binary").dropDuplicates(["node"])
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")
     held = sets.join(placed, "node").select("node", "root", "blocks", "block", "shingles", each)
     held = held.select(

@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -103,6 +104,18 @@ def test_packing_covers_every_id_once(spark, tokenizer):
     assert pack_documents(table(spark, [])).collect() == []
 
 
+def test_sets_leave_in_batches_of_a_slice():
+    texts = [" ".join(f"w{i}x{k}" for k in range(3_000)) for i in range(120)]
+    texts[70] = texts[3]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None])], ["t"])
+    every = SimpleNamespace(value=np.full(1 << (jaccard_join.FILTER_BITS - 6), 2**64 - 1, np.uint64))
+    made = list(jaccard_join._sets_of(5, every)(iter([batch])))
+    assert len(made) > 2 and max(b.nbytes for b in made) < 4 << 20  # not all sets of the batch at once
+    nodes = [k for b in made for k in b.column(0).to_pylist()]
+    assert len(nodes) == len(set(nodes)) == 119
+    assert all(len(x) == 8 * 2_996 for b in made for x in b.column(1).to_pylist())
+
+
 def test_packer_tops_up_the_fullest():
     packer = packing.Packer(100, 2)
     placed = [list(packer.place(n)) for n in (70, 60, 45, 250)]
