@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import public_tokenizers
@@ -20,13 +21,13 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes that the rolling hash sees; a chunk ends where its low MASK_BITS are zero.
 ROLLING, MASK_BITS = 32, 9
 MIN_CHUNK, MAX_CHUNK = 128, 4096
-#: Shared chunks whose texts are handed to every task, which encodes each of them once for
-#: itself: those that save most. It bounds the broadcast to DICTIONARY * MAX_CHUNK bytes of text; what
-#: is not in it is encoded where it occurs, so results do not depend on it.
+#: Shared chunks that are encoded once and handed to every task: those that save most. It
+#: bounds the broadcast to DICTIONARY * MAX_CHUNK bytes of text and its ids; what is not in
+#: it is encoded where it occurs, so results do not depend on it.
 DICTIONARY = 8_192
 
 #: Tokens of a batch of results, and words that a worker remembers.
-OUT_TOKENS, MEMO_WORDS = 500_000, 200_000
+OUT_TOKENS, MEMO_WORDS = 500_000, 400_000
 
 _SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -73,6 +74,7 @@ def chunk_key(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
+@dataclass(slots=True)
 class Encoded:
     """A chunk's words: ids of those inside it, and its two cut-off ends as bytes.
 
@@ -80,15 +82,21 @@ class Encoded:
     Without any white space the chunk is one ``solid`` run.
     """
 
-    __slots__ = ("head", "tail", "ids", "first", "last", "solid")
+    head: bytes
+    tail: bytes
+    ids: bytes
+    first: bytes
+    last: bytes
+    solid: bool
 
-    def __init__(self, chunk: bytes, ids_of: WordIds):
+    @classmethod
+    def of(cls, chunk: bytes, ids_of: WordIds) -> Encoded:
         words = chunk.split()
-        self.solid = bool(words) and len(words) == 1 and len(words[0]) == len(chunk)
-        self.head = words.pop(0) if words and chunk[0] not in _SPACE else b""
-        self.tail = words.pop() if words and chunk[-1] not in _SPACE else b""
-        self.ids = b"".join(map(ids_of.__getitem__, words))
-        self.first, self.last = (words[0], words[-1]) if words else (b"", b"")
+        solid = bool(words) and len(words) == 1 and len(words[0]) == len(chunk)
+        head = words.pop(0) if words and chunk[0] not in _SPACE else b""
+        tail = words.pop() if words and chunk[-1] not in _SPACE else b""
+        ids = b"".join(map(ids_of.__getitem__, words))
+        return cls(head, tail, ids, *((words[0], words[-1]) if words else (b"", b"")), solid)
 
 
 class Disagreement(Exception):
@@ -114,7 +122,7 @@ def encode_chunks(chunks: list[bytes], known: dict[bytes, Encoded], ids_of: Word
     out: list[bytes] = []
     held, before, joined = b"", b"", False  # a word that the last chunk did not end
     for chunk in chunks:
-        made = known.get(chunk) or Encoded(chunk, ids_of)
+        made = known.get(chunk) or Encoded.of(chunk, ids_of)
         if made.solid:
             joined = joined or bool(held)
             held += chunk
@@ -133,28 +141,40 @@ def encode_chunks(chunks: list[bytes], known: dict[bytes, Encoded], ids_of: Word
     return b"".join(out)
 
 
-def shared_chunks(texts: DataFrame, limit: int) -> DataFrame:
-    """``key`` of at most ``limit`` chunks that occur more than once, by bytes saved."""
+def shared_chunks(rows: DataFrame, limit: int) -> DataFrame:
+    """``key, holder`` of at most ``limit`` chunks that occur more than once, by bytes
+    saved; the holder is the ``doc_id`` of a row that has the chunk."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[tuple[bytes, int]] = Counter()
-            for chunks in chunks_of(batch.column(0)):
-                seen.update((chunk_key(c), len(c)) for c in chunks)
-            keys = [k for k, _ in seen]
+            holder: dict[tuple[bytes, int], int] = {}
+            for row, chunks in enumerate(chunks_of(batch.column(1))):
+                for chunk in chunks:
+                    key = chunk_key(chunk), len(chunk)
+                    seen[key] += 1
+                    holder.setdefault(key, row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array([n for _, n in seen], pa.int64()),
-                 pa.array(list(seen.values()), pa.int64())],
-                ["key", "size", "n"],
+                [pa.array([k for k, _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64()),
+                 pa.array(list(seen.values()), pa.int64()),
+                 batch.column(0).take(pa.array([holder[key] for key in seen], pa.int64()))],
+                ["key", "size", "n", "holder"],
             )
 
-    counted = texts.mapInArrow(count, "key binary, size long, n long")
-    total = counted.groupBy("key", "size").agg(F.sum("n").alias("n")).filter("n > 1")
-    return total.orderBy(((F.col("n") - 1) * F.col("size")).desc(), "key").limit(limit).select("key")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    counted = rows.mapInArrow(count, f"key binary, size long, n long, holder {id_type}")
+    total = counted.groupBy("key", "size").agg(F.sum("n").alias("n"), F.min("holder").alias("holder"))
+    saved = ((F.col("n") - 1) * F.col("size")).desc()
+    return total.filter("n > 1").orderBy(saved, "key").limit(limit).select("key", "holder")
+
 
+def encoded_once(rows: DataFrame, chosen: pa.Table, path: str) -> dict[bytes, Encoded]:
+    """The chosen chunks (see :func:`shared_chunks`), each encoded once.
 
-def encoded_once(texts: DataFrame, keys: set[bytes]) -> list[bytes]:
-    """The texts of the given chunks, each once."""
+    Only the rows of their holders are cut again: a missing id holds what no other has.
+    """
+    keys = set(chosen["key"].to_pylist())
+    names = ["head", "tail", "ids", "first", "last", "solid"]
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
@@ -171,8 +191,27 @@ def encoded_once(texts: DataFrame, keys: set[bytes]) -> list[bytes]:
                 ["key", "chunk"],
             )
 
-    rows = texts.mapInArrow(pick, "key binary, chunk binary").dropDuplicates(["key"])
-    return [row.chunk for row in rows.select("chunk").collect()]  # at most DICTIONARY rows
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = word_ids(path, MEMO_WORDS)
+        for batch in batches:
+            made = [astuple(Encoded.of(chunk, ids_of)) for chunk in batch.column(0).to_pylist()]
+            fields = zip(*made, strict=True) if made else [[]] * len(names)
+            types = [pa.bool_() if name == "solid" else pa.binary() for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(list(x), t) for x, t in zip(fields, types, strict=True))],
+                ["chunk", *names],
+            )
+
+    schema = rows.select(F.col("doc_id").alias("holder")).schema
+    holders = rows.sparkSession.createDataFrame(chosen.select(["holder"]), schema).distinct()
+    held = rows.join(F.broadcast(holders), rows["doc_id"].eqNullSafe(holders["holder"]), "left_semi")
+    texts = held.select("t").mapInArrow(pick, "key binary, chunk binary").dropDuplicates(["key"])
+    made = texts.select("chunk").mapInArrow(
+        encode, ", ".join(f"{x} binary" for x in ["chunk", *names[:-1]]) + ", solid boolean"
+    )
+    table = made.toArrow()  # at most DICTIONARY rows
+    fields = zip(*(table[name].to_pylist() for name in names), strict=True)
+    return dict(zip(table["chunk"].to_pylist(), (Encoded(*x) for x in fields), strict=True))
 
 
 def encode_documents(
@@ -185,7 +224,7 @@ def encode_documents(
     """One row per input row: ``doc_id, ids`` (array of int), ``tokens`` (the decoded text).
 
     A rolling hash cuts texts into chunks; chunks that occur more than once and save most
-    are encoded once a task and reused there, and words that a cut runs through are encoded again with
+    are encoded once and reused, and words that a cut runs through are encoded again with
     their neighbours. Ids equal those of the tokenizers library on the whole text without
     special tokens added; ``tokens`` equals its ``decode(ids, skip_special_tokens=False)``.
     A missing or empty text has no ids and decodes to an empty text. Rows with a missing
@@ -193,15 +232,15 @@ def encode_documents(
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    texts = rows.select("t")
-    keys = {bytes(row.key) for row in shared_chunks(texts, dictionary).collect()}
-    chosen = encoded_once(texts, keys) if keys else []
-    shared = df.sparkSession.sparkContext.broadcast(chosen)
+    chosen = shared_chunks(rows, dictionary).toArrow()
+    shared = df.sparkSession.sparkContext.broadcast(
+        encoded_once(rows, chosen, path) if chosen.num_rows else {}
+    )
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(path, MEMO_WORDS)
-        known = {chunk: Encoded(chunk, ids_of) for chunk in shared.value}
+        known = shared.value
         names = _token_texts(ids_of)
         for batch in batches:
             first, size, ids, decoded = 0, 0, [], []

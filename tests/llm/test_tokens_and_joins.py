@@ -74,6 +74,36 @@ def test_words_with_any_punctuation_are_remembered_by_their_pieces(tokenizer):
     assert whole == []
 
 
+def test_words_in_use_stay_remembered():
+    """A full memo once dropped all it had."""
+    ids_of, made = WordIds(bpe_chunks.public_tokenizers.path("word_bpe_49k.json"), 50), []
+    make = ids_of.make
+    ids_of.make = lambda word: made.append(word) or make(word)
+    want = ids_of[b"often"]
+    for k in range(2_000):
+        ids_of[b"w%d" % k]
+        assert ids_of[b"often"] == want and len(ids_of) + len(ids_of.older) <= 50
+    assert made.count(b"often") == 1
+
+
+def test_shared_chunks_are_encoded_once(spark, monkeypatch):
+    """Each task encoded them for itself, and all texts were cut again to find them."""
+    monkeypatch.setattr(bpe_chunks, "MIN_CHUNK", 40)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(3_000)]
+    copies = [" ".join(words[k : k + 400]) for k in (0, 400)]
+    rows = [(None, copies[0]), (None, copies[0]), (7, copies[1]), (8, copies[1])]
+    rows += [(9 + k, " ".join(words[800 + 20 * k : 820 + 20 * k])) for k in range(100)] + [(200, None), (201, "")]
+    given = table(spark, rows).selectExpr("doc_id", "coalesce(text, '') AS t")
+    chosen = bpe_chunks.shared_chunks(given, 1_000).toArrow()
+    assert set(chosen["holder"].to_pylist()) == {None, 7}
+    path = bpe_chunks.public_tokenizers.path("word_bpe_49k.json")
+    known = bpe_chunks.encoded_once(given, chosen, path)
+    ids_of = WordIds(path, 50)
+    assert sorted(map(bpe_chunks.chunk_key, known)) == sorted(chosen["key"].to_pylist())
+    assert known == {chunk: bpe_chunks.Encoded.of(chunk, ids_of) for chunk in known}
+
+
 def test_packing_covers_every_id_once(spark, tokenizer):
     rows = odd_rows() + STRANGE + [(1000 + i, t) for i, t in given_rows()]
     got = pack_documents(table(spark, rows), space=4).collect()
