@@ -27,6 +27,27 @@ GRAIN = 512
 HELD = 3_000_000
 #: The end of a text as a token: no hash of a word is excluded, but none is likely to be it.
 END_WORD = np.uint64(0x6C6F2D7465787421)
+#: The block number of rows with counts of short items, which no block has.
+SHORT = -1
+
+
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order; the order of all, and where each distinct one begins in
+    it. The keys come in sorted runs, which a stable sort merges."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    first = np.flatnonzero(new)
+    return keys[first], order, first
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sum of the counts of each."""
+    if not len(keys):
+        return keys, counts
+    distinct, order, first = _places(keys)
+    return distinct, np.add.reduceat(counts[order], first)
 
 
 class Counter:
@@ -46,15 +67,7 @@ class Counter:
         keys = np.concatenate([*self.keys, np.zeros(0, np.uint64)])
         counts = np.concatenate([*self.counts, np.zeros(0, np.int64)])
         self.__init__()
-        distinct, place = np.unique(keys, return_inverse=True)
-        return distinct, np.bincount(place, counts, minlength=len(distinct)).astype(np.int64)
-
-    def take(self) -> pa.RecordBatch:
-        distinct, sums = self.sums()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(distinct.view(np.int64)), pa.array(sums)], ["item", "n"]
-        )
-
+        return _summed(keys, counts)
 
 def _tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all tokens: the lower-cased words, and an end for each row."""
@@ -85,7 +98,7 @@ def in_blocks(rows: DataFrame, size: int) -> DataFrame:
     path = scratch_path(rows.sparkSession, "blocks")
     rows = rows.select("doc_id", "trains", "t")
     made = rows.mapInArrow(work, f"block long, doc_id {kind}, trains boolean, t string")
-    made.write.parquet(path)
+    made.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
@@ -106,12 +119,16 @@ def _all_planes(column: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarr
 
 
 def _block_items(n_buckets: int, of_grams: bool):
-    """One row per bucket of a block: its distinct grams, or tokens, and their counts in
-    training texts."""
+    """One row per bucket of a block: its distinct grams (turned), or tokens, and their
+    counts in training texts. With the tokens go the counts of the short items, in rows of
+    the block SHORT."""
 
     def rows_of(block: int, held: Counter) -> pa.RecordBatch:
         grams, n = held.sums()
-        bucket = M.buckets(grams, n_buckets) if of_grams else (grams % np.uint64(n_buckets)).astype(np.int64)
+        if of_grams:
+            bucket = M.buckets(M.turned_back(grams), n_buckets)
+        else:
+            bucket = ((M.mix(grams) if block == SHORT else grams) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, grams, n = bucket[order], grams[order], n[order].astype(np.int32)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
@@ -127,7 +144,7 @@ def _block_items(n_buckets: int, of_grams: bool):
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, Counter()
+        block, held, short = None, Counter(), Counter()
         for batch in batches:
             blocks, trains = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             change = np.flatnonzero(np.diff(blocks)) + 1
@@ -137,62 +154,58 @@ def _block_items(n_buckets: int, of_grams: bool):
                 block = int(blocks[at])
                 for first, last, data, bounds in W.slices(batch.column(2)[at:end], GRAM_BYTES):
                     grams, row = M.grams_of(data, bounds) if of_grams else _tokens(data, bounds)
+                    grams = M.turned(grams) if of_grams else grams
                     learnt = trains[at + first : at + last][row]
                     held.add(*np.unique(grams[learnt], return_counts=True))
                     others = np.unique(grams[~learnt])
                     held.add(others, np.zeros(len(others), np.int64))
                     if held.size > HELD:
                         held.add(*held.sums())
+                    if not of_grams:
+                        items, row = M.short_of(data, bounds)
+                        items = items[trains[at + first : at + last][row]].astype(np.uint32)
+                        items, n = np.unique(items, return_counts=True)
+                        short.add(items.astype(np.uint64), n)
+                        if short.size > HELD:
+                            short.add(*short.sums())
         if held.size:
             yield rows_of(block, held)
+        if short.size:
+            yield rows_of(SHORT, short)
 
     return work
 
 
-def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """``block, items, values``: log2 probabilities of the distinct grams of every block.
+def gram_scores(
+    blocks: DataFrame, items: np.ndarray, counts: np.ndarray, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
+    """``block, items, values``: log2 probabilities of the distinct grams of every block, as
+    whole steps of one by GRAIN below nothing.
 
     Every gram of every text reaches the bucket that has all counts of its contexts, so the
     counts are those of the whole corpus and their table grows with it: the number of
-    buckets is that of the bytes. Counts of the two shortest contexts, at most 2**24 whatever
-    the corpus, are sent to all buckets.
+    buckets is that of the bytes. Counts of the two shortest contexts (``items``, at most
+    2**24 whatever the corpus) are sent to all buckets.
     """
-    spark = blocks.sparkSession
     size = blocks.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    path = scratch_path(spark, "grams")  # read for the short contexts and for the buckets
-    blocks.select("block", "trains", "t").mapInArrow(
+    placed = blocks.select("block", "trains", "t").mapInArrow(
         _block_items(max(8, -(-size // bucket_bytes)), True), "bucket long, block long, grams binary, n binary"
-    ).write.parquet(path)
-    placed = spark.read.parquet(path)
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Counter()
-        for batch in batches:
-            for grams, n in zip(
-                _all_planes(batch.column(0), np.uint64), _all_planes(batch.column(1), np.int32), strict=True
-            ):
-                items, place = np.unique(M.short_items(grams), return_inverse=True)
-                held.add(items, np.bincount(place, n, minlength=len(items)).astype(np.int64))
-                if held.size > HELD:
-                    held.add(*held.sums())
-        yield held.take()
-
-    found = placed.select("grams", "n").mapInArrow(short, "item long, n long")
-    found = found.groupBy("item").agg(F.sum("n").alias("n")).filter("n > 0").toArrow()
-    found = found.sort_by("item")
-    shared = spark.sparkContext.broadcast(
-        (found["item"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.float64))
     )
+    shared = blocks.sparkSession.sparkContext.broadcast((items, counts.astype(np.float64)))
 
     def score(table: pa.Table) -> pa.Table:
         parts = _all_planes(table["grams"], np.uint64)
         ends = np.cumsum([len(x) for x in parts])
-        grams, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        keys, order, first = _places(np.concatenate(parts))
         del parts
-        n = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(grams))
-        value = M.log2_of(grams, n, *shared.value)
-        value = (np.round(value * GRAIN) / GRAIN).astype(np.float32)[inverse]
-        scores = [_planes(x) for x in np.split(value, ends[:-1])]
+        n = np.concatenate(_all_planes(table["n"], np.int32)).astype(np.float64)
+        n, grams = np.add.reduceat(n[order], first), M.turned_back(keys)
+        by_gram = np.argsort(grams)
+        value = np.empty(len(grams), np.int32)
+        value[by_gram] = np.round(M.log2_of(grams[by_gram], n[by_gram], *shared.value) * -GRAIN)
+        steps = np.empty(len(order), np.int32)
+        steps[order] = np.repeat(value, np.diff(np.append(first, len(order))))
+        scores = [_planes(x) for x in np.split(steps, ends[:-1])]
         return pa.table(
             {"block": table["block"], "items": table["grams"], "values": pa.array(scores, pa.binary())}
         )
@@ -200,50 +213,78 @@ def gram_scores(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFram
     return placed.groupBy("bucket").applyInArrow(score, "block long, items binary, values binary")
 
 
-def token_counts(blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, int]:
+def token_counts(
+    blocks: DataFrame, bucket_bytes: int = BUCKET_BYTES
+) -> tuple[DataFrame, int, int, np.ndarray, np.ndarray]:
     """``block, items, values``: how often the distinct tokens of every block occur in all
-    training texts; and N and V. A token leaves a block once."""
+    training texts; N and V; and the short items, sorted, with their counts in training
+    texts. A token leaves a block once."""
     size = blocks.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     posted = blocks.select("block", "trains", "t").mapInArrow(
         _block_items(max(8, -(-size // bucket_bytes)), False),
         "bucket long, block long, grams binary, n binary",
     )
 
+    names = ["block", "items", "values", "total", "distinct"]
+
     def count(table: pa.Table) -> pa.Table:
-        parts = _all_planes(table["grams"], np.uint64)
-        items, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        c = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(items))
-        values = np.split(c.astype(np.int64)[inverse], np.cumsum([len(x) for x in parts])[:-1])
-        first = np.arange(len(parts)) == 0  # one row of a bucket has its sums
-        return pa.table({
-            "block": table["block"], "items": table["grams"],
-            "values": pa.array([_planes(x) for x in values], pa.binary()),
-            "total": first * int(c.sum()), "distinct": first * int((c > 0).sum()),
-        })
+        own = pc.equal(table["block"], SHORT)
+        short, table = table.filter(own), table.filter(pc.invert(own))
+        held, rows = Counter(), []
+        for chunk in short.to_batches():
+            for at in range(chunk.num_rows):
+                held.add(*(
+                    _from_planes(chunk[name][at].as_buffer(), kind).astype(into)
+                    for name, kind, into in (("grams", np.uint64, np.uint64), ("n", np.int32, np.int64))
+                ))
+                if held.size > HELD:
+                    held.add(*held.sums())
+        if held.size:
+            rows.append([[SHORT], *([_planes(x)] for x in held.sums()), [0], [0]])
+        if table.num_rows:
+            parts = _all_planes(table["grams"], np.uint64)
+            items, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+            c = np.bincount(inverse, np.concatenate(_all_planes(table["n"], np.int32)), minlength=len(items))
+            values = np.split(c.astype(np.int64)[inverse], np.cumsum([len(x) for x in parts])[:-1])
+            first = np.arange(len(parts)) == 0  # one row of a bucket has its sums
+            rows.append([
+                table["block"].to_pylist(), table["grams"].to_pylist(), [_planes(x) for x in values],
+                first * int(c.sum()), first * int((c > 0).sum()),
+            ])
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        tables = [
+            pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names) for columns in rows
+        ]
+        return pa.concat_tables(tables)
 
     counted = materialise(posted.groupBy("bucket").applyInArrow(
         count, "block long, items binary, values binary, total long, distinct long"
     ))
     total, distinct = counted.agg(F.sum("total"), F.sum("distinct")).first()
-    return counted.select("block", "items", "values"), total or 0, distinct or 0
+    short = counted.filter(F.col("block") == SHORT).select("items", "values").toArrow()
+    items = np.concatenate([*_all_planes(short["items"], np.uint64), np.zeros(0, np.uint64)])
+    counts = np.concatenate([*_all_planes(short["values"], np.int64), np.zeros(0, np.int64)])
+    answers = counted.filter(F.col("block") != SHORT).select("block", "items", "values")
+    return answers, total or 0, distinct or 0, *_summed(items, counts)
 
 
 def all_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``doc_id, trains, n_tokens, n_known, train_tokens, base_score, n_bytes, score`` (log10)
     for rows of ``doc_id, trains, t``; those that train are learnt from, all are scored."""
     blocks = in_blocks(rows, block_bytes)
-    tokens, total, distinct = token_counts(blocks)
+    tokens, total, distinct, items, counts = token_counts(blocks)
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
 
     def finish(texts: pa.Table, answers: pa.Table) -> pa.Table:
         def known(kind: str, items: type, values: type) -> M.Lookup:
             mine = answers.filter(pc.equal(answers["kind"], kind))
+            found = np.concatenate([*_all_planes(mine["items"], items), np.zeros(0, items)])
             return M.Lookup(
-                np.concatenate([*_all_planes(mine["items"], items), np.zeros(0, items)]),
+                M.turned_back(found) if kind == "gram" else found,
                 np.concatenate([*_all_planes(mine["values"], values), np.zeros(0, values)]),
             )
 
-        by_gram, by_token = known("gram", np.uint64, np.float32), known("token", np.uint64, np.int64)
+        by_gram, by_token = known("gram", np.uint64, np.int32), known("token", np.uint64, np.int64)
         made = {name: [] for name in ("n_tokens", "n_known", "base_score", "n_bytes", "score")}
         for chunk in texts["t"].chunks:
             for first, end, data, bounds in W.slices(chunk, GRAM_BYTES):
@@ -255,14 +296,15 @@ def all_scores(rows: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: in
                 made["base_score"].append(np.bincount(row, np.log10(c + 0.5), minlength=n) - size * norm)
                 grams, row = M.grams_of(data, bounds)
                 made["n_bytes"].append(np.bincount(row, minlength=n))
-                made["score"].append(np.bincount(row, by_gram.of(grams), minlength=n) * np.log10(2))
+                steps = np.bincount(row, by_gram.of(grams), minlength=n)
+                made["score"].append((0.0 - steps / GRAIN) * np.log10(2))
         return pa.table(
             {"doc_id": texts["doc_id"], "trains": texts["trains"]}
             | {name: np.concatenate(x) for name, x in made.items()}
         )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    answers = gram_scores(blocks, bucket_bytes).withColumn("kind", F.lit("gram"))
+    answers = gram_scores(blocks, items, counts, bucket_bytes).withColumn("kind", F.lit("gram"))
     answers = answers.unionByName(tokens.withColumn("kind", F.lit("token")))
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         finish,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ledgerlens.llm.words import FOLD, Spans, mix, split_words
+from ledgerlens.llm.words import FOLD, IS_SPACE, Spans, mix, split_words
 
 #: Longest context in bytes; there is a predictor for each length from 1 on, and one for
 #: the word so far.
@@ -33,36 +33,70 @@ PULL = 20.0
 END = 0xFF
 
 
-def grams_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and rows of the canonical form of each text: its lower-cased words with one
-    space between them, and END, a byte that UTF-8 does not have."""
+def canonical(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row bounds of the canonical form of each text: its lower-cased words with
+    one space between them, and END, a byte that UTF-8 does not have."""
     data = FOLD[data]
     starts, ends, rows = split_words(data, bounds)
-    n = len(bounds) - 1
-    space = np.zeros(len(starts), np.int64)
-    space[1:] = rows[1:] == rows[:-1]
-    size = ends - starts
-    begin = np.cumsum(size + space) - size + rows  # of a word; each row before has an END
-    out = np.full(int((size + space).sum()) + n, END, np.uint8)
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(begin, size) + step] = data[np.repeat(starts, size) + step]
-    out[begin[space > 0] - 1] = 0x20
-    length = np.bincount(rows, size + space, minlength=n).astype(np.int64) + 1
-    row_begin = np.cumsum(length) - length
-    row = np.repeat(np.arange(n), length)
-    place = np.arange(len(out)) - row_begin[row]
-    word_begin = row_begin[row].copy()  # of the word that a byte is in or next to
-    word_begin[np.repeat(begin, size + 1) + np.arange(int(size.sum()) + len(size)) - np.repeat(
-        np.cumsum(size + 1) - size - 1, size + 1)] = np.repeat(begin, size + 1)
-    prefix = Spans(out).hash(word_begin, np.arange(len(out)))
-    prefix[word_begin == np.arange(len(out))] = 0
-    grams = out.astype(np.uint64) | (prefix >> np.uint64(48) << np.uint64(48))
-    for k in range(1, ORDERS + 1):
-        back = np.full(len(out), END, np.uint64)
-        back[k:] = out[:-k] if k < len(out) else out[:0]
-        back[place < k] = END
-        grams |= back << np.uint64(8 * k)
-    return grams, row
+    n, inner = len(bounds) - 1, np.zeros(len(starts), bool)
+    inner[1:] = rows[1:] == rows[:-1]
+    kept, gaps = ~IS_SPACE[data], starts[inner] - 1  # before a word that another one precedes
+    kept[gaps], data[gaps] = True, 0x20
+    size = np.bincount(rows, ends - starts + inner, minlength=n).astype(np.int64) + 1
+    after = np.append(0, np.cumsum(size))
+    out, own = np.full(int(after[-1]), END, np.uint8), np.ones(int(after[-1]), bool)
+    own[after[1:] - 1] = False
+    out[own] = data[kept]
+    return out, after
+
+
+def _windows(out: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Each byte of canonical forms and the ORDERS bytes before it in its row, or ENDs."""
+    back = np.full(len(out) + 8 + 8, END, np.uint8)  # the bytes in reverse, so that these follow
+    back[: len(out)] = out[::-1]
+    grams = np.empty(len(out) + 8, "<u8")
+    for k in range(8):
+        grams[k::8] = back[k : k + 8 * len(grams[k::8])].view("<u8")
+    grams = grams[: len(out)][::-1] & np.uint64((1 << 8 * (ORDERS + 1)) - 1)
+    for place in range(ORDERS):  # what lies before the row
+        at = bounds[:-1][np.diff(bounds) > place] + place
+        grams[at] |= np.uint64((1 << 8 * (ORDERS + 1)) - (1 << 8 * (place + 1)))
+    return grams
+
+
+def grams_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and rows of the canonical form of each text."""
+    out, bounds = canonical(data, bounds)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    if not len(out):
+        return np.zeros(0, np.uint64), row
+    last = out == 0x20  # of a word and the byte next to it
+    last[bounds[1:] - 1] = True
+    after = np.flatnonzero(last) + 1
+    begin = np.append(0, after[:-1])
+    prefix = Spans(out).hash_prefixes(begin, after - begin)
+    prefix >>= np.uint64(48)
+    prefix <<= np.uint64(48)
+    prefix[begin] = 0
+    prefix |= _windows(out, bounds)
+    return prefix, row
+
+
+def short_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The short items (see :func:`short_items`) and rows of the grams of each text."""
+    out, bounds = canonical(data, bounds)
+    return short_items(_windows(out, bounds)), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def turned(grams: np.ndarray) -> np.ndarray:
+    """Grams with the bytes before, nearest first, in front of the hash and the byte: sorted
+    like this, equal contexts are neighbours, which compresses well."""
+    low = np.uint64(0xFF)
+    return (grams.byteswap() << np.uint64(8)) | (grams & low)
+
+
+def turned_back(keys: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(8)) | (keys << np.uint64(56))).byteswap()
 
 
 def buckets(grams: np.ndarray, n: int) -> np.ndarray:

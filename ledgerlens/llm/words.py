@@ -64,6 +64,14 @@ class Spans:
         raw = (self.sums[ends] - self.sums[starts]) * self.up[starts]
         return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def hash_prefixes(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each byte, the hash of the bytes before it in its span; the spans follow each
+        other and cover all bytes."""
+        n = len(self.sums) - 1
+        raw = (self.sums[:-1] - np.repeat(self.sums[starts], sizes)) * np.repeat(self.up[starts], sizes)
+        raw += (np.arange(n) - np.repeat(starts, sizes)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return mix(raw)
+
 
 def slices(
     column: pa.Array, size: int = SLICE_BYTES

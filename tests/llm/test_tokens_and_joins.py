@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerlens.llm import bpe_chunks, jaccard_join, packing
+from ledgerlens.llm import bpe_chunks, context_mixing, jaccard_join, packing
 from ledgerlens.llm.bpe_chunks import encode_documents
 from ledgerlens.llm.components import components
 from ledgerlens.llm import mixing as M
@@ -21,6 +21,7 @@ from ledgerlens.llm.context_mixing import all_scores, mixing_scores
 from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components, spanning_links
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.tokens import WordIds
+from ledgerlens.llm.words import FOLD, slices
 from tests.llm.common import WORDS, odd_rows, prose, table
 
 SF = "/root/testdata/sf0.001"
@@ -429,6 +430,49 @@ def test_lookup_finds_every_gram():
     assert len(M.Lookup(grams[:0], np.zeros(0)).of(grams[:0])) == 0
 
 
+def test_grams_equal_brute_force():
+    rng = random.Random(8)
+    texts = ["", " ", "a", "A b", "\t a  b\n", "é ü", "abcdefg"]
+    texts += ["".join(rng.choices("aB c\t\né.", k=rng.randint(0, 12))) for _ in range(300)]
+    data = [x.encode() for x in texts]
+    grams, row = M.grams_of(np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data])))
+    want = []
+    for k, text in enumerate(data):
+        whole = b" ".join(text.translate(bytes(FOLD)).split()) + b"\xff"
+        for at, byte in enumerate(whole):
+            back = [whole[at - j] if at >= j else 0xFF for j in range(1, M.ORDERS + 1)]
+            want.append((k, sum(x << 8 * j for j, x in enumerate([byte, *back])), whole[:at].split(b" ")[-1]))
+    low = np.uint64((1 << 48) - 1)
+    assert list(zip(row.tolist(), (grams & low).tolist(), strict=True)) == [x[:2] for x in want]
+    hashes = {}  # one of each word so far
+    for gram, (_, _, word) in zip(grams.tolist(), want, strict=True):
+        assert hashes.setdefault(word, gram >> 48) == gram >> 48
+    assert (M.turned_back(M.turned(grams)) == grams).all()
+
+
+def test_grams_leave_once_and_small(spark):
+    """They were written to a table, sent from it and sent back, sorted by a hash: more disk
+    than allowed."""
+    texts = [t for _, t in given_rows() if t]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([5] * len(texts)), pa.array([True] * len(texts)), pa.array(texts)], ["block", "trains", "t"]
+    )
+    rows = list(context_mixing._block_items(8, True)(iter([batch])))[0]
+    sent = sum(map(len, rows["grams"].to_pylist()))
+    whole = context_mixing._all_planes(rows["grams"], np.uint64)
+    before = sum(len(context_mixing._planes(np.sort(M.turned_back(x)))) for x in whole)
+    assert sent < 0.75 * before
+    blocks = spark.createDataFrame(pa.Table.from_batches([batch]))
+    answers, total, _, items, counts = context_mixing.token_counts(blocks)
+    grams = np.concatenate([M.grams_of(d, b)[0] for _, _, d, b in slices(batch.column(2))])
+    want = np.unique(M.short_items(grams), return_counts=True)
+    assert (items == want[0]).all() and (counts == want[1]).all()
+    assert total == sum(len(t.encode().split()) + 1 for t in texts)
+    assert {row.block for row in answers.select("block").collect()} == {5}
+    made = context_mixing.gram_scores(blocks, items, counts)
+    assert made.inputFiles() == blocks.inputFiles()  # nothing was written between
+
+
 def test_scores_empty_table(spark):
     assert mixing_scores(table(spark, [])).collect() == []
 
