@@ -9,8 +9,8 @@ from array import array
 
 from tokenizers import Tokenizer
 
-#: Entries remembered at most, unless the caller says otherwise; beyond that a memo drops
-#: those not used for longest, so memory stays bounded.
+#: Entries remembered at most, unless the caller says otherwise; beyond that a memo starts
+#: anew, so memory stays bounded.
 MEMO_WORDS = 250_000
 #: Longer words are encoded each time and not remembered.
 MEMO_BYTES = 64
@@ -28,34 +28,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """What was made of ``limit`` keys at most. A full half becomes the ``older`` one, in
-    place of the one before; a key of it that is asked for again moves back."""
-
-    def __init__(self, limit: int):
-        self.half, self.older = max(1, limit // 2), {}
-
-    def __missing__(self, key: bytes) -> bytes:
-        made = self.older.pop(key, None)
-        if made is None:
-            made = self.make(key)
-        if len(self) >= self.half:
-            self.older = dict(self)
-            self.clear()
-        self[key] = made
-        return made
-
-
-class _Pieces(_Memo):
+class _Pieces(dict):
     """Ids of a piece (bytes) that the tokenizer's model gets as it is."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int):
-        super().__init__(limit)
-        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.model, self.letters, self.limit = tokenizer.model, _byte_letters(), limit
 
-    def make(self, piece: bytes) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         shown = piece.decode() if piece.isascii() else "".join(map(self.letters.get, piece))
-        return pack([t.id for t in self.model.tokenize(shown)])
+        ids = pack([t.id for t in self.model.tokenize(shown)])
+        if len(self) >= self.limit:
+            self.clear()
+        self[piece] = ids
+        return ids
 
 
 def pack(ids) -> bytes:
@@ -65,7 +50,7 @@ def pack(ids) -> bytes:
     return out.tobytes()
 
 
-class WordIds(_Memo):
+class WordIds(dict):
     """Maps a word (bytes without ASCII white space) to its ids, 32 bits each.
 
     Right for tokenizers whose tokens never span white space, as the one of the queries;
@@ -73,7 +58,7 @@ class WordIds(_Memo):
     """
 
     def __init__(self, path: str, limit: int):
-        super().__init__(limit)
+        self.limit = limit
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -84,9 +69,8 @@ class WordIds(_Memo):
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __missing__(self, word: bytes) -> bytes:
-        return self.encode(word.decode()) if len(word) > MEMO_BYTES else super().__missing__(word)
-
-    def make(self, word: bytes) -> bytes:
+        if len(word) > MEMO_BYTES:
+            return self.encode(word.decode())
         letters = word.rstrip(_PUNCTUATION)
         if letters.isalpha():  # of bytes: ASCII letters
             ids, rest = self.pieces[letters.lower()], word[len(letters) :]
@@ -94,7 +78,12 @@ class WordIds(_Memo):
             ids, rest = self.pieces[plain[1].lower().encode()], plain[2].encode()
         else:
             ids, rest = self.encode(word.decode()), b""
-        return ids + self.pieces[rest] if rest else ids
+        if rest:
+            ids += self.pieces[rest]
+        if len(self) >= self.limit:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 def check_word_tokenizer(tokenizer: Tokenizer) -> None:
