@@ -27,7 +27,7 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop failing lines and rejected documents."""
-    done = with_quality(docs, out="_quality").filter("_quality.kept")
+    done = with_quality(docs, out="_quality", keep_text=False).filter("_quality.kept")
     return _with_text(done, docs.columns, F.col("_quality.clean_text"))
 
 
@@ -60,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask personal data, disguised or not."""
-    done = with_personal_data(docs, out="_personal")
+    done = with_personal_data(docs, out="_personal", keep_text=False)
     return _with_text(done, docs.columns, F.col("_personal.masked_text"))
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ledgerlens.llm import words as W
 from ledgerlens.llm.components import components
 from ledgerlens.llm.registry import documents, join_keys, register
+from ledgerlens.llm.text_batches import releasing
 from ledgerlens.session import materialise
 
 #: Shingles of the sets that one search task holds (8 bytes each, and as many list entries).
@@ -525,7 +526,7 @@ def near_sets(
 
     rows = materialise(
         df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
-            sizes, f"doc_id {id_type}, n_shingles long, set_id long"
+            releasing(sizes), f"doc_id {id_type}, n_shingles long, set_id long"
         )
     )
     largest = rows.agg(F.max("n_shingles")).first()[0] or 0
@@ -540,7 +541,7 @@ def near_sets(
                 for _, sig, _ in bands.signatures(value[kept], row[kept], np.where(new, size, 0)):
                     yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64))], ["sig"])
 
-    counted = texts.mapInArrow(signatures, "sig long").groupBy("sig").agg(F.count("*").alias("n"))
+    counted = texts.mapInArrow(releasing(signatures), "sig long").groupBy("sig").agg(F.count("*").alias("n"))
     shared = materialise(counted.filter("n > 1"))
     may_share = _filter_of(shared, "sig")
 
@@ -565,7 +566,9 @@ def near_sets(
                         ["sig", "set_id", "size", "level", "sketch"],
                     )
 
-    signed = texts.mapInArrow(sketched, "sig long, set_id long, size long, level long, sketch binary")
+    signed = texts.mapInArrow(
+        releasing(sketched), "sig long, set_id long, size long, level long, sketch binary"
+    )
     hot = materialise(shared.filter(F.col("n") > HOT_GROUP).select("sig", F.lit(True).alias("hot")))
     signed = join_keys(signed, hot, ["sig"], "left", BROADCAST_KEYS)
     signed = signed.withColumn("hot", F.coalesce("hot", F.lit(False)))
@@ -588,7 +591,8 @@ def near_sets(
     placed = members.join(total, "root").select("node", "root", blocks)
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("block", block)
-    sets = texts.mapInArrow(_sets_of(width, hint), "node long, shingles binary").dropDuplicates(["node"])
+    sets = texts.mapInArrow(releasing(_sets_of(width, hint)), "node long, shingles binary")
+    sets = sets.dropDuplicates(["node"])
     each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met")
     held = sets.join(placed, "node").select("node", "root", "blocks", "block", "shingles", each)
     held = held.select(

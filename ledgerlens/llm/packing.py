@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.registry import documents, register, text_or_empty
+from ledgerlens.llm.text_batches import releasing
 from ledgerlens.llm.tokens import word_ids
 from ledgerlens.session import materialise
 
@@ -143,7 +144,7 @@ def pack_documents(
     """
     path = path or public_tokenizers.path(VOCABULARY)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
-    pieces = materialise(rows.mapInArrow(_pack_partition(path, width, space), PIECES))
+    pieces = materialise(rows.mapInArrow(releasing(_pack_partition(path, width, space)), PIECES))
     left = (
         pieces.filter(~F.col("closed")).groupBy("part", "window")
         .agg(F.sum("length").alias("used"))

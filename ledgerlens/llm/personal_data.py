@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.registry import documents, register
+from ledgerlens.llm.text_batches import append_struct
 
 KINDS = ("email", "ip", "card", "phone")
 OUTCOME = T.StructType(
@@ -258,8 +260,29 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _outcomes(column: pa.Array, with_text: bool) -> pa.StructArray:
+    rows: dict[str, list] = {name: [] for name in OUTCOME.names}
+    for value in column:
+        text = value.as_py() or ""
+        base, spans = find(text)
+        for k, kind in enumerate(KINDS):
+            rows[f"n_{kind}"].append(sum(x[1] == k for x in base))
+        rows["base_sha256"].append(hashlib.sha256(_listed(base).encode()).hexdigest())
+        rows["spans"].append(_listed(spans))
+        rows["masked_text"].append(mask(text, spans) if with_text else None)
+    arrays = [
+        pa.array(rows[f.name], pa.int64() if f.name[:2] == "n_" else pa.string())
+        for f in OUTCOME.fields
+    ]
+    return pa.StructArray.from_arrays(arrays, names=OUTCOME.names)
+
+
 def with_personal_data(
-    df: DataFrame, text_col: str = "text", out: str = "personal", with_text: bool = True
+    df: DataFrame,
+    text_col: str = "text",
+    out: str = "personal",
+    with_text: bool = True,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Append one struct column ``out`` (see ``OUTCOME``) to all columns of ``df``.
 
@@ -269,33 +292,10 @@ def with_personal_data(
     disguises (a word of prose, "at" and a plain domain, as in "meet at acme.com", is none);
     identifiers found in that text are mapped back to source characters and added; next to a plain one of the same kind only where they hold all of it and more. Counts and
     ``base_sha256`` are of the plain ones, ``spans`` and ``masked_text`` of all. A missing
-    or empty text has none of them and an empty masked text. One pass without a shuffle.
+    or empty text has none of them and an empty masked text. One pass without a shuffle, in
+    slices of a batch. Without ``keep_text`` the result has all columns but the source text.
     """
-    if out in df.columns:
-        raise ValueError(f"the table has a column {out} already; pass another name")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: dict[str, list] = {name: [] for name in OUTCOME.names}
-            for value in batch.column(batch.num_columns - 1):
-                text = value.as_py() or ""
-                base, spans = find(text)
-                for k, kind in enumerate(KINDS):
-                    rows[f"n_{kind}"].append(sum(x[1] == k for x in base))
-                rows["base_sha256"].append(hashlib.sha256(_listed(base).encode()).hexdigest())
-                rows["spans"].append(_listed(spans))
-                rows["masked_text"].append(mask(text, spans) if with_text else None)
-            arrays = [
-                pa.array(rows[f.name], pa.int64() if f.name[:2] == "n_" else pa.string())
-                for f in OUTCOME.fields
-            ]
-            made = pa.StructArray.from_arrays(arrays, names=OUTCOME.names)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out]
-            )
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, OUTCOME)])
-    return df.withColumn("\0text", F.col(text_col)).mapInArrow(work, schema)
+    return append_struct(df, text_col, out, OUTCOME, partial(_outcomes, with_text=with_text), keep_text)
 
 
 @register("op4_personal_data")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.registry import documents, register
+from ledgerlens.llm.text_batches import append_struct
 
 SYMBOLS = "#*$%&|<>"
 #: What ends the last word of a sentence: these, or one of … ” ’ ».
@@ -143,7 +144,11 @@ def _outcomes(column: pa.Array, with_text: bool) -> pa.StructArray:
 
 
 def with_quality(
-    df: DataFrame, text_col: str = "text", out: str = "quality", with_text: bool = True
+    df: DataFrame,
+    text_col: str = "text",
+    out: str = "quality",
+    with_text: bool = True,
+    keep_text: bool = True,
 ) -> DataFrame:
     """Append one struct column ``out`` (see ``OUTCOME``) to all columns of ``df``.
 
@@ -154,19 +159,9 @@ def with_quality(
     of its words stand in repeated phrases, fewer than 50 words are left, or more than half
     of them are lost. A missing or empty text has zero counts and is not kept. The work is
     one pass without a shuffle, in slices of a batch, so memory does not grow with rows.
+    Without ``keep_text`` the result has all columns but the source text.
     """
-    if out in df.columns:
-        raise ValueError(f"the table has a column {out} already; pass another name")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = _outcomes(batch.column(batch.schema.get_field_index("\0text")), with_text)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], made], names=[*batch.schema.names[:-1], out]
-            )
-
-    schema = T.StructType([*df.schema.fields, T.StructField(out, OUTCOME)])
-    return df.withColumn("\0text", F.col(text_col)).mapInArrow(work, schema)
+    return append_struct(df, text_col, out, OUTCOME, partial(_outcomes, with_text=with_text), keep_text)
 
 
 @register(

@@ -4,12 +4,14 @@ from collections import Counter
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from ledgerlens.llm import words as W
 from ledgerlens.llm.line_runs import with_lines_removed
 from ledgerlens.llm.personal_data import KINDS, detect, find, luhn, mask, with_personal_data
 from ledgerlens.llm.quality_rules import with_quality
 from ledgerlens.llm.secret_links import find_secrets, link_parts
+from ledgerlens.llm.text_batches import releasing
 from tests.llm.common import odd_rows, prose, table
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -55,6 +57,39 @@ def test_out_column_must_be_new(spark):
         assert appended(table(spark, [])).collect() == []
 
 
+class Rows:
+    """A table that gives back what it is asked to run on Arrow batches."""
+
+    schema = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.LongType())])
+    columns = schema.names
+
+    def mapInArrow(self, work, schema):
+        return work, schema.names
+
+
+@pytest.mark.parametrize("appended", [with_quality, with_personal_data])
+def test_results_leave_slice_by_slice(appended):
+    texts = [prose(k, 2_000) + f" {k}@x.org." for k in range(200)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "n": list(range(len(texts)))})
+    work, names = appended(Rows(), out="o", keep_text=False)
+    assert names == ["n", "o"]
+    made = list(work(iter([batch])))  # the text comes once and does not go back
+    assert len(made) > 1 and max(b.nbytes for b in made) < 2 * W.SLICE_BYTES
+    whole = pa.Table.from_batches(made).to_pylist()
+    work, names = appended(Rows(), out="o")
+    kept = pa.Table.from_batches(list(work(iter([batch])))).to_pylist()
+    assert names == ["text", "n", "o"] and [r.pop("text") for r in kept] == texts
+    assert kept == whole and [r["n"] for r in whole] == list(range(len(texts)))
+
+
+def test_workers_give_back_memory(monkeypatch):
+    gone = []
+    pool = type("Pool", (), {"release_unused": lambda self: gone.append(1)})()
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    monkeypatch.setattr(pa, "system_memory_pool", lambda: pool)
+    assert list(releasing(lambda x: x)(iter("ab"))) == ["a", "b"] and len(gone) == 2
+
+
 def test_slices_do_not_change_results(monkeypatch):
     column = pa.array([t for _, t in odd_rows()])
     whole = [W.split_words(d, b) for _, _, d, b in W.slices(column, 1 << 30)][0]
