@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bits of the largest estimate of a checkpoint's bytes that is kept; real sizes have fewer.
+ESTIMATE_BITS = 62
+
 
 def local_session(
     cores: int | str = 8, name: str = "ledgerlens", conf: dict[str, str] | None = None
@@ -51,4 +54,26 @@ def materialise(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    return _with_bounded_estimate(df.checkpoint())
+
+
+def _with_bounded_estimate(df: DataFrame) -> DataFrame:
+    """A checkpoint whose estimated size is forgotten above ``2**ESTIMATE_BITS`` bytes.
+
+    Spark multiplies the estimates of the two sides of a join, and a checkpoint keeps the
+    product. In a loop of joins and checkpoints the number has twice the digits or more
+    after each, until the driver's memory can't hold the copies of it. Without an estimate
+    the planner takes ``spark.sql.defaultSizeInBytes``, which is as good as the product.
+    """
+    plan = df._jdf.logicalPlan()
+    try:
+        if plan.stats().sizeInBytes() < 1 << ESTIMATE_BITS:
+            return df
+    except ValueError:  # it has more digits than Python converts
+        pass
+    jvm, session = df.sparkSession._jvm, df._jdf.sparkSession()
+    plan = plan.copy(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(),
+        plan.stream(), session, jvm.scala.Option.empty(), jvm.scala.Option.apply(plan.constraints()),
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session, plan), df.sparkSession)

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -22,6 +23,7 @@ from ledgerlens.llm.jaccard_join import Bands, divide_skip, jaccard_components,
 from ledgerlens.llm.packing import pack_documents
 from ledgerlens.llm.tokens import WordIds
 from ledgerlens.llm.words import FOLD, slices
+from ledgerlens.session import materialise
 from tests.llm.common import WORDS, odd_rows, prose, table
 
 SF = "/root/testdata/sf0.001"
@@ -256,6 +258,18 @@ def test_components_of_a_path_and_a_star(spark):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+def test_loops_of_joins_keep_estimates_small(spark):
+    rows = spark.range(20).toDF("k")
+    for _ in range(9):  # the estimate had twice the digits after each
+        rows = materialise(rows.join(rows.withColumnRenamed("k", "other"), F.col("k") == F.col("other")))
+        rows = rows.select("k")
+    assert [r.k for r in rows.orderBy("k").collect()] == list(range(20))
+    assert rows._jdf.logicalPlan().stats().sizeInBytes() < 2**64
+    path = components(spark.createDataFrame([(k, k + 1) for k in range(30)], "a long, b long"))
+    assert {(r.node, r.root) for r in path.collect()} == {(k, 0) for k in range(31)}
+    assert path._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**70
+
+
 def test_repairs_of_long_words_are_checked():
     class Ids(dict):
         """Words of other ids beside their neighbours than alone."""
